@@ -35,25 +35,20 @@ def usable(store: DataFrame, version: str) -> DataFrame:
     return store.filter(F.col("ruleset_version") == version)
 
 
-def _same(left: DataFrame, right: DataFrame) -> Column:
-    return (
-        (left["path"] == right["path"]) & (left["content_hash"] == right["content_hash"])
-        & (left["size"] == right["size"]) & left["modified"].eqNullSafe(right["modified"])
-    )
+SAME = "k.path = s.path AND k.content_hash = s.content_hash AND k.size = s.size AND k.modified <=> s.modified"
 
 
 def hits(files: DataFrame, store: DataFrame, version: str) -> DataFrame:
     """Stored entries that are still true, with their findings and preview."""
-    keys = files.select(*KEY_COLUMNS)
-    stored = usable(store, version)
-    return keys.join(stored, _same(keys, stored)).select(*[stored[c] for c in STORE_COLUMNS])
+    keys, stored = files.select(*KEY_COLUMNS).alias("k"), usable(store, version).alias("s")
+    return keys.join(stored, F.expr(SAME)).select(*[F.col(f"s.{c}") for c in STORE_COLUMNS])
 
 
 def missed_keys(files: DataFrame, store: DataFrame, version: str) -> DataFrame:
     """``path`` of files that are new or changed; no text takes part in this join."""
-    keys = files.select(*KEY_COLUMNS)
-    stored = usable(store, version).select(*KEY_COLUMNS)
-    return keys.join(stored, _same(keys, stored), "left_anti").select("path")
+    keys = files.select(*KEY_COLUMNS).alias("k")
+    stored = usable(store, version).select(*KEY_COLUMNS).alias("s")
+    return keys.join(stored, F.expr(SAME), "left_anti").select("path")
 
 
 def misses(files: DataFrame, store: DataFrame, version: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

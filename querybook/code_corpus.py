@@ -45,9 +45,10 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"CASE WHEN line = 1 AND file_id % 3 = 0 THEN {opener} "
         f"WHEN line = {LINES_PER_FILE} THEN {closer} "
         f"ELSE {indent} || coalesce({template}, {filler}) END")
+    # the generator keeps filters on ``text`` from being pushed below and repeating its CASE
     return named.selectExpr(
         "'src/d' || (file_id % 7) || '/f' || file_id || '.' || ext AS path", "language", "file_id", "line",
-        f"{text} AS text")
+        f"explode(array({text})) AS text")
 
 
 def code_files(spark: SparkSession, sf_dir: str, *languages: str) -> DataFrame:

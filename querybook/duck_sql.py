@@ -288,14 +288,14 @@ CTES["c_lock_events"] = f"""
   FROM c_lines WHERE {has("text", V.C_UNLOCK_CALLS)}"""
 CTES["c_lock_findings"] = worded(f"""
   WITH judged AS (
-    SELECT path, line, {byte_at("text", "return")} AS at, {word_at_first_hit("text", "return")} AS returns,
+    SELECT path, line, {byte_at("text", "return")} AS pos, {word_at_first_hit("text", "return")} AS returns,
            {has("text", V.C_SLEEP_CALLS)} AS sleeps FROM c_lines),
   state AS (
-    SELECT j.path, j.line, j.at, j.returns, j.sleeps, e.held, e.spin,
+    SELECT j.path, j.line, j.pos, j.returns, j.sleeps, e.held, e.spin,
            row_number() OVER (PARTITION BY j.path, j.line, e.name ORDER BY e.line DESC, e.held) AS latest
     FROM judged j JOIN c_lock_events e ON e.path = j.path AND e.line <= j.line AND e.name <> ''
     WHERE j.returns OR j.sleeps)
-  SELECT DISTINCT path, line, at AS col, 'return-without-unlock' AS rule FROM state
+  SELECT DISTINCT path, line, pos AS col, 'return-without-unlock' AS rule FROM state
   WHERE latest = 1 AND held = 1 AND returns
   UNION ALL
   SELECT DISTINCT path, line, 1, 'sleeping-in-atomic' FROM state WHERE latest = 1 AND held = 1 AND spin AND sleeps

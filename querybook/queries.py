@@ -475,13 +475,13 @@ _local_order = values(
     [(r.name, 0, n) for n, r in enumerate(V.FILE_RULES) if r.name in BY_NAME["quick"].rules]
     + [(r.name, 1, n) for n, r in enumerate(V.LINE_RULES)], "o(rule, plane, nth)")
 _ordered = (f"SELECT path, line, severity, rule, message, o.plane AS plane, row_number() OVER (PARTITION BY path "
-            f"ORDER BY {_rank} DESC, o.plane, o.nth, coalesce(line, 0)) AS at "
+            f"ORDER BY {_rank} DESC, o.plane, o.nth, coalesce(line, 0)) AS place "
             f"FROM local_findings JOIN {_local_order} USING (rule)")
 
 
 @register("file_entries", compose(f"""
     SELECT f.path, CAST(strlen(f.content) AS BIGINT) AS size, count(e.rule) AS findings,
-      coalesce(string_agg(e.severity || ' ' || e.rule || ' ' || coalesce(CAST(e.line AS VARCHAR), '-'), '; ' ORDER BY e.at), '')
+      coalesce(string_agg(e.severity || ' ' || e.rule || ' ' || coalesce(CAST(e.line AS VARCHAR), '-'), '; ' ORDER BY e.place), '')
         AS listing
     FROM code_files f LEFT JOIN ({_ordered}) e USING (path) GROUP BY f.path, f.content""", "local_findings"))
 def file_entries(spark, sf_dir):
@@ -575,7 +575,7 @@ def report_query(spark, sf_dir):
 @register("json_report", compose(f"""
     SELECT f.path, CAST(strlen(f.content) AS VARCHAR) AS size, coalesce(e.rule, 'none') AS first_rule,
       coalesce(CAST(e.line AS VARCHAR), 'none') AS first_line, coalesce(e.message, 'none') AS first_message
-    FROM code_files f LEFT JOIN (SELECT * FROM ({_ordered}) WHERE at = 1) e USING (path)""", "local_findings"))
+    FROM code_files f LEFT JOIN (SELECT * FROM ({_ordered}) WHERE place = 1) e USING (path)""", "local_findings"))
 def json_report(spark, sf_dir):
     documents = report.json_entries(review_entries(spark, sf_dir, "quick"))
     none = F.lit("none")
@@ -589,7 +589,7 @@ def json_report(spark, sf_dir):
 @register("markdown_sections", compose(f"""
     SELECT path, '### `' || path || '`' || chr(10) || string_agg('- **' || severity || '** [' ||
       CASE plane WHEN 0 THEN 'local-rules' ELSE 'rule-registry' END || ' / ' || rule ||
-      coalesce(' line ' || line, '') || '] ' || message, chr(10) ORDER BY at) || chr(10) AS markdown
+      coalesce(' line ' || line, '') || '] ' || message, chr(10) ORDER BY place) || chr(10) AS markdown
     FROM ({_ordered}) GROUP BY path""", "local_findings"))
 def markdown_sections(spark, sf_dir):
     return report.markdown_entries(review_entries(spark, sf_dir, "quick"))
