@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fixed_values import C_FLOW_RULES, C_STYLE_RULES, FILE_RULES, JAVA_RULES, LINE_RULES, TS_RULES, RuleText
+from .text import let
 
 ORDER_FIELDS = ("plane", "step", "at", "nth")  # emission order inside a file
 
@@ -99,9 +100,7 @@ def no_hits() -> Column:
     return F.array().cast(HITS_TYPE)
 
 
-def finding_of(hit: Column) -> Column:
-    """The finding a hit stands for."""
-    rule = F.get(rule_array(), hit["rule"])
+def _worded(hit: Column, rule: Column) -> Column:
     order = F.struct(
         rule["plane"].alias("plane"), rule["step"].alias("step"),
         F.coalesce(hit["at"], hit["line"], F.lit(0)).alias("at"), rule["nth"].alias("nth"))
@@ -113,6 +112,11 @@ def finding_of(hit: Column) -> Column:
     ).cast(FINDING_TYPE)
 
 
+def finding_of(hit: Column) -> Column:
+    """The finding a hit stands for."""
+    return let(F.get(rule_array(), hit["rule"]), lambda rule: _worded(hit, rule))
+
+
 def findings_of(hits: Column) -> Column:
     return F.transform(hits, finding_of)
 
@@ -129,4 +133,5 @@ def findings_from_hits(df: DataFrame, hits: str, *keys: str) -> DataFrame:
     which then runs twice for every row.
     """
     rows = df.select(*keys, F.explode_outer(hits).alias("_hit")).filter(F.col("_hit").isNotNull())
-    return rows.select(*keys, finding_of(F.col("_hit")).alias("_finding")).select(*keys, "_finding.*")
+    named = rows.select(*keys, "_hit", F.get(rule_array(), F.col("_hit.rule")).alias("_rule"))
+    return named.select(*keys, _worded(F.col("_hit"), F.col("_rule")).alias("_finding")).select(*keys, "_finding.*")

@@ -358,6 +358,7 @@ class ScriptPattern:
     words: tuple[str, ...] = ()
     also: str = ""
     unless: str = ""
+    view: str = "raw"
 
 
 TS_PATTERNS = (
@@ -372,7 +373,7 @@ TS_PATTERNS = (
     ScriptPattern("ts-network-no-timeout", ("fetch(",), unless=r"(?i)signal|timeout"),
     ScriptPattern("ts-empty-catch", ("catch",), r"catch\s*\([^)]*\)\s*\{\s*\}"),
     ScriptPattern("ts-jwt-none-alg", ("jwt.sign(",), words=("'none'", "'none\"", "\"none'", '"none"')),
-    ScriptPattern("ts-weak-hash", (".",), r"(?i)crypto\.createHash\(", also=r"(?i)md5|sha1"),
+    ScriptPattern("ts-weak-hash", ("crypto.createhash(",), words=("md5", "sha1"), view="lower"),
 )
 TS_TAINT_SOURCE = (
     r"(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*="

@@ -14,6 +14,15 @@ WHITESPACE = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A Column used several times is a tree that is copied and, inside an array lambda,
+    evaluated again for each use; as the element of a one-element array it is bound.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     """Trim every Unicode whitespace character (``F.trim`` alone strips spaces only)."""
     return F.btrim(text, F.lit(WHITESPACE))
@@ -43,8 +52,11 @@ def split_lines(content: Column, keep_cr: bool = False) -> Column:
     lines.  ``\\r\\n`` counts as one break unless ``keep_cr`` is set (C sources).
     """
     text = content if keep_cr else F.replace(content, F.lit("\r\n"), F.lit("\n"))
-    pieces = F.split(text, "\n", -1)
-    return F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
+
+    def without_last_break(pieces: Column) -> Column:
+        return F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
+
+    return let(F.split(text, "\n", -1), without_last_break)
 
 
 def numbered(lines: Column) -> Column:

@@ -12,11 +12,11 @@ from .text import WHITESPACE
 
 # Names of the line's views inside a predicate.
 Views = dict[str, str]
-ROW_VIEWS: Views = {"raw": "text", "lower": "_lower", "trim": "_trim"}
+ROW_VIEWS: Views = {"raw": "text", "lower": "_lower", "trim": "_trim", "calls": "_calls"}
 
 
 def views_in(struct: str) -> Views:
-    return {"raw": f"{struct}.text", "lower": f"{struct}.lower", "trim": f"{struct}.trim"}
+    return {"raw": f"{struct}.text", "lower": f"{struct}.lower", "trim": f"{struct}.trim", "calls": f"{struct}.calls"}
 
 
 def trim_sql(text: str) -> str:
@@ -31,10 +31,18 @@ def contains_any_sql(text: str, words) -> str:
     return _any("contains", text, words)
 
 
+def _all_call(words) -> bool:
+    """Words that all hold an opening bracket need not be looked for on lines without one.
+
+    Most words of the rules name a call, and each search is a pass over the line.
+    """
+    return bool(words) and all("(" in w for w in words)
+
+
 def trigger_sql(trigger: Trigger, views: Views) -> str:
     """All filled groups of one row; language is not tested here."""
     text = views[trigger.view]
-    groups = []
+    groups = [views["calls"]] if _all_call(trigger.has) or _all_call(trigger.starts) else []
     if trigger.starts:
         groups.append(_any("startswith", text, trigger.starts))
     if trigger.equals:
@@ -69,8 +77,10 @@ def triggers_sql(triggers, language: str, views: Views) -> str:
     return "(" + " OR ".join(parts) + ")"
 
 
-def pattern_sql(pattern: ScriptPattern, text: str) -> str:
-    parts = [contains_any_sql(text, pattern.seen)]
+def pattern_sql(pattern: ScriptPattern, views: Views) -> str:
+    text = views[pattern.view]
+    parts = [views["calls"]] if _all_call(pattern.seen) else []
+    parts.append(contains_any_sql(text, pattern.seen))
     if pattern.words:
         parts.append(contains_any_sql(text, pattern.words))
     if pattern.match:

@@ -64,16 +64,16 @@ def function_spans(language: Column, views: Column) -> Column:
     Spans are greedy and do not overlap: while a function is open no other one opens, so
     this is a fold over the lines.  Only long spans are kept in its state.
     """
-    markers = None
-    for lang, words in FUNCTION_MARKERS.items():
-        markers = (F if markers is None else markers).when(language == lang, F.array(*[F.lit(w) for w in words]))
     python = language == "python"
     state = "struct<start:int,depth:int,indent:int,long:array<struct<line:int,span:int>>>"
 
     def step(acc: Column, entry: Column) -> Column:
         text = entry["trim"]
         opened = acc["start"] > 0
-        opens = ~opened & F.exists(markers, lambda m: F.contains(text, m))
+        marked = None
+        for lang, words in FUNCTION_MARKERS.items():
+            marked = (F if marked is None else marked).when(language == lang, contains_any(text, words))
+        opens = ~opened & marked
         depth = F.when(opens, F.lit(0)).otherwise(acc["depth"]) + _count(text, "{") - _count(text, "}")
         indent = indent_of(entry["text"])
         closes = opened & F.when(python, (text != "") & (indent <= acc["indent"])).otherwise(

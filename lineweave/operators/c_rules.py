@@ -17,7 +17,7 @@ from ..functions.fixed_values import (
     C_LOCK_CALLS, C_NAME_CHARS, C_RCU_SAFE, C_SLEEP_CALLS, C_SPACING_KEYWORDS, C_STYLE_RULES,
     C_UNLOCK_CALLS, GOTO_CLEANUP_WITHIN, GOTO_LABEL_WITHIN, STYLE_LINE_BYTES,
 )
-from ..functions.text import all_of, any_of, before_first, byte_column, contains_any, first_hit_is_word, numbered
+from ..functions.text import all_of, any_of, before_first, byte_column, contains_any, first_hit_is_word, let, numbered
 
 STYLE_NAMES = tuple(text.name for text in C_STYLE_RULES)
 
@@ -119,24 +119,27 @@ def lock_hits(entries: Column, caps: Caps = UNCAPPED) -> Column:
     held_type = "array<struct<name:string,spin:boolean>>"
     out_type = "array<struct<line:int,column:int,kind:int>>"
 
-    def step(acc: Column, e: Column) -> Column:
+    none = F.array().cast(out_type)
+
+    def after_take(acc: Column, e: Column) -> Column:
         others = F.filter(acc["held"], lambda h: h["name"] != e["taken"])
-        own = F.array(F.struct(e["taken"].alias("name"), e["spin"].alias("spin")))
-        after_take = F.when(e["taken"] != "", F.concat(others, own.cast(held_type))).otherwise(acc["held"])
-        held = F.when(e["dropped"].isNotNull(), F.filter(after_take, lambda h: h["name"] != e["dropped"])).otherwise(
-            after_take)
-        leaks = e["returns"] & (F.size(held) > 0)
-        sleeps = e["sleeps"] & F.exists(held, lambda h: h["spin"])
-
-        def hit(kind: int, column: Column) -> Column:
-            return F.struct(e["line"].cast("int").alias("line"), column.cast("int").alias("column"),
-                            F.lit(kind).alias("kind"))
-
-        none = F.array().cast(out_type)
-        new = F.concat(F.when(leaks, F.array(hit(0, e["column"]))).otherwise(none),
-                       F.when(sleeps, F.array(hit(1, F.lit(1)))).otherwise(none))
-        return F.struct(held.cast(held_type).alias("held"),
-                        F.when(F.size(new) > 0, F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+        own = F.array(F.struct(e["taken"].alias("name"), e["spin"].alias("spin"))).cast(held_type)
+        return F.when(e["taken"] != "", F.concat(others, own)).otherwise(acc["held"])
+
+    def after_drop(held: Column, e: Column) -> Column:
+        return F.filter(held, lambda h: e["dropped"].isNull() | (h["name"] != e["dropped"]))
+
+    def judged(held: Column, acc: Column, e: Column) -> Column:
+        leak = F.when(e["returns"] & (F.size(held) > 0), F.array(F.struct(
+            e["line"].cast("int").alias("line"), e["column"].cast("int").alias("column"), F.lit(0).alias("kind"))))
+        sleep = F.when(e["sleeps"] & F.exists(held, lambda h: h["spin"]), F.array(F.struct(
+            e["line"].cast("int").alias("line"), F.lit(1).alias("column"), F.lit(1).alias("kind"))))
+        out = F.concat(acc["out"], F.coalesce(leak, none), F.coalesce(sleep, none))
+        return F.struct(held.alias("held"), out.cast(out_type).alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        held = after_drop(after_take(acc, e), e).cast(held_type)
+        return let(held, lambda now: judged(now, acc, e))
 
     zero = F.struct(F.array().cast(held_type).alias("held"), F.array().cast(out_type).alias("out"))
     hits = F.aggregate(_lock_events(entries, caps), zero, step, lambda acc: acc["out"])
@@ -199,21 +202,25 @@ def null_check_hits(entries: Column, caps: Caps = UNCAPPED) -> Column:
         derefs = F.slice(derefs, 1, caps.derefs)
     tests = F.filter(entries, lambda e: contains_any(e["text"], ("if (", "if(")) & contains_any(
         e["text"], ("NULL", "!")))
-    names = F.array_distinct(F.transform(derefs, lambda d: d["pointer"]))
-    last_test = F.transform(names, lambda name: F.struct(
-        name.alias("pointer"),
-        F.array_max(F.transform(F.filter(tests, lambda t: F.contains(t["text"], name)), lambda t: t["line"]))
-        .alias("line")))
-    late = F.map_from_entries(F.filter(last_test, lambda n: n["line"].isNotNull()))
-    hits = F.filter(derefs, lambda d: F.coalesce(F.element_at(late, d["pointer"]) > d["line"], F.lit(False)))
 
-    def emit(d: Column) -> Column:
-        first_after = F.array_min(F.transform(F.filter(
-            tests, lambda t: (t["line"] > d["line"]) & F.contains(t["text"], d["pointer"])), lambda t: t["line"]))
-        return _flow("null-deref-before-check", d["line"], at=first_after)
+    def tested_after(both: Column) -> Column:
+        derefs, tests = both["derefs"], both["tests"]
 
-    none = F.array().cast("array<struct<line:int,pointer:string>>")
-    return F.transform(F.when(F.size(tests) > 0, hits).otherwise(none), emit)
+        def last_test(name: Column) -> Column:
+            naming = F.filter(tests, lambda t: F.contains(t["text"], name))
+            return F.struct(name.alias("pointer"), F.array_max(F.transform(naming, lambda t: t["line"])).alias("line"))
+
+        def emit(d: Column) -> Column:
+            after = F.filter(tests, lambda t: (t["line"] > d["line"]) & F.contains(t["text"], d["pointer"]))
+            return _flow("null-deref-before-check", d["line"], at=F.array_min(F.transform(after, lambda t: t["line"])))
+
+        names = F.array_distinct(F.transform(derefs, lambda d: d["pointer"]))
+        late = F.map_from_entries(F.filter(F.transform(names, last_test), lambda n: n["line"].isNotNull()))
+        return let(late, lambda last: F.transform(F.filter(derefs, lambda d: F.coalesce(
+            F.element_at(last, d["pointer"]) > d["line"], F.lit(False))), emit))
+
+    both = F.struct(derefs.alias("derefs"), tests.alias("tests"))
+    return let(both, lambda b: F.when(F.size(b["tests"]) > 0, tested_after(b)).otherwise(no_hits()))
 
 
 def marker_hits(lines: Column) -> Column:
@@ -237,17 +244,20 @@ def call_hits(entries: Column) -> Column:
 def flow_hits(lines: Column, content: Column, caps: Caps = UNCAPPED) -> Column:
     """All order-dependent hits of one C file.  Each rule first asks the whole text for
     its word, so most files never reach the line arrays."""
+    def when_seen(words, found: Column) -> Column:
+        return F.when(contains_any(content, words), found).otherwise(no_hits())
+
+    def judged(file: Column) -> Column:
+        kept, entries = file["lines"], file["entries"]
+        return F.concat(
+            when_seen(("goto out;",), goto_hits(entries, kept)),
+            when_seen(("_lock",), lock_hits(entries, caps)),
+            when_seen(("->",), null_check_hits(entries, caps)),
+            when_seen(("rcu_read_lock(",), rcu_hits(entries)),
+            when_seen(("printk(", "BUG_ON("), call_hits(entries)),
+            when_seen(("__init", "__exit"), marker_hits(kept)),
+        )
+
     kept = lines if caps.lines is None else F.slice(lines, 1, caps.lines)
-    entries = numbered(kept)
-
-    def when_seen(word: str, found: Column) -> Column:
-        return F.when(F.contains(content, F.lit(word)), found).otherwise(no_hits())
-
-    return F.concat(
-        when_seen("goto out;", goto_hits(entries, kept)),
-        when_seen("_lock", lock_hits(entries, caps)),
-        when_seen("->", null_check_hits(entries, caps)),
-        when_seen("rcu_read_lock(", rcu_hits(entries)),
-        F.when(contains_any(content, ("printk(", "BUG_ON(")), call_hits(entries)).otherwise(no_hits()),
-        F.when(contains_any(content, ("__init", "__exit")), marker_hits(kept)).otherwise(no_hits()),
-    )
+    file = let(kept, lambda rows: F.struct(rows.alias("lines"), numbered(rows).alias("entries")))
+    return let(file, judged)

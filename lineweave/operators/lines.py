@@ -37,13 +37,15 @@ def explode_lines(files: DataFrame, *carry: str, content: str = "content") -> Da
 
 def with_views(lines: DataFrame) -> DataFrame:
     """Lowered and trimmed text, computed once per line for all rules."""
-    return lines.select("*", F.lower("text").alias("_lower"), F.expr(trim_sql("text")).alias("_trim"))
+    return lines.select("*", F.lower("text").alias("_lower"), F.expr(trim_sql("text")).alias("_trim"),
+                        F.contains("text", F.lit("(")).alias("_calls"))
 
 
 def viewed(lines: Column) -> Column:
-    """``array<struct<line,text,lower,trim>>``: the same views for lines inside a row."""
+    """``array<struct<line,text,lower,trim,calls>>``: the same views for lines inside a row."""
     return F.transform(lines, lambda text, i: F.struct(
-        (i + 1).alias("line"), text.alias("text"), F.lower(text).alias("lower"), trimmed(text).alias("trim")))
+        (i + 1).alias("line"), text.alias("text"), F.lower(text).alias("lower"), trimmed(text).alias("trim"),
+        F.contains(text, F.lit("(")).alias("calls")))
 
 
 def assemble_files(lines: DataFrame, *keys: str) -> DataFrame:

@@ -55,7 +55,7 @@ class RulePack:
 
     def findings(self, lines: DataFrame, *carry: str) -> DataFrame:
         """Findings of a line table; no shuffle."""
-        views = {name: F.col(column) for name, column in ROW_VIEWS.items()}
+        views = {name: F.col(column) for name, column in ROW_VIEWS.items() if name != "calls"}
         found = self.findings_of_line(views, F.col("language"), F.col("line"))
         return unnest_findings(with_views(lines).select(*carry, found.alias("_found")), "_found", *carry)
 

@@ -10,8 +10,9 @@ from ..functions.fixed_values import (
     JAVA_PATTERNS, JAVA_RULES, JAVA_TAINT_SINK, JAVA_TAINT_SOURCE, JAVA_TAINT_SOURCE_WORDS, JAVA_WORD,
     TS_PATTERNS, TS_RULES, TS_TAINT_SINK, TS_TAINT_SOURCE, TS_TAINT_SOURCE_WORDS, TS_WORD,
 )
-from ..functions.text import contains_any
-from ..functions.triggers import fired_sql, pattern_sql
+from ..functions.text import contains_any, let
+from ..functions.triggers import ROW_VIEWS, fired_sql, pattern_sql, views_in
+from .lines import with_views
 
 
 class ScriptPlane:
@@ -22,11 +23,11 @@ class ScriptPlane:
         self.source, self.source_words, self.sink, self.word = source, source_words, sink, word
         self.flow_id = rule_id("language", rules[-1].name)
 
-    def patterns_sql(self, text: str) -> str:
+    def patterns_sql(self, views) -> str:
         """``array<int>`` of the rule numbers whose pattern matches one line."""
         return fired_sql([
             (rule_id("language", rule.name),
-             "(" + " OR ".join(pattern_sql(p, text) for p in self.patterns if p.rule == rule.name) + ")")
+             "(" + " OR ".join(pattern_sql(p, views) for p in self.patterns if p.rule == rule.name) + ")")
             for rule in self.rules[:-1]])
 
 
@@ -40,7 +41,7 @@ SCRIPT_PLANES = (TYPESCRIPT, JAVA)
 def script_line_findings(plane: ScriptPlane, lines: DataFrame, *carry: str) -> DataFrame:
     """Pattern findings of a line table; no shuffle."""
     own = lines.filter(F.col("language").isin(*plane.languages))
-    fired = own.select(*carry, "line", F.expr(plane.patterns_sql("text")).alias("_ids"))
+    fired = with_views(own).select(*carry, "line", F.expr(plane.patterns_sql(ROW_VIEWS)).alias("_ids"))
     hits = fired.select(*carry, F.transform("_ids", lambda n: hit(n, F.col("line"))).alias("_hits"))
     return findings_from_hits(hits, "_hits", *carry)
 
@@ -48,7 +49,7 @@ def script_line_findings(plane: ScriptPlane, lines: DataFrame, *carry: str) -> D
 def script_hits(plane: ScriptPlane, views: str) -> Column:
     """Pattern hits of one file, from its array of viewed lines."""
     fired = F.expr(f"filter(transform({views}, v -> named_struct('line', v.line, 'ids', "
-                   f"{plane.patterns_sql('v.text')})), x -> size(x.ids) > 0)")
+                   f"{plane.patterns_sql(views_in('v'))})), x -> size(x.ids) > 0)")
     return F.flatten(F.transform(fired, lambda x: F.transform(x["ids"], lambda n: hit(n, x["line"]))))
 
 
@@ -82,15 +83,20 @@ def flow_hits(plane: ScriptPlane, views: Column, content: Column) -> Column:
         e["text"], F.lit(plane.source)))
     defined = F.array_sort(F.transform(defining, lambda e: F.struct(
         F.regexp_extract(e["text"], plane.source, 1).alias("variable"), e["line"].alias("line"))))
-    first = F.filter(defined, lambda d, i: (i == 0) | (F.get(defined, i - 1)["variable"] != d["variable"]))
+
+    def first_of_each(sorted_: Column) -> Column:
+        return F.filter(sorted_, lambda d, i: (i == 0) | (F.get(sorted_, i - 1)["variable"] != d["variable"]))
+
     sinks = F.filter(views, lambda e: F.rlike(e["text"], F.lit(plane.sink)))
     worded = F.transform(sinks, lambda e: F.struct(
         e["line"].alias("line"), F.regexp_extract_all(e["text"], F.lit(plane.word), F.lit(0)).alias("words")))
 
-    def flows(sink: Column) -> Column:
-        reaching = F.filter(first, lambda d: (d["line"] <= sink["line"]) & F.array_contains(
-            sink["words"], d["variable"]))
-        return F.transform(reaching, lambda d: hit(plane.flow_id, sink["line"], detail=d["variable"]))
+    def flows(first: Column) -> Column:
+        def of_sink(sink: Column) -> Column:
+            reaching = F.filter(first, lambda d: (d["line"] <= sink["line"]) & F.array_contains(
+                sink["words"], d["variable"]))
+            return F.transform(reaching, lambda d: hit(plane.flow_id, sink["line"], detail=d["variable"]))
+        return F.flatten(F.transform(worded, of_sink))
 
-    found = F.flatten(F.transform(worded, flows))
+    found = let(let(defined, first_of_each), flows)
     return F.when(contains_any(content, plane.source_words), found).otherwise(no_hits())

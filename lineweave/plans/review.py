@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.findings_schema import findings_of, no_hits
 from ..functions.fixed_values import KERNEL_RULES, LINE_RULES
-from ..functions.text import split_lines
+from ..functions.text import let, split_lines
 from ..operators import block_rules, c_rules, file_rules, findings as algebra, line_rules, script_rules
 from ..operators.lines import unnest_findings, viewed
 from ..sources import selection
@@ -66,11 +66,13 @@ def language_hits(caps: c_rules.Caps) -> Column:
     for plane in script_rules.SCRIPT_PLANES:
         found = F.concat(script_rules.script_hits(plane, "_views"), script_rules.flow_hits(plane, views, content))
         case = (F if case is None else case).when(language.isin(*plane.languages), found)
-    raw_lines = split_lines(content, keep_cr=True)
-    kept = raw_lines if caps.lines is None else F.slice(raw_lines, 1, caps.lines)
-    style = F.flatten(F.transform(kept, lambda text, i: c_rules.style_hits(i + 1, text)))
-    return case.when(language == "c", F.concat(style, c_rules.flow_hits(raw_lines, content, caps))).otherwise(
-        no_hits())
+
+    def c_source(raw_lines: Column) -> Column:
+        kept = raw_lines if caps.lines is None else F.slice(raw_lines, 1, caps.lines)
+        style = F.flatten(F.transform(kept, lambda text, i: c_rules.style_hits(i + 1, text)))
+        return F.concat(style, c_rules.flow_hits(raw_lines, content, caps))
+
+    return case.when(language == "c", let(split_lines(content, keep_cr=True), c_source)).otherwise(no_hits())
 
 
 def review_files(files: DataFrame, policy: Policy, options: ReviewOptions = ReviewOptions()) -> DataFrame:

@@ -14,7 +14,7 @@ from lineweave.operators.lines import assemble_files
 
 from .tables import table
 from .templates import (
-    CLOSERS, DEFAULT_CLOSER, DEFAULT_FILLER, EXTENSIONS, FILLERS, LANGUAGES, LINES_PER_FILE, OPENERS, TEMPLATES,
+    CLOSERS, DENSE, DEFAULT_CLOSER, DEFAULT_FILLER, EXTENSIONS, FILLERS, LANGUAGES, LINES_PER_FILE, OPENERS, TEMPLATES,
 )
 
 
@@ -51,6 +51,26 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"explode(array({text})) AS text")
 
 
+def dense_lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the dense corpora, in the same layout."""
+    size, languages = DENSE[name]
+    events = table(spark, sf_dir, "events", "event_id", "props")
+    names = "array(" + ", ".join(map(sql_text, languages)) + ")"
+    numbered = events.selectExpr(
+        f"CAST(floor(event_id / {size}) AS bigint) AS file_id", f"CAST(event_id % {size} + 1 AS int) AS line",
+        "CAST(regexp_extract(props, '[0-9]+', 0) AS int) AS k")
+    named = numbered.selectExpr("*", f"get({names}, CAST(file_id % {len(languages)} AS int)) AS language")
+    cases = " ".join(
+        f"WHEN {sql_text(x)} THEN get(array({', '.join(map(sql_text, texts))}), k % {len(texts)})"
+        for x, texts in languages.items())
+    return named.selectExpr(f"'{name}/f' || file_id || '.x' AS path", "language", "file_id", "line",
+                            f"explode(array(CASE language {cases} END)) AS text")
+
+
+def dense_files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return assemble_files(dense_lines(spark, sf_dir, name), "path", "language", "file_id")
+
+
 def code_files(spark: SparkSession, sf_dir: str, *languages: str) -> DataFrame:
     """``path, language, file_id, lines, content``: one row per 64-line file."""
     lines = code_lines(spark, sf_dir)

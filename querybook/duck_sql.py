@@ -10,7 +10,7 @@ from lineweave.functions import fixed_values as V
 from lineweave.functions.text import WHITESPACE
 
 from .templates import (
-    CLOSERS, DEFAULT_CLOSER, DEFAULT_FILLER, EXTENSIONS, FILLERS, LANGUAGES, LINES_PER_FILE, OPENERS, TEMPLATES,
+    DENSE, CLOSERS, DEFAULT_CLOSER, DEFAULT_FILLER, EXTENSIONS, FILLERS, LANGUAGES, LINES_PER_FILE, OPENERS, TEMPLATES,
 )
 
 
@@ -62,6 +62,21 @@ CTES["code_lines"] = f"""
         FROM (SELECT event_id // {LINES_PER_FILE} AS file_id,
                      CAST(event_id % {LINES_PER_FILE} + 1 AS INTEGER) AS line,
                      CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS k FROM events))"""
+
+
+def dense_lines(name: str) -> str:
+    """The dense corpora: line k of a file shows template k modulo their number."""
+    size, languages = DENSE[name]
+    names = list(languages)
+    cases = " ".join(f"WHEN {q(x)} THEN ([{', '.join(q(t) for t in languages[x])}])[k % {len(languages[x])} + 1]"
+                     for x in names)
+    return f"""
+  SELECT '{name}/f' || file_id || '.x' AS path, language, file_id, line, CASE language {cases} END AS text
+  FROM (SELECT *, ([{", ".join(map(q, names))}])[file_id % {len(names)} + 1] AS language
+        FROM (SELECT event_id // {size} AS file_id, CAST(event_id % {size} + 1 AS INTEGER) AS line,
+                     CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS k FROM events))"""
+
+
 CTES["code_files"] = """
   SELECT path, language, file_id, string_agg(text, chr(10) ORDER BY line) AS content FROM code_lines
   GROUP BY path, language, file_id"""
@@ -192,7 +207,8 @@ def re2(pattern: str) -> str:
     return pattern.replace("(?U)", "")
 
 
-def script_pattern(p: V.ScriptPattern, text: str = "text") -> str:
+def script_pattern(p: V.ScriptPattern) -> str:
+    text = VIEWS[p.view]
     parts = [has(text, p.seen)]
     if p.match:
         parts.append(f"regexp_matches({text}, {q(re2(p.match))})")
@@ -367,8 +383,8 @@ NEEDS = {
 }
 
 
-def compose(select: str, *names: str, **extra: str) -> str:
-    """``select`` with the CTEs it needs, in order; ``extra`` adds query-specific ones."""
+def compose(select: str, *names: str, lines: str | None = None) -> str:
+    """``select`` with the CTEs it needs, in order; ``lines`` replaces the code corpus."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -379,6 +395,7 @@ def compose(select: str, *names: str, **extra: str) -> str:
 
     for name in names:
         add(name)
-    parts = [f"{name} AS ({CTES[name]})" for name in order] + [f"{k} AS ({v})" for k, v in extra.items()]
+    bodies = CTES if lines is None else {**CTES, "code_lines": lines}
+    parts = [f"{name} AS ({bodies[name]})" for name in order]
     recursive = "RECURSIVE " if "walk" in order else ""
     return f"WITH {recursive}" + ",\n".join(parts) + f"\n{select}" if parts else select

@@ -24,7 +24,7 @@ from lineweave.sources import selection
 from lineweave.streaming.ingest import review_batch
 
 from . import duck_sql as D
-from .code_corpus import binary_code_files, code_files, code_lines
+from .code_corpus import binary_code_files, code_files, code_lines, dense_files, dense_lines
 from .duck_sql import compose, in_list, q
 from .tables import DOC_PATH, document_files, table
 
@@ -250,20 +250,17 @@ def line_rules_all(spark, sf_dir):
     return line_rules.line_rule_findings(code_lines(spark, sf_dir), "path").select(*AT_LINE)
 
 
-def viewed_files(spark, sf_dir, *languages) -> DataFrame:
-    return code_files(spark, sf_dir, *languages).withColumn("_views", viewed(F.col("lines")))
-
-
-@register("empty_handlers", compose(SQL_AT_LINE + "handler_findings", "handler_findings"))
+@register("empty_handlers", compose(SQL_AT_LINE + "handler_findings", "handler_findings",
+                                    lines=D.dense_lines("handlers")))
 def empty_handlers(spark, sf_dir):
+    files = dense_files(spark, sf_dir, "handlers").withColumn("_views", viewed(F.col("lines")))
     hits = block_rules.handler_hits("_views", F.col("lines"), F.col("content"))
-    files = viewed_files(spark, sf_dir).select("path", hits.alias("hits"))
-    return findings_from_hits(files, "hits", "path").select(*AT_LINE)
+    return findings_from_hits(files.select("path", hits.alias("hits")), "hits", "path").select(*AT_LINE)
 
 
-@register("long_functions", compose(SQL_AT_LINE + "long_findings", "long_findings"))
+@register("long_functions", compose(SQL_AT_LINE + "long_findings", "long_findings", lines=D.dense_lines("spans")))
 def long_functions(spark, sf_dir):
-    files = viewed_files(spark, sf_dir, *V.FUNCTION_MARKERS)
+    files = dense_files(spark, sf_dir, "spans").withColumn("_views", viewed(F.col("lines")))
     hits = files.select("path", block_rules.long_function_hits(F.col("_views")).alias("hits"))
     return findings_from_hits(hits, "hits", "path").select(*AT_LINE)
 
@@ -297,14 +294,23 @@ def java_rules(spark, sf_dir):
     return script_rules.script_line_findings(script_rules.JAVA, code_lines(spark, sf_dir), "path").select(*AT_LINE)
 
 
-@register("ts_taint", compose(SQL_AT_LINE + "ts_flow", "ts_flow"))
+@register("ts_taint", compose(SQL_AT_LINE + "ts_flow", "ts_flow", lines=D.dense_lines("flows")))
 def ts_taint(spark, sf_dir):
-    return script_rules.flow_findings(script_rules.TYPESCRIPT, code_lines(spark, sf_dir), "path").select(*AT_LINE)
+    return script_rules.flow_findings(script_rules.TYPESCRIPT, dense_lines(spark, sf_dir, "flows"), "path").select(*AT_LINE)
+
 
+@register("ts_taint_in_row", compose(SQL_AT_LINE + "ts_flow", "ts_flow", lines=D.dense_lines("flows")))
+def ts_taint_in_row(spark, sf_dir):
+    """The same flows as arrays inside the file's row, as the single-pass review finds them."""
+    files = dense_files(spark, sf_dir, "flows").filter("language = 'typescript'")
+    views = files.withColumn("_views", viewed(F.col("lines")))
+    hits = script_rules.flow_hits(script_rules.TYPESCRIPT, F.col("_views"), F.col("content"))
+    return findings_from_hits(views.select("path", hits.alias("hits")), "hits", "path").select(*AT_LINE)
 
-@register("java_taint", compose(SQL_AT_LINE + "java_flow", "java_flow"))
+
+@register("java_taint", compose(SQL_AT_LINE + "java_flow", "java_flow", lines=D.dense_lines("flows")))
 def java_taint(spark, sf_dir):
-    return script_rules.flow_findings(script_rules.JAVA, code_lines(spark, sf_dir), "path").select(*AT_LINE)
+    return script_rules.flow_findings(script_rules.JAVA, dense_lines(spark, sf_dir, "flows"), "path").select(*AT_LINE)
 
 
 @register("python_ast", compose("""
@@ -325,15 +331,14 @@ def python_ast(spark, sf_dir):
 # --- C sources ---------------------------------------------------------------------------
 def c_query(hits: Callable[[], Column]) -> Query:
     def run(spark, sf_dir):
-        files = code_files(spark, sf_dir, "c").withColumn("_entries", c_rules.numbered(F.col("lines")))
+        files = dense_files(spark, sf_dir, "dense_c").withColumn("_entries", c_rules.numbered(F.col("lines")))
         return findings_from_hits(files.select("path", hits().alias("hits")), "hits", "path").selectExpr(*C_AT)
     return run
 
 
-@register("c_style", compose(SQL_C_AT + "c_style_findings", "c_style_findings"))
+@register("c_style", compose(SQL_C_AT + "c_style_findings", "c_style_findings", lines=D.dense_lines("dense_c")))
 def c_style(spark, sf_dir):
-    lines = code_lines(spark, sf_dir).filter("language = 'c'")
-    return c_rules.style_findings(lines, "path").selectExpr(*C_AT)
+    return c_rules.style_findings(dense_lines(spark, sf_dir, "dense_c"), "path").selectExpr(*C_AT)
 
 
 for _name, _cte, _hits in (
@@ -344,7 +349,7 @@ for _name, _cte, _hits in (
     ("c_init_exit", "c_marker_findings", lambda: c_rules.marker_hits(F.col("lines"))),
     ("c_calls", "c_call_findings", lambda: c_rules.call_hits(F.col("_entries"))),
 ):
-    register(_name, compose(SQL_C_AT + _cte, _cte))(c_query(_hits))
+    register(_name, compose(SQL_C_AT + _cte, _cte, lines=D.dense_lines("dense_c")))(c_query(_hits))
 
 
 # --- findings algebra and policies --------------------------------------------------------

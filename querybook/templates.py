@@ -154,3 +154,43 @@ CLOSERS = {"python": "done = 1"}
 FILLERS = {"python": "x = 1"}
 DEFAULT_CLOSER, DEFAULT_FILLER = "}", "x += y;"
 LINES_PER_FILE = 64
+
+# Denser corpora for rules that need certain lines close together.  Every line
+# is a template; a corpus is its lines per file and the templates of each of its languages.
+DENSE_C = TEMPLATES["c"] + [
+    "\tspin_lock_irqsave(&dev->lock, flags);", "\tspin_unlock_irqrestore(&dev->lock, flags);",
+    "\tif (q->val)", "\tif (q == NULL)", "\tlist_for_each_entry_rcu(p->next)", "\tp->next = NULL;",
+    "\tmutex_lock(dev_mtx);", "\tmutex_unlock(dev_mtx);", "out: put_device(d);", "\treturn ret;", "\tx++;", "\ty--;",
+    "\tschedule();", "\t\tgoto out;", "\tnoreturn = 1; return x;",
+]
+HANDLER_LINES = {
+    "typescript": ["try {", "} catch (e) {", "}", "catch (e)", "{", "// ignored", "", "go();", "p.catch(() =>", "catch {};",
+                   "/* ignored */", "  // noop  ", "};", "catch (e) { }", "finally {"],
+    "java": ["try {", "} catch (E e) {", "}", "catch (E e)", "{", "// ignore", "", "go();", "catch(E e) {}", "};", "pass"],
+    "python": ["try:", "except E:", "    pass", "except (A, B) as e:", "    go()", "", "    # pass", "finally:", "pass",
+               "except:"],
+    "rust": ["if let Err(e) = go() {", "match x {", "}", "_ => {}", "go();", "", "if let Err(e) = go()", "{", "// ignored"],
+    "go": ["if err != nil {", "}", "if err := go(); err != nil {", "return err", "", "// noop", "go()", "if err:= f() {}"],
+    "ruby": ["begin", "rescue", "rescue E => e", "end", "}", "", "pass", "go()", "rescue {", "{"],
+    "php": ["try {", "catch (E $e) {", "}", "catch(E $e) {}", "go();", "", "// ignored", "{"],
+}
+FLOW_LINES = {
+    "typescript": ["const a = req.body;", "let b2 = req.query.x + 1;", "var c_ = process.argv[2];", "exec(a);", "fetch(b2);",
+                   "spawn(c_, a);", "el.innerHTML = b2", "path.join(a, c_);", "x = a + b2;", "const d = other;", "EXEC(a)",
+                   "const a = location.search;", "ab = a2;", "axios.get(`${b2}`);"],
+    "java": ["String a = request.getParameter(q);", "var b = System.getProperty(q);", "String c = args[0];",
+             "Runtime.getRuntime().exec(a);", "Path p = Path.of(b);", "Files.readString(c);", "x = a + b;",
+             "new ProcessBuilder(a, b);", "Statement.execute(c + a);", "int y = 1;", "Paths.get(ab);"],
+}
+SPAN_LINES = {
+    "rust": ["fn f() {", "}", "if x {", "    }"] + ["x += y;"] * 96,
+    "python": ["def f():", "done = 1", "    def g():", ""] + ["    x = 1"] * 96,
+    "javascript": ["function f() {", "}", "const g = (x) => {", "};"] + ["x += y;"] * 96,
+    "java": ["public void f() {", "}", "private int g() {", "} }"] + ["x += y;"] * 96,
+}
+DENSE = {
+    "dense_c": (64, {"c": DENSE_C}),
+    "handlers": (64, HANDLER_LINES),
+    "flows": (64, FLOW_LINES),
+    "spans": (256, SPAN_LINES),
+}
