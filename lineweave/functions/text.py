@@ -67,11 +67,17 @@ def numbered(lines: Column) -> Column:
 def byte_prefix(data: Column, n: int) -> Column:
     """First ``n`` bytes of binary ``data`` as a string, cut back to a character boundary.
 
-    NULL when the bytes are not valid UTF-8 for another reason than the cut.
+    NULL when the bytes are not valid UTF-8 for another reason than the cut: cutting back is
+    allowed only if the character that was cut is whole in the bytes behind ``n``.
     """
+    def valid(size: int) -> Column:
+        return F.try_validate_utf8(F.substring(data, 1, size).cast("string"))
+
     whole = F.try_validate_utf8(data.cast("string"))
-    cuts = [F.try_validate_utf8(F.substring(data, 1, n - back).cast("string")) for back in range(4) if n >= back]
-    return F.when(F.octet_length(data) <= n, whole).otherwise(F.coalesce(*cuts))
+    cut_inside = F.coalesce(*[valid(n + more) for more in (1, 2, 3)]).isNotNull()
+    shorter = F.coalesce(*[valid(n - back) for back in (1, 2, 3) if n >= back])
+    cut = F.coalesce(valid(n), F.when(cut_inside, shorter))
+    return F.when(F.octet_length(data) <= n, whole).otherwise(cut)
 
 
 def clip_bytes(text: Column, n: int) -> Column:

@@ -51,7 +51,8 @@ def viewed(lines: Column) -> Column:
 def assemble_files(lines: DataFrame, *keys: str) -> DataFrame:
     """Lines back to one row per file: ``keys, lines, content``.
 
-    One shuffle by file.  The group is one file, which is one row of the result anyway.
+    One shuffle by file.  For corpora whose files have a bounded number of lines: the group is
+    one file, which becomes one row.  Line rules need no assembled files.
     """
     ordered = F.array_sort(F.collect_list(F.struct("line", "text")))
     grouped = lines.groupBy(*keys).agg(ordered.alias("_ordered"))

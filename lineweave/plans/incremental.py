@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import HASH_BYTES, STORE_VERSION
+from ..session import checkpointed
 
 KEY_COLUMNS = ("path", "size", "modified", "content_hash")
 STORE_COLUMNS = KEY_COLUMNS + ("ruleset_version", "findings", "content_preview")
@@ -54,11 +55,12 @@ def missed_keys(files: DataFrame, store: DataFrame, version: str) -> DataFrame:
 def misses(files: DataFrame, store: DataFrame, version: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The files to analyse, texts included.
 
-    After the first scan few files change.  Their names are counted (up to the limit): a
-    short list is broadcast, so that texts are filtered where they are read; a long one
-    (first scan, new rules) is joined with a shuffle.
+    After the first scan few files change.  Their names are checkpointed, so that hashing
+    every text happens once, and counted up to the limit: a short list is broadcast, so that
+    texts are filtered where they are read; a long one (first scan, new rules) is joined with
+    a shuffle.
     """
-    changed = missed_keys(files, store, version)
+    changed = checkpointed(missed_keys(files, store, version))
     short = changed.limit(broadcast_rows + 1).count() <= broadcast_rows
     return files.join(F.broadcast(changed) if short else changed, "path", "left_semi")
 
@@ -78,8 +80,11 @@ def upsert(store: DataFrame, fresh: DataFrame, version: str) -> DataFrame:
     return fresh.select(*STORE_COLUMNS).unionByName(kept)
 
 
-def latest(log: DataFrame, order: str = "batch_id") -> DataFrame:
-    """The newest entry of each path in an append-only log of entries."""
-    row = F.struct(*STORE_COLUMNS)
-    newest = log.groupBy("path").agg(F.max_by(row, F.col(order)).alias("_e"))
+def latest(log: DataFrame, order: str = "batch_id", columns=STORE_COLUMNS) -> DataFrame:
+    """The newest entry of each path in an append-only log of entries.
+
+    ``columns`` narrows what is carried through the aggregation; finding out what changed
+    needs only ``KEY_COLUMNS`` and the version.
+    """
+    newest = log.groupBy("path").agg(F.max_by(F.struct(*columns), F.col(order)).alias("_e"))
     return newest.select("_e.*")

@@ -68,7 +68,8 @@ class TreeReader(DataSourceReader):
         filesystem, _ = self._filesystem()
         for full, relative, size, modified in partition.files:
             with filesystem.open_input_stream(full) as stream:
-                data = stream.read(self.read_bytes) if self.read_bytes else stream.readall()
+                # three bytes more tell a character cut at the limit from bytes that are no text
+                data = stream.read(self.read_bytes + 3) if self.read_bytes else stream.readall()
             yield relative, size, modified, data
 
 
@@ -77,7 +78,7 @@ class TreeSource(DataSource):
 
     Spark's own ``binaryFile`` listing drops names that start with ``_`` or ``.``, which
     would lose ``__init__.py`` and hidden files.  ``readBytes`` reads only that many bytes
-    of each file.
+    of each file, and three more to complete a character.
     """
 
     @classmethod
@@ -107,8 +108,9 @@ def read_binary(spark: SparkSession, root: str) -> DataFrame:
     ``length`` and ``modificationTime`` filters and the pruning of ``content`` reach the scan.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = F.lit(root.rstrip("/") + "/")
-    return files.select(F.substring_index("path", prefix, -1).alias("path"), F.col("length").alias("size"),
+    prefix = root.rstrip("/") + "/"
+    relative = F.substr("path", F.instr("path", prefix) + F.lit(len(prefix)))
+    return files.select(relative.alias("path"), F.col("length").alias("size"),
                         F.col("modificationTime").alias("modified"), "content")
 
 

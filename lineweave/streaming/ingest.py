@@ -35,7 +35,8 @@ def review_batch(batch: DataFrame, batch_id: int, target: str, policy: Policy,
     files = incremental.with_fingerprint(batch, hash_bytes)
     log = _log_before(spark, f"{target}/entries", batch_id)
     if log is not None:
-        files = incremental.misses(files, incremental.latest(log), version)
+        known = incremental.latest(log, columns=incremental.KEY_COLUMNS + ("ruleset_version",))
+        files = incremental.misses(files, known, version)
     entries = review_files(files, policy, options)
     out = f"{target}/entries/batch_id={batch_id}"
     incremental.entries_to_store(entries, version).write.mode("overwrite").parquet(out)

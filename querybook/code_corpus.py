@@ -30,7 +30,7 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     langs = "array(" + ", ".join(map(sql_text, LANGUAGES)) + ")"
     exts = "array(" + ", ".join(map(sql_text, EXTENSIONS)) + ")"
     numbered = events.selectExpr(
-        f"CAST(floor(event_id / {LINES_PER_FILE}) AS bigint) AS file_id",
+        f"event_id DIV {LINES_PER_FILE} AS file_id",
         f"CAST(event_id % {LINES_PER_FILE} + 1 AS int) AS line",
         "CAST(regexp_extract(props, '[0-9]+', 0) AS int) AS k")
     named = numbered.selectExpr("*", f"get({langs}, CAST(file_id % {n} AS int)) AS language",
@@ -57,7 +57,7 @@ def dense_lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     events = table(spark, sf_dir, "events", "event_id", "props")
     names = "array(" + ", ".join(map(sql_text, languages)) + ")"
     numbered = events.selectExpr(
-        f"CAST(floor(event_id / {size}) AS bigint) AS file_id", f"CAST(event_id % {size} + 1 AS int) AS line",
+        f"event_id DIV {size} AS file_id", f"CAST(event_id % {size} + 1 AS int) AS line",
         "CAST(regexp_extract(props, '[0-9]+', 0) AS int) AS k")
     named = numbered.selectExpr("*", f"get({names}, CAST(file_id % {len(languages)} AS int)) AS language")
     cases = " ".join(
