@@ -53,8 +53,12 @@ def assemble_files(lines: DataFrame, *keys: str) -> DataFrame:
 
     One shuffle by file.  For corpora whose files have a bounded number of lines: the group is
     one file, which becomes one row.  Line rules need no assembled files.
+
+    The number of partitions is given, because what follows is heavy for its size: partitions
+    merged by their few bytes would leave most cores idle.
     """
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = F.array_sort(F.collect_list(F.struct("line", "text")))
-    grouped = lines.groupBy(*keys).agg(ordered.alias("_ordered"))
+    grouped = lines.repartition(n, *keys).groupBy(*keys).agg(ordered.alias("_ordered"))
     with_text = grouped.select(*keys, F.col("_ordered.text").alias("lines"))
     return with_text.withColumn("content", F.array_join("lines", "\n"))

@@ -51,10 +51,14 @@ def entry_totals(entries: DataFrame) -> DataFrame:
     return totals.withColumn("findings_total", reduce(lambda a, b: a + b, [F.col(n) for n in SEVERITY_RANKS]))
 
 
-def report_row(review, root: str = "", summary_only: bool = False) -> DataFrame:
-    """The report without its files: one row, a cross join of single-row aggregates."""
+def report_row(review, root: str = "", summary_only: bool = False, entries: DataFrame | None = None) -> DataFrame:
+    """The report without its files: one row, a cross join of single-row aggregates.
+
+    ``entries`` replaces the review's own, for example by those with Python findings.
+    """
+    entries = review.entries if entries is None else entries
     counters = file_counters(review.classified, review.budgeted)
-    row = counters.crossJoin(F.broadcast(entry_totals(review.entries)))
+    row = counters.crossJoin(F.broadcast(entry_totals(entries)))
     skipped = F.greatest(F.lit(0), F.col("files_discovered") - F.col("files_selected"))
     breakdown = F.struct("info", "low", "medium", "high", "critical")
     return row.select(

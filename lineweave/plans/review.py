@@ -12,11 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.findings_schema import findings_of, no_hits
+from ..functions.findings_schema import findings_of, no_findings, no_hits
 from ..functions.fixed_values import KERNEL_RULES, LINE_RULES
 from ..functions.text import let, split_lines
-from ..operators import block_rules, c_rules, file_rules, findings as algebra, line_rules, script_rules
+from ..operators import (
+    block_rules, c_rules, file_rules, findings as algebra, line_rules, python_symbols, script_rules,
+)
 from ..operators.lines import unnest_findings, viewed
+from ..session import checkpointed
 from ..sources import selection
 from .policies import Policy, evaluated_rules
 
@@ -112,7 +115,7 @@ class Review:
     """Lazy results of one review."""
     policy: Policy
     options: ReviewOptions
-    classified: DataFrame
+    classified: DataFrame            # path, size, is_text, too_large
     entries: DataFrame
     unreadable: DataFrame
     budgeted: DataFrame | None
@@ -121,26 +124,62 @@ class Review:
     def findings(self) -> DataFrame:
         return unnest_findings(self.entries, "findings", "path", "language")
 
+    @property
+    def python_findings(self) -> DataFrame:
+        """Syntax-tree findings of suspicious Python files; the one plane that needs Python.
+
+        It reads only those files and is merged by :meth:`with_python`.
+        """
+        wanted = self.entries.filter("suspicious AND language = 'python'") if (
+            self.policy.language_planes and not self.options.fast) else self.entries.limit(0)
+        symbols = python_symbols.python_symbols(wanted.select("path", "content"), "path")
+        return python_symbols.symbol_findings(symbols, "path")
+
+    def with_python(self) -> DataFrame:
+        """The entries with Python findings added, ordered again; texts take no part in the join."""
+        return add_findings(self.entries, self.python_findings)
+
     def file_entries(self) -> DataFrame:
         """``path, size, findings, content_preview``."""
         return self.entries.select("path", "size", "findings", "content_preview")
 
 
+def add_findings(entries: DataFrame, findings: DataFrame) -> DataFrame:
+    """Entries (without their texts) with more findings merged into each file's list.
+
+    Findings from outside should have passed ``sanitize_external``, which bounds their number
+    per file.
+    """
+    more = algebra.nest(findings, "path").withColumnRenamed("findings", "_more")
+    joined = entries.drop("content").join(more, "path", "left")
+    both = F.concat("findings", F.coalesce("_more", no_findings()))
+    return joined.withColumn("findings", algebra.ordered(both)).drop("_more")
+
+
 def review(files: DataFrame, policy: Policy, options: ReviewOptions = ReviewOptions(), ignore_rules=(),
            root: Column | None = None) -> Review:
-    """Plan a review of binary ``files(path, size, content[, modified])``."""
+    """Plan a review of binary ``files(path, size, content[, modified])``.
+
+    With a budget the files are classified first, and the narrow result (no texts) is
+    checkpointed: the budget and the counters read it, and the texts are then read once more
+    for the files that are kept.
+    """
     classified = classify(files, policy, ignore_rules, root)
-    eligible = classified.filter(F.col("is_text") & ~F.col("too_large"))
+    marks = classified.select("path", "size", "is_text", "too_large")
     budgeted = None
     if options.budget:
-        budgeted = selection.budget_prefix(eligible, policy.limits.max_files, policy.limits.max_total_bytes)
+        marks = checkpointed(marks)
+        limits = policy.limits
+        budgeted = selection.budget_prefix(
+            marks.filter(F.col("is_text") & ~F.col("too_large")), limits.max_files, limits.max_total_bytes)
         kept = budgeted.filter("within_budget").select("path")
         # at most ``max_files`` names are kept, so the policy says whether they may be broadcast
-        small = policy.limits.max_files <= BROADCAST_NAMES
-        eligible = eligible.join(F.broadcast(kept) if small else kept, "path", "left_semi")
+        small = limits.max_files <= BROADCAST_NAMES
+        eligible = files.join(F.broadcast(kept) if small else kept, "path", "left_semi")
+    else:
+        eligible = classified.filter(F.col("is_text") & ~F.col("too_large")).drop("is_text", "too_large")
     limit = None if options.whole_texts else policy.limits.max_file_read_bytes
     read = eligible.withColumn("_text", selection.preview_text(F.col("content"), limit))
-    text = read.filter(F.col("_text").isNotNull()).withColumn("content", F.col("_text")).drop(
-        "_text", "is_text", "too_large")
+    text = read.filter(F.col("_text").isNotNull()).withColumn("content", F.col("_text")).drop("_text")
     unreadable = read.filter(F.col("_text").isNull()).select("path", "size")
-    return Review(policy, options, classified, review_files(text, policy, options), unreadable, budgeted)
+    return Review(policy, options, marks, review_files(text, policy, options), unreadable, budgeted)

@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.functions import fixed_values as V
-from lineweave.functions.findings_schema import findings_from_hits
-from lineweave.functions.severity import severity_rank
+from lineweave.functions.findings_schema import findings_from_hits, hit
+from lineweave.functions.triggers import ROW_VIEWS
 from lineweave.operators import (
     block_rules, c_rules, file_rules, findings as algebra, fixes, line_rules, python_symbols, script_rules, secrets,
 )
-from lineweave.operators.lines import explode_lines, unnest_findings, viewed
+from lineweave.operators.lines import explode_lines, unnest_findings, viewed, with_views
 from lineweave.operators.rulepack import RulePack, UserRule
 from lineweave.plans import incremental, report, review_queue as queue
-from lineweave.plans.policies import BY_NAME, POLICIES, evaluated_rules, policy_named, policy_rule_table
-from lineweave.plans.review import ReviewOptions, review, review_files
+from lineweave.plans.policies import BY_NAME, POLICIES, Policy, evaluated_rules, policy_named, policy_rule_table
+from lineweave.plans.review import Review, ReviewOptions, review, review_files
 from lineweave.session import scratch_dir
 from lineweave.sources import selection
 from lineweave.streaming.ingest import review_batch
@@ -102,9 +101,6 @@ def page_line_rules(spark, sf_dir):
     pages = table(spark, sf_dir, "pages", "page_id", "html").withColumn("language", F.lit("html"))
     lines = explode_lines(pages, "page_id", "language", content="html")
     # both rule families are one array of hits per line, so the pages are read once
-    from lineweave.operators.lines import with_views
-    from lineweave.functions.triggers import ROW_VIEWS
-    from lineweave.functions.findings_schema import hit
     ids = F.expr(line_rules.line_rules_sql("language", ROW_VIEWS, PAGE_RULES))
     registry = F.transform(ids, lambda n: hit(n, F.col("line")))
     style = c_rules.style_hits(F.col("line"), F.col("text"), PAGE_STYLE)
@@ -268,7 +264,7 @@ def long_functions(spark, sf_dir):
 def local_findings(spark, sf_dir) -> DataFrame:
     """File and registry findings of every code file, from one pass over the files."""
     files = code_files(spark, sf_dir).withColumn("size", F.octet_length("content").cast("long"))
-    every = BY_NAME["quick"].__class__(name="every", rules=tuple(r.name for r in V.FILE_RULES))
+    every = Policy(name="every", rules=tuple(r.name for r in V.FILE_RULES))
     entries = review_files(files.drop("lines", "file_id"), every, ReviewOptions(rule_set="all"))
     return unnest_findings(entries, "findings", "path", "language")
 
@@ -328,6 +324,27 @@ def python_ast(spark, sf_dir):
     return found.select("path", F.col("at").alias("line"), "rule", "severity")
 
 
+_PY = {"print(x)": ("debug-print",), "eval(y)": ("python-eval-usage",), "import pdb": ("debugger-import",),
+       "import os, pdb": ("debugger-import",), "print(eval(y))": ("debug-print", "python-eval-usage")}
+_py_rows = [(text, rule) for text, rules in _PY.items() for rule in rules]
+_py_rules = [(name, severity, message) for name, severity, message, _, _ in V.PYTHON_SYMBOL_RULES]
+
+
+@register("python_review", compose(
+    "SELECT path, line, rule, severity, message FROM code_lines JOIN " + values(_py_rows, "t(text, rule)")
+    + " USING (text) JOIN " + values(_py_rules, "m(rule, severity, message)") + " USING (rule)"
+    " WHERE path IN (SELECT path FROM code_lines WHERE contains(lower(text), 'password'))", "code_lines",
+    lines=D.dense_lines("scripts")))
+def python_review(spark, sf_dir):
+    """Whole Python files, parsed in the tasks, as the review merges them."""
+    files = dense_files(spark, sf_dir, "scripts").select(
+        "path", "language", "content", F.octet_length("content").cast("long").alias("size"))
+    policy, options = policy_named("security"), ReviewOptions(rule_set="scan", budget=False)
+    result = Review(policy, options, files, review_files(files, policy, options), files.limit(0), None)
+    found = unnest_findings(result.with_python(), "findings", "path")
+    return found.filter("origin = 'language'").select("path", "line", "rule", "severity", "message")
+
+
 # --- C sources ---------------------------------------------------------------------------
 def c_query(hits: Callable[[], Column]) -> Query:
     def run(spark, sf_dir):
@@ -392,16 +409,14 @@ def severity_breakdown(spark, sf_dir):
     return algebra.severity_breakdown(local_findings(spark, sf_dir), "language")
 
 
-@register("fail_gate", compose(f"""
-    SELECT language, max({_rank}) >= 4 AS tripped, ['info', 'low', 'medium', 'high', 'critical'][max({_rank})]
-      AS worst_severity, count(*) FILTER ({_rank} >= 4) AS triggering
-    FROM c_style_findings JOIN (SELECT path, language FROM code_files) USING (path) GROUP BY language
-    UNION ALL
-    SELECT language, max({_rank}) >= 4, ['info', 'low', 'medium', 'high', 'critical'][max({_rank})],
-      count(*) FILTER ({_rank} >= 4)
-    FROM file_findings JOIN (SELECT path, language FROM code_files) USING (path) GROUP BY language""".replace(
-        f"{_rank}", "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 "
-        "WHEN 'low' THEN 2 ELSE 1 END"), "c_style_findings", "file_findings"))
+_plain_rank = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END"
+
+
+@register("fail_gate", compose(" UNION ALL ".join(f"""
+    SELECT language, max({_plain_rank}) >= 4 AS tripped, count(*) FILTER ({_plain_rank} >= 4) AS triggering,
+      ['info', 'low', 'medium', 'high', 'critical'][max({_plain_rank})] AS worst_severity
+    FROM {plane} JOIN (SELECT path, language FROM code_files) USING (path) GROUP BY language"""
+    for plane in ("c_style_findings", "file_findings")), "c_style_findings", "file_findings"))
 def fail_gate(spark, sf_dir):
     style = c_rules.style_findings(code_lines(spark, sf_dir).filter("language = 'c'"), "language")
     files = code_files(spark, sf_dir)
@@ -437,8 +452,8 @@ def sanitize(spark, sf_dir):
 
 
 @register("dedup_findings", compose(
-    "SELECT path, line, rule, message, min(col) AS col, 2 AS planes FROM c_style_findings GROUP BY ALL"
-    .replace("GROUP BY ALL", "GROUP BY path, line, rule, message"), "c_style_findings"))
+    "SELECT path, line, rule, message, min(col) AS col, 2 AS planes FROM c_style_findings "
+    "GROUP BY path, line, rule, message", "c_style_findings"))
 def dedup_findings(spark, sf_dir):
     # the same findings from two planes, merged and reduced to one of each
     lines = code_lines(spark, sf_dir).filter("language = 'c'")
@@ -602,7 +617,7 @@ def markdown_sections(spark, sf_dir):
 
 # --- fixes --------------------------------------------------------------------------------
 _fix_rules = ("commented-out-code", "debug-print", "wildcard-import")
-_fixes = compose("""SELECT 1""").replace("SELECT 1", "") + f"""
+_fixes = f"""
     SELECT path, line, text, CASE {" ".join(
         f"WHEN {' OR '.join(D.trigger(t, D.VIEWS) for t in V.LINE_TRIGGERS if t.rule == r)} THEN '{r}'"
         for r in _fix_rules)} END AS rule FROM code_lines"""

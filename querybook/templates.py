@@ -188,7 +188,12 @@ SPAN_LINES = {
     "javascript": ["function f() {", "}", "const g = (x) => {", "};"] + ["x += y;"] * 96,
     "java": ["public void f() {", "}", "private int g() {", "} }"] + ["x += y;"] * 96,
 }
+SCRIPT_LINES = {
+    "python": ["print(x)", "eval(y)", "import pdb", "import os, pdb", "obj.eval(1)", "from pdb import z", "x = 1",
+               "password = 'p'", "import pdb.x", "# eval(1)", "print(eval(y))", "f(print)"],
+}
 DENSE = {
+    "scripts": (64, SCRIPT_LINES),
     "dense_c": (64, {"c": DENSE_C}),
     "handlers": (64, HANDLER_LINES),
     "flows": (64, FLOW_LINES),

@@ -1,8 +1,6 @@
 import datetime
 
 import pytest
-from pyspark.sql import functions as F
-
 from lineweave.plans import incremental
 from lineweave.plans.policies import policy_named
 from lineweave.plans.review import ReviewOptions, review_files
@@ -89,4 +87,3 @@ def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path / "shared"))
     assert checkpointed(spark.range(3)).count() == 3
     assert list((tmp_path / "shared").iterdir())
-    assert F is not None

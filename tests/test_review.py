@@ -122,6 +122,17 @@ def test_language_plane_is_gated_and_cleaned(spark, files):
     assert review(files(("b.c", text)), policy, replace(SCAN, fast=True)).findings.count() == 0
 
 
+def test_python_plane_is_merged(spark, files):
+    corpus = files(("a.py", "print(eval(password))\n"), ("b.py", "print(1)\n"), ("c.py", "password = (\n"))
+    result = review(corpus, policy_named("security"), SCAN)
+    merged = {r["path"]: [f["rule"] for f in r["findings"]] for r in result.with_python().collect()}
+    assert merged == {"a.py": ["possible-secret", "python-eval-usage", "debug-print"], "b.py": [],
+                      "c.py": ["possible-secret"]}
+    row = report.report_row(result, entries=result.with_python()).first()
+    assert row.stats.findings_total == 4
+    assert review(corpus, policy_named("quick"), SCAN).python_findings.count() == 0
+
+
 def test_entries_are_ordered_and_rendered(spark, files):
     corpus = files(("a.py", "# TODO x;\nunsafe\nprint(1)\n"), ("b.py", "x = 1\n"))
     result = review(corpus, policy_named("strict"), ReviewOptions(rule_set="all"))
@@ -180,12 +191,14 @@ def test_review_of_files_plans_no_shuffle(spark):
 
 def test_external_findings_are_limited_before_the_shuffle(spark):
     raw = spark.range(20000).selectExpr(
-        "id", "'hot' AS path", "repeat('r', 300) AS rule", "' HIGH ' AS severity", "'c' AS category",
+        "id", "CASE WHEN id % 3 = 0 THEN concat('f', id) ELSE 'hot' END AS path", "repeat('r', 300) AS rule", "' HIGH ' AS severity", "'c' AS category",
         "repeat('é', 3000) AS message", "CAST(id AS int) AS line")
     clean = algebra.sanitize_external(raw.repartition(8), "id")
     assert plan_of(clean).count("WindowGroupLimit") == 2
-    rows = clean.collect()
-    assert len(rows) == 500 and {r["line"] for r in rows} == set(range(500))
+    rows = clean.filter("path = 'hot'").collect()
+    assert {r["line"] for r in rows} == {i for i in range(750) if i % 3}
+    assert len(rows) == 500 and clean.count() == 500 + 6667
+    clean = clean.filter("path = 'hot'")
     assert {(len(r["rule"]), r["severity"], len(r["message"])) for r in rows} == {(256, "high", 2048)}
     merged = algebra.merge(algebra.as_external(clean), algebra.as_external(clean))
     assert algebra.dedup(merged, "path").count() == 500
