@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.findings_schema import FINDING_TYPE, ORDER_FIELDS, PLANES
 from ..functions.fixed_values import (
-    KERNEL_RULES, MAX_EXTERNAL_FINDINGS, MAX_MESSAGE_BYTES, MAX_NAME_BYTES, RuleText,
+    CATALOG, KERNEL_RULES, MAX_EXTERNAL_FINDINGS, MAX_MESSAGE_BYTES, MAX_NAME_BYTES,
 )
 from ..functions.severity import external_severity, rank_of, normalize_severity, severity_rank
 from ..functions.text import clip_bytes
@@ -171,7 +171,6 @@ def rule_counts(findings: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def rule_catalog(spark) -> DataFrame:
-    from ..functions.fixed_values import CATALOG
     rows = [(e.name, e.severity, e.category, e.summary, e.supports_fix) for e in CATALOG]
     return spark.createDataFrame(
         rows, "name string, severity string, category string, summary string, supports_fix boolean")

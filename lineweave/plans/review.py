@@ -8,6 +8,7 @@ the gate and the report are derived from that.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +51,12 @@ def classify(files: DataFrame, policy: Policy, ignore_rules=(), root: Column | N
         "too_large", F.col("is_text") & (F.col("size") > policy.limits.max_file_size_bytes))
 
 
-def registry_hits(names) -> Column:
-    """Registry rules of one file, from its ``_views`` and ``_lines``."""
+@lru_cache(maxsize=32)
+def registry_hits(names: tuple[str, ...]) -> Column:
+    """Registry rules of one file, from its ``_views`` and ``_lines``.
+
+    An unresolved expression over column names, so it is built once and used by every plan.
+    """
     stateless = tuple(n for n in names if n in line_rules.STATELESS)
     parts = [line_rules.line_rule_hits("_views", "language", stateless)] if stateless else []
     if "empty-error-handler" in names:
@@ -62,8 +67,9 @@ def registry_hits(names) -> Column:
     return F.when(F.col("language").isNotNull(), F.concat(*parts)).otherwise(no_hits()) if parts else no_hits()
 
 
+@lru_cache(maxsize=8)
 def language_hits(caps: c_rules.Caps) -> Column:
-    """Language-plane rules of one file; each language plans only its own rules."""
+    """Language-plane rules of one file; a file evaluates only its own language's rules."""
     language, content, views = F.col("language"), F.col("content"), F.col("_views")
     case = None
     for plane in script_rules.SCRIPT_PLANES:
@@ -96,7 +102,7 @@ def review_files(files: DataFrame, policy: Policy, options: ReviewOptions = Revi
     if registry or deep:
         rows = rows.withColumn("_lines", split_lines(F.col("content")))
         rows = rows.withColumn("_views", viewed(F.col("_lines")))
-    local = findings_of(F.concat("_file", registry_hits(registry)) if registry else F.col("_file"))
+    local = findings_of(F.concat("_file", registry_hits(tuple(registry))) if registry else F.col("_file"))
     found = F.filter(local, lambda f: algebra.retained(policy, f["rule"], f["severity"]))
     if deep:
         hits = F.when(F.col("suspicious"), language_hits(options.caps)).otherwise(no_hits())
