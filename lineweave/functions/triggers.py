@@ -6,9 +6,12 @@ call; the predicates are the same built-in functions either way.
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from .findings_schema import sql_text
 from .fixed_values import ScriptPattern, Trigger
-from .text import WHITESPACE
+from .text import WHITESPACE, let
 
 # Names of the line's views inside a predicate.
 Views = dict[str, str]
@@ -42,7 +45,8 @@ def _all_call(words) -> bool:
 def trigger_sql(trigger: Trigger, views: Views) -> str:
     """All filled groups of one row; language is not tested here."""
     text = views[trigger.view]
-    groups = [views["calls"]] if _all_call(trigger.has) or _all_call(trigger.starts) else []
+    calls = "calls" in views and (_all_call(trigger.has) or _all_call(trigger.starts))
+    groups = [views["calls"]] if calls else []
     if trigger.starts:
         groups.append(_any("startswith", text, trigger.starts))
     if trigger.equals:
@@ -93,5 +97,37 @@ def pattern_sql(pattern: ScriptPattern, views: Views) -> str:
 
 
 def fired_sql(predicates: list[tuple[int, str]]) -> str:
-    """``array<int>`` of the numbers whose predicate holds."""
+    """``array<int>`` of the numbers whose predicate holds; for lines inside a row."""
     return "array_compact(array(" + ", ".join(f"CASE WHEN {p} THEN {n} END" for n, p in predicates) + "))"
+
+
+def mask_sql(predicates: list[str]) -> str:
+    """Bit mask of the predicates that hold; for line rows.
+
+    Unlike an array that is filtered afterwards, a mask is evaluated in generated code.
+    """
+    return " | ".join(f"(CASE WHEN {p} THEN {1 << bit} ELSE 0 END)" for bit, p in enumerate(predicates))
+
+
+def with_mask(lines: DataFrame, predicates: list[str], *keep: str) -> DataFrame:
+    """``keep, line, _mask`` of a line table.
+
+    ``line`` passes through an array lambda, which keeps this projection out of whole-stage
+    code: as one stage its method would be too long for the JIT, while a projection of its
+    own is cut into small methods.
+    """
+    line = let(F.col("line"), lambda n: n + 0)
+    return lines.select(*keep, line.alias("line"), F.expr(mask_sql(predicates)).alias("_mask"))
+
+
+def set_bits(mask: Column, numbers: list[int]) -> Column:
+    """The numbers of the set bits; NULL for none, which costs nothing on most lines."""
+    pairs = F.array(*[F.struct(F.lit(1 << bit).alias("bit"), F.lit(n).alias("n")) for bit, n in enumerate(numbers)])
+    found = F.transform(F.filter(pairs, lambda p: p["bit"].bitwiseAND(mask) != 0), lambda p: p["n"])
+    return F.when(mask != 0, found)
+
+
+def gate_trigger(trigger: Trigger) -> Trigger:
+    """What a whole text must contain for a row to fire on any of its lines."""
+    return Trigger(trigger.rule, trigger.langs, "lower" if trigger.view == "lower" else "raw",
+                   has=trigger.starts or trigger.equals or trigger.has)

@@ -11,7 +11,7 @@ from ..functions.fixed_values import (
     TS_PATTERNS, TS_RULES, TS_TAINT_SINK, TS_TAINT_SOURCE, TS_TAINT_SOURCE_WORDS, TS_WORD,
 )
 from ..functions.text import contains_any, let
-from ..functions.triggers import ROW_VIEWS, fired_sql, pattern_sql, views_in
+from ..functions.triggers import ROW_VIEWS, fired_sql, pattern_sql, set_bits, views_in, with_mask
 from .lines import with_views
 
 
@@ -23,12 +23,12 @@ class ScriptPlane:
         self.source, self.source_words, self.sink, self.word = source, source_words, sink, word
         self.flow_id = rule_id("language", rules[-1].name)
 
-    def patterns_sql(self, views) -> str:
-        """``array<int>`` of the rule numbers whose pattern matches one line."""
-        return fired_sql([
-            (rule_id("language", rule.name),
-             "(" + " OR ".join(pattern_sql(p, views) for p in self.patterns if p.rule == rule.name) + ")")
-            for rule in self.rules[:-1]])
+        self.ids = [rule_id("language", rule.name) for rule in rules[:-1]]
+
+    def predicates(self, views) -> list[str]:
+        """One SQL predicate per pattern rule, on one line."""
+        return ["(" + " OR ".join(pattern_sql(p, views) for p in self.patterns if p.rule == rule.name) + ")"
+                for rule in self.rules[:-1]]
 
 
 TYPESCRIPT = ScriptPlane("typescript", ("javascript", "typescript"), TS_RULES, TS_PATTERNS,
@@ -41,15 +41,17 @@ SCRIPT_PLANES = (TYPESCRIPT, JAVA)
 def script_line_findings(plane: ScriptPlane, lines: DataFrame, *carry: str) -> DataFrame:
     """Pattern findings of a line table; no shuffle."""
     own = lines.filter(F.col("language").isin(*plane.languages))
-    fired = with_views(own).select(*carry, "line", F.expr(plane.patterns_sql(ROW_VIEWS)).alias("_ids"))
+    masked = with_mask(with_views(own), plane.predicates(ROW_VIEWS), *carry)
+    fired = masked.select(*carry, "line", set_bits(F.col("_mask"), plane.ids).alias("_ids"))
     hits = fired.select(*carry, F.transform("_ids", lambda n: hit(n, F.col("line"))).alias("_hits"))
     return findings_from_hits(hits, "_hits", *carry)
 
 
 def script_hits(plane: ScriptPlane, views: str) -> Column:
     """Pattern hits of one file, from its array of viewed lines."""
-    fired = F.expr(f"filter(transform({views}, v -> named_struct('line', v.line, 'ids', "
-                   f"{plane.patterns_sql(views_in('v'))})), x -> size(x.ids) > 0)")
+    ids = fired_sql(list(zip(plane.ids, plane.predicates(views_in("v")))))
+    fired = F.expr(f"filter(transform({views}, v -> named_struct('line', v.line, 'ids', {ids})), "
+                   "x -> size(x.ids) > 0)")
     return F.flatten(F.transform(fired, lambda x: F.transform(x["ids"], lambda n: hit(n, x["line"]))))
 
 

@@ -53,12 +53,12 @@ def classify(files: DataFrame, policy: Policy, ignore_rules=(), root: Column | N
 
 @lru_cache(maxsize=32)
 def registry_hits(names: tuple[str, ...]) -> Column:
-    """Registry rules of one file, from its ``_views`` and ``_lines``.
+    """Registry rules of one file, from its ``_views``, ``_lines`` and ``_gate``.
 
     An unresolved expression over column names, so it is built once and used by every plan.
     """
     stateless = tuple(n for n in names if n in line_rules.STATELESS)
-    parts = [line_rules.line_rule_hits("_views", "language", stateless)] if stateless else []
+    parts = [line_rules.line_rule_hits("_views", "language", "_gate", stateless)] if stateless else []
     if "empty-error-handler" in names:
         parts.append(block_rules.handler_hits("_views", F.col("_lines"), F.col("content")))
     if "hard-to-read-function" in names:
@@ -102,6 +102,10 @@ def review_files(files: DataFrame, policy: Policy, options: ReviewOptions = Revi
     if registry or deep:
         rows = rows.withColumn("_lines", split_lines(F.col("content")))
         rows = rows.withColumn("_views", viewed(F.col("_lines")))
+    if registry:
+        stateless = tuple(n for n in registry if n in line_rules.STATELESS)
+        gate = line_rules.gate_mask("content", "language", stateless) if stateless else F.lit(0)
+        rows = rows.withColumn("_gate", gate)
     local = findings_of(F.concat("_file", registry_hits(tuple(registry))) if registry else F.col("_file"))
     found = F.filter(local, lambda f: algebra.retained(policy, f["rule"], f["severity"]))
     if deep:

@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.functions import fixed_values as V
-from lineweave.functions.findings_schema import findings_from_hits, hit
-from lineweave.functions.triggers import ROW_VIEWS
+from lineweave.functions.findings_schema import findings_from_hits
 from lineweave.operators import (
     block_rules, c_rules, file_rules, findings as algebra, fixes, line_rules, python_symbols, script_rules, secrets,
 )
-from lineweave.operators.lines import explode_lines, unnest_findings, viewed, with_views
+from lineweave.operators.lines import explode_lines, unnest_findings, viewed
 from lineweave.operators.rulepack import RulePack, UserRule
 from lineweave.plans import incremental, report, review_queue as queue
 from lineweave.plans.policies import BY_NAME, POLICIES, Policy, evaluated_rules, policy_named, policy_rule_table
@@ -100,12 +99,9 @@ PAGE_STYLE = ("line-length", "brace-style")
 def page_line_rules(spark, sf_dir):
     pages = table(spark, sf_dir, "pages", "page_id", "html").withColumn("language", F.lit("html"))
     lines = explode_lines(pages, "page_id", "language", content="html")
-    # both rule families are one array of hits per line, so the pages are read once
-    ids = F.expr(line_rules.line_rules_sql("language", ROW_VIEWS, PAGE_RULES))
-    registry = F.transform(ids, lambda n: hit(n, F.col("line")))
-    style = c_rules.style_hits(F.col("line"), F.col("text"), PAGE_STYLE)
-    hits = with_views(lines).select("page_id", F.concat(registry, style).alias("hits"))
-    return findings_from_hits(hits, "hits", "page_id").select("page_id", "line", "rule", "severity", "message")
+    registry = line_rules.line_rule_findings(lines, "page_id", rules=PAGE_RULES)
+    style = c_rules.style_findings(lines, "page_id", rules=PAGE_STYLE)
+    return registry.unionByName(style).select("page_id", "line", "rule", "severity", "message")
 
 
 ORACLES["page_line_rules"] = (
