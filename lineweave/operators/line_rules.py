@@ -28,15 +28,19 @@ def rule_ids(rules=STATELESS) -> list[int]:
     return [rule_id("registry", name) for name in rules]
 
 
-def line_rule_findings(lines: DataFrame, *carry: str, rules=STATELESS) -> DataFrame:
-    """Findings of a line table ``(carry, language, line, text)``; no shuffle.
+def with_line_hits(lines: DataFrame, *carry: str, rules=STATELESS) -> DataFrame:
+    """``carry, line, _hits`` of a line table ``(carry, language, line, text)``; NULL for no hits.
 
     The predicates run in generated code; only the few lines that hit are widened.
     """
     masked = with_mask(with_views(lines), line_rule_predicates("language", ROW_VIEWS, rules), *carry)
     fired = masked.select(*carry, "line", set_bits(F.col("_mask"), rule_ids(rules)).alias("_ids"))
-    hits = fired.select(*carry, F.transform("_ids", lambda n: hit(n, F.col("line"))).alias("_hits"))
-    return findings_from_hits(hits, "_hits", *carry)
+    return fired.select(*carry, "line", F.transform("_ids", lambda n: hit(n, F.col("line"))).alias("_hits"))
+
+
+def line_rule_findings(lines: DataFrame, *carry: str, rules=STATELESS) -> DataFrame:
+    """Findings of a line table ``(carry, language, line, text)``; no shuffle."""
+    return findings_from_hits(with_line_hits(lines, *carry, rules=rules), "_hits", *carry)
 
 
 def gate_mask(content: str, language: str, rules=STATELESS) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.functions import fixed_values as V
-from lineweave.functions.findings_schema import findings_from_hits
+from lineweave.functions.findings_schema import findings_from_hits, no_hits
 from lineweave.operators import (
     block_rules, c_rules, file_rules, findings as algebra, fixes, line_rules, python_symbols, script_rules, secrets,
 )
@@ -99,9 +99,11 @@ PAGE_STYLE = ("line-length", "brace-style")
 def page_line_rules(spark, sf_dir):
     pages = table(spark, sf_dir, "pages", "page_id", "html").withColumn("language", F.lit("html"))
     lines = explode_lines(pages, "page_id", "language", content="html")
-    registry = line_rules.line_rule_findings(lines, "page_id", rules=PAGE_RULES)
-    style = c_rules.style_findings(lines, "page_id", rules=PAGE_STYLE)
-    return registry.unionByName(style).select("page_id", "line", "rule", "severity", "message")
+    # both rule families become one array of hits per line, so the pages are read once
+    registry = line_rules.with_line_hits(lines, "page_id", "text", rules=PAGE_RULES)
+    style = c_rules.style_hits(F.col("line"), F.col("text"), PAGE_STYLE)
+    hits = registry.select("page_id", F.concat(F.coalesce("_hits", no_hits()), style).alias("hits"))
+    return findings_from_hits(hits, "hits", "page_id").select("page_id", "line", "rule", "severity", "message")
 
 
 ORACLES["page_line_rules"] = (
