@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm import exact_dedup
+from lineweave.llm import decontaminate, exact_dedup, license_scan, line_dedup
+from lineweave.llm.license_values import RULES
 
 QUERIES, ORACLES = {}, {}
 
@@ -29,3 +30,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
+
+
+@registered("op7_line_dedup", f"""
+    WITH lines AS (
+      SELECT doc_id, text, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+    spread AS (
+      SELECT trim(line, ' ' || chr(9) || chr(13)) AS line, min(doc_id) AS first FROM lines
+      GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
+    marked AS (
+      SELECT l.doc_id, l.pos, l.line, trim(l.line, ' ' || chr(9) || chr(13)) <> '' AS filled,
+             s.line IS NOT NULL AND s.line <> '' AND s.first <> l.doc_id AS gone
+      FROM lines l LEFT JOIN spread s ON trim(l.line, ' ' || chr(9) || chr(13)) = s.line)
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
+           CAST(count(*) FILTER (filled) AS INT) AS n_lines, CAST(count(*) FILTER (gone) AS INT) AS n_removed
+    FROM marked GROUP BY doc_id""")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def _license_sql() -> str:
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({text(k)}, {n})" for k, n in license_scan.KNOWN.items())
+    rules = ", ".join(f"({text(','.join(map(str, ids)))}, {text(name)}, {text(kind)})" for name, kind, ids in RULES)
+    end = {"line": license_scan.LINE_END, "wrapped": license_scan.WRAPPED_END}
+    pieces = " UNION ALL ".join(
+        f"SELECT doc_id, '{k}' AS reading, unnest(regexp_split_to_array(text, '{v}')) AS s, "
+        f"generate_subscripts(regexp_split_to_array(text, '{v}'), 1) - 1 AS n FROM documents" for k, v in end.items())
+    return f"""
+    WITH known(k, id) AS (VALUES {known}), rules(sentence_ids, license, kind) AS (VALUES {rules}),
+    pieces AS ({pieces}),
+    seq AS (SELECT doc_id, reading, string_agg(coalesce(id, 0) || '@' || n, ' ' ORDER BY n) AS seq FROM (
+        SELECT p.*, k.id FROM pieces p LEFT JOIN known k ON k = lower(trim(regexp_replace(s, '{license_scan.OTHER}', ' ', 'g'))))
+      GROUP BY 1, 2),
+    hits AS (SELECT doc_id, reading, unnest(regexp_extract_all(seq, '{license_scan.rule_pattern()}')) AS m FROM seq),
+    named AS (SELECT *, replace(regexp_replace(m, ' 0@[0-9]+|@[0-9]+', '', 'g'), ' ', ',') AS sentence_ids FROM hits)
+    SELECT doc_id, license, kind, reading, CAST(regexp_extract(m, '@([0-9]+)', 1) AS INT) AS first_sentence,
+           CAST(regexp_extract(m, '@([0-9]+)$', 1) AS INT) AS last_sentence, sentence_ids
+    FROM named n JOIN rules USING (sentence_ids)
+    WHERE reading = 'line' OR NOT EXISTS (SELECT 1 FROM named o WHERE o.reading = 'line' AND o.doc_id = n.doc_id
+                                          AND o.sentence_ids = n.sentence_ids)"""
+
+
+@registered("op4_license_scan", _license_sql())
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_matches(table(spark, sf_dir, "documents"))
+
+
+@registered("op9_decontaminate", """
+    WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    windows AS (SELECT DISTINCT item_id, least(len(w), 13) AS size,
+                       array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS win
+                FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT size FROM windows),
+    grams AS (SELECT doc_id, size, i, array_to_string(list_slice(w, i, i + size - 1), ' ') AS win FROM (
+        SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size)),
+    found AS (SELECT doc_id, item_id, g.size, i FROM grams g JOIN windows v ON g.win = v.win AND g.size = v.size),
+    hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM found) GROUP BY 1),
+    named AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY 1)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           coalesce(items_sha256, sha256('')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""")
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                        decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
