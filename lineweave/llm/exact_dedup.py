@@ -21,6 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineweave.session import stored
+
 MIN_CHARS, MAX_CHARS = 256, 4096
 CUT = rf"(?s).{{{MIN_CHARS},{MAX_CHARS}}}?(?:\n|[aeiou][.!?]\s)|.{{1,{MAX_CHARS}}}"
 
@@ -30,13 +32,10 @@ def chunks_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CUT), F.lit(0))
 
 
-def _collisions(chunked: DataFrame) -> DataFrame:
-    """Contents that share a fingerprint with another content: ``_fp, _chunk, _rank``; as a rule none."""
-    contents = chunked.select(F.explode("_chunks").alias("c")).select(
+def _contents(chunked: DataFrame) -> DataFrame:
+    """Each fingerprint with each of its contents once; the only place where texts are shuffled."""
+    return chunked.select(F.explode("_chunks").alias("c")).select(
         F.col("c._fp").alias("_fp"), F.col("c._chunk").alias("_chunk")).distinct()
-    shared = contents.groupBy("_fp").agg(F.count("*").alias("_n")).filter("_n > 1").select("_fp")
-    return contents.join(shared, "_fp", "left_semi").withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_fp").orderBy("_chunk")))
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -49,10 +48,12 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = chunked.select(
         "_id", F.char_length("_text").alias("_n_chars"), F.sha2("_text", 256).alias("_sha"),
         F.transform("_chunks", lambda c: F.struct(c["_fp"].alias("fp"), F.lit(0).alias("rank"))).alias("_recipe"))
-    clash = _collisions(chunked).persist()
-    if clash.isEmpty():
-        clash.unpersist()
+    contents = _contents(chunked)
+    shared = stored(contents.groupBy("_fp").agg(F.count("*").alias("_n")).filter("_n > 1").select("_fp"), "shared-prints")
+    if shared.isEmpty():
         return plain
+    clash = contents.join(shared, "_fp", "left_semi").withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("_fp").orderBy("_chunk")))
     # Only rows that hold a shared fingerprint are rebuilt, from their own chunks.
     numbered = chunked.withColumn("_row", F.sha2("_text", 256)).dropDuplicates(["_row"])
     ranked = (numbered.select("_row", F.posexplode("_chunks").alias("_pos", "c"))
