@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm import decontaminate, exact_dedup, license_scan, line_dedup
+from lineweave.llm import decontaminate, exact_dedup, license_scan, line_dedup, near_dedup
 from lineweave.llm.license_values import RULES
 
 QUERIES, ORACLES = {}, {}
@@ -102,3 +102,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
                         decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+@registered("op5_near_dedup")
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("text_sha")
