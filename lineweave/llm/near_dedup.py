@@ -20,6 +20,7 @@ one document that is similar to what either text is similar to.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,18 +40,14 @@ U = np.uint64
 SHORT = [(0.0, 0.125), (0.125, 0.125), (0.25, 0.25), (0.5, 0.5)]
 
 
-def _uniform(x: np.ndarray) -> np.ndarray:
-    return (x >> U(11)).astype(np.float64) * 2.0 ** -53
-
-
 def _steps(length: float) -> np.ndarray:
-    """Distribution function of the Poisson number of darts in an interval."""
-    p, total, out = np.exp(-length), 0.0, []
-    for k in range(16):
+    """Distribution function of the Poisson number of darts in an interval, over all 64-bit values."""
+    p, total, out = math.exp(-length), 0.0, []
+    for k in range(14):
         total += p
-        out.append(total)
+        out.append(min(int(total * 2.0 ** 64), 2 ** 64 - 1))
         p *= length / (k + 1)
-    return np.array(out)
+    return np.array(out, np.uint64)
 
 
 def cells(shingle: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,35 +63,39 @@ def cells(shingle: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def dart_signatures(cell: np.ndarray, text: np.ndarray, n_texts: int, k: int) -> np.ndarray:
-    """``n_texts x k`` values; texts without cells have zeros. ``text`` is sorted."""
-    rank = np.full(n_texts * k, np.inf)
+    """``n_texts x k`` values; texts without cells have zeros. ``text`` is sorted.
+
+    A dart is one 64-bit value: the high bits are its rank within the interval, the low 24 its coordinate.
+    """
     value = np.zeros(n_texts * k, np.uint64)
-    interval, n_units = 0, 1
-    at = 1.0
+    interval, low = 0, 1
     while len(cell):
         if interval < len(SHORT):
-            low, length, count = *SHORT[interval], 1
-        else:
-            low, length, count = at, 1.0, n_units
-            at, n_units = at + n_units, min(64, 2 * n_units)
-        steps = _steps(length)
-        for unit in range(count):
-            place = (int((low + unit) * 8) + 1) * 0x9FB21C651E98DF25 % 2 ** 64
-            seed = wh.mix(cell + U(place))
-            darts = np.searchsorted(steps, _uniform(seed), "right")
-            hit = np.flatnonzero(darts)
-            many = darts[hit]
-            source = np.repeat(hit, many)
-            nth = np.arange(len(source)) - np.repeat(np.cumsum(many) - many, many)
-            dart = wh.mix(seed[source] + (nth + 1).astype(np.uint64) * U(0xD1342543DE82EF95))
-            r = low + unit + length * _uniform(wh.mix(dart ^ U(0x2545F4914F6CDD1D)))
-            slot = text[source] * k + (dart % U(k)).astype(np.int64)
-            np.minimum.at(rank, slot, r)
-            best = rank[slot] == r
-            value[slot[best]] = dart[best]
+            begin, length = SHORT[interval]
+            units = np.array([int(begin * 8)], np.uint64)
+        else:  # the fewer cells are left, the more unit intervals at a time
+            n_units = max(1, min(512, 16384 // len(cell)))
+            units, length = np.arange(low, low + n_units, dtype=np.uint64) * U(8), 1.0
+            low += n_units
+        units = (units + U(1)) * U(0x9FB21C651E98DF25)
+        seed = wh.mix((units[:, None] + cell).ravel())
+        darts = np.searchsorted(_steps(length), seed, "right")
+        hit = np.flatnonzero(darts)
+        many = darts[hit]
+        source = np.repeat(hit, many)
+        nth = (np.arange(len(source)) - np.repeat(np.cumsum(many) - many, many) + 1).astype(np.uint64)
+        dart = wh.mix(seed[source] + nth * U(0xD1342543DE82EF95))
+        slot = text[source % len(cell)] * k + ((dart & U(0xFFFFFF)) * U(k) >> U(24)).astype(np.int64)
+        free = np.flatnonzero(value[slot] == 0)  # coordinates without a dart of an earlier interval
+        slot, dart, source = slot[free], dart[free], source[free]
+        if len(units) == 1:
+            value[slot] = U(2 ** 64 - 1)
+            np.minimum.at(value, slot, dart)
+        else:  # of several writes to a slot the last one stays: that of the earliest dart
+            late = np.lexsort((dart, source // len(cell)))[::-1]
+            value[slot[late]] = dart[late]
         interval += 1
-        missing = np.isinf(rank).reshape(n_texts, k).any(axis=1)
-        active = missing[text]
+        active = (value == 0).reshape(n_texts, k).any(axis=1)[text]
         cell, text = cell[active], text[active]
     return value.reshape(n_texts, k)
 
