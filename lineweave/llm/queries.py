@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm import decontaminate, exact_dedup, license_scan, line_dedup, near_dedup
+from lineweave.llm import decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, packing, quality
 from lineweave.llm.license_values import RULES
 
 QUERIES, ORACLES = {}, {}
@@ -107,3 +107,27 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op5_near_dedup")
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("text_sha")
+
+
+@registered("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.segments(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("segment_text")
+    return packing.pack(cut)
+
+
+def labels(spark: SparkSession, sf_dir: str, column: str, folds: int, held_out: int) -> DataFrame:
+    """``id, label`` of the rows that may be learned from."""
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").cast("bigint").alias("id"), F.col(column).cast("int").alias("label")).filter(
+        quality.fold(F.col("id"), folds) != held_out)
+
+
+def scored(found: DataFrame, folds: int, held_out: int, threshold: float) -> DataFrame:
+    return found.withColumns({
+        "held_out": F.coalesce(quality.fold(F.col("doc_id"), folds) == held_out, F.lit(False)),
+        "predicted": (F.col("score") >= threshold).cast("int")})
+
+
+@registered("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(table(spark, sf_dir, "documents"), labels(spark, sf_dir, "quality", 5, 0))
+    return scored(found, 5, 0, quality.KEEP_SCORE).select("doc_id", "held_out", "score", "predicted")
