@@ -212,9 +212,26 @@ def text_scorer(texts: DataFrame, network: Network, vectors: np.ndarray) -> Call
     shared = texts.sparkSession.sparkContext.broadcast((network, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, table = shared.value
         for batch in batches:
             for part in wh.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(net.scores(pooled(part.column("text"), table)))], ["id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(text_scores(part, *shared.value))], ["id", "score"])
     return run
+
+
+def text_scores(part: pa.RecordBatch, network: Network, vectors: np.ndarray) -> np.ndarray:
+    return network.scores(pooled(part.column("text"), vectors))
+
+
+def keep_good(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              threshold: float = KEEP_SCORE, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    vectors = token_vectors(texts)
+    shared = docs.sparkSession.sparkContext.broadcast((train(texts, labelled, vectors, sample), vectors))
+
+    @F.arrow_udf("double")
+    def text_score(column: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays([column], ["text"])
+        return pa.array(np.concatenate([np.zeros(0), *[text_scores(part, *shared.value) for part in wh.slices(whole, "text")]]))
+
+    return docs.filter(text_score(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) >= threshold)

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineweave.llm import decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, packing, quality
+from lineweave.llm import (
+    decontaminate,
+    exact_dedup,
+    license_scan,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality,
+    toxicity,
+)
 from lineweave.llm.license_values import RULES
 
 QUERIES, ORACLES = {}, {}
@@ -131,3 +140,9 @@ def scored(found: DataFrame, folds: int, held_out: int, threshold: float) -> Dat
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.score(table(spark, sf_dir, "documents"), labels(spark, sf_dir, "quality", 5, 0))
     return scored(found, 5, 0, quality.KEEP_SCORE).select("doc_id", "held_out", "score", "predicted")
+
+
+@registered("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxic_spans(table(spark, sf_dir, "documents"), labels(spark, sf_dir, "toxic", 3, 1))
+    return scored(found, 3, 1, toxicity.TOXIC_SCORE).select("doc_id", "held_out", "score", "predicted", "spans")
