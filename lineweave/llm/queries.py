@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lineweave.llm import (
     decontaminate,
     exact_dedup,
+    html_extract,
     license_scan,
     line_dedup,
     near_dedup,
@@ -146,3 +147,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxic_spans(table(spark, sf_dir, "documents"), labels(spark, sf_dir, "toxic", 3, 1))
     return scored(found, 3, 1, toxicity.TOXIC_SCORE).select("doc_id", "held_out", "score", "predicted", "spans")
+
+
+@registered("op3_html_extract")
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
