@@ -79,3 +79,36 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
             break
         first, last = last, 2 * last + 1
     return verify(pairs) if links is None else links
+
+
+def link_by_leaders(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Verified links (``a, b`` and what ``verify`` adds) between leaders and members of each group.
+
+    As ``link_groups``, but each group stands for itself: a member that a leader of its group is linked to is
+    covered and leads no more; a member that is not covered leads in its turn, and is compared with all others of
+    the group. Used where links are not transitive, as texts may share one passage and not another.
+    """
+    grouped = members.select("key", "id").distinct()
+    sizes = grouped.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    sized = stored(grouped.join(sizes, "key"), "members")
+    weight = sized.groupBy("id").agg(F.sum("n").alias("w"))
+    open_ = stored(sized.join(weight, "id").select("key", "id", F.row_number().over(
+        Window.partitionBy("key").orderBy(F.desc("w"), "id")).alias("turn")), "turns")
+    turns, links, tested, first, last = open_, None, None, 0, 1
+    while True:
+        lead = open_.filter((F.col("turn") > first) & (F.col("turn") <= last)).select("key", F.col("id").alias("l"))
+        met = stored(turns.join(lead, "key").filter("id <> l").select(
+            "key", "id", F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")), "met")
+        pairs = met.select("a", "b").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        found = stored(verify(pairs), "links")
+        links = found if links is None else links.unionByName(found)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        covered = met.join(links.select("a", "b").distinct(), ["a", "b"]).select("key", "id").distinct()
+        # leaders are done; so are members that one is linked to
+        open_ = stored(open_.filter(F.col("turn") > last).join(covered, ["key", "id"], "left_anti"), "open")
+        if open_.isEmpty():
+            return links
+        first, last = last, 2 * last + 1

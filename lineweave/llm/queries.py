@@ -14,6 +14,7 @@ from lineweave.llm import (
     near_dedup,
     packing,
     quality,
+    substring_dedup,
     toxicity,
 )
 from lineweave.llm.license_values import RULES
@@ -152,3 +153,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op3_html_extract")
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
+@registered("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
