@@ -8,9 +8,10 @@ the window would begin (positional bound), and it must fit into the document (le
 is verified word by word, and the places that verified windows cover are counted.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z is lower-cased. Every window of every item takes
-part. Prefix words are sent to all tasks only where their windows, which are counted first, are at most
-``SMALL_WINDOWS`` (each has at most 13 words); beyond that the same joins run with a shuffle, which carries
-25 words around a place.
+part. Tasks read texts as word hashes, and give the places of prefix words with the words around them (25 at
+most); all joins and counts are Spark's, and compare words, not hashes. Prefix words are sent to all tasks
+only where their windows, which are counted first, are at most ``SMALL_WINDOWS`` (each has at most 13 words);
+beyond that tasks give the places of all words, and the same joins run with a shuffle.
 
 Defined results: null and empty texts have no words and no hits; equal windows of several items count for
 each item; rows that repeat an id with the same text get the same result each; with another text their own.
@@ -19,20 +20,29 @@ each item; rows that repeat an id with the same text get the same result each; w
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineweave.llm import wordhash as wh
 from lineweave.session import stored
 
 WINDOW = 13
 SMALL_WINDOWS = 100_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NORMAL = np.where(wh.WORD_BYTES == 1, wh.LOWER - 1, 32).astype(np.uint8)
+PLACES = 20_000  # places written at a time
 
 
 def words_of(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lowered, NOT_WORD), lambda w: w != "")
+    """The words in order. Only A-Z are lower-cased; plain ASCII takes the faster function."""
+    text = F.coalesce(text, F.lit(""))
+    lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
+        F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    return F.array_remove(F.split(lowered, NOT_WORD), "")
 
 
 def item_windows(items: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
@@ -43,6 +53,73 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, size: int) -> D
     return words.select("_item", F.explode(F.transform(starts, lambda i: F.slice("_w", i, size))).alias("_window")).distinct()
 
 
+def _hashes(words: DataFrame) -> np.ndarray:
+    """Sorted hashes of a bounded number of words, as tasks compute them."""
+    column = words.toArrow().column(0).combine_chunks()
+    data, offsets = wh.text_buffers(column)
+    return np.sort(wh.run_hashes(data, offsets[:-1], offsets[1:]))
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their hashes."""
+    for batch in batches:
+        data, offsets = wh.text_buffers(batch.column(0))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(wh.run_hashes(data, offsets[:-1], offsets[1:]).view(np.int64))], ["_word", "_hash"])
+
+
+def _among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(wanted):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+    return np.flatnonzero(wanted[at] == hashes)
+
+
+def _word_counts(wanted):
+    """Counts of words by hash; of all words if none are ``wanted``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in wh.slices(batch, "_text"):
+                hashes = wh.words(*wh.text_buffers(part.column("_text")))[0]
+                if wanted is not None:
+                    hashes = hashes[_among(hashes, wanted.value)]
+                word, n = np.unique(hashes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["_hash", "_n"])
+    return run
+
+
+def _word_places(wanted, size: int):
+    """A row for each text (``_pos`` -1) with its number of words, and one for each place of a word by hash,
+    with the words that a window around it could hold (``_context``, from word ``_from`` on)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in wh.slices(batch, "_text"):
+                data, offsets = wh.text_buffers(part.column("_text"))
+                hashes, begin, end, first = wh.words(data, offsets)
+                count, none = np.diff(first), np.full(part.num_rows, -1, np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_id"), part.column("_row"), pa.array(count), pa.array(none), pa.array(none),
+                     pa.nulls(part.num_rows, pa.string())], NAMES)
+                normal = NORMAL[data]
+                places = np.arange(len(hashes)) if wanted is None else _among(hashes, wanted.value)
+                for i in range(0, len(places), PLACES):
+                    at = places[i:i + PLACES]
+                    text = np.searchsorted(first, at, "right") - 1
+                    low = np.maximum(at - size + 1, first[text])
+                    left, right = begin[low], end[np.minimum(at + size, first[text + 1]) - 1]
+                    cut = np.concatenate(([0], np.cumsum(right - left)))
+                    body = normal[np.arange(cut[-1]) + np.repeat(left - cut[:-1], right - left)]
+                    context = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(body))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("_id").take(pa.array(text)), part.column("_row").take(pa.array(text)),
+                         pa.array(count[text]), pa.array((at - first[text]).astype(np.int32)),
+                         pa.array((low - first[text]).astype(np.int32)), context.cast(pa.string())], NAMES)
+    return run
+
+
+NAMES = ["_id", "_row", "n_words", "_pos", "_from", "_context"]
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW,
                   small_windows: int = SMALL_WINDOWS) -> DataFrame:
@@ -52,12 +129,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     small = windows.count() <= small_windows
     sent = F.broadcast if small else (lambda df: df)
 
+    context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_row"),
-                       words_of(F.col(f"`{text_col}`")).alias("_words"))
+                       F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    id_type = rows.schema["_id"].dataType.simpleString()
     # Rarity over all documents, of the words that can be in a prefix.
-    alphabet = windows.select(F.explode("_window").alias("_word")).distinct()
-    counts = (rows.select(F.explode("_words").alias("_word")).join(sent(alphabet), "_word", "left_semi")
-              .groupBy("_word").agg(F.count("*").alias("_n")))
+    alphabet = stored(windows.select(F.explode("_window").alias("_word")).distinct().mapInArrow(_named, "_word string, _hash bigint"), "alphabet")
+    wanted = context.broadcast(_hashes(alphabet.select("_word"))) if small else None
+    counts = (rows.select("_text").mapInArrow(_word_counts(wanted), "_hash bigint, _n bigint")
+              .groupBy("_hash").agg(F.sum("_n").alias("_n")).join(sent(alphabet), "_hash").select("_word", "_n"))
     spots = (windows.select("_wid", "_window", F.posexplode("_window").alias("_offset", "_word"))
              .join(counts, "_word", "left"))
     rarest = Window.partitionBy("_wid").orderBy(F.coalesce("_n", F.lit(0)), "_word", "_offset")
@@ -66,13 +146,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                       .filter((F.col("_k") == 1) & F.col("_n").isNotNull()).select("_wid", "_window", "_offset", "_word"),
                       "prefixes")
 
-    places = rows.filter(F.size("_words") > 0).select("_id", "_row", "_words", F.posexplode("_words").alias("_pos", "_word"))
-    if not small:  # only what a window could cover goes along
-        places = places.select("_id", "_row", "_pos", "_word",
-                               F.slice("_words", F.greatest(F.col("_pos") - size + 2, F.lit(1)), 2 * size - 1).alias("_words"),
-                               F.greatest(F.col("_pos") - size + 1, F.lit(0)).alias("_from"))
-    else:
-        places = places.withColumn("_from", F.lit(0))
+    wanted = context.broadcast(_hashes(prefixes.select("_word").distinct())) if small else None
+    seen = stored(rows.mapInArrow(_word_places(wanted, size),
+                                  f"_id {id_type}, _row bigint, n_words bigint, _pos int, _from int, _context string"), "word-places")
+    places = seen.filter("_pos >= 0").withColumn("_words", F.split("_context", " +")).withColumn(
+        "_word", F.get("_words", F.col("_pos") - F.col("_from")))
     begin = F.col("_pos") - F.col("_offset")
     found = (places.join(sent(prefixes), "_word")
              .filter((begin >= F.col("_from")) & (begin - F.col("_from") + F.size("_window") <= F.size("_words")))
@@ -90,7 +168,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
              .groupBy("_id", "_row").agg(F.sort_array(F.collect_set(F.col("_item").cast("string"))).alias("item_ids")))
     hits = covered.withColumnsRenamed({"_id": "_i", "_row": "_r"}).join(
         named, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_r") == F.col("_row"))).select("_i", "_r", "n_hit", "item_ids")
-    return (rows.select("_id", "_row", F.size("_words").cast("bigint").alias("n_words"))
+    return (seen.filter("_pos < 0").select("_id", "_row", "n_words")
             .join(hits, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_r") == F.col("_row")), "left")
             .select(F.col("_id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
                     F.coalesce(F.size("item_ids"), F.lit(0)).cast("bigint").alias("n_items"),
