@@ -418,14 +418,9 @@ C_LOCK_CALLS = ("spin_lock(", "spin_lock_irqsave(", "spin_lock_bh(", "mutex_lock
 C_UNLOCK_CALLS = ("spin_unlock(", "spin_unlock_irqrestore(", "spin_unlock_bh(", "mutex_unlock(")
 C_SLEEP_CALLS = ("msleep(", "schedule(", "might_sleep(")
 C_RCU_SAFE = ("rcu_dereference(", "list_for_each_entry_rcu", "hlist_for_each_entry_rcu")
-C_NAME_CHARS = 63
 GOTO_LABEL_WITHIN = 7
 GOTO_CLEANUP_WITHIN = 5
 
-# Optional caps for byte-for-byte parity on very large C files.
-C_CAP_LINES = 8192
-C_CAP_LOCKS = 64
-C_CAP_DEREFS = 128
 
 # ---------------------------------------------------------------------------
 # Secret assignments.

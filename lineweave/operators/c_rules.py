@@ -6,15 +6,12 @@ few lines that matter to them and nothing is shuffled.  All columns are byte off
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.findings_schema import findings_from_hits, hit, no_hits, rule_id
 from ..functions.fixed_values import (
-    C_BRACE_KEYWORDS, C_CAP_DEREFS, C_CAP_LINES, C_CAP_LOCKS, C_CLEANUP_WORDS,
-    C_LOCK_CALLS, C_NAME_CHARS, C_RCU_SAFE, C_SLEEP_CALLS, C_SPACING_KEYWORDS, C_STYLE_RULES,
+    C_BRACE_KEYWORDS, C_CLEANUP_WORDS, C_LOCK_CALLS, C_RCU_SAFE, C_SLEEP_CALLS, C_SPACING_KEYWORDS, C_STYLE_RULES,
     C_UNLOCK_CALLS, GOTO_CLEANUP_WITHIN, GOTO_LABEL_WITHIN, STYLE_LINE_BYTES,
 )
 from ..functions.text import all_of, any_of, before_first, byte_column, contains_any, first_hit_is_word, let, numbered
@@ -22,18 +19,6 @@ from ..functions.text import all_of, any_of, before_first, byte_column, contains
 STYLE_NAMES = tuple(text.name for text in C_STYLE_RULES)
 
 
-@dataclass(frozen=True)
-class Caps:
-    """How much of a file is tracked.  None follows everything, which is the default."""
-    lines: int | None = None
-    locks: int | None = None
-    derefs: int | None = None
-
-
-UNCAPPED = Caps()
-PARITY_CAPS = Caps(C_CAP_LINES, C_CAP_LOCKS, C_CAP_DEREFS)
-
-
 def _flow(name: str, line: Column, column: Column | None = None, at: Column | None = None) -> Column:
     return hit(rule_id("language", name), line, F.lit(1) if column is None else column, at=at)
 
@@ -71,10 +56,9 @@ def style_hits(line: Column, text: Column, rules=STYLE_NAMES) -> Column:
     return F.when(any_of([fires for fires, _ in marks]), found).otherwise(no_hits())
 
 
-def style_findings(lines: DataFrame, *carry: str, rules=STYLE_NAMES, caps: Caps = UNCAPPED) -> DataFrame:
+def style_findings(lines: DataFrame, *carry: str, rules=STYLE_NAMES) -> DataFrame:
     """Style findings of a line table; no shuffle."""
-    kept = lines if caps.lines is None else lines.filter(F.col("line") <= caps.lines)
-    hits = kept.select(*carry, style_hits(F.col("line"), F.col("text"), rules).alias("_hits"))
+    hits = lines.select(*carry, style_hits(F.col("line"), F.col("text"), rules).alias("_hits"))
     return findings_from_hits(hits, "_hits", *carry)
 
 
@@ -82,11 +66,10 @@ def style_findings(lines: DataFrame, *carry: str, rules=STYLE_NAMES, caps: Caps
 
 def _called_name(text: Column, call: str) -> Column:
     """Identifier handed to the first ``call``: pointer marks dropped, stops at ``>``."""
-    name = F.regexp_extract(text, rf"{call}[^(]*\([ &*]*([A-Za-z0-9_-]*)", 1)
-    return F.substring(name, 1, C_NAME_CHARS)
+    return F.regexp_extract(text, rf"{call}[^(]*\([ &*]*([A-Za-z0-9_-]*)", 1)
 
 
-def _lock_events(entries: Column, caps: Caps) -> Column:
+def _lock_events(entries: Column) -> Column:
     """Lines that take or drop a lock, return, or sleep, with the lock names involved."""
     def event(entry: Column) -> Column:
         text = entry["text"]
@@ -103,16 +86,10 @@ def _lock_events(entries: Column, caps: Caps) -> Column:
         )
 
     words = C_LOCK_CALLS + C_UNLOCK_CALLS + C_SLEEP_CALLS + ("return",)
-    events = F.transform(F.filter(entries, lambda e: contains_any(e["text"], words)), event)
-    if caps.locks is None:
-        return events
-    names = F.transform(F.filter(events, lambda e: e["taken"] != ""), lambda e: e["taken"])
-    tracked = F.slice(F.array_distinct(names), 1, caps.locks)
-    return F.transform(events, lambda e: e.withField(
-        "taken", F.when(F.array_contains(tracked, e["taken"]), e["taken"])))
+    return F.transform(F.filter(entries, lambda e: contains_any(e["text"], words)), event)
 
 
-def lock_hits(entries: Column, caps: Caps = UNCAPPED) -> Column:
+def lock_hits(entries: Column) -> Column:
     """Returns and sleeps while a lock is held.
 
     The fold carries the set of locks held now; a line first takes, then drops, then is
@@ -144,7 +121,7 @@ def lock_hits(entries: Column, caps: Caps = UNCAPPED) -> Column:
         return let(held, lambda now: judged(now, acc, e))
 
     zero = F.struct(F.array().cast(held_type).alias("held"), F.array().cast(out_type).alias("out"))
-    hits = F.aggregate(_lock_events(entries, caps), zero, step, lambda acc: acc["out"])
+    hits = F.aggregate(_lock_events(entries), zero, step, lambda acc: acc["out"])
     return F.transform(hits, lambda h: F.when(
         h["kind"] == 0, _flow("return-without-unlock", h["line"], h["column"])
     ).otherwise(_flow("sleeping-in-atomic", h["line"])))
@@ -189,7 +166,7 @@ def goto_hits(entries: Column, lines: Column) -> Column:
         "goto-out-without-cleanup", e["line"], byte_column(e["text"], "goto")))
 
 
-def null_check_hits(entries: Column, caps: Caps = UNCAPPED) -> Column:
+def null_check_hits(entries: Column) -> Column:
     """Pointer used on one line and tested against NULL on a later one.
 
     Only the last test that mentions each distinct pointer matters, so uses are not paired
@@ -197,11 +174,8 @@ def null_check_hits(entries: Column, caps: Caps = UNCAPPED) -> Column:
     """
     using = F.transform(F.filter(entries, lambda e: F.contains(e["text"], F.lit("->"))), lambda e: F.struct(
         e["line"].alias("line"),
-        F.substring(F.regexp_extract(before_first(e["text"], "->"), r"([A-Za-z0-9_)]+)\z", 1),
-                    1, C_NAME_CHARS).alias("pointer")))
+        F.regexp_extract(before_first(e["text"], "->"), r"([A-Za-z0-9_)]+)\z", 1).alias("pointer")))
     derefs = F.filter(using, lambda d: d["pointer"] != "")
-    if caps.derefs is not None:
-        derefs = F.slice(derefs, 1, caps.derefs)
     tests = F.filter(entries, lambda e: contains_any(e["text"], ("if (", "if(")) & contains_any(
         e["text"], ("NULL", "!")))
 
@@ -243,7 +217,7 @@ def call_hits(entries: Column) -> Column:
                     F.transform(bug, lambda e: _flow("BUG_ON-usage", e["line"])))
 
 
-def flow_hits(lines: Column, content: Column, caps: Caps = UNCAPPED) -> Column:
+def flow_hits(lines: Column, content: Column) -> Column:
     """All order-dependent hits of one C file.  Each rule first asks the whole text for
     its word, so most files never reach the line arrays."""
     def when_seen(words, found: Column) -> Column:
@@ -253,13 +227,12 @@ def flow_hits(lines: Column, content: Column, caps: Caps = UNCAPPED) -> Column:
         kept, entries = file["lines"], file["entries"]
         return F.concat(
             when_seen(("goto out;",), goto_hits(entries, kept)),
-            when_seen(("_lock",), lock_hits(entries, caps)),
-            when_seen(("->",), null_check_hits(entries, caps)),
+            when_seen(("_lock",), lock_hits(entries)),
+            when_seen(("->",), null_check_hits(entries)),
             when_seen(("rcu_read_lock(",), rcu_hits(entries)),
             when_seen(("printk(", "BUG_ON("), call_hits(entries)),
             when_seen(("__init", "__exit"), marker_hits(kept)),
         )
 
-    kept = lines if caps.lines is None else F.slice(lines, 1, caps.lines)
-    file = let(kept, lambda rows: F.struct(rows.alias("lines"), numbered(rows).alias("entries")))
+    file = let(lines, lambda rows: F.struct(rows.alias("lines"), numbered(rows).alias("entries")))
     return let(file, judged)

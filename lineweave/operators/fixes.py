@@ -51,7 +51,8 @@ def with_fixes(files: DataFrame, annotate: bool = False) -> DataFrame:
         p["line"].alias("line"), p["rule"].alias("rule"), F.coalesce(p["text"], F.lit("")).alias("replacement")))
     kept = F.transform(F.filter("_plan", lambda p: p["text"].isNotNull()), lambda p: p["text"])
     ending = F.when(F.endswith("content", F.lit("\n")), F.lit("\n")).otherwise(F.lit(""))
-    return planned.select(*files.columns, fixes.alias("fixes"),
+    # the generator keeps a filter on ``fixes`` from being pushed below and repeating the plan of fixes
+    return planned.select(*files.columns, F.explode_outer(F.array(fixes)).alias("fixes"),
                           F.concat(F.array_join(kept, "\n"), ending).alias("fixed"))
 
 

@@ -53,6 +53,11 @@ class RulePack:
             hits.append(F.when(fires, struct))
         return F.array_compact(F.array(*hits))
 
+    def findings_in_row(self, views: str, language: Column) -> Column:
+        """Findings of a file that stays one row, from its array of viewed lines."""
+        return F.flatten(F.transform(views, lambda v: self.findings_of_line(
+            {"raw": v["text"], "lower": v["lower"], "trim": v["trim"]}, language, v["line"])))
+
     def findings(self, lines: DataFrame, *carry: str) -> DataFrame:
         """Findings of a line table; no shuffle."""
         views = {name: F.col(column) for name, column in ROW_VIEWS.items() if name != "calls"}

@@ -37,6 +37,26 @@ def file_counters(classified: DataFrame, scanned: DataFrame | None = None) -> Da
         "files_discovered", "files_scanned", "skipped_large_files", "total_bytes", "truncated")
 
 
+def one_pass_totals(reviewed: DataFrame) -> DataFrame:
+    """All counters of a review without a budget in one aggregation over its files."""
+    eligible = F.col("is_text") & ~F.col("too_large")
+    selected = eligible & F.col("readable")
+
+    def count(name: str) -> Column:
+        return F.size(F.filter("findings", lambda f: normalize_severity(f["severity"]) == name))
+
+    counted = reviewed.select("size", "too_large", eligible.alias("_eligible"), selected.alias("_selected"), *[
+        F.when(selected, count(name)).otherwise(0).alias(name) for name in SEVERITY_RANKS])
+    totals = counted.agg(
+        F.count(F.lit(1)).alias("files_discovered"), F.count_if("_eligible").alias("files_scanned"),
+        F.count_if("too_large").alias("skipped_large_files"),
+        F.coalesce(F.sum(F.when(F.col("_eligible"), F.col("size"))), F.lit(0)).alias("total_bytes"),
+        F.count_if("_selected").alias("files_selected"),
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in SEVERITY_RANKS])
+    return totals.withColumns({"truncated": F.lit(False),
+                               "findings_total": reduce(lambda a, b: a + b, [F.col(n) for n in SEVERITY_RANKS])})
+
+
 def entry_totals(entries: DataFrame) -> DataFrame:
     """``files_selected``, five severity counters and their total, in one pass over the entries.
 
@@ -52,13 +72,16 @@ def entry_totals(entries: DataFrame) -> DataFrame:
 
 
 def report_row(review, root: str = "", summary_only: bool = False, entries: DataFrame | None = None) -> DataFrame:
-    """The report without its files: one row, a cross join of single-row aggregates.
+    """The report without its files: one row.
 
-    ``entries`` replaces the review's own, for example by those with Python findings.
+    A review of everything is counted in one pass; with a budget, or with ``entries`` in place
+    of the review's own, the row is a cross join of single-row aggregates.
     """
-    entries = review.entries if entries is None else entries
-    counters = file_counters(review.classified, review.budgeted)
-    row = counters.crossJoin(F.broadcast(entry_totals(entries)))
+    if entries is None and review.reviewed is not None:
+        row = one_pass_totals(review.reviewed)
+    else:
+        counters = file_counters(review.classified, review.budgeted)
+        row = counters.crossJoin(F.broadcast(entry_totals(review.entries if entries is None else entries)))
     skipped = F.greatest(F.lit(0), F.col("files_discovered") - F.col("files_selected"))
     breakdown = F.struct("info", "low", "medium", "high", "critical")
     return row.select(
@@ -95,10 +118,11 @@ def json_entries(entries: DataFrame) -> DataFrame:
 
 
 def write_json(review, target: str, root: str = "") -> None:
-    """Files as JSON lines under ``files`` and the report row under ``report``."""
+    """Files as JSON lines under ``files``, the report row under ``report``, diagnostics under ``diagnostics``."""
     json_entries(review.entries).select(F.col("json").alias("value")).write.mode("errorifexists").text(
         target + "/files")
     report_row(review, root).write.mode("errorifexists").json(target + "/report")
+    diagnostics(review).write.mode("errorifexists").json(target + "/diagnostics")
 
 
 def markdown_entries(entries: DataFrame) -> DataFrame:
@@ -127,3 +151,13 @@ def unreadable_diagnostics(unreadable: DataFrame) -> DataFrame:
     message = F.concat(F.lit("read "), F.col("path").cast("string"), F.lit(": not valid UTF-8"))
     return unreadable.select(*diagnostic("scan", "runtime", message, F.col("path").cast("string")))
 
+
+def unparsed_diagnostics(unparsed: DataFrame) -> DataFrame:
+    """A row per Python file that the language plane could not parse; its other findings stand."""
+    message = F.concat(F.lit("python worker "), F.col("path").cast("string"), F.lit(": source does not parse"))
+    return unparsed.select(*diagnostic("worker", "runtime", message, F.col("path").cast("string")))
+
+
+def diagnostics(review) -> DataFrame:
+    """All that the review could not read or parse."""
+    return unreadable_diagnostics(review.unreadable).unionByName(unparsed_diagnostics(review.unparsed))

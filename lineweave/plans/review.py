@@ -20,11 +20,11 @@ from ..operators import (
     block_rules, c_rules, file_rules, findings as algebra, line_rules, python_symbols, script_rules,
 )
 from ..operators.lines import unnest_findings, viewed
+from ..operators.rulepack import RulePack
 from ..session import checkpointed
 from ..sources import selection
 from .policies import Policy, evaluated_rules
 
-BROADCAST_NAMES = 200_000
 FILE_RULE_NAMES = tuple(text.name for text in file_rules.FILE_RULES)
 LINE_RULE_NAMES = tuple(text.name for text in LINE_RULES)
 
@@ -34,9 +34,10 @@ class ReviewOptions:
     rule_set: str = "all"            # scan | registry | all
     fast: bool = False
     include_content: bool = False
-    whole_texts: bool = False        # read past the policy's preview limit
-    budget: bool = True              # hold the corpus to the policy's file and byte limits
-    caps: c_rules.Caps = c_rules.UNCAPPED
+    whole_texts: bool = True         # False: only the first bytes, as the policy's preview limit says
+    budget: bool = False             # True: hold the corpus to the policy's file and byte limits
+    size_limit: bool = False         # True: skip files larger than the policy's limit
+    rule_packs: tuple[RulePack, ...] = ()
 
 
 def classify(files: DataFrame, policy: Policy, ignore_rules=(), root: Column | None = None) -> DataFrame:
@@ -67,8 +68,8 @@ def registry_hits(names: tuple[str, ...]) -> Column:
     return F.when(F.col("language").isNotNull(), F.concat(*parts)).otherwise(no_hits()) if parts else no_hits()
 
 
-@lru_cache(maxsize=8)
-def language_hits(caps: c_rules.Caps) -> Column:
+@lru_cache(maxsize=1)
+def language_hits() -> Column:
     """Language-plane rules of one file; a file evaluates only its own language's rules."""
     language, content, views = F.col("language"), F.col("content"), F.col("_views")
     case = None
@@ -77,18 +78,21 @@ def language_hits(caps: c_rules.Caps) -> Column:
         case = (F if case is None else case).when(language.isin(*plane.languages), found)
 
     def c_source(raw_lines: Column) -> Column:
-        kept = raw_lines if caps.lines is None else F.slice(raw_lines, 1, caps.lines)
-        style = F.flatten(F.transform(kept, lambda text, i: c_rules.style_hits(i + 1, text)))
-        return F.concat(style, c_rules.flow_hits(raw_lines, content, caps))
+        style = F.flatten(F.transform(raw_lines, lambda text, i: c_rules.style_hits(i + 1, text)))
+        return F.concat(style, c_rules.flow_hits(raw_lines, content))
 
     return case.when(language == "c", let(split_lines(content, keep_cr=True), c_source)).otherwise(no_hits())
 
 
 def review_files(files: DataFrame, policy: Policy, options: ReviewOptions = ReviewOptions()) -> DataFrame:
-    """Each file with ``suspicious, findings, content_preview`` added.
+    """Each file with ``suspicious, findings, content_preview, unparsed`` added.
 
     ``files`` has ``path, size, content`` (text), and ``language`` or an extension in the
-    path.  One projection after another on the same row: no shuffle, no second scan.
+    path.  One projection after another on the same row: no shuffle, no second scan.  Python
+    sources that the gate lets through are parsed in the tasks, in the same pass.
+
+    ``findings`` comes out of a generator: a filter on it stays above, and the projections
+    that compute it are not repeated inside the filter.
     """
     names = evaluated_rules(policy, options.rule_set)
     listed = [n for n in names if n in FILE_RULE_NAMES]
@@ -99,7 +103,7 @@ def review_files(files: DataFrame, policy: Policy, options: ReviewOptions = Revi
     suspicious = selection.is_suspicious(F.col("content"), policy.suspicious_patterns, options.fast)
     rows = typed.select("*", suspicious.alias("suspicious"),
                         file_rules.file_rule_hits(F.col("content"), listed, policy.is_kernel, options.fast).alias("_file"))
-    if registry or deep:
+    if registry or deep or options.rule_packs:
         rows = rows.withColumn("_lines", split_lines(F.col("content")))
         rows = rows.withColumn("_views", viewed(F.col("_lines")))
     if registry:
@@ -107,17 +111,24 @@ def review_files(files: DataFrame, policy: Policy, options: ReviewOptions = Revi
         gate = line_rules.gate_mask("content", "language", stateless) if stateless else F.lit(0)
         rows = rows.withColumn("_gate", gate)
     local = findings_of(F.concat("_file", registry_hits(tuple(registry))) if registry else F.col("_file"))
+    for pack in options.rule_packs:
+        local = F.concat(local, pack.findings_in_row("_views", F.col("language")))
     found = F.filter(local, lambda f: algebra.retained(policy, f["rule"], f["severity"]))
+    unparsed = F.lit(False)
     if deep:
-        hits = F.when(F.col("suspicious"), language_hits(options.caps)).otherwise(no_hits())
-        outside = F.transform(findings_of(hits), algebra.external_severity_struct)
+        rows = rows.withColumn("_symbols", python_symbols.symbols_in_row(
+            F.when(F.col("suspicious") & (F.col("language") == "python"), F.col("content"))))
+        unparsed = python_symbols.unparsed(F.col("_symbols"))
+        hits = F.when(F.col("suspicious"), language_hits()).otherwise(no_hits())
+        outside = F.transform(F.concat(findings_of(hits), python_symbols.python_findings(F.col("_symbols"))),
+                              algebra.external_severity_struct)
         if policy.is_kernel:
             outside = F.filter(outside, lambda f: f["rule"].isin(*KERNEL_RULES))
         found = F.concat(found, outside)
     preview = selection.content_preview(F.col("content"), options.include_content or policy.include_content_preview)
     return rows.withColumn("_found", found).select(
-        *typed.columns, "suspicious", algebra.ordered(F.col("_found")).alias("findings"),
-        preview.alias("content_preview"))
+        *typed.columns, "suspicious", F.explode_outer(F.array(algebra.ordered(F.col("_found")))).alias("findings"),
+        preview.alias("content_preview"), unparsed.alias("unparsed"))
 
 
 @dataclass
@@ -129,6 +140,7 @@ class Review:
     entries: DataFrame
     unreadable: DataFrame
     budgeted: DataFrame | None
+    reviewed: DataFrame | None = None  # every discovered file with its marks and findings, in one pass
 
     @property
     def findings(self) -> DataFrame:
@@ -136,18 +148,13 @@ class Review:
 
     @property
     def python_findings(self) -> DataFrame:
-        """Syntax-tree findings of suspicious Python files; the one plane that needs Python.
-
-        It reads only those files and is merged by :meth:`with_python`.
-        """
-        wanted = self.entries.filter("suspicious AND language = 'python'") if (
-            self.policy.language_planes and not self.options.fast) else self.entries.limit(0)
-        symbols = python_symbols.python_symbols(wanted.select("path", "content"), "path")
-        return python_symbols.symbol_findings(symbols, "path")
+        """The syntax-tree findings of suspicious Python files."""
+        return self.findings.filter("origin = 'language' AND language = 'python'").drop("language")
 
-    def with_python(self) -> DataFrame:
-        """The entries with Python findings added, ordered again; texts take no part in the join."""
-        return add_findings(self.entries, self.python_findings)
+    @property
+    def unparsed(self) -> DataFrame:
+        """Python files of the language plane that do not parse."""
+        return self.entries.filter("unparsed").select("path", "size")
 
     def file_entries(self) -> DataFrame:
         """``path, size, findings, content_preview``."""
@@ -170,25 +177,28 @@ def review(files: DataFrame, policy: Policy, options: ReviewOptions = ReviewOpti
            root: Column | None = None) -> Review:
     """Plan a review of binary ``files(path, size, content[, modified])``.
 
-    With a budget the files are classified first, and the narrow result (no texts) is
-    checkpointed: the budget and the counters read it, and the texts are then read once more
-    for the files that are kept.
+    By default every file is reviewed, whole, in one pass.  With a budget the files are
+    classified first, and the narrow result (no texts) is checkpointed: the budget and the
+    counters read it, and the texts are then read once more for the files that are kept.
     """
     classified = classify(files, policy, ignore_rules, root)
-    marks = classified.select("path", "size", "is_text", "too_large")
-    budgeted = None
-    if options.budget:
-        marks = checkpointed(marks)
-        limits = policy.limits
-        budgeted = selection.budget_prefix(
-            marks.filter(F.col("is_text") & ~F.col("too_large")), limits.max_files, limits.max_total_bytes)
-        kept = budgeted.filter("within_budget").select("path")
-        # at most ``max_files`` names are kept, so the policy says whether they may be broadcast
-        small = limits.max_files <= BROADCAST_NAMES
-        eligible = files.join(F.broadcast(kept) if small else kept, "path", "left_semi")
-    else:
-        eligible = classified.filter(F.col("is_text") & ~F.col("too_large")).drop("is_text", "too_large")
+    if not options.size_limit:
+        classified = classified.withColumn("too_large", F.lit(False))
     limit = None if options.whole_texts else policy.limits.max_file_read_bytes
+    marks = classified.select("path", "size", "is_text", "too_large")
+    if not options.budget:
+        eligible = F.col("is_text") & ~F.col("too_large")
+        read = classified.withColumn("_text", F.when(eligible, selection.preview_text(F.col("content"), limit)))
+        marked = read.withColumns({"readable": F.col("_text").isNotNull(), "content": F.coalesce("_text", F.lit(""))}).drop("_text")
+        reviewed = review_files(marked, policy, options)
+        entries = reviewed.filter("is_text AND NOT too_large AND readable").drop("is_text", "too_large", "readable")
+        unreadable = marked.filter("is_text AND NOT too_large AND NOT readable").select("path", "size")
+        return Review(policy, options, marks, entries, unreadable, None, reviewed)
+    marks = checkpointed(marks)
+    limits = policy.limits
+    budgeted = selection.budget_prefix(
+        marks.filter(F.col("is_text") & ~F.col("too_large")), limits.max_files, limits.max_total_bytes)
+    eligible = files.join(budgeted.filter("within_budget").select("path"), "path", "left_semi")
     read = eligible.withColumn("_text", selection.preview_text(F.col("content"), limit))
     text = read.filter(F.col("_text").isNotNull()).withColumn("content", F.col("_text")).drop("_text")
     unreadable = read.filter(F.col("_text").isNull()).select("path", "size")

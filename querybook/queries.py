@@ -16,7 +16,7 @@ from lineweave.operators.lines import explode_lines, unnest_findings, viewed
 from lineweave.operators.rulepack import RulePack, UserRule
 from lineweave.plans import incremental, report, review_queue as queue
 from lineweave.plans.policies import BY_NAME, POLICIES, Policy, evaluated_rules, policy_named, policy_rule_table
-from lineweave.plans.review import Review, ReviewOptions, review, review_files
+from lineweave.plans.review import ReviewOptions, review, review_files
 from lineweave.session import scratch_dir
 from lineweave.sources import selection
 from lineweave.streaming.ingest import review_batch
@@ -337,9 +337,8 @@ def python_review(spark, sf_dir):
     """Whole Python files, parsed in the tasks, as the review merges them."""
     files = dense_files(spark, sf_dir, "scripts").select(
         "path", "language", "content", F.octet_length("content").cast("long").alias("size"))
-    policy, options = policy_named("security"), ReviewOptions(rule_set="scan", budget=False)
-    result = Review(policy, options, files, review_files(files, policy, options), files.limit(0), None)
-    found = unnest_findings(result.with_python(), "findings", "path")
+    entries = review_files(files, policy_named("security"), ReviewOptions(rule_set="scan"))
+    found = unnest_findings(entries, "findings", "path")
     return found.filter("origin = 'language'").select("path", "line", "rule", "severity", "message")
 
 
@@ -480,7 +479,7 @@ def rule_pack(spark, sf_dir):
 
 
 # --- reviews, entries, report -------------------------------------------------------------
-WHOLE = ReviewOptions(rule_set="all", whole_texts=True, budget=False)
+WHOLE = ReviewOptions(rule_set="all")
 
 
 def review_entries(spark, sf_dir, policy: str, *languages: str, options: ReviewOptions = WHOLE) -> DataFrame:
@@ -564,23 +563,13 @@ def security_review(spark, sf_dir):
     return found.select("path", F.coalesce("line", F.lit(0)).alias("line"), "rule", "severity", "message", "origin")
 
 
-_security_limits = BY_NAME["security"].limits
-_kept_paths = f"""SELECT path, size FROM (
-      SELECT path, size, row_number() OVER (ORDER BY path) AS nth, sum(size) OVER (ORDER BY path) AS total
-      FROM (SELECT path, CAST(strlen(content) AS BIGINT) AS size FROM code_files))
-    WHERE nth <= {_security_limits.max_files} AND total - size < {_security_limits.max_total_bytes}
-      AND total <= {_security_limits.max_total_bytes}"""
-
-
 @register("report", compose(f"""
-    SELECT '2' AS schema_version, 'security' AS profile, d.n AS files_discovered, k.n AS files_scanned,
-      k.n AS files_selected, d.n - k.n AS files_skipped, k.bytes AS total_bytes, 0 AS skipped_large_files,
-      k.n < d.n AS truncated, s.* , 'Scanned ' || d.n || ' files (' || k.n || ' scanned), ' || s.findings_total
+    SELECT '2' AS schema_version, 'security' AS profile, d.n AS files_discovered, d.n AS files_scanned,
+      d.n AS files_selected, 0 AS files_skipped, d.bytes AS total_bytes, 0 AS skipped_large_files,
+      false AS truncated, s.* , 'Scanned ' || d.n || ' files (' || d.n || ' scanned), ' || s.findings_total
       || ' findings' AS summary
-    FROM (SELECT count(*) AS n FROM code_files) d,
-      (SELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM ({_kept_paths})) k,
-      (SELECT {_counters}, count(*) AS findings_total FROM ({_security})
-       WHERE path IN (SELECT path FROM ({_kept_paths}))) s""", "local_findings", "language_findings"))
+    FROM (SELECT count(*) AS n, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM code_files) d,
+      (SELECT {_counters}, count(*) AS findings_total FROM ({_security})) s""", "local_findings", "language_findings"))
 def report_query(spark, sf_dir):
     result = review(binary_code_files(spark, sf_dir), policy_named("security"), ReviewOptions(rule_set="all"))
     row = report.report_row(result, root="src")

@@ -8,17 +8,8 @@ from pyspark.sql import functions as F
 from lineweave.sources.corpus import table_as_files
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table in fewer pieces than there are cores is spread over them.
-
-    A large table has many pieces and is left as it is, so no text is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:

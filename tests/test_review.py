@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lineweave.operators import findings as algebra
 from lineweave.operators import fixes
 from lineweave.operators.lines import unnest_findings
+from lineweave.operators.rulepack import RulePack, UserRule
 from lineweave.plans import report, review_queue
 from lineweave.plans.policies import BY_NAME, POLICIES, Policy, policy_named, policy_rule_table, policy_table
 from lineweave.plans.review import ReviewOptions, review, review_files
@@ -63,7 +64,7 @@ def test_counters_and_report(spark, files):
     corpus = files(("good.txt", "secret TODO"), ("big.txt", "x" * 2048), ("blob.bin", b"\xff\xfe"), ("e.bin", b""),
                    ("bad.txt", b"ab\xff"))
     policy = policy_named("quick").with_limits(max_file_size_bytes=1024)
-    result = review(corpus, policy, SCAN)
+    result = review(corpus, policy, replace(SCAN, size_limit=True))
     row = report.report_row(result, "r").first()
     assert (row.files_discovered, row.files_scanned, row.files_selected, row.files_skipped) == (5, 3, 2, 3)
     assert (row.skipped_large_files, row.total_bytes, row.truncated) == (1, 14, False)
@@ -79,7 +80,7 @@ def test_counters_and_report(spark, files):
 
 def test_budget_truncates(spark, files):
     corpus = files(*[(f"f{i:02d}.txt", "x" * 10) for i in range(30)])
-    result = review(corpus, policy_named("quick").with_limits(max_files=7), SCAN)
+    result = review(corpus, policy_named("quick").with_limits(max_files=7), replace(SCAN, budget=True))
     row = report.report_row(result).first()
     assert (row.files_scanned, row.total_bytes, row.truncated) == (7, 70, True)
     assert paths(result.entries) == [f"f{i:02d}.txt" for i in range(7)]
@@ -88,11 +89,29 @@ def test_budget_truncates(spark, files):
 def test_preview_limit_and_whole_texts(spark, files):
     corpus = files(("a.txt", "é" * 10 + " secret"))
     policy = policy_named("quick").with_limits(max_file_read_bytes=5)
-    assert review(corpus, policy, SCAN).findings.count() == 0
-    assert review(corpus, policy, SCAN).entries.first()["content"] == "éé"
-    assert review(corpus, policy, replace(SCAN, whole_texts=True)).findings.count() == 1
+    short = review(corpus, policy, replace(SCAN, whole_texts=False))
+    assert short.findings.count() == 0 and short.entries.first()["content"] == "éé"
+    assert review(corpus, policy, SCAN).findings.count() == 1
 
 
+def test_everything_is_reviewed_by_default(spark, files):
+    corpus = files(*[(f"f{i:03d}.txt", "x" * 3000 + " secret") for i in range(30)])
+    tight = policy_named("quick").with_limits(max_files=3, max_total_bytes=100, max_file_size_bytes=10, max_file_read_bytes=10)
+    row = report.report_row(review(corpus, tight, SCAN)).first()
+    assert (row.files_scanned, row.truncated, row.skipped_large_files, row.stats.findings_total) == (30, False, 0, 30)
+    assert "Exchange" not in plan_of(review(corpus, tight, SCAN).entries)
+
+
+def test_filters_on_findings_stay_above_the_review(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    typed = docs.selectExpr("source AS path", "n_chars AS size", "'java' AS language", "text AS content")
+    entries = review_files(typed, policy_named("quick"))
+    plain, filtered = plan_of(entries), plan_of(report.markdown_entries(entries))
+    assert filtered.count("_gate") <= plain.count("_gate") + 1
+    assert len(filtered) < 1.5 * len(plain) + 4000
+    code = typed.select("path", "language", "content")
+    assert len(plan_of(fixes.fix_files(code))) < 1.5 * len(plan_of(fixes.with_fixes(code))) + 4000
+
 def test_gate(spark, files):
     result = review(files(("secrets.txt", "password = x")), policy_named("security"), SCAN)
     for threshold, tripped in (("none", False), ("info", True), ("high", True), ("critical", False)):
@@ -125,14 +144,26 @@ def test_language_plane_is_gated_and_cleaned(spark, files):
 def test_python_plane_is_merged(spark, files):
     corpus = files(("a.py", "print(eval(password))\n"), ("b.py", "print(1)\n"), ("c.py", "password = (\n"))
     result = review(corpus, policy_named("security"), SCAN)
-    merged = {r["path"]: [f["rule"] for f in r["findings"]] for r in result.with_python().collect()}
+    merged = {r["path"]: [f["rule"] for f in r["findings"]] for r in result.entries.collect()}
     assert merged == {"a.py": ["possible-secret", "python-eval-usage", "debug-print"], "b.py": [],
                       "c.py": ["possible-secret"]}
-    row = report.report_row(result, entries=result.with_python()).first()
-    assert row.stats.findings_total == 4
+    assert report.report_row(result).first().stats.findings_total == 4
+    assert report.report_row(result, entries=result.entries).first().stats.findings_total == 4
+    assert [r["rule"] for r in result.python_findings.orderBy("rule").collect()] == ["debug-print", "python-eval-usage"]
+    assert [(d.path, d.source) for d in report.diagnostics(result).collect()] == [("c.py", "worker")]
     assert review(corpus, policy_named("quick"), SCAN).python_findings.count() == 0
 
 
+def test_rule_packs_take_part_in_the_review(spark, files):
+    pack = RulePack("house", [UserRule("no-shell", "high", "security", "Shell", lambda v: F.contains(v["lower"], F.lit("exec"))),
+                              UserRule("note", "info", "style", "Note", lambda v: F.contains(v["raw"], F.lit("x")), ("python",))])
+    corpus = files(("a.py", "ok\nEXEC x\n"), ("b.rs", "exec"))
+    result = review(corpus, replace(policy_named("quick"), severity_threshold="low"), replace(SCAN, rule_packs=(pack,)))
+    got = sorted((r["path"], r["rule"], r["line"], r["source"]) for r in result.findings.collect())
+    assert got == [("a.py", "no-shell", 2, "rule-pack:house"), ("b.rs", "no-shell", 1, "rule-pack:house")]
+    assert report.report_row(result).first().severity_breakdown.high == 2
+
+
 def test_entries_are_ordered_and_rendered(spark, files):
     corpus = files(("a.py", "# TODO x;\nunsafe\nprint(1)\n"), ("b.py", "x = 1\n"))
     result = review(corpus, policy_named("strict"), ReviewOptions(rule_set="all"))
@@ -156,6 +187,7 @@ def test_sinks(spark, files, tmp_path):
     report.write_markdown(result.entries, str(tmp_path / "md"))
     assert spark.read.json(str(tmp_path / "json" / "files")).first()["path"] == "a.py"
     assert spark.read.json(str(tmp_path / "json" / "report")).first()["files_scanned"] == 1
+    assert spark.read.text(str(tmp_path / "json" / "diagnostics")).count() == 0
     assert spark.read.text(str(tmp_path / "md")).first()["value"] == "### `a.py`"
 
 

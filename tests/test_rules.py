@@ -177,18 +177,16 @@ def test_c_flow_rules(spark):
         assert sorted(got.get(path, [])) == sorted(want), path
 
 
-def test_caps_are_opt_in(spark):
-    text = "".join(f"\tspin_lock(&l{i});\n" for i in range(70)) + "\tspin_unlock(&l0);\n" * 1
+def test_files_and_names_are_followed_whole(spark):
+    text = "".join(f"\tspin_lock(&l{i});\n" for i in range(70)) + "\tspin_unlock(&l0);\n"
     unlocked = "".join(f"\tspin_unlock(&l{i});\n" for i in range(64))
-    df = spark.createDataFrame([("a.c", "c", text + unlocked + "\treturn 0;\n")], "path string, language string, content string")
-    lines = with_lines(df, keep_cr=True)
-
-    def rules(caps):
-        hits = lines.select("path", c_rules.flow_hits(F.col("lines"), F.col("content"), caps).alias("h"))
-        return [r["rule"] for r in findings_from_hits(hits, "h", "path").collect()]
-
-    assert rules(c_rules.UNCAPPED) == ["return-without-unlock"]
-    assert rules(c_rules.PARITY_CAPS) == []
+    long = "x" * 63
+    other = f"\tspin_lock(&{long}a);\n\tspin_unlock(&{long}b);\n\treturn 0;\n"
+    df = spark.createDataFrame([("a.c", "c", text + unlocked + "\treturn 0;\n"), ("b.c", "c", other)],
+                               "path string, language string, content string")
+    hits = with_lines(df, keep_cr=True).select("path", c_rules.flow_hits(F.col("lines"), F.col("content")).alias("h"))
+    found = findings_from_hits(hits, "h", "path").collect()
+    assert sorted((r["path"], r["rule"]) for r in found) == [("a.c", "return-without-unlock"), ("b.c", "return-without-unlock")]
 
 
 def test_c_style(spark):
