@@ -45,7 +45,6 @@ KERNEL_RULES = (
 # Sizes and limits.
 LARGE_FILE_BYTES = 20 * 1024
 PREVIEW_CHARS = 1024
-HASH_BYTES = 4096
 LONG_FUNCTION_LINES = 60
 STYLE_LINE_BYTES = 80
 MAX_EXTERNAL_FINDINGS = 500

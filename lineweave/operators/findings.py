@@ -45,29 +45,38 @@ def retain(findings: DataFrame, policy) -> DataFrame:
 
 
 def retain_for_policies(findings: DataFrame, policy_rules: DataFrame) -> DataFrame:
-    """Findings of every policy at once.
+    """Local findings of every policy at once.
 
     ``policy_rules`` has one row per policy and rule it evaluates (see
-    ``plans.policies.policy_rule_table``); it comes from a literal list, so it is broadcast
-    and joined on the rule name.
+    ``plans.policies.policy_rule_table``) and is joined on the rule name.
     """
-    joined = findings.join(F.broadcast(policy_rules), "rule")
+    joined = findings.join(policy_rules, "rule")
     keep = F.when(F.col("kernel"), kernel_allowed(F.col("rule"))).otherwise(
         F.col("prioritized") | (severity_rank(F.col("severity")) >= F.col("threshold_rank")))
     return joined.filter(keep)
 
 
+def language_for_policies(findings: DataFrame, gates: DataFrame, policy_planes: DataFrame) -> DataFrame:
+    """Language-plane findings of every policy that has language planes, of the files that its gate lets through.
+
+    ``gates`` has ``path, policy`` of suspicious files, ``policy_planes`` ``policy, kernel``.  The kernel policy keeps
+    its allow-list; thresholds do not apply to these findings.
+    """
+    let_through = gates.join(policy_planes, "policy")
+    return findings.filter(~is_local(F.col("origin"))).join(let_through, "path").filter(
+        ~F.col("kernel") | kernel_allowed(F.col("rule")))
+
+
 def sanitize_external(raw: DataFrame, *order: str, source: str = "worker", key: str = "path",
                       limit: int = MAX_EXTERNAL_FINDINGS) -> DataFrame:
-    """Clean findings reported by something outside: at most ``limit`` per file in ``order``,
-    clipped fields, known severities, stamped source.
+    """Findings reported by something outside, cleaned: clipped fields, known severities, stamped source.
 
-    The row limit is the point of the operator.  It is written as ``row_number <= limit``
-    directly on the window, so each task keeps at most ``limit`` rows of a file before the
-    shuffle and a file with very many rows does not gather in one task.
+    Every row stays: ``nth`` is its place in its file by ``order`` and ``kept`` says whether it is
+    within the ``limit`` per file.  Consumers of bounded lists filter on ``kept``; a filter on
+    ``nth <= limit`` lets the planner keep at most so many rows a task.
     """
     ranked = raw.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order)))
-    return ranked.filter(F.col("_n") <= limit).select(
+    return ranked.select(
         key,
         clip_bytes(F.col("rule"), MAX_NAME_BYTES).alias("rule"),
         external_severity(F.col("severity")).alias("severity"),
@@ -76,9 +85,15 @@ def sanitize_external(raw: DataFrame, *order: str, source: str = "worker", key:
         F.col("line").cast("int").alias("line"),
         F.lit(source).alias("source"),
         F.col("_n").alias("nth"),
+        (F.col("_n") <= limit).alias("kept"),
     )
 
 
+def over_limit(cleaned: DataFrame, key: str = "path") -> DataFrame:
+    """``key, dropped``: how many findings of each file are over the limit."""
+    return cleaned.groupBy(key).agg(F.count_if(~F.col("kept")).alias("dropped")).filter("dropped > 0")
+
+
 def external_severity_struct(finding: Column) -> Column:
     """The same cleaning for a finding struct that never left its row."""
     return finding.withField("severity", external_severity(finding["severity"]))

@@ -6,30 +6,47 @@ only (path, size, time, hash); texts are read again just for the files that chan
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import HASH_BYTES, STORE_VERSION
+from ..functions.findings_schema import FINDINGS_TYPE, RULES
+from ..functions.fixed_values import PYTHON_SYMBOL_RULES, STORE_VERSION
 from ..session import checkpointed
+from .policies import Policy, policy_named
+from .review import ReviewOptions, review_files
 
 KEY_COLUMNS = ("path", "size", "modified", "content_hash")
 STORE_COLUMNS = KEY_COLUMNS + ("ruleset_version", "findings", "content_preview")
-BROADCAST_ROWS = 500_000
 
 
-def content_hash(content: Column, hash_bytes: int | None = HASH_BYTES) -> Column:
-    """SHA-256 of the first ``hash_bytes`` bytes of the text; None hashes all of it."""
+def content_hash(content: Column, hash_bytes: int | None = None) -> Column:
+    """SHA-256 of the whole text, or of its first ``hash_bytes`` bytes where a number is given."""
     data = F.encode(content, "UTF-8")
     return F.sha2(data if hash_bytes is None else F.substring(data, 1, hash_bytes), 256)
 
 
-def with_fingerprint(files: DataFrame, hash_bytes: int | None = HASH_BYTES) -> DataFrame:
+def with_fingerprint(files: DataFrame, hash_bytes: int | None = None) -> DataFrame:
     return files.withColumn("content_hash", content_hash(F.col("content"), hash_bytes))
 
 
-def ruleset_version(policy_name: str, rule_set: str = "all", version: int = STORE_VERSION) -> str:
-    """Entries made under another policy, rule set or layout are not reused."""
-    return f"{version}:{policy_name}:{rule_set}"
+def ruleset_version(policy: Policy | str, rule_set: str = "all", version: int = STORE_VERSION,
+                    options: ReviewOptions | None = None) -> str:
+    """Entries made under another policy, rule set, options, rule texts or layout are not reused."""
+    policy = policy_named(policy) if isinstance(policy, str) else policy
+    packs = [(pack.name, [(r.rule, r.severity, r.category, r.message, r.languages) for r in pack.rules])
+             for pack in (options.rule_packs if options else ())]
+    rest = replace(options, rule_packs=()) if options else None
+    seen = repr((policy, rule_set, rest, packs, RULES, PYTHON_SYMBOL_RULES))
+    return f"{version}:{policy.name}:{rule_set}:{hashlib.sha256(seen.encode()).hexdigest()[:16]}"
+
+
+def store_schema() -> str:
+    """The layout of a store, for a first scan without one."""
+    return ("path string, size bigint, modified timestamp, content_hash string, ruleset_version string, "
+            f"findings {FINDINGS_TYPE}, content_preview string")
 
 
 def usable(store: DataFrame, version: str) -> DataFrame:
@@ -52,17 +69,26 @@ def missed_keys(files: DataFrame, store: DataFrame, version: str) -> DataFrame:
     return keys.join(stored, F.expr(SAME), "left_anti").select("path")
 
 
-def misses(files: DataFrame, store: DataFrame, version: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def misses(files: DataFrame, store: DataFrame, version: str) -> DataFrame:
     """The files to analyse, texts included.
 
-    After the first scan few files change.  Their names are checkpointed, so that hashing
-    every text happens once, and counted up to the limit: a short list is broadcast, so that
-    texts are filtered where they are read; a long one (first scan, new rules) is joined with
-    a shuffle.
+    The names of changed files are checkpointed, so that hashing every text happens once; the
+    join with the texts is the planner's to choose by the size of that list.
+    """
+    return files.join(checkpointed(missed_keys(files, store, version)), "path", "left_semi")
+
+
+def rescan(files: DataFrame, store: DataFrame, policy: Policy, options: ReviewOptions) -> DataFrame:
+    """The next store after a scan of ``files``: stored entries that are still true, fresh reviews of the rest.
+
+    Fingerprints are taken once, into a narrow checkpoint; only changed texts are read again.
     """
-    changed = checkpointed(missed_keys(files, store, version))
-    short = changed.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return files.join(F.broadcast(changed) if short else changed, "path", "left_semi")
+    version = ruleset_version(policy, options.rule_set, options=options)
+    keys = checkpointed(with_fingerprint(files).select(*KEY_COLUMNS))
+    changed = missed_keys(keys, store, version)
+    todo = files.join(checkpointed(changed), "path", "left_semi").join(keys.select("path", "content_hash"), "path")
+    fresh = entries_to_store(review_files(todo, policy, options), version)
+    return hits(keys, store, version).unionByName(fresh)
 
 
 def entries_to_store(entries: DataFrame, version: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
+from ..sources.selection import budget_prefix
 from .report import diagnostic
 
 MAX_LINE = 4294967295  # Fixed value: line numbers are unsigned 32-bit
@@ -17,16 +18,19 @@ def bounded_content(content: Column, max_chars: int) -> Column:
 
 
 def review_queue(entries: DataFrame, policy, budget: int | None = None) -> DataFrame:
-    """The first ``budget`` suspicious files by path: ``path, language, content, policy``.
+    """All suspicious files by path: ``path, language, content, policy, place, within_budget``.
 
-    The limit is the policy's review budget.  Spark plans order and limit together, so each
-    task keeps at most ``budget`` rows.
+    ``within_budget`` marks the first ``budget`` of them (the policy's review budget by default);
+    the rest stay in the table.  Places come from running counts per range of paths, as the file
+    budget's do, so no task sees all paths.
     """
     allowed = policy.review.max_files if budget is None else budget
     queue = entries.filter("suspicious").select(
         "path", "language", bounded_content(F.col("content"), policy.review.max_content_chars).alias("content"),
         F.lit(policy.name).alias("policy"))
-    return queue.orderBy("path").limit(allowed)
+    # every file counts as one byte, so the byte limit never binds before the number of files
+    places = budget_prefix(queue.select("path", F.lit(1).cast("long").alias("size")), allowed, allowed)
+    return queue.join(places.select("path", F.col("nth").alias("place"), "within_budget"), "path")
 
 
 def response_text(body: Column) -> Column:

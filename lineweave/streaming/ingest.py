@@ -31,7 +31,7 @@ def review_batch(batch: DataFrame, batch_id: int, target: str, policy: Policy,
     after a failure leaves the same result.
     """
     spark = batch.sparkSession
-    version = incremental.ruleset_version(policy.name, options.rule_set)
+    version = incremental.ruleset_version(policy, options.rule_set, options=options)
     files = incremental.with_fingerprint(batch, hash_bytes)
     log = _log_before(spark, f"{target}/entries", batch_id)
     if log is not None:

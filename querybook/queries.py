@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.functions import fixed_values as V
 from lineweave.functions.findings_schema import findings_from_hits, no_hits
+from lineweave.functions.severity import external_severity
 from lineweave.operators import (
     block_rules, c_rules, file_rules, findings as algebra, fixes, line_rules, python_symbols, script_rules, secrets,
 )
 from lineweave.operators.lines import explode_lines, unnest_findings, viewed
 from lineweave.operators.rulepack import RulePack, UserRule
 from lineweave.plans import incremental, report, review_queue as queue
-from lineweave.plans.policies import BY_NAME, POLICIES, Policy, evaluated_rules, policy_named, policy_rule_table
-from lineweave.plans.review import ReviewOptions, review, review_files
-from lineweave.session import scratch_dir
+from lineweave.plans.policies import (
+    BY_NAME, POLICIES, Policy, ReviewBudget, evaluated_rules, policy_named, policy_rule_table, policy_table,
+)
+from lineweave.plans.review import ReviewOptions, language_hits, review, review_files
+from lineweave.session import scratch_dir, stored
 from lineweave.sources import selection
 from lineweave.streaming.ingest import review_batch
 
@@ -379,11 +383,33 @@ _retained = (f"SELECT policy, path, line, rule, severity FROM local_findings JOI
                         ELSE prioritized OR {_rank} >= threshold END""")
 
 
+_gates = " UNION ALL ".join(
+    f"SELECT path, '{p.name}' AS policy, {str(p.is_kernel).lower()} AS kernel FROM code_files "
+    f"WHERE {D.has('lower(content)', [w.lower() for w in p.suspicious_patterns])}" for p in POLICIES if p.language_planes)
+_all_retained = f"""{_retained} UNION ALL SELECT policy, path, line, rule, severity FROM language_findings JOIN ({_gates}) USING (path)
+    WHERE NOT kernel OR rule IN {in_list(V.KERNEL_RULES)}"""
+
+
+def policy_findings(spark, sf_dir) -> DataFrame:
+    """Findings of all policies: local ones by rule and threshold, those of the language planes by gate."""
+    files = code_files(spark, sf_dir)
+    views = files.withColumn("_lines", F.col("lines")).withColumn("_views", viewed(F.col("_lines")))
+    outside = findings_from_hits(views.select("path", language_hits().alias("hits")), "hits", "path")
+    outside = outside.withColumn("severity", external_severity(F.col("severity")))
+    gated = F.array_compact(F.array(*[
+        F.when(selection.is_suspicious(F.col("content"), p.suspicious_patterns), F.lit(p.name))
+        for p in POLICIES if p.language_planes]))
+    gates = files.select("path", F.explode_outer(gated).alias("policy")).filter(F.col("policy").isNotNull())
+    planes = spark.createDataFrame([(p.name, p.is_kernel) for p in POLICIES if p.language_planes], "policy string, kernel boolean")
+    columns = ("policy", "path", "line", "rule", "severity")
+    local = algebra.retain_for_policies(local_findings(spark, sf_dir), policy_rule_table(spark))
+    return local.select(*columns).unionByName(algebra.language_for_policies(outside, gates, planes).select(*columns))
+
+
 @register("retain_policies", compose(
-    f"SELECT policy, path, coalesce(line, 0) AS line, rule, severity FROM ({_retained})", "local_findings"))
+    f"SELECT policy, path, coalesce(line, 0) AS line, rule, severity FROM ({_all_retained})", "local_findings", "language_findings"))
 def retain_policies(spark, sf_dir):
-    kept = algebra.retain_for_policies(local_findings(spark, sf_dir), policy_rule_table(spark))
-    return kept.select("policy", "path", F.coalesce("line", F.lit(0)).alias("line"), "rule", "severity")
+    return policy_findings(spark, sf_dir).withColumn("line", F.coalesce("line", F.lit(0)))
 
 
 _FIVE = ("info", "low", "medium", "high", "critical")
@@ -393,10 +419,15 @@ _counters = ", ".join(f"count(*) FILTER ({_norm} = '{s}') AS {s}" for s in _FIVE
 
 
 @register("policy_severity_breakdown", compose(
-    f"SELECT policy, {_counters}, count(*) AS findings_total FROM ({_retained}) GROUP BY policy", "local_findings"))
+    f"""SELECT p.policy, {", ".join(f"coalesce({name}, 0) AS {name}" for name in _FIVE)}, coalesce(findings_total, 0) AS findings_total
+    FROM {values([(p.name,) for p in POLICIES], "p(policy)")} LEFT JOIN
+      (SELECT policy, {_counters}, count(*) AS findings_total FROM ({_all_retained}) GROUP BY policy) USING (policy)""",
+    "local_findings", "language_findings"))
 def policy_severity_breakdown(spark, sf_dir):
-    kept = algebra.retain_for_policies(local_findings(spark, sf_dir), policy_rule_table(spark))
-    return algebra.severity_breakdown(kept, "policy")
+    """A row for every policy, those without findings too."""
+    counted = algebra.severity_breakdown(policy_findings(spark, sf_dir), "policy")
+    names = policy_table(spark).select("policy")
+    return names.join(counted, "policy", "left").fillna(0, [*_FIVE, "findings_total"])
 
 
 @register("severity_breakdown", compose(
@@ -429,12 +460,11 @@ SEVERITIES_SEEN = (" High ", "warning", "CRITICAL", "low", "note")
     SELECT path, nth, CASE WHEN strlen(rule) > 256 THEN substr(rule, 1, 256) ELSE rule END AS rule,
       CASE WHEN lower(trim(severity)) IN ('critical', 'high', 'medium', 'low', 'info') THEN lower(trim(severity))
            ELSE 'info' END AS severity,
-      sha256(CASE WHEN strlen(message) > 4096 THEN substr(message, 1, 2048) ELSE message END) AS message_hash, source
+      sha256(CASE WHEN strlen(message) > 4096 THEN substr(message, 1, 2048) ELSE message END) AS message_hash, source, nth <= 500 AS kept
     FROM (SELECT 'f' || (event_id % 7) AS path, 'rule-' || repeat('x', event_id % 300) AS rule,
             ([{', '.join(map(q, SEVERITIES_SEEN))}])[event_id % 5 + 1] AS severity,
             'a' || repeat('é', event_id % 2500) AS message, 'worker' AS source,
-            row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) AS nth FROM events)
-    WHERE nth <= 500""")
+            row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) AS nth FROM events)""")
 def sanitize(spark, sf_dir):
     events = table(spark, sf_dir, "events", "event_id")
     severity = F.get(F.array(*[F.lit(s) for s in SEVERITIES_SEEN]), (F.col("event_id") % 5).cast("int"))
@@ -445,7 +475,7 @@ def sanitize(spark, sf_dir):
         F.concat(F.lit("a"), F.repeat(F.lit("é"), (F.col("event_id") % 2500).cast("int"))).alias("message"))
     clean = algebra.sanitize_external(raw, "event_id")
     return clean.select("path", F.col("nth").cast("long").alias("nth"), "rule", "severity",
-                        F.sha2("message", 256).alias("message_hash"), "source")
+                        F.sha2("message", 256).alias("message_hash"), "source", "kept")
 
 
 @register("dedup_findings", compose(
@@ -651,7 +681,7 @@ def prior_store(files: DataFrame) -> DataFrame:
     return store.unionByName(gone)
 
 
-_hash = f"sha256(encode(text)[1:{V.HASH_BYTES}])"
+_hash = "sha256(text)"
 _hit = "doc_id % 2 = 0 AND doc_id % 10 NOT IN (4, 6)"
 
 
@@ -681,17 +711,47 @@ def incremental_store(spark, sf_dir):
     return incremental.upsert(store, fresh, VERSION).select("path", "content_hash", "ruleset_version")
 
 
+def edited(files: DataFrame) -> DataFrame:
+    """The corpus as a later scan finds it: every third document has another end, of the same length."""
+    doc = F.substring_index("path", "/", -1).cast("long")
+    ended = F.concat(F.substring("content", F.lit(1), F.greatest(F.char_length("content") - 6, F.lit(0))), F.lit("secret"))
+    return files.withColumn("content", F.when((doc % 3 == 0) & (F.octet_length("content") == F.octet_length(ended)), ended)
+                            .otherwise(F.col("content")))
+
+
+_rewritten = """(SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND strlen(text) = strlen(ended) THEN ended ELSE text END AS text FROM (
+    SELECT doc_id, text, substr(text, 1, greatest(length(text) - 6, 0)) || 'secret' AS ended FROM documents))"""
+
+
+@register("incremental_rescan", f"""
+    SELECT {DOC_PATH} AS path, {_hash} AS content_hash, coalesce(rules, '') AS rules FROM {_rewritten} d LEFT JOIN (
+      SELECT path AS doc_id, string_agg(rule, ',' ORDER BY rule) AS rules FROM (
+        {D.worded(D.file_rule_rows(_rewritten, "doc_id", "text"), V.FILE_RULES)})
+      WHERE rule IN {in_list(BY_NAME["quick"].rules)} GROUP BY path) f USING (doc_id)""")
+def incremental_rescan(spark, sf_dir):
+    """A first scan, edits near the ends of texts, and a rescan that reviews the edited texts only; equal to a full scan."""
+    policy, options = policy_named("quick"), ReviewOptions(rule_set="scan")
+    files = document_files(spark, sf_dir)
+    nothing = files.sparkSession.createDataFrame([], incremental.store_schema())
+    store = stored(incremental.rescan(files, nothing, policy, options), "review-store")
+    now = incremental.rescan(edited(files), store, policy, options)
+    return now.select("path", "content_hash", F.array_join(F.array_sort(F.transform("findings", lambda f: f["rule"])), ",").alias("rules"))
+
+
 # --- review queue -----------------------------------------------------------------------------
+QUEUED = replace(BY_NAME["security"], review=ReviewBudget(True, 80))
+
+
 @register("review_queue", f"""
-    SELECT {DOC_PATH} AS path, 'security' AS policy,
+    SELECT {DOC_PATH} AS path, 'security' AS policy, row_number() OVER (ORDER BY doc_id) AS place,
+      row_number() OVER (ORDER BY doc_id) <= {QUEUED.review.max_files} AS within_budget,
       sha256(CASE WHEN strlen(text) > 12000 THEN substr(text, 1, 12000) ELSE text END) AS content_hash
-    FROM documents WHERE {D.has("lower(text)", _security_words)} ORDER BY doc_id LIMIT 80""")
+    FROM documents WHERE {D.has("lower(text)", _security_words)}""")
 def review_queue(spark, sf_dir):
-    policy = policy_named("security")
     files = document_files(spark, sf_dir)
-    gated = files.withColumn("suspicious", selection.is_suspicious(F.col("content"), policy.suspicious_patterns))
-    return queue.review_queue(gated, policy, budget=policy_named("deep").review.max_files).select(
-        "path", "policy", F.sha2("content", 256).alias("content_hash"))
+    gated = files.withColumn("suspicious", selection.is_suspicious(F.col("content"), QUEUED.suspicious_patterns))
+    return queue.review_queue(gated, QUEUED).select(
+        "path", "policy", F.col("place").cast("long").alias("place"), "within_budget", F.sha2("content", 256).alias("content_hash"))
 
 
 _response = r"""CASE WHEN doc_id % 7 = 0 THEN '{"choices": [{"message": {"content": "  "}}]}'

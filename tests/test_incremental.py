@@ -1,6 +1,8 @@
 import datetime
+from dataclasses import replace
+
+from pyspark.sql import functions as F
 
-import pytest
 from lineweave.plans import incremental
 from lineweave.plans.policies import policy_named
 from lineweave.plans.review import ReviewOptions, review_files
@@ -20,8 +22,7 @@ def scan(files, version, policy="quick"):
     return incremental.entries_to_store(entries, version)
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 500_000])
-def test_rescan_equals_full_scan(spark, tmp_path, broadcast_rows):
+def test_rescan_equals_full_scan(spark, tmp_path):
     version = incremental.ruleset_version("quick", "scan")
     old = {f"f{i}.py": f"secret {i}" for i in range(20)}
     scan(corpus(spark, old), version).write.parquet(str(tmp_path / "v1"))
@@ -29,7 +30,7 @@ def test_rescan_equals_full_scan(spark, tmp_path, broadcast_rows):
     new = {k: ("unsafe now" if i % 5 == 0 else t) for i, (k, t) in enumerate(old.items()) if i != 19}
     new["added.py"] = "TODO"
     files = incremental.with_fingerprint(corpus(spark, new))
-    changed = incremental.misses(files, store, version, broadcast_rows)
+    changed = incremental.misses(files, store, version)
     assert sorted(r["path"] for r in changed.collect()) == ["added.py", "f0.py", "f10.py", "f15.py", "f5.py"]
     kept = incremental.hits(files, store, version)
     assert kept.count() == 15
@@ -52,11 +53,23 @@ def test_other_versions_and_times_are_not_reused(spark):
     assert incremental.upsert(store, store.limit(0), "other").count() == 0
 
 
-def test_hash_window(spark):
+def test_an_edit_far_behind_is_a_miss(spark):
     df = corpus(spark, {"a": "x" * 4096 + "1", "b": "x" * 4096 + "2"})
-    hashes = {r["content_hash"] for r in incremental.with_fingerprint(df).collect()}
-    assert len(hashes) == 1
-    assert len({r["content_hash"] for r in incremental.with_fingerprint(df, None).collect()}) == 2
+    assert len({r["content_hash"] for r in incremental.with_fingerprint(df).collect()}) == 2
+    assert len({r["content_hash"] for r in incremental.with_fingerprint(df, 4096).collect()}) == 1
+
+
+def test_rescan_reviews_changes_only(spark, tmp_path):
+    policy, texts = policy_named("quick"), {f"f{i}.py": "x" * 5000 + f" secret {i}" for i in range(6)}
+    first = incremental.rescan(corpus(spark, texts), spark.createDataFrame([], incremental.store_schema()), policy, OPTIONS)
+    first.write.parquet(str(tmp_path / "v1"))
+    marked = spark.read.parquet(str(tmp_path / "v1")).withColumn("content_preview", F.lit("old"))
+    texts["f2.py"] = "x" * 5000 + " unsafe 2"
+    now = {r["path"]: r for r in incremental.rescan(corpus(spark, texts), marked, policy, OPTIONS).collect()}
+    assert {p for p, r in now.items() if r["content_preview"] is None} == {"f2.py"} and len(now) == 6
+    assert [f["rule"] for f in now["f2.py"]["findings"]] == ["unsafe-usage"]
+    other = incremental.ruleset_version(replace(policy, severity_threshold="high"), "scan", options=OPTIONS)
+    assert other != incremental.ruleset_version(policy, "scan", options=OPTIONS)
 
 
 def test_stream_reviews_only_what_changed(spark, tmp_path):

@@ -225,8 +225,11 @@ def test_external_findings_are_limited_before_the_shuffle(spark):
     raw = spark.range(20000).selectExpr(
         "id", "CASE WHEN id % 3 = 0 THEN concat('f', id) ELSE 'hot' END AS path", "repeat('r', 300) AS rule", "' HIGH ' AS severity", "'c' AS category",
         "repeat('é', 3000) AS message", "CAST(id AS int) AS line")
-    clean = algebra.sanitize_external(raw.repartition(8), "id")
-    assert plan_of(clean).count("WindowGroupLimit") == 2
+    everything = algebra.sanitize_external(raw.repartition(8), "id")
+    assert everything.count() == 20000
+    assert {r["path"]: r["dropped"] for r in algebra.over_limit(everything).collect()} == {"hot": 13333 - 500}
+    clean = everything.filter("nth <= 500")
+    assert plan_of(clean).count("WindowGroupLimit") == 2 and clean.filter("NOT kept").count() == 0
     rows = clean.filter("path = 'hot'").collect()
     assert {r["line"] for r in rows} == {i for i in range(750) if i % 3}
     assert len(rows) == 500 and clean.count() == 500 + 6667
@@ -240,8 +243,10 @@ def test_review_queue_and_decode(spark, files):
     policy = replace(policy_named("deep"), suspicious_patterns=("needle",))
     corpus = files(*[(f"f{i:03d}.py", "x NEEDLE" if i % 2 else "x") for i in range(300)])
     queue = review_queue.review_queue(review(corpus, policy, SCAN).entries, policy)
-    assert "TakeOrderedAndProject" in plan_of(queue)
-    assert paths(queue) == [f"f{i:03d}.py" for i in range(300) if i % 2][:80]
+    wanted = [f"f{i:03d}.py" for i in range(300) if i % 2]
+    got = queue.orderBy("place").collect()
+    assert [r["path"] for r in got] == wanted and [r["place"] for r in got] == list(range(1, 151))
+    assert [r["path"] for r in got if r["within_budget"]] == wanted[:80]
     cut = spark.createDataFrame([("é" * 9,), ("abcdefghij",), ("abcdefghijk",)], "t string").select(
         review_queue.bounded_content(F.col("t"), 10).alias("t")).collect()
     assert [r["t"] for r in cut] == ["é" * 9, "abcdefghij", "abcdefghij"]
