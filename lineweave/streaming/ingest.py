@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,34 +17,52 @@ from ..plans.review import ReviewOptions, review_files
 FILES_SCHEMA = "path string, size bigint, modified timestamp, content string"
 
 
-def _log_before(spark: SparkSession, log: str, batch_id: int) -> DataFrame | None:
-    """Entries of earlier batches; a batch that is run again does not see itself."""
+BUCKETS = 64  # folders of the log, by hash of the path; a batch reads those of its own paths
+
+
+def bucket_of(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+
+
+def _log_before(spark: SparkSession, log: str, run: str, batch_id: int, buckets: list[int]) -> DataFrame | None:
+    """Entries of these buckets in other runs and earlier batches; a batch that is run again does not see itself."""
     try:
-        return spark.read.parquet(log).filter(F.col("batch_id") < batch_id)
-    except AnalysisException:
+        entries = spark.read.parquet(log)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None  # nothing has been written yet
+    return entries.filter(F.col("bucket").isin(buckets) & ((F.col("run") != run) | (F.col("batch_id") < batch_id)))
+
+
+def one_per_path(batch: DataFrame) -> DataFrame:
+    """A path that a batch holds several times counts as its newest file; of equal times, that of the largest hash."""
+    newest = Window.partitionBy("path").orderBy(F.desc("modified"), F.desc("content_hash"))
+    return batch.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").drop("_nth")
 
 
 def review_batch(batch: DataFrame, batch_id: int, target: str, policy: Policy,
-                 options: ReviewOptions = ReviewOptions(), hash_bytes: int | None = None) -> None:
+                 options: ReviewOptions = ReviewOptions(), run: str = "r0") -> None:
     """Review one batch and append its entries and findings.
 
-    Each batch owns the directory ``batch_id=N`` and overwrites it, so running a batch again
-    after a failure leaves the same result.
+    Each batch owns the folder ``run=R/batch_id=N`` and overwrites it, so running a batch again after
+    a failure leaves the same result. ``run`` names the checkpoint, whose batches are numbered from 0.
     """
     spark = batch.sparkSession
     version = incremental.ruleset_version(policy, options.rule_set, options=options)
-    files = incremental.with_fingerprint(batch, hash_bytes)
-    log = _log_before(spark, f"{target}/entries", batch_id)
+    files = one_per_path(incremental.with_fingerprint(batch))
+    buckets = [r["bucket"] for r in files.select(bucket_of(F.col("path")).alias("bucket")).distinct().collect()]  # at most BUCKETS
+    log = _log_before(spark, f"{target}/entries", run, batch_id, buckets)
     if log is not None:
-        known = incremental.latest(log, columns=incremental.KEY_COLUMNS + ("ruleset_version",))
+        known = incremental.latest(log, "reviewed_at", incremental.KEY_COLUMNS + ("ruleset_version",))
         files = incremental.misses(files, known, version)
-    entries = review_files(files, policy, options)
-    out = f"{target}/entries/batch_id={batch_id}"
-    incremental.entries_to_store(entries, version).write.mode("overwrite").parquet(out)
-    written = spark.read.parquet(out)
+    entries = incremental.entries_to_store(review_files(files, policy, options), version)
+    out = f"{target}/entries/run={run}/batch_id={batch_id}"
+    (entries.withColumns({"bucket": bucket_of(F.col("path")), "reviewed_at": F.current_timestamp()})
+     .write.mode("overwrite").partitionBy("bucket").parquet(out))
+    written = spark.read.schema(entries.schema).parquet(out)
     unnest_findings(written, "findings", "path", "content_hash").write.mode("overwrite").parquet(
-        f"{target}/findings/batch_id={batch_id}")
+        f"{target}/findings/run={run}/batch_id={batch_id}")
 
 
 def start_reviews(spark: SparkSession, source: str, target: str, checkpoint: str, policy: Policy,
@@ -55,8 +75,10 @@ def start_reviews(spark: SparkSession, source: str, target: str, checkpoint: str
     if max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_batch))
 
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
     def process(batch: DataFrame, batch_id: int) -> None:
-        review_batch(batch, batch_id, target, policy, options)
+        review_batch(batch, batch_id, target, policy, options, run)
 
     return (reader.parquet(source).writeStream.foreachBatch(process)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -23,7 +23,7 @@ from lineweave.plans.policies import (
 from lineweave.plans.review import ReviewOptions, language_hits, review, review_files
 from lineweave.session import scratch_dir, stored
 from lineweave.sources import selection
-from lineweave.streaming.ingest import review_batch
+from lineweave.streaming.ingest import start_reviews
 
 from . import duck_sql as D
 from .code_corpus import binary_code_files, code_files, code_lines, dense_files, dense_lines
@@ -805,23 +805,24 @@ def review_diagnostics(spark, sf_dir):
 
 
 # --- streaming ----------------------------------------------------------------------------------
+_streamed = f"""(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN d.text ELSE r.text END AS text
+    FROM documents d JOIN {_rewritten} r USING (doc_id))"""
+
+
 @register("stream_reviews", f"""
-    SELECT {DOC_PATH} AS path, rule, severity FROM (
-      SELECT path AS doc_id, rule, severity FROM ({D.worded(D.file_rule_rows("documents", "doc_id", "text"), V.FILE_RULES)}))
-    WHERE rule IN {in_list(evaluated_rules(BY_NAME["maintainability"]))}""")
+    SELECT {DOC_PATH} AS path, {_hash} AS content_hash, coalesce(rules, '') AS rules FROM {_streamed} d LEFT JOIN (
+      SELECT path AS doc_id, string_agg(rule, ',' ORDER BY rule) AS rules FROM (
+        {D.worded(D.file_rule_rows(_streamed, "doc_id", "text"), V.FILE_RULES)})
+      WHERE rule IN {in_list(evaluated_rules(BY_NAME["maintainability"]))} GROUP BY path) f USING (doc_id)""")
 def stream_reviews(spark, sf_dir):
-    """Documents arrive as a file stream and are reviewed batch by batch."""
+    """Documents arrive in three batches: all of them, edited ones, and every fifth as it was at first."""
     target = scratch_dir(spark, "stream-reviews")
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    files = stream.select(F.format_string("doc/%012d", "doc_id").alias("path"),
-                          F.octet_length("text").cast("long").alias("size"),
-                          F.lit(None).cast("timestamp").alias("modified"),
-                          F.lit(None).cast("string").alias("language"), F.col("text").alias("content"))
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        review_batch(batch, batch_id, target, policy_named("maintainability"), ReviewOptions(rule_set="scan"))
-
-    files.writeStream.foreachBatch(process).option("checkpointLocation", f"{target}/checkpoint").trigger(
-        availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{target}/findings").select("path", "rule", "severity")
+    files = document_files(spark, sf_dir).select("path", "size", "modified", "content")
+    doc = F.substring_index("path", "/", -1).cast("long")
+    for arrival in (files, edited(files).filter(doc % 3 == 0), files.filter(doc % 5 == 0)):
+        arrival.write.mode("append").parquet(f"{target}/in")
+        start_reviews(spark, f"{target}/in", target, f"{target}/checkpoint", policy_named("maintainability"),
+                      ReviewOptions(rule_set="scan")).awaitTermination()
+    newest = incremental.latest(spark.read.parquet(f"{target}/entries"), "reviewed_at")
+    return newest.select("path", "content_hash",
+                         F.array_join(F.array_sort(F.transform("findings", lambda f: f["rule"])), ",").alias("rules"))

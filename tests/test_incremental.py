@@ -1,6 +1,7 @@
 import datetime
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from lineweave.plans import incremental
@@ -86,13 +87,26 @@ def test_stream_reviews_only_what_changed(spark, tmp_path):
     log = spark.read.parquet(f"{target}/entries")
     assert sorted((r["path"], r["batch_id"]) for r in log.collect()) == [
         ("a.py", 0), ("b.py", 0), ("b.py", 1), ("c.py", 1)]
-    newest = {r["path"]: [f["rule"] for f in r["findings"]] for r in incremental.latest(log).collect()}
+    newest = {r["path"]: [f["rule"] for f in r["findings"]] for r in incremental.latest(log, "reviewed_at").collect()}
     assert newest == {"a.py": ["possible-secret"], "b.py": [], "c.py": ["todo-comment"]}
-    # a batch that runs again leaves the same result
+    # a batch that runs again leaves the same result; a new checkpoint starts at batch 0 and overwrites nothing
     again = corpus(spark, {"a.py": "secret", "b.py": "plain", "c.py": "TODO"})
-    review_batch(again, 1, target, policy, OPTIONS)
+    run_id = log.select("run").first()["run"]
+    review_batch(again, 1, target, policy, OPTIONS, run_id)
     assert spark.read.parquet(f"{target}/entries").count() == 4
     assert spark.read.parquet(f"{target}/findings").count() == 3
+    other = corpus(spark, {"a.py": "secret", "d.py": "unsafe"}).unionByName(
+        corpus(spark, {"d.py": "newer TODO"}, DAY + datetime.timedelta(days=1)))
+    review_batch(other, 0, target, policy, OPTIONS, "another")
+    added = spark.read.parquet(f"{target}/entries").filter("run = 'another'").collect()
+    assert [(r["path"], [f["rule"] for f in r["findings"]]) for r in added] == [("d.py", ["todo-comment"])]
+
+
+def test_a_broken_log_is_an_error(spark, tmp_path):
+    (tmp_path / "entries").mkdir()
+    (tmp_path / "entries" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        review_batch(corpus(spark, {"a.py": "x"}), 1, str(tmp_path), policy_named("quick"), OPTIONS)
 
 
 def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
