@@ -10,20 +10,21 @@ from pyspark.sql import functions as F
 from lineweave.session import stored
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Does every ``u`` point to one ``v`` that points nowhere?"""
+    n = edges.agg(F.count("*").alias("edges"), F.count_distinct("u").alias("nodes")).first()
+    return n["edges"] == n["nodes"] and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id, class_id`` (the smallest id of the connected component) of each node of ``edges`` (``a, b``).
 
     Every node points to the smallest node that it knows; rounds of large-star and small-star steps shorten
-    the pointers until nothing changes. A hub's edges are combined before the shuffle.
+    the pointers until every node points to the least of its component. A hub's edges are combined before the shuffle.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(),
                  "star")
-    before = None
-    while True:
-        size = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if size == before:
-            break
-        before = size
+    while not _is_star_forest(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -36,49 +37,57 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("class_id"))).distinct())
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified links (``a, b`` and what ``verify`` adds) that join all similar members of the groups.
-
-    ``members`` has ``key, id``. In each group some members lead, those first whose groups are largest
-    (the text that others were copied from); a leader is compared with all members of other classes, not
-    with those that it is linked to already. Groups with one class are done. In each round as many
-    members lead as in all rounds before, so that the rounds are few and no member is left out: a group of
-    copies takes one round and one comparison a member, and only a group whose members are not alike is
-    compared in full. ``verify`` gets distinct pairs that it has not had before, with ``a < b``.
+def _turns(members: DataFrame) -> DataFrame:
+    """``key, id, turn``: members of groups of two or more, with their turn to lead.
+
+    First leads the member whose groups are largest, as that is most likely the text that others were
+    copied from; the rest lead in a hash order that differs from group to group, so that a member meets
+    other leaders in each of its groups.
     """
     grouped = members.select("key", "id").distinct()
     sizes = grouped.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     sized = stored(grouped.join(sizes, "key"), "members")
     weight = sized.groupBy("id").agg(F.sum("n").alias("w"))
-    # a leader's turn: its place in the group
-    turns = stored(sized.join(weight, "id").select("key", "id", "n", F.row_number().over(
-        Window.partitionBy("key").orderBy(F.desc("w"), "id")).alias("turn")), "turns")
-    links, tested, labels, first, last = None, None, None, 0, 1
+    best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("w"), "id")) == 1
+    order = Window.partitionBy("key").orderBy(F.desc("best"), F.xxhash64("key", "id"), "id")
+    return stored(sized.join(weight, "id").withColumn("best", best).select(
+        "key", "id", F.row_number().over(order).alias("turn")), "turns")
+
+
+def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Verified links (``a, b`` and what ``verify`` adds) that join the similar members of the groups.
+
+    ``members`` has ``key, id``. In each group leaders are compared with all members of other classes: one
+    leader in the first round, then four times as many in each round as in all rounds before. Groups with one
+    class are done. Rounds go on as long as they find links, two at least, so that groups of up to six are
+    compared in full; in a larger group that is left with several classes, two rounds of leaders have met
+    nobody similar in another class. As alike members share many groups, most of them small, what one
+    group misses another finds. ``verify`` gets distinct pairs that it has not had before, with ``a < b``.
+    """
+    turns = _turns(members)
+    links, tested, state, first, last = None, None, turns.withColumn("cls", F.col("id")), 0, 1
     while True:
-        if labels is None:
-            state = turns.withColumn("cls", F.col("id"))
-            still = state
-        else:
-            state = turns.join(labels, "id", "left").withColumn("cls", F.coalesce("class_id", "id")).drop("class_id")
-            still = state.join(state.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-                               .filter("lo <> hi").select("key"), "key", "left_semi")
-        lead = still.filter((F.col("turn") > first) & (F.col("turn") <= last)).select(
+        lead = state.filter((F.col("turn") > first) & (F.col("turn") <= last)).select(
             "key", F.col("id").alias("l"), F.col("turn").alias("lturn"), F.col("cls").alias("lcls"))
-        pairs = (still.filter(F.col("turn") > first + 1).join(lead, "key")
+        pairs = (state.filter(F.col("turn") > first + 1).join(lead, "key")
                  .filter((F.col("turn") > F.col("lturn")) & (F.col("cls") != F.col("lcls")))
                  .select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        if not pairs.isEmpty():
-            found = stored(verify(pairs), "links")
-            links = found if links is None else links.unionByName(found)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            labels = stored(components(links), "labels")
-        elif links is None or still.filter(F.col("turn") > last).isEmpty():
-            break
-        first, last = last, 2 * last + 1
-    return verify(pairs) if links is None else links
+        found = stored(verify(pairs), "links")
+        links = found if links is None else links.unionByName(found)
+        if first and found.isEmpty():
+            return links
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        labelled = turns.join(stored(components(links), "labels"), "id", "left").select(
+            "key", "id", "turn", F.coalesce("class_id", "id").alias("cls"))
+        split = labelled.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.max("turn").alias("n")).filter(
+            (F.col("lo") != F.col("hi")) & (F.col("n") > last))
+        state = stored(labelled.join(split.select("key"), "key", "left_semi"), "open")
+        if state.isEmpty():
+            return links
+        first, last = last, 4 * last + 1
 
 
 def link_by_leaders(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -88,13 +97,8 @@ def link_by_leaders(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
     covered and leads no more; a member that is not covered leads in its turn, and is compared with all others of
     the group. Used where links are not transitive, as texts may share one passage and not another.
     """
-    grouped = members.select("key", "id").distinct()
-    sizes = grouped.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = stored(grouped.join(sizes, "key"), "members")
-    weight = sized.groupBy("id").agg(F.sum("n").alias("w"))
-    open_ = stored(sized.join(weight, "id").select("key", "id", F.row_number().over(
-        Window.partitionBy("key").orderBy(F.desc("w"), "id")).alias("turn")), "turns")
-    turns, links, tested, first, last = open_, None, None, 0, 1
+    turns = open_ = _turns(members)
+    links, tested, first, last = None, None, 0, 1
     while True:
         lead = open_.filter((F.col("turn") > first) & (F.col("turn") <= last)).select("key", F.col("id").alias("l"))
         met = stored(turns.join(lead, "key").filter("id <> l").select(
@@ -105,10 +109,12 @@ def link_by_leaders(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
         pairs = stored(pairs, "pairs")
         found = stored(verify(pairs), "links")
         links = found if links is None else links.unionByName(found)
+        if first and found.isEmpty():
+            return links
         tested = pairs if tested is None else tested.unionByName(pairs)
         covered = met.join(links.select("a", "b").distinct(), ["a", "b"]).select("key", "id").distinct()
         # leaders are done; so are members that one is linked to
         open_ = stored(open_.filter(F.col("turn") > last).join(covered, ["key", "id"], "left_anti"), "open")
         if open_.isEmpty():
             return links
-        first, last = last, 2 * last + 1
+        first, last = last, 4 * last + 1

@@ -1,7 +1,8 @@
 """MinHash near-dedup with DartMinHash signatures.
 
-A text is the weighted set of its five-word shingles, weighted by their counts. Darts are thrown by hash at
-the plane of weight and rank: each unit of an element's weight is a cell, and in each interval of ranks
+A text is the weighted set of its five-word shingles, weighted by their counts up to ``MAX_WEIGHT``: at 1, where
+similarity is the Jaccard similarity of the sets, a phrase that a text repeats a hundred times counts
+no more than any other. Darts are thrown by hash at the plane of weight and rank: each unit of an element's weight is a cell, and in each interval of ranks
 a cell gets a Poisson number of darts, each with a rank and a coordinate, all from the hash of the cell. So
 equal cells get equal darts in every text. Intervals are gone through from rank 0 until every coordinate
 has a dart; the earliest dart of a coordinate is its value. The work is one look at each cell and interval
@@ -35,6 +36,7 @@ from lineweave.session import stored
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 8
+MAX_WEIGHT = 1
 U = np.uint64
 # Rank intervals: short ones first, as large sets need few darts a cell; then unit intervals.
 SHORT = [(0.0, 0.125), (0.125, 0.125), (0.25, 0.25), (0.5, 0.5)]
@@ -50,7 +52,7 @@ def _steps(length: float) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def cells(shingle: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cells(shingle: np.ndarray, start: np.ndarray, max_weight: int = MAX_WEIGHT) -> tuple[np.ndarray, np.ndarray]:
     """Unit cells of the weighted sets: a hash of (shingle, which of its occurrences), and the text of each."""
     text = np.repeat(np.arange(len(start) - 1), np.diff(start))
     order = np.lexsort((shingle, text))
@@ -59,7 +61,8 @@ def cells(shingle: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
     new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
     begin = np.flatnonzero(new)
     nth = np.arange(len(s)) - np.repeat(begin, np.diff(np.append(begin, len(s))))
-    return wh.mix(s + nth.astype(np.uint64) * U(0xA24BAED4963EE407)), t
+    cell, own = wh.mix(s + nth.astype(np.uint64) * U(0xA24BAED4963EE407)), nth < max_weight
+    return cell[own], t[own]
 
 
 def dart_signatures(cell: np.ndarray, text: np.ndarray, n_texts: int, k: int) -> np.ndarray:
@@ -139,7 +142,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s, n = [], []
                 for name in ("text_a", "text_b"):
                     u, c = np.unique(counted(one.column(name))[0], return_counts=True)
-                    s.append(u), n.append(c)
+                    s.append(u), n.append(np.minimum(c, MAX_WEIGHT))
                 total = n[0].sum() + n[1].sum()
                 _, i, j = np.intersect1d(s[0], s[1], assume_unique=True, return_indices=True)
                 same = np.minimum(n[0][i], n[1][j]).sum()
