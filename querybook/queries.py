@@ -609,6 +609,47 @@ def report_query(spark, sf_dir):
         "severity_breakdown.*", F.col("stats.findings_total").alias("findings_total"), "summary")
 
 
+LIMITED = BY_NAME["security"].with_limits(max_file_size_bytes=900)
+_placed = """SELECT *, strlen(content) + CASE WHEN nth % 11 = 3 THEN 1 ELSE 0 END AS size FROM (
+    SELECT *, CAST(regexp_extract(path, '/f([0-9]+)', 1) AS BIGINT) AS nth FROM code_files)"""
+
+
+@register("file_counters", compose(f"""
+    SELECT count(*) AS files_discovered, count(*) FILTER (size <= 900) AS files_scanned,
+      count(*) FILTER (size <= 900 AND nth % 11 <> 3) AS files_reviewed, 0 AS files_selected,
+      count(*) FILTER (size > 900 OR nth % 11 = 3) AS files_skipped, CAST(sum(size) FILTER (size <= 900) AS BIGINT) AS total_bytes,
+      count(*) FILTER (size > 900) AS skipped_large_files, count(*) FILTER (size <= 900 AND nth % 11 = 3) AS unreadable
+    FROM ({_placed}) WHERE nth % 5 <> 0 AND nth % 7 <> 0""", "code_files"))
+def file_counters(spark, sf_dir):
+    """Counters of a summary-only report over excluded, hidden, large and unreadable files."""
+    nth = F.col("file_id")
+    placed = code_files(spark, sf_dir).select(
+        F.concat(F.when(nth % 5 == 0, "node_modules/").when(nth % 7 == 0, ".cache/").otherwise(""), "path").alias("path"),
+        F.lit(None).cast("timestamp").alias("modified"),
+        F.concat(F.encode("content", "UTF-8"), F.when(nth % 11 == 3, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))).alias("content"))
+    result = review(placed.withColumn("size", F.octet_length("content").cast("long")), LIMITED,
+                    ReviewOptions(rule_set="scan", size_limit=True))
+    row = report.report_row(result, summary_only=True)
+    notes = report.unreadable_diagnostics(result.unreadable).agg(F.count("*").alias("unreadable"))
+    return row.crossJoin(notes).select(
+        "files_discovered", "files_scanned", F.col("stats.files_selected").alias("files_reviewed"), "files_selected",
+        "files_skipped", "total_bytes", "skipped_large_files", "unreadable")
+
+
+_turns = "(SELECT conv_id || '/' || turn AS key, text FROM conversations)"
+
+
+@register("conversation_style", "SELECT path AS turn_key, line, col, rule, severity, message FROM ("
+          + D.worded(D.style_rows("turn_lines", "key", rules=DOC_STYLE), V.C_STYLE_RULES, "detail").replace(
+              "FROM turn_lines", f"FROM ({D.lines_of(_turns, 'key', 'text')})") + ")")
+def conversation_style(spark, sf_dir):
+    """Style rules on every line of the conversations."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(
+        F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("turn_key"), "text")
+    found = c_rules.style_findings(explode_lines(turns, "turn_key", content="text"), "turn_key", rules=DOC_STYLE)
+    return found.select("turn_key", "line", F.col("column").alias("col"), "rule", "severity", "message")
+
+
 @register("json_report", compose(f"""
     SELECT f.path, CAST(strlen(f.content) AS VARCHAR) AS size, coalesce(e.rule, 'none') AS first_rule,
       coalesce(CAST(e.line AS VARCHAR), 'none') AS first_line, coalesce(e.message, 'none') AS first_message
