@@ -147,8 +147,10 @@ def diagnostic(source: str, code: str, message: Column, path: Column, level: str
 
 
 def unreadable_diagnostics(unreadable: DataFrame) -> DataFrame:
-    """A row per file whose bytes are not text; the review goes on without it."""
-    message = F.concat(F.lit("read "), F.col("path").cast("string"), F.lit(": not valid UTF-8"))
+    """A row per file that could not be read (``failed``) or whose bytes are not text; the review goes on without it."""
+    failed = F.col("failed") if "failed" in unreadable.columns else F.lit(False)
+    message = F.concat(F.lit("read "), F.col("path").cast("string"),
+                       F.when(failed, F.lit(": cannot be read")).otherwise(F.lit(": not valid UTF-8")))
     return unreadable.select(*diagnostic("scan", "runtime", message, F.col("path").cast("string")))
 
 

@@ -189,10 +189,10 @@ def review(files: DataFrame, policy: Policy, options: ReviewOptions = ReviewOpti
     if not options.budget:
         eligible = F.col("is_text") & ~F.col("too_large")
         read = classified.withColumn("_text", F.when(eligible, selection.preview_text(F.col("content"), limit)))
-        marked = read.withColumns({"readable": F.col("_text").isNotNull(), "content": F.coalesce("_text", F.lit(""))}).drop("_text")
+        marked = read.withColumns({"failed": F.col("content").isNull(), "readable": F.col("_text").isNotNull(), "content": F.coalesce("_text", F.lit(""))}).drop("_text")
         reviewed = review_files(marked, policy, options)
-        entries = reviewed.filter("is_text AND NOT too_large AND readable").drop("is_text", "too_large", "readable")
-        unreadable = marked.filter("is_text AND NOT too_large AND NOT readable").select("path", "size")
+        entries = reviewed.filter("is_text AND NOT too_large AND readable").drop("is_text", "too_large", "readable", "failed")
+        unreadable = marked.filter("is_text AND NOT too_large AND NOT readable").select("path", "size", "failed")
         return Review(policy, options, marks, entries, unreadable, None, reviewed)
     marks = checkpointed(marks)
     limits = policy.limits
@@ -201,5 +201,5 @@ def review(files: DataFrame, policy: Policy, options: ReviewOptions = ReviewOpti
     eligible = files.join(budgeted.filter("within_budget").select("path"), "path", "left_semi")
     read = eligible.withColumn("_text", selection.preview_text(F.col("content"), limit))
     text = read.filter(F.col("_text").isNotNull()).withColumn("content", F.col("_text")).drop("_text")
-    unreadable = read.filter(F.col("_text").isNull()).select("path", "size")
+    unreadable = read.filter(F.col("_text").isNull()).select("path", "size", F.col("content").isNull().alias("failed"))
     return Review(policy, options, marks, review_files(text, policy, options), unreadable, budgeted)

@@ -67,9 +67,12 @@ class TreeReader(DataSourceReader):
     def read(self, partition) -> Iterator[tuple]:
         filesystem, _ = self._filesystem()
         for full, relative, size, modified in partition.files:
-            with filesystem.open_input_stream(full) as stream:
-                # three bytes more tell a character cut at the limit from bytes that are no text
-                data = stream.read(self.read_bytes + 3) if self.read_bytes else stream.readall()
+            try:
+                with filesystem.open_input_stream(full) as stream:
+                    # three bytes more tell a character cut at the limit from bytes that are no text
+                    data = stream.read(self.read_bytes + 3) if self.read_bytes else stream.readall()
+            except OSError:  # gone or closed to us: the row stays, without content, and becomes a diagnostic
+                data = None
             yield relative, size, modified, data
 
 

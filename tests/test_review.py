@@ -13,7 +13,7 @@ from lineweave.plans import report, review_queue
 from lineweave.plans.policies import BY_NAME, POLICIES, Policy, policy_named, policy_rule_table, policy_table
 from lineweave.plans.review import ReviewOptions, review, review_files
 from lineweave.sources import selection
-from lineweave.sources.corpus import read_binary, read_tree
+from lineweave.sources.corpus import TreeReader, read_binary, read_tree
 
 SCAN = ReviewOptions(rule_set="scan")
 
@@ -78,6 +78,20 @@ def test_counters_and_report(spark, files):
     assert [(n.path, n.level, n.message) for n in notes] == [("bad.txt", "warning", "read bad.txt: not valid UTF-8")]
 
 
+def test_a_file_that_vanishes_becomes_a_diagnostic(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("secret")
+    (tmp_path / "b.txt").write_text("secret")
+    corpus = read_tree(spark, str(tmp_path))
+    listed = TreeReader({"path": str(tmp_path)})
+    batches = listed.partitions()
+    (tmp_path / "b.txt").unlink()
+    rows = [row for batch in batches for row in listed.read(batch)]
+    gone = spark.createDataFrame(rows, corpus.schema)
+    result = review(gone, policy_named("quick"), SCAN)
+    assert [n.message for n in report.diagnostics(result).collect()] == ["read b.txt: cannot be read"]
+    assert paths(result.entries) == ["a.txt"]
+
+
 def test_budget_truncates(spark, files):
     corpus = files(*[(f"f{i:02d}.txt", "x" * 10) for i in range(30)])
     result = review(corpus, policy_named("quick").with_limits(max_files=7), replace(SCAN, budget=True))
