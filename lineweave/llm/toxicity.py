@@ -362,5 +362,6 @@ def toxic_spans(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     """``id_col, score, spans`` (character offsets). ``labelled`` has ``id, label`` of the rows that may be learned from."""
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     known = labelled.filter("id is not null and label in (0, 1)").select("id", F.col("label").cast("int").alias("label")).distinct()
-    model = train(stored(texts.join(known, "id"), "labelled-texts"))
+    # one plan at every size: labels grow with the corpus
+    model = train(stored(texts.join(known.hint("merge"), "id"), "labelled-texts"))
     return texts.mapInArrow(_scores(model), f"id bigint, score double, spans {SPANS}").withColumnRenamed("id", id_col)
