@@ -59,12 +59,19 @@ NOISE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
                "respond", "replies", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "masthead",
                "pagination", "pager", "search", "searchbox", "toolbar", "skip", "hidden"}
 OUTSIDE_NAMES = {"header", "topbar"}  # noise outside an article only
+# Articles in these are comments, teasers and the like, not the page's own.
+FOREIGN_TAGS = {"aside", "form", "footer", "dialog"}
+FOREIGN_NAMES = {"comment", "comments", "commentlist", "disqus", "respond", "replies", "related", "recommended", "recommendations"}
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(raw)} if raw and not raw.isspace() else {}
 
 
+def _foreign(tag: str, attributes: dict[str, str]) -> bool:
+    return tag in FOREIGN_TAGS or bool(set(NAME.findall(attributes.get("class", "") + " " + attributes.get("id", ""))) & FOREIGN_NAMES)
+
+
 def _noise(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     if tag in NOISE_TAGS or tag == "header" and not inside:
         return True
@@ -86,6 +93,7 @@ def read_page(source: str) -> list[tuple[str, str, str, bool, bool]]:
     out: list[tuple[str, str, str, bool, bool]] = []
     path: list[tuple[str, str]] = []
     noise: tuple[int, str, int] | None = None  # path length, tag and open tags of that name where it began
+    foreign = False
     mains: list[int] = []
     words: list[str] = []
     at, size = 0, len(source)
@@ -139,11 +147,11 @@ def read_page(source: str) -> list[tuple[str, str, str, bool, bool]]:
         label = tag + "".join(f".{attributes[a]}" for a in ("id", "class") if attributes.get(a))
         place = f"{path[-1][1] if path else ''}/{label}"
         loud = _noise(tag, attributes, bool(mains))
-        if tag in ("article", "main") and not loud and noise and noise[1] not in ("aside", "form", "footer", "dialog"):
+        if tag in ("article", "main") and not loud and noise and not foreign and not mains:
             noise = None  # a menu or notice that never closed
         if noise is None and loud:
             flush()
-            noise = (len(path), tag, 1)
+            noise, foreign = (len(path), tag, 1), _foreign(tag, attributes)
         elif noise and noise[1] == tag:
             noise = (noise[0], tag, noise[2] + 1)
         if tag in ("article", "main") and noise is None:
