@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.llm import wordhash as wh
+from lineweave.session import stored
 
 SUPPORT, MIN_PAGES, MIN_CLASS = 0.9, 10, 3
 SLOT_SHARE = 0.25
@@ -239,6 +240,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     rows = rows.withColumn("host", F.lower(F.nullif(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))))
     keyed = rows.select("host", F.xxhash64("id", "url").alias("page"), "html")
-    out = rows.join(templates(keyed), "host", "left").select("id", "url", "html", "template")
+    # written first, so that its size is known: pages are not shuffled unless the templates of all hosts are large
+    out = rows.join(stored(templates(keyed), "templates"), "host", "left").select("id", "url", "html", "template")
     return (out.mapInArrow(_texts, "id bigint, url string, text string, n_chars bigint, has_template boolean")
             .withColumnsRenamed({"id": id_col, "url": url_col}))
