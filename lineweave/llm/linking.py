@@ -95,9 +95,8 @@ def link_by_leaders(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
 
     As ``link_groups``, but each group stands for itself: a member that a leader of its group is linked to is
     covered and leads no more; a member that is not covered leads in its turn, and is compared with all others of
-    the group. Used where links are not transitive, as texts may share one passage and not another. A group
-    is left when a round of its leaders, the second or a later one, met nobody that they are linked to: what
-    its members share is a phrase. Members with a passage in common share several groups.
+    the group, whatever the leaders before it met. Used where links are not transitive, as texts may share one
+    passage and not another.
     """
     turns = open_ = _turns(members)
     links, tested, first, last = None, None, 0, 1
@@ -111,14 +110,11 @@ def link_by_leaders(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
         pairs = stored(pairs, "pairs")
         found = stored(verify(pairs), "links")
         links = found if links is None else links.unionByName(found)
-        if first and found.isEmpty():
-            return links
         tested = pairs if tested is None else tested.unionByName(pairs)
         covered = met.join(links.select("a", "b").distinct(), ["a", "b"]).select("key", "id").distinct()
         covered = stored(covered, "covered")
-        # leaders are done; so are members that one is linked to, and from the second round on groups whose leaders met none
-        left = open_.filter(F.col("turn") > last).join(covered, ["key", "id"], "left_anti")
-        open_ = stored(left.join(covered.select("key").distinct(), "key", "left_semi") if first else left, "open")
+        # leaders are done; so are members that one is linked to
+        open_ = stored(open_.filter(F.col("turn") > last).join(covered, ["key", "id"], "left_anti"), "open")
         if open_.isEmpty():
             return links
         first, last = last, 2 * last + 1

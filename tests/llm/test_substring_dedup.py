@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from lineweave.llm import substring_dedup as sd
+from lineweave.llm.linking import link_by_leaders
 
 
 def test_compact_windows_are_those_of_the_definition():
@@ -75,5 +76,12 @@ def test_verification_finds_edited_passages():
     assert sd.similar_passages(a, b[:120]) == []
 
 
+def test_late_members_of_a_group_meet(spark):
+    # members 20 and 31 alone are alike in a group whose other members are not
+    members = spark.createDataFrame([(7, i) for i in range(40)], "key bigint, id bigint")
+    links = link_by_leaders(members, lambda pairs: pairs.filter("a = 20 and b = 31"))
+    assert [(r["a"], r["b"]) for r in links.collect()] == [(20, 31)]
+
+
 def test_empty_table(docs):
     assert sd.repeated_passages(docs((1, "a")).limit(0)).count() == 0
