@@ -59,10 +59,9 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
 
     ``members`` has ``key, id``. In each group leaders are compared with all members of other classes: one
     leader in the first round, then four times as many in each round as in all rounds before. Groups with one
-    class are done. Rounds go on as long as they find links, two at least, so that groups of up to six are
-    compared in full; in a larger group that is left with several classes, two rounds of leaders have met
-    nobody similar in another class. As alike members share many groups, most of them small, what one
-    group misses another finds. ``verify`` gets distinct pairs that it has not had before, with ``a < b``.
+    class are done. In a group that keeps several, members go on to lead until all have led, whatever a round
+    finds, so each pair of a group is either in one class or compared. ``verify`` gets distinct pairs that
+    it has not had before, with ``a < b``.
     """
     turns = _turns(members)
     links, tested, state, first, last = None, None, turns.withColumn("cls", F.col("id")), 0, 1
@@ -77,8 +76,6 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
         pairs = stored(pairs, "pairs")
         found = stored(verify(pairs), "links")
         links = found if links is None else links.unionByName(found)
-        if first and found.isEmpty():
-            return links
         tested = pairs if tested is None else tested.unionByName(pairs)
         labelled = turns.join(stored(components(links), "labels"), "id", "left").select(
             "key", "id", "turn", F.coalesce("class_id", "id").alias("cls"))

@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from lineweave.llm import near_dedup
 from lineweave.llm import wordhash as wh
-from lineweave.llm.linking import components
+from lineweave.llm.linking import components, link_groups
 
 
 def shingles(text):
@@ -64,6 +64,29 @@ def test_a_text_that_only_repeats_a_phrase_is_not_a_copy(docs):
     assert all(r["kept"] for r in near_dedup.near_groups(docs(*rows)).collect())
 
 
+def test_close_pairs_in_a_large_template_group(spark, docs):
+    rng = random.Random(9)
+    letter = [f"t{i}" for i in range(300)]
+    rows = []
+    for i in range(0, 240, 2):  # letters are less than 0.8 alike, but for the pairs with one edit
+        own = list(letter)
+        for k in rng.sample(range(5, 295, 10), 8):
+            own[k] = f"own{i}x{k}"
+        close = list(own)
+        if i % 40 == 0:
+            close[150] = f"edit{i}"
+        else:
+            for k in rng.sample(range(2, 298, 9), 8):
+                close[k] = f"own{i + 1}x{k}"
+        rows += [(i, " ".join(own)), (i + 1, " ".join(close))]
+    got = near_dedup.near_groups(docs(*rows)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute(rows)
+    # whatever earlier rounds find, late members of a group meet
+    members = spark.createDataFrame([(7, i) for i in range(60)], "key bigint, id bigint")
+    late = [(r["a"], r["b"]) for r in link_groups(members, lambda pairs: pairs.filter("a = 20 and b = 31")).collect()]
+    assert late == [(20, 31)]
+
+
 def test_null_ids_keep_one_and_empty_table(docs):
     long = " ".join(f"a{i}" for i in range(100))
     rows = [(None, long), (5, long), (6, long + " end"), (None, "other text"), (7, None), (8, "")]
