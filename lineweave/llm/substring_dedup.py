@@ -177,22 +177,29 @@ def _stretches(mask: np.ndarray, similarity: float) -> list[tuple[int, int]]:
 
 
 def similar_passages(a: np.ndarray, b: np.ndarray, least: int = LEAST, similarity: float = SIMILARITY):
-    """(begin, end) in ``a``, (begin, end) in ``b`` and the similarity of the passages that the token lists share."""
-    out = []
-    for begin, end in _stretches(np.isin(a, b), similarity):
-        if end - begin < least:
-            continue
-        own = np.unique(a[begin:end])
-        there = _stretches(np.isin(b, own), similarity)
-        low, high = max(there, key=lambda s: s[1] - s[0])
-        if high - low < least:
-            continue
-        other = np.unique(b[low:high])
-        same = len(np.intersect1d(own, other, assume_unique=True))
-        share = same / (len(own) + len(other) - same)
-        if share >= similarity:
-            out.append((begin, end, low, high, share))
-    return out
+    """(begin, end) in ``a``, (begin, end) in ``b`` and the similarity of the passages that the token lists share.
+
+    A pair of ranges is cut into the stretches that each shares with the other, all of them with all, until a pair
+    is similar or shrinks no more. Both lists are treated alike.
+    """
+    out, work, seen = [], [(0, len(a), 0, len(b))], set()
+    while work:
+        begin, end, low, high = work.pop()
+        one, two = np.isin(a[begin:end], b[low:high]), np.isin(b[low:high], a[begin:end])
+        parts_a = [(begin + x, begin + y) for x, y in _stretches(one, similarity) if y - x >= least]
+        parts_b = [(low + x, low + y) for x, y in _stretches(two, similarity) if y - x >= least]
+        for part in ((*x, *y) for x in parts_a for y in parts_b):
+            if part in seen:
+                continue
+            seen.add(part)
+            own, other = np.unique(a[part[0]:part[1]]), np.unique(b[part[2]:part[3]])
+            same = len(np.intersect1d(own, other, assume_unique=True))
+            share = same / (len(own) + len(other) - same)
+            if share >= similarity:
+                out.append((*part, share))
+            elif same:
+                work.append(part)
+    return sorted(out)
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,6 +76,24 @@ def test_verification_finds_edited_passages():
     assert sd.similar_passages(a, b[:120]) == []
 
 
+def test_every_place_of_a_passage_is_paired_in_both_orders():
+    rng = np.random.default_rng(6)
+    def fresh(n):
+        return rng.integers(0, 2 ** 62, n).astype(np.uint64)
+    one, two = fresh(96), fresh(96)
+    beside = np.concatenate([fresh(40), one, fresh(4), two, fresh(40)])
+    apart = np.concatenate([fresh(20), one, fresh(300), two, fresh(20)])
+    want = {(40, 136, 20, 116), (140, 236, 416, 512)}
+    assert {x[:4] for x in sd.similar_passages(beside, apart)} == want
+    assert {(*x[2:4], *x[:2]) for x in sd.similar_passages(apart, beside)} == want
+    twice = np.concatenate([one, fresh(300), one])
+    assert {x[2:4] for x in sd.similar_passages(beside, twice)} == {(0, 96), (396, 492)}
+    # a stretch of each list holds more than the passage
+    mixed = np.concatenate([one, fresh(200), two, one])
+    swapped = np.concatenate([two, fresh(200), one])
+    assert {x[:4] for x in sd.similar_passages(mixed, swapped)} == {(0, 96, 296, 392), (392, 488, 296, 392), (296, 392, 0, 96)}
+
+
 def test_late_members_of_a_group_meet(spark):
     # members 20 and 31 alone are alike in a group whose other members are not
     members = spark.createDataFrame([(7, i) for i in range(40)], "key bigint, id bigint")
