@@ -11,7 +11,9 @@ of their weighted Jaccard similarity.
 
 Bands of ``ROWS`` coordinates are join keys. Members of a band group are linked by ``link_groups`` and each
 link is verified: weighted Jaccard of the shingles of the whole texts, at least ``SIMILARITY``. Classes are
-the components of the links. Equal texts are one node, so copies cost one row each.
+the components of the links. Equal texts are one node, so copies cost one row each. The number of links of a
+text is counted over all pairs of its class: the class is dealt by hash into blocks of about ``BLOCK`` characters, and each two blocks
+are compared in one task, so no row is made for a pair.
 
 Defined results: null counts as empty; texts without words are alike only where equal; a text of fewer than
 five words is one shingle; a row with a null id is compared with nothing, unless its text is equal to that
@@ -37,6 +39,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 8
 MAX_WEIGHT = 1
+BLOCK, TEXT_COST = 1 << 20, 1000  # characters of a block on average, and what a text counts beside its own
 U = np.uint64
 # Rank intervals: short ones first, as large sets need few darts a cell; then unit intervals.
 SHORT = [(0.0, 0.125), (0.125, 0.125), (0.25, 0.25), (0.5, 0.5)]
@@ -151,9 +154,53 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         [one.column("a"), one.column("b"), pa.array([same / (total - same)])], ["a", "b", "similarity"])
 
 
+def _block_links(table: pa.Table) -> pa.Table:
+    """``node, n_links``: links between the two blocks of a class, or inside its one block."""
+    table = table.combine_chunks()
+    sets, weights = [], []
+    for text in range(table.num_rows):
+        hashes, _, _, first = wh.words(*wh.text_buffers(table.column("text").slice(text, 1).combine_chunks()))
+        u, c = np.unique(wh.shingles(hashes, first, SHINGLE)[0], return_counts=True)
+        sets.append(u), weights.append(np.minimum(c, MAX_WEIGHT))
+    nodes, node = np.unique(table.column("node").to_numpy(), return_inverse=True)
+    block = table.column("block").to_numpy()
+    left = np.flatnonzero(block == table.column("i")[0].as_py())
+    right = np.flatnonzero(block == table.column("j")[0].as_py())
+    total = np.array([w.sum() for w in weights])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.concatenate(([0], np.cumsum([len(u) for u in sets])))
+    codes = np.concatenate([code[at[r]:at[r + 1]] for r in right] or [code[:0]])
+    weight = np.concatenate([weights[r] for r in right] or [total[:0]])
+    owner = np.repeat(np.arange(len(right)), [len(sets[r]) for r in right])
+    have = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
+    linked = np.zeros((len(nodes), len(nodes)), bool)
+    for x in left:
+        own = code[at[x]:at[x + 1]]
+        have[own] = weights[x]
+        same = np.bincount(owner, np.minimum(have[codes], weight), len(right))
+        have[own] = 0
+        union = total[x] + total[right] - same
+        linked[node[x], node[right[(union > 0) & (same >= SIMILARITY * union)]]] = True
+    linked |= linked.T
+    np.fill_diagonal(linked, False)
+    return pa.table({"node": pa.array(nodes), "n_links": pa.array(linked.sum(axis=1).astype(np.int64))})
+
+
+def class_degrees(classes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``node, n_links``: how many others of its class each node (``node, class_id``) is similar to."""
+    sized = bodies.groupBy("node").agg(F.sum(F.char_length("text") + TEXT_COST).alias("size")).join(classes, "node")
+    blocks = stored(sized.groupBy("class_id").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("n")), "blocks")
+    placed = sized.join(blocks, "class_id").select("node", "class_id", "n", F.pmod(F.xxhash64("node"), "n").cast("int").alias("block"))
+    pairs = (bodies.join(placed, "node").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+             .select("class_id", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "text"))
+    return pairs.groupBy("class_id", "i", "j").applyInArrow(_block_links, "node bigint, n_links bigint").groupBy("node").agg(
+        F.sum("n_links").alias("n_links"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS,
-                rows: int = ROWS) -> DataFrame:
-    """Per row: ``id_col, class_id`` (smallest id of the class), ``n_links`` (of its text), ``kept``."""
+                rows: int = ROWS, count_links: bool = True) -> DataFrame:
+    """Per row: ``id_col, class_id`` (smallest id of the class), ``n_links`` (other texts that its text is similar to;
+    null where not counted), ``kept``."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
     signed = base.filter("id is not null").mapInArrow(_signature_rows(bands, rows), "id bigint, sha binary, keys array<bigint>")
@@ -172,21 +219,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 .mapInArrow(_similar, "a bigint, b bigint, similarity double"))
 
     links = link_groups(members, verify).select("a", "b").distinct()
-    degree = (links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-              .groupBy("node").agg(F.count("*").alias("n_links")))
     classes = components(links).withColumnRenamed("id", "node")
-    nodes = (texts.select("sha", "node").join(classes, "node", "left").join(degree, "node", "left")
-             .select(F.col("sha"), F.coalesce("class_id", "node").alias("class_id"),
-                     F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+    none = F.lit(0 if count_links else None).cast("bigint")
+    nodes = texts.select("sha", "node").join(classes, "node", "left").withColumn("n_links", none)
+    if count_links:
+        nodes = nodes.drop("n_links").join(class_degrees(classes, bodies), "node", "left")
+    nodes = nodes.select("sha", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", none).alias("n_links"))
     out = base.select("id", "sha").join(nodes, "sha", "left")
-    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("n_links", none).alias("n_links"),
                       F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"),
                       F.hex("sha").alias("text_sha"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: of each class the document with the smallest id."""
-    groups = near_groups(docs, id_col, text_col)
+    groups = near_groups(docs, id_col, text_col, count_links=False)
     gone = groups.filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha").alias("_sha")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (
         F.upper(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)) == gone["_sha"]), "left_anti")

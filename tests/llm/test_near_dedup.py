@@ -87,6 +87,19 @@ def test_close_pairs_in_a_large_template_group(spark, docs):
     assert late == [(20, 31)]
 
 
+def test_links_are_counted_against_all_pairs(docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 6000)  # classes of several blocks
+    alike = [f"s{i}" for i in range(100)]
+    rows = corpus(3) + [(500 + i, " ".join([*alike, f"end{i}"])) for i in range(9)] + [(600, " ".join([*alike, "end0"]))]
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(t, i)
+    sets = {t: shingles(t) for t in texts}
+    want = {t: sum(u != t and len(sets[t] & sets[u]) >= 0.8 * len(sets[t] | sets[u]) for u in texts) for t in texts}
+    assert want[rows[-1][1]] == 8
+    assert {r["doc_id"]: r["n_links"] for r in near_dedup.near_groups(docs(*rows)).collect()} == {i: want[t] for i, t in rows}
+
+
 def test_null_ids_keep_one_and_empty_table(docs):
     long = " ".join(f"a{i}" for i in range(100))
     rows = [(None, long), (5, long), (6, long + " end"), (None, "other text"), (7, None), (8, "")]
