@@ -6,8 +6,10 @@
 2. Tokens of a host with the same vector form an equivalence class. A class is valid if it is in at least
    ``SUPPORT`` of at least ``MIN_PAGES`` pages of the host and has ``MIN_CLASS`` tokens or more. The tokens of
    valid classes, ordered by their mean place in the pages, nest into the host's template.
-3. On each page template tokens are matched in that order; what stands out of order is data. Template texts
-   go. Template tags bound the slots; what remains in a slot is its content.
+   Pages of a host with equal html count once.
+3. On each page template tokens are matched in that order; what stands out of order is data. Template tags bound
+   the slots; what remains in a slot is its content. Template texts go, but not those inside an article or main element, and
+   not those that stand in one container, below the body, with the page's own text, inside the container of the longest slot.
 4. Slots are kept or not by what encloses them: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
    styles and comments go, by element, role, class or id. Where a page has an article or main element, its
    slots are the text; otherwise slots with at least a quarter of the text of the longest one.
@@ -23,6 +25,7 @@ closes ends with what encloses it.
 from __future__ import annotations
 
 import html
+import os
 import re
 from collections.abc import Iterator
 
@@ -189,11 +192,17 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(rows: DataFrame) -> DataFrame:
     """``host, template``: the tokens of valid equivalence classes in the order of their mean places."""
-    seen = rows.filter("host is not null").mapInArrow(
+    keyed = rows.filter("host is not null").withColumn("digest", F.xxhash64("html"))
+    counted = keyed.groupBy("host", "digest").agg(F.count("*").alias("n"))
+    # only html that repeats is moved, to be counted once
+    repeats = stored(counted.filter("n > 1").select("host", "digest"), "repeats")
+    again = keyed.join(repeats, ["host", "digest"], "left_semi").dropDuplicates(["host", "html"])
+    distinct = keyed.join(repeats, ["host", "digest"], "left_anti").unionByName(again).select("host", "page", "html")
+    seen = distinct.mapInArrow(
         _occurrences, "host string, page bigint, token bigint, n bigint, place double")
     vectors = seen.groupBy("host", "token").agg(
         F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("pages"), F.avg("place").alias("place"))
-    hosts = rows.groupBy("host").agg(F.count("*").alias("all_pages")).filter(F.col("all_pages") >= MIN_PAGES)
+    hosts = counted.groupBy("host").agg(F.count("*").alias("all_pages")).filter(F.col("all_pages") >= MIN_PAGES)
     frequent = vectors.join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("all_pages"))
     valid = frequent.groupBy("host", "vector").agg(
         F.count("*").alias("size"), F.collect_list(F.struct("place", "token")).alias("tokens")).filter(F.col("size") >= MIN_CLASS)
@@ -205,24 +214,39 @@ def page_text(source: str, template: list[int] | None) -> str:
     tokens = read_page(source)
     order = {int(t): i for i, t in enumerate(template or [])}
     keys = _hashes([t[1] for t in tokens]).view(np.int64).tolist() if order else [0] * len(tokens)
-    slots: list[list] = [[0, []]]  # length and blocks between template tags
-    last, main = -1, any(t[4] and not t[3] and t[2] for t in tokens)
-    for key, (kind, _, text, noise, inside) in zip(keys, tokens, strict=True):
+    blocks: list[tuple[str, str, bool, int]] = []  # container, text, of the template, slot between template tags
+    last, slot, main = -1, 0, any(t[4] and not t[3] and t[2] for t in tokens)
+    for key, (kind, name, text, noise, inside) in zip(keys, tokens, strict=True):
         place = order.get(key, -1)
         matched = place > last
         if matched:
             last = place
         if kind == "tag":
-            if matched:
-                slots.append([0, []])
-            continue
-        if noise or matched or main and not inside:
-            continue
-        slots[-1][0] += len(text)
-        slots[-1][1].append(text)
-    longest = max(size for size, _ in slots)
-    kept = [blocks for size, blocks in slots if main or not order or size >= SLOT_SHARE * longest]
-    return "\n\n".join(text for blocks in kept for text in blocks)
+            slot += matched
+        elif not noise and (inside or not main):
+            blocks.append((name[:-len(text) - 1], text, matched and not inside, slot))
+    own = _own_containers(blocks)
+    blocks = [b for b in blocks if not b[2] or b[0] in own]
+    sizes: dict[int, int] = {}
+    for _, text, _, number in blocks:
+        sizes[number] = sizes.get(number, 0) + len(text)
+    least = 0 if main or not order else SLOT_SHARE * max(sizes.values(), default=0)
+    return "\n\n".join(text for _, text, _, number in blocks if sizes[number] >= least)
+
+
+def _own_containers(blocks: list[tuple[str, str, bool, int]]) -> set[str]:
+    """Containers below the body that hold the page's own text, inside the container of its longest slot."""
+    sizes: dict[int, int] = {}
+    for _, text, shared, slot in blocks:
+        if not shared:
+            sizes[slot] = sizes.get(slot, 0) + len(text)
+    if not sizes:
+        return set()
+    longest = max(sizes, key=sizes.get)
+    held = [c.split("/") for c, _, shared, slot in blocks if slot == longest and not shared]
+    common = os.path.commonprefix(held)
+    return {c for c, _, shared, _ in blocks if not shared and c.split("/")[:len(common)] == common
+            and c.rpartition("/")[2].partition(".")[0] not in ("", "html", "body")}
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,6 +44,17 @@ def test_a_line_that_many_articles_share_stays(spark):
     assert all(r["text"] == f"T{i}\n\nShared line.\n\nOwn {i}" for i, r in run(spark, rows).items())
 
 
+def test_shared_lines_of_articles_stay_at_every_size(spark):
+    rows = [(1000 * n + i, f"http://h{n}.example.com/{i}", f"<body><nav>m</nav><div>Site</div><article><h1>T{i}</h1><h2>Introduction</h2>"
+             f"<p>Shared line.</p><p>Own {i}</p></article><div>Terms</div>") for n in (9, 10, 30) for i in range(n)]
+    rows += [(50 + i, f"http://copies.example.com/{i}", "<body><div><p>One</p><p>Two</p><p>Three</p></div>") for i in range(10)]
+    got = run(spark, rows)
+    for n in (9, 10, 30):
+        assert all(got[1000 * n + i]["text"] == f"T{i}\n\nIntroduction\n\nShared line.\n\nOwn {i}" for i in range(n))
+    assert got[9000]["has_template"] is False and got[10000]["has_template"] and got[30000]["has_template"]
+    assert all(got[50 + i]["text"] == "One\n\nTwo\n\nThree" for i in range(10))
+
+
 def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([page(1), page(1)], "page_id bigint, url string, html string")
     assert he.main_texts(df.limit(0)).count() == 0 and len({r["text"] for r in he.main_texts(df).collect()}) == 1
