@@ -12,7 +12,7 @@
    not those that stand in one container, below the body, with the page's own text, inside the container of the longest slot.
 4. Slots are kept or not by what encloses them: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
    styles and comments go, by element, role, class or id. Where a page has an article or main element, its
-   slots are the text; otherwise slots with at least a quarter of the text of the longest one.
+   slots are the text; otherwise all slots are.
 
 Blocks are joined by a blank line; white space inside a block, line breaks too, is one space; character
 references are decoded. Nothing else is dropped or cut.
@@ -38,7 +38,6 @@ from lineweave.llm import wordhash as wh
 from lineweave.session import stored
 
 SUPPORT, MIN_PAGES, MIN_CLASS = 0.9, 10, 3
-SLOT_SHARE = 0.25
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
@@ -226,12 +225,7 @@ def page_text(source: str, template: list[int] | None) -> str:
         elif not noise and (inside or not main):
             blocks.append((name[:-len(text) - 1], text, matched and not inside, slot))
     own = _own_containers(blocks)
-    blocks = [b for b in blocks if not b[2] or b[0] in own]
-    sizes: dict[int, int] = {}
-    for _, text, _, number in blocks:
-        sizes[number] = sizes.get(number, 0) + len(text)
-    least = 0 if main or not order else SLOT_SHARE * max(sizes.values(), default=0)
-    return "\n\n".join(text for _, text, _, number in blocks if sizes[number] >= least)
+    return "\n\n".join(text for container, text, shared, _ in blocks if not shared or container in own)
 
 
 def _own_containers(blocks: list[tuple[str, str, bool, int]]) -> set[str]:

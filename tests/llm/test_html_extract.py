@@ -55,6 +55,17 @@ def test_shared_lines_of_articles_stay_at_every_size(spark):
     assert all(got[50 + i]["text"] == "One\n\nTwo\n\nThree" for i in range(10))
 
 
+def test_short_titles_and_endings_stay(spark):
+    rows = [(i, f"http://d.example.com/{i}", f"<body><div class=top>Site name</div><div class=post><h1>Title {i}</h1><p class=byline>By us</p>"
+             f"<div class=text><p>{f'long {i} ' * 80}</p><h2>Closing</h2><p>End {i}</p></div></div><div class=end>Terms</div></body>")
+            for i in range(12)]
+    got = run(spark, rows)
+    for i in range(12):
+        assert got[i]["has_template"]
+        parts = got[i]["text"].split("\n\n")
+        assert parts[0] == f"Title {i}" and parts[-2:] == ["Closing", f"End {i}"] and "Site name" not in parts and "Terms" not in parts
+
+
 def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([page(1), page(1)], "page_id bigint, url string, html string")
     assert he.main_texts(df.limit(0)).count() == 0 and len({r["text"] for r in he.main_texts(df).collect()}) == 1
