@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.llm import (
     decontaminate,
     exact_dedup,
+    filter_audit,
     html_extract,
     license_scan,
     line_dedup,
@@ -158,3 +161,42 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op1_substring_dedup")
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+_PERMUTED = " UNION ALL ".join(
+    f"SELECT '{''.join(order)}' AS filter_order" for order in itertools.permutations(filter_audit.FILTERS))
+
+
+@registered("op12_filter_audit", f"""
+    WITH docs AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+             regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    firsts AS (SELECT text, min(doc_id) AS first FROM docs GROUP BY 1),
+    marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+                     max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+    flags AS (
+      SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+             CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+             || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 2 * length(d.text) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END
+             || CASE WHEN f.first < d.doc_id THEN 'E' ELSE '' END AS failed
+      FROM docs d JOIN firsts f ON f.text = d.text LEFT JOIN marks m ON m.doc_id = d.doc_id),
+    cells AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM flags GROUP BY 1, 2),
+    steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before
+              FROM ({_PERMUTED}), (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    seen AS (
+      SELECT *, contains(failed, own) AS fails,
+             length(before) > 0 AND regexp_matches(failed, '[' || before || '_]') AS gone FROM cells, steps),
+    found AS (
+      SELECT part, filter_order, CAST(step AS INT) AS step, own, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS kept,
+             coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant,
+             coalesce(sum(n) FILTER (failed = own), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS good_lost,
+             coalesce(sum(bad) FILTER (fails AND NOT gone), 0) AS toxic_lost FROM seen GROUP BY ALL)
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+           CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+           CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM found""")
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
