@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.llm import (
+    conversation_trie,
     decontaminate,
     exact_dedup,
     filter_audit,
@@ -200,3 +201,34 @@ _PERMUTED = " UNION ALL ".join(
            CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM found""")
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered("op13_conversation_trie", """
+    WITH turns AS (
+      SELECT conv_id AS c, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+             len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words
+      FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT c, list(k ORDER BY turn NULLS FIRST, k) AS ks, list(words ORDER BY turn NULLS FIRST, k) AS ws,
+                   list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(
+                     string_split(CAST(c AS VARCHAR), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+                     lambda a, v: xor(xor(a, v) >> 1, 3988292384 * (xor(a, v) & 1))) AS crc
+            FROM turns GROUP BY c),
+    headed AS (SELECT *, CAST(xor(crc, 4294967295) % 4 AS BIGINT) AS h FROM own),
+    whole AS (
+      SELECT a.c, list_concat(list_slice(coalesce(b.ks, []), 1, a.h), list_slice(a.ks, a.h + 1, len(a.ks))) AS ks,
+             list_concat(list_slice(coalesce(b.ws, []), 1, a.h), list_slice(a.ws, a.h + 1, len(a.ws))) AS ws
+      FROM headed a LEFT JOIN own b ON b.c = a.c - ((a.c % 20) + 20) % 20),
+    steps AS (SELECT c, ks, ws, unnest(range(0, len(ks) + 1)) AS d FROM whole),
+    members AS (SELECT c, d, d = len(ks) AS ended, array_to_string(list_slice(ks, 1, d), '') AS p,
+                       array_to_string(list_slice(ks, 1, d - 1), '') AS up, coalesce(ws[d], 0) AS w FROM steps),
+    nodes AS (SELECT p, any_value(d) AS d, any_value(CASE WHEN d > 0 THEN up END) AS up, min(c) AS c, count(*) AS n, any_value(w) AS w,
+                     sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ended), '')) AS ends FROM members GROUP BY p),
+    kids AS (SELECT up, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+    full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.up = n.p),
+    sums AS (SELECT a.p, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n - 1) * b.w) AS saved
+             FROM full_nodes a JOIN full_nodes b ON starts_with(b.p, a.p) GROUP BY a.p)
+    SELECT f.c AS conv_id, f.d AS depth, u.c AS parent_conv_id, f.n AS n_convs, f.n_children, s.n_leaves,
+           CAST(s.saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+    FROM full_nodes f JOIN sums s ON s.p = f.p LEFT JOIN nodes u ON u.p = f.up""")
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
