@@ -19,6 +19,7 @@ from lineweave.llm import (
     packing,
     quality,
     substring_dedup,
+    suffix_dedup,
     toxicity,
 )
 from lineweave.llm.license_values import RULES
@@ -232,3 +233,24 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM full_nodes f JOIN sums s ON s.p = f.p LEFT JOIN nodes u ON u.p = f.up""")
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@registered("op11_suffix_dedup", """
+    WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    windows AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS k
+                FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS p FROM docs WHERE n >= 200)),
+    again AS (SELECT doc_id, p FROM windows SEMI JOIN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1) USING (k)),
+    cut AS (SELECT *, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200, true) AS fresh FROM again),
+    numbered AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM cut),
+    spans AS (SELECT doc_id, run, min(p) AS b, max(p) + 200 AS e FROM numbered GROUP BY ALL),
+    edges AS (SELECT doc_id, b, e FROM spans UNION ALL SELECT doc_id, n, n FROM docs),
+    gaps AS (SELECT doc_id, b, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b, e), 0) AS since FROM edges),
+    kept AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (b - since)), '' ORDER BY b) AS h FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id),
+    sums AS (SELECT doc_id, count(*) AS n_spans, sum(e - b) AS n_removed FROM spans GROUP BY doc_id)
+    SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(kept.h)) AS kept_sha256
+    FROM docs JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)""")
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
