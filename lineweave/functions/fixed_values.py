@@ -167,7 +167,7 @@ JAVA_RULES = (
     RuleText("java-tainted-flow", "high", "security", "Request-derived variable {n} flows into a sensitive sink"),
 )
 
-# Python symbol rules: (rule, severity, message, symbol kind, symbol name).
+# Python symbol rules as (rule, severity, message, symbol kind, symbol name).
 PYTHON_SYMBOL_RULES = (
     ("python-eval-usage", "high", "Use of eval() detected", "call", "eval"),
     ("debug-print", "low", "print() detected", "call", "print"),

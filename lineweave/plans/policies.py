@@ -11,6 +11,7 @@ from ..functions.fixed_values import FILE_RULES, KERNEL_RULES, LINE_RULES, SEVER
 KIB, MIB = 1024, 1024 * 1024
 
 
+# The defaults of the three classes below.
 @dataclass(frozen=True)
 class Limits:
     max_file_size_bytes: int = MIB

@@ -100,20 +100,12 @@ def test_rcu(spark):
 
 
 def test_goto(spark):
+    """A line becomes a digit (label 4, cleanup 2, return 1) and the rule one pattern over the digits behind a goto."""
+    cleaned_up = re.compile("[0-3]{0,6}[4-7][04]{0,4}[2367]")
+
     def simulate(_, lines):
-        for i, t in enumerate(lines):
-            if "goto out;" not in t:
-                continue
-            label = next((j for j in range(i + 1, min(i + 8, len(lines))) if "out:" in lines[j]), None)
-            clean = False
-            for k in range(label + 1, min(label + 6, len(lines))) if label is not None else ():
-                if any(w in lines[k] for w in ("kfree(", "put_", "unlock(")):
-                    clean = True
-                    break
-                if returns(lines[k]):
-                    break
-            if not clean:
-                yield i + 1
+        digits = "".join(str(4 * ("out:" in t) + 2 * bool(re.search(r"kfree\(|put_|unlock\(", t)) + bool(returns(t))) for t in lines)
+        return [n for n, t in enumerate(lines, 1) if "goto out;" in t and not cleaned_up.match(digits, n)]
 
     rows = corpus(C_POOL, ["c"])
     got = found(spark, rows, lambda: c_rules.goto_hits(c_rules.numbered(F.col("lines")), F.col("lines")), keep_cr=True)
@@ -146,33 +138,20 @@ HANDLER_TESTS = {
 }
 
 
+# What a line is as the beginning of a block, and what it is inside of one; the first pattern that fits counts.
+OPENS = [("W", r".*\{\}"), ("W", r"[^{]*\{\s*\};?$"), ("B", r"[^{]*\{$"), ("X", r".*\{"), ("B", r".*:$"), ("-", "")]
+INSIDE = [("E", r"(\}|pass|// ignored?|// noop|/\* ignored \*/)$"), ("H", "except|catch"), ("-", "")]
+EMPTY_BLOCK = re.compile("(-.)*(W.|B.(.H)*.E)")
+
+
 def test_empty_handlers(spark):
-    def empty(ahead):
-        inside = False
-        for t in (x.strip() for x in ahead):
-            if not t:
-                continue
-            if inside:
-                if t in ("}", "pass", "// ignored", "// ignore", "// noop", "/* ignored */"):
-                    return True
-                if not t.startswith(("except", "catch")):
-                    return False
-            elif "{}" in t:
-                return True
-            elif "{" in t:
-                tail = t[t.index("{") + 1:].strip()
-                if tail:
-                    return tail in ("}", "};")
-                inside = True
-            elif t.endswith(":"):
-                inside = True
-        return False
+    def kind(table, text):
+        return next(letter for letter, pattern in table if re.match(pattern, text))
 
     def simulate(language, lines):
-        for i, line in enumerate(lines):
-            t = line.strip()
-            if HANDLER_TESTS[language](t) and ("{}" in t or t.endswith("{ }") or empty(lines[i:i + 5])):
-                yield i + 1
+        marks = [kind(OPENS, t.strip()) + kind(INSIDE, t.strip()) if t.strip() else "" for t in lines]
+        return [n for n, line in enumerate(lines, 1) if HANDLER_TESTS[language](line.strip()) and (
+            re.search(r"\{\}|\{ \}$", line.strip()) or EMPTY_BLOCK.match("".join(marks[n - 1:n + 4])))]
 
     rows = corpus(HANDLER_POOL, list(HANDLER_POOL))
     got = found(spark, rows, lambda: block_rules.handler_hits("_views", F.col("lines"), F.col("content")))
