@@ -62,11 +62,11 @@ def hits(files: DataFrame, store: DataFrame, version: str) -> DataFrame:
     return keys.join(stored, F.expr(SAME)).select(*[F.col(f"s.{c}") for c in STORE_COLUMNS])
 
 
-def missed_keys(files: DataFrame, store: DataFrame, version: str) -> DataFrame:
-    """``path`` of files that are new or changed; no text takes part in this join."""
-    keys = files.select(*KEY_COLUMNS).alias("k")
+def missed_keys(files: DataFrame, store: DataFrame, version: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``path`` (and the columns to ``keep``) of files that are new or changed; no text takes part in this join."""
+    keys = files.select(*KEY_COLUMNS, *(c for c in keep if c not in KEY_COLUMNS)).alias("k")
     stored = usable(store, version).select(*KEY_COLUMNS).alias("s")
-    return keys.join(stored, F.expr(SAME), "left_anti").select("path")
+    return keys.join(stored, F.expr(SAME), "left_anti").select("path", *keep)
 
 
 def misses(files: DataFrame, store: DataFrame, version: str) -> DataFrame:

@@ -61,3 +61,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Folder:
+    """Small files of a folder on whatever file system Spark sees, by its Hadoop client on the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm, self.path = spark._jvm, path.rstrip("/")
+        self._fs = self._at().getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _at(self, *names: str):
+        return self._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
+
+    def names(self) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._at())] if self._fs.exists(self._at()) else []
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """A new file that is there whole or not at all; one of this name that exists is an error."""
+        draft = self._at(f".{name}.{uuid.uuid4().hex}")
+        stream = self._fs.create(draft, False)
+        stream.write(text.encode())
+        stream.close()
+        if not self._fs.rename(draft, self._at(name)):
+            raise FileExistsError(f"{self.path}/{name}")
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)

@@ -23,12 +23,13 @@ from lineweave.plans.policies import (
 from lineweave.plans.review import ReviewOptions, language_hits, review, review_files
 from lineweave.session import scratch_dir, stored
 from lineweave.sources import selection
-from lineweave.streaming.ingest import start_reviews
+from lineweave.streaming.ingest import current_entries, rescan, start_reviews
+from lineweave.streaming.store import ReviewStore
 
 from . import duck_sql as D
 from .code_corpus import binary_code_files, code_files, code_lines, dense_files, dense_lines
 from .duck_sql import compose, in_list, q
-from .tables import DOC_PATH, document_files, table
+from .tables import DOC_PATH, DOC_TIME, document_files, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -864,6 +865,55 @@ def stream_reviews(spark, sf_dir):
         arrival.write.mode("append").parquet(f"{target}/in")
         start_reviews(spark, f"{target}/in", target, f"{target}/checkpoint", policy_named("maintainability"),
                       ReviewOptions(rule_set="scan")).awaitTermination()
-    newest = incremental.latest(spark.read.parquet(f"{target}/entries"), "reviewed_at")
-    return newest.select("path", "content_hash",
-                         F.array_join(F.array_sort(F.transform("findings", lambda f: f["rule"])), ",").alias("rules"))
+    return current_entries(spark, target).select("path", "content_hash", F.array_join(F.array_sort(F.transform("findings", lambda f: f["rule"])), ",").alias("rules"))
+
+
+ARRIVALS = 20
+_arrived = f"(SELECT doc_id, CASE WHEN d.doc_id % {ARRIVALS} < 10 THEN r.text ELSE d.text END AS text FROM documents d JOIN {_rewritten} r USING (doc_id))"
+
+
+@register("stream_compaction", f"""
+    SELECT {DOC_PATH} AS path, {_hash} AS content_hash, coalesce(rules, '') AS rules FROM {_arrived} d LEFT JOIN (
+      SELECT path AS doc_id, string_agg(rule, ',' ORDER BY rule) AS rules FROM (
+        {D.worded(D.file_rule_rows(_arrived, "doc_id", "text"), V.FILE_RULES)})
+      WHERE rule IN {in_list(BY_NAME["quick"].rules)} GROUP BY path) f USING (doc_id)""")
+def stream_compaction(spark, sf_dir):
+    """Documents arrive in twenty files, the first ten edited once more with the last ten; one batch a file, compacted on the way."""
+    target = scratch_dir(spark, "stream-compaction")
+    files = document_files(spark, sf_dir).select("path", "size", "modified", "content")
+    slot = F.substring_index("path", "/", -1).cast("long") % ARRIVALS
+    for n in range(ARRIVALS):
+        arrival = files.filter(slot == n)
+        if n >= 10:
+            arrival = arrival.unionByName(edited(files).filter(slot == n - 10))
+        arrival.coalesce(1).write.mode("append").parquet(f"{target}/in")
+    start_reviews(spark, f"{target}/in", target, f"{target}/checkpoint", policy_named("quick"),
+                  ReviewOptions(rule_set="scan"), max_files_per_batch=1).awaitTermination()
+    return current_entries(spark, target).select(
+        "path", "content_hash", F.array_join(F.array_sort(F.transform("findings", lambda f: f["rule"])), ",").alias("rules"))
+
+
+_touched = "(doc_id % 100 = 3)"
+
+
+@register("rescan_store", f"""
+    SELECT {DOC_PATH} AS path, CASE WHEN {_touched} THEN {DOC_TIME} + INTERVAL 1 DAY ELSE {DOC_TIME} END AS modified,
+           {_hash} AS content_hash, coalesce(rules, '') AS rules FROM documents LEFT JOIN (
+      SELECT path AS doc_id, string_agg(rule, ',' ORDER BY rule) AS rules FROM (
+        {D.worded(D.file_rule_rows(f"(SELECT doc_id, CASE WHEN {_touched} THEN text || ' secret' ELSE text END AS text FROM documents)", "doc_id", "text"), V.FILE_RULES)})
+      WHERE rule IN {in_list(BY_NAME["quick"].rules)} GROUP BY path) f USING (doc_id)""".replace(
+    f"{_hash} AS content_hash", f"sha256(CASE WHEN {_touched} THEN text || ' secret' ELSE text END) AS content_hash"))
+def rescan_store(spark, sf_dir):
+    """A first scan into a store, edits of one document in a hundred, and a rescan that goes by sizes and times."""
+    policy, options = policy_named("quick"), ReviewOptions(rule_set="scan")
+    files = document_files(spark, sf_dir).select("path", "size", "modified", "content")
+    touched = F.substring_index("path", "/", -1).cast("long") % 100 == 3
+    content = F.when(touched, F.concat("content", F.lit(" secret"))).otherwise(F.col("content"))
+    now = files.withColumns({
+        "content": content, "size": F.octet_length(content).cast("long"),
+        "modified": F.when(touched, F.col("modified") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("modified"))})
+    store = ReviewStore(spark, scratch_dir(spark, "rescan-store"))
+    for scan in (files, now):
+        rescan(scan, store, policy, options)
+    return store.current().select("path", F.col("modified").cast("timestamp_ntz").alias("modified"), "content_hash",
+                                  F.array_join(F.array_sort(F.transform("findings", lambda f: f["rule"])), ",").alias("rules"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from lineweave.plans import incremental
 from lineweave.plans.policies import policy_named
 from lineweave.plans.review import ReviewOptions, review_files
-from lineweave.streaming.ingest import FILES_SCHEMA, review_batch, start_reviews
+from lineweave.streaming.ingest import (
+    FILES_SCHEMA, current_entries, current_findings, rescan, review_batch, start_reviews, with_texts,
+)
+from lineweave.streaming.store import FANOUT, ReviewStore
 
 OPTIONS = ReviewOptions(rule_set="scan")
 DAY = datetime.datetime(2024, 1, 1)
@@ -73,6 +76,10 @@ def test_rescan_reviews_changes_only(spark, tmp_path):
     assert other != incremental.ruleset_version(policy, "scan", options=OPTIONS)
 
 
+def rules(entries):
+    return {r["path"]: [f["rule"] for f in r["findings"]] for r in entries.collect()}
+
+
 def test_stream_reviews_only_what_changed(spark, tmp_path):
     source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
     policy = policy_named("quick")
@@ -84,29 +91,110 @@ def test_stream_reviews_only_what_changed(spark, tmp_path):
     run()
     corpus(spark, {"a.py": "secret", "b.py": "plain", "c.py": "TODO"}).coalesce(1).write.mode("append").parquet(source)
     run()
-    log = spark.read.parquet(f"{target}/entries")
-    assert sorted((r["path"], r["batch_id"]) for r in log.collect()) == [
-        ("a.py", 0), ("b.py", 0), ("b.py", 1), ("c.py", 1)]
-    newest = {r["path"]: [f["rule"] for f in r["findings"]] for r in incremental.latest(log, "reviewed_at").collect()}
-    assert newest == {"a.py": ["possible-secret"], "b.py": [], "c.py": ["todo-comment"]}
-    # a batch that runs again leaves the same result; a new checkpoint starts at batch 0 and overwrites nothing
+    store = ReviewStore(spark, f"{target}/store")
+    names = [s.name for s in store.segments]
+    log = sorted((r["path"], r["seq"]) for r in store.entries().collect())
+    assert log == [("a.py", 1), ("b.py", 1), ("b.py", 2), ("c.py", 2)]
+    assert rules(current_entries(spark, target)) == {"a.py": ["possible-secret"], "b.py": [], "c.py": ["todo-comment"]}
+    # a batch that runs again leaves the same result; a new checkpoint starts at batch 0 and replaces nothing
     again = corpus(spark, {"a.py": "secret", "b.py": "plain", "c.py": "TODO"})
-    run_id = log.select("run").first()["run"]
-    review_batch(again, 1, target, policy, OPTIONS, run_id)
-    assert spark.read.parquet(f"{target}/entries").count() == 4
-    assert spark.read.parquet(f"{target}/findings").count() == 3
+    review_batch(again, 1, target, policy, OPTIONS, names[1].split("-")[0])
+    assert current_entries(spark, target).count() == 3 and current_findings(spark, target).count() == 2
+    assert ReviewStore(spark, f"{target}/store").entries().count() == 4
     other = corpus(spark, {"a.py": "secret", "d.py": "unsafe"}).unionByName(
         corpus(spark, {"d.py": "newer TODO"}, DAY + datetime.timedelta(days=1)))
-    review_batch(other, 0, target, policy, OPTIONS, "another")
-    added = spark.read.parquet(f"{target}/entries").filter("run = 'another'").collect()
-    assert [(r["path"], [f["rule"] for f in r["findings"]]) for r in added] == [("d.py", ["todo-comment"])]
-
-
-def test_a_broken_log_is_an_error(spark, tmp_path):
-    (tmp_path / "entries").mkdir()
-    (tmp_path / "entries" / "part-0.parquet").write_bytes(b"not parquet")
+    store = review_batch(other, 0, target, policy, OPTIONS, "another")
+    assert rules(store.entries().filter(f"seq = {store.version}")) == {"d.py": ["todo-comment"]}
+
+
+def test_reads_do_not_grow_with_batches(spark, tmp_path):
+    policy, texts, opened = policy_named("quick"), {f"f{i}.py": f"x {i}" for i in range(12)}, []
+    for n in range(20):
+        texts = {p: (f"unsafe {n}" if i == n % 12 else t) for i, (p, t) in enumerate(texts.items())}
+        store = review_batch(corpus(spark, texts), n, str(tmp_path), policy, OPTIONS)
+        opened.append(len(store.segments))
+    # twelve paths are two size classes: the first scan's, and that of single files
+    assert max(opened) <= 2 * FANOUT and max(opened[10:]) <= max(opened[:10]) + 1, opened
+    now = {r["path"]: r["content_hash"] for r in store.current().collect()}
+    assert now == {r["path"]: r["content_hash"] for r in incremental.with_fingerprint(corpus(spark, texts)).collect()}
+    assert store.entries().count() < 12 + 19 and sum(s.rows for s in store.segments) == store.entries().count()
+    # merged segments can go; what is live stays, and a store that is opened anew is the same
+    assert store.vacuum() and not store.vacuum()
+    assert sorted(map(str, ReviewStore(spark, store.path).current().collect())) == sorted(map(str, store.current().collect()))
+
+
+def later(texts, modified, changed, when=DAY + datetime.timedelta(days=1)):
+    """A later scan: times of the changed paths move on."""
+    return [(p, len(t), when if p in changed else modified, t) for p, t in texts.items()]
+
+
+def test_rescan_of_a_store_reads_changed_texts_only(spark, tmp_path):
+    policy, store = policy_named("quick"), ReviewStore(spark, str(tmp_path / "store"), buckets=4)
+    texts = {f"f{i}.py": f"secret {i:03d}" for i in range(400)}
+    assert rescan(corpus(spark, texts), store, policy, OPTIONS) == 400
+    assert rescan(corpus(spark, texts), store, policy, OPTIONS) == 0
+    texts |= {"f7.py": "unsafe 007", "f9.py": "secret 9", "new.py": "TODO"}
+    rows = later(texts, DAY, {"f7.py", "new.py"})
+    rows[3] = (*rows[3][:3], "hidden 003")  # same size, same time: not looked at when times are trusted
+    assert rescan(spark.createDataFrame(rows, FILES_SCHEMA), store, policy, OPTIONS) == 3
+    now = rules(store.current())
+    assert len(now) == 401 and now["f7.py"] == ["unsafe-usage"] and now["new.py"] == ["todo-comment"] and now["f3.py"] == ["possible-secret"]
+    assert rescan(spark.createDataFrame(rows, FILES_SCHEMA), store, policy, OPTIONS, trust_times=False) == 1
+    assert rules(store.current())["f3.py"] == []
+    # files without a time are never trusted
+    unknown = spark.createDataFrame([(p, s, None, t) for p, s, _, t in rows], FILES_SCHEMA)
+    assert rescan(unknown, store, policy, OPTIONS) == 401
+
+
+def test_a_rescan_does_not_shuffle_the_store(spark, tmp_path):
+    policy, store = policy_named("quick"), ReviewStore(spark, str(tmp_path / "store"), buckets=4)
+    texts = {f"f{i}.py": f"x {i}" for i in range(50)}
+    rescan(corpus(spark, texts), store, policy, OPTIONS)
+    rescan(spark.createDataFrame(later(texts, DAY, {"f1.py", "f2.py"}), FILES_SCHEMA), store, policy, OPTIONS)
+    assert len(store.segments) == 2
+    listing = corpus(spark, texts).select("path", "size", "modified").hint("shuffle_merge")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        compared = store.compared(listing)
+        plan = compared._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 2 and plan.count("SortMergeJoin") == 2, plan
+        newest = {r["path"]: r["known"]["seq"] for r in compared.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert newest == {p: 2 if p in ("f1.py", "f2.py") else 1 for p in texts}
+
+
+def test_names_go_through_a_bitmap(spark):
+    files = corpus(spark, {f"p{i}": str(i) for i in range(3000)})
+    names = files.filter("content % 30 = 0").select("path")
+    found = with_texts(files, names, 100, bitmap_from=1)
+    assert sorted(int(r["content"]) for r in found.collect()) == list(range(0, 3000, 30))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan and files.columns == found.columns
+
+
+def test_a_writer_that_fails_leaves_the_last_state(spark, tmp_path):
+    policy = policy_named("quick")
+    store = review_batch(corpus(spark, {"a.py": "secret"}), 0, str(tmp_path), policy, OPTIONS)
+    late = ReviewStore(spark, store.path)
+    review_batch(corpus(spark, {"b.py": "TODO"}), 1, str(tmp_path), policy, OPTIONS)
+    with pytest.raises(FileExistsError):  # a second writer does not overwrite a manifest
+        late._commit(())
+    # entries without a manifest that names them do not count, and a batch that runs again replaces them
+    broken = ReviewStore(spark, store.path)
+    broken._write(broken.entries(), "r0-000000002")
+    assert current_entries(spark, str(tmp_path)).count() == 2
+    review_batch(corpus(spark, {"c.py": "x"}), 2, str(tmp_path), policy, OPTIONS)
+    assert sorted(rules(current_entries(spark, str(tmp_path)))) == ["a.py", "b.py", "c.py"]
+
+
+def test_a_broken_store_is_an_error(spark, tmp_path):
+    policy = policy_named("quick")
+    store = review_batch(corpus(spark, {"a.py": "x"}), 0, str(tmp_path), policy, OPTIONS)
+    for part in (tmp_path / "store" / "segments").glob("*/*.parquet"):
+        part.write_bytes(b"not parquet")
     with pytest.raises(Exception):
-        review_batch(corpus(spark, {"a.py": "x"}), 1, str(tmp_path), policy_named("quick"), OPTIONS)
+        store.current().collect()
 
 
 def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
