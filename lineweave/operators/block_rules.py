@@ -58,11 +58,27 @@ def _count(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def function_spans(language: Column, views: Column) -> Column:
-    """``array<struct<line,span>>`` of functions longer than the readable limit.
+def opens_function(language: Column, text: Column) -> Column:
+    """Does a trimmed line have a word that begins a function in its language?"""
+    marked = None
+    for lang, words in FUNCTION_MARKERS.items():
+        marked = (F if marked is None else marked).when(language == lang, contains_any(text, words))
+    return marked
+
+
+def brace_balance(text: Column) -> Column:
+    return _count(text, "{") - _count(text, "}")
+
+
+OPEN_TYPE = "struct<start:int,depth:int,indent:int>"
+
+
+def spans_from(language: Column, views: Column, opened: Column | None = None) -> Column:
+    """``array<struct<line,span>>`` of functions longer than the readable limit that end in these lines.
 
     Spans are greedy and do not overlap: while a function is open no other one opens, so
-    this is a fold over the lines.  Only long spans are kept in its state.
+    this is a fold over the lines.  Only long spans are kept in its state. For a part of a file, ``opened``
+    is the function that is open before it (``OPEN_TYPE``, start 0 for none).
     """
     python = language == "python"
     state = "struct<start:int,depth:int,indent:int,long:array<struct<line:int,span:int>>>"
@@ -70,11 +86,8 @@ def function_spans(language: Column, views: Column) -> Column:
     def step(acc: Column, entry: Column) -> Column:
         text = entry["trim"]
         opened = acc["start"] > 0
-        marked = None
-        for lang, words in FUNCTION_MARKERS.items():
-            marked = (F if marked is None else marked).when(language == lang, contains_any(text, words))
-        opens = ~opened & marked
-        depth = F.when(opens, F.lit(0)).otherwise(acc["depth"]) + _count(text, "{") - _count(text, "}")
+        opens = ~opened & opens_function(language, text)
+        depth = F.when(opens, F.lit(0)).otherwise(acc["depth"]) + brace_balance(text)
         indent = indent_of(entry["text"])
         closes = opened & F.when(python, (text != "") & (indent <= acc["indent"])).otherwise(
             (depth <= 0) & F.contains(text, F.lit("}")))
@@ -88,12 +101,16 @@ def function_spans(language: Column, views: Column) -> Column:
             F.when(too_long, F.concat(acc["long"], F.array(found))).otherwise(acc["long"]).alias("long"),
         ).cast(state)
 
-    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("depth"), F.lit(0).alias("indent"),
-                    F.array().alias("long")).cast(state)
-    spans = F.aggregate(views, zero, step, lambda acc: acc["long"])
+    before = {n: F.lit(0) if opened is None else opened[n] for n in ("start", "depth", "indent")}
+    zero = F.struct(*[c.alias(n) for n, c in before.items()], F.array().alias("long")).cast(state)
+    return F.aggregate(views, zero, step, lambda acc: acc["long"])
+
+
+def function_spans(language: Column, views: Column) -> Column:
+    """Long functions of a whole file."""
     none = F.array().cast("array<struct<line:int,span:int>>")
     fits = language.isin(*FUNCTION_MARKERS) & (F.size(views) > LONG_FUNCTION_LINES)
-    return F.when(fits, spans).otherwise(none)
+    return F.when(fits, spans_from(language, views)).otherwise(none)
 
 
 def may_have_handler(content: Column) -> Column:
@@ -110,6 +127,9 @@ def handler_hits(views: str, lines: Column, content: Column) -> Column:
 
 
 def long_function_hits(views: Column) -> Column:
-    spans = function_spans(F.col("language"), views)
+    return span_hits(function_spans(F.col("language"), views))
+
+
+def span_hits(spans: Column) -> Column:
     return F.transform(spans, lambda s: hit(
         rule_id("registry", "hard-to-read-function"), s["line"], detail=s["span"].cast("string")))

@@ -69,7 +69,12 @@ def _called_name(text: Column, call: str) -> Column:
     return F.regexp_extract(text, rf"{call}[^(]*\([ &*]*([A-Za-z0-9_-]*)", 1)
 
 
-def _lock_events(entries: Column) -> Column:
+LOCK_WORDS = C_LOCK_CALLS + C_UNLOCK_CALLS + C_SLEEP_CALLS + ("return",)
+RCU_WORDS = ("rcu_read_lock(", "rcu_read_unlock(", "->")
+HELD_TYPE = "array<struct<name:string,spin:boolean>>"
+
+
+def lock_events(entries: Column) -> Column:
     """Lines that take or drop a lock, return, or sleep, with the lock names involved."""
     def event(entry: Column) -> Column:
         text = entry["text"]
@@ -85,51 +90,54 @@ def _lock_events(entries: Column) -> Column:
             byte_column(text, "return").alias("column"),
         )
 
-    words = C_LOCK_CALLS + C_UNLOCK_CALLS + C_SLEEP_CALLS + ("return",)
-    return F.transform(F.filter(entries, lambda e: contains_any(e["text"], words)), event)
+    return F.transform(F.filter(entries, lambda e: contains_any(e["text"], LOCK_WORDS)), event)
 
 
-def lock_hits(entries: Column) -> Column:
+def lock_hits(entries: Column, held: Column | None = None, others: Column | int = 0, other_spins: Column | int = 0) -> Column:
     """Returns and sleeps while a lock is held.
 
     The fold carries the set of locks held now; a line first takes, then drops, then is
-    judged.
+    judged. For a part of a file, ``held`` are the locks held before it that it takes or drops, and ``others``
+    and ``other_spins`` count those that it does not touch.
     """
-    held_type = "array<struct<name:string,spin:boolean>>"
+    others, other_spins = (F.lit(n) if isinstance(n, int) else n for n in (others, other_spins))
     out_type = "array<struct<line:int,column:int,kind:int>>"
 
     none = F.array().cast(out_type)
 
     def after_take(acc: Column, e: Column) -> Column:
-        others = F.filter(acc["held"], lambda h: h["name"] != e["taken"])
-        own = F.array(F.struct(e["taken"].alias("name"), e["spin"].alias("spin"))).cast(held_type)
-        return F.when(e["taken"] != "", F.concat(others, own)).otherwise(acc["held"])
+        rest = F.filter(acc["held"], lambda h: h["name"] != e["taken"])
+        own = F.array(F.struct(e["taken"].alias("name"), e["spin"].alias("spin"))).cast(HELD_TYPE)
+        return F.when(e["taken"] != "", F.concat(rest, own)).otherwise(acc["held"])
 
     def after_drop(held: Column, e: Column) -> Column:
         return F.filter(held, lambda h: e["dropped"].isNull() | (h["name"] != e["dropped"]))
 
     def judged(held: Column, acc: Column, e: Column) -> Column:
-        leak = F.when(e["returns"] & (F.size(held) > 0), F.array(F.struct(
+        leak = F.when(e["returns"] & (F.size(held) + others > 0), F.array(F.struct(
             e["line"].cast("int").alias("line"), e["column"].cast("int").alias("column"), F.lit(0).alias("kind"))))
-        sleep = F.when(e["sleeps"] & F.exists(held, lambda h: h["spin"]), F.array(F.struct(
+        sleep = F.when(e["sleeps"] & (F.exists(held, lambda h: h["spin"]) | (other_spins > 0)), F.array(F.struct(
             e["line"].cast("int").alias("line"), F.lit(1).alias("column"), F.lit(1).alias("kind"))))
         out = F.concat(acc["out"], F.coalesce(leak, none), F.coalesce(sleep, none))
         return F.struct(held.alias("held"), out.cast(out_type).alias("out"))
 
     def step(acc: Column, e: Column) -> Column:
-        held = after_drop(after_take(acc, e), e).cast(held_type)
-        return let(held, lambda now: judged(now, acc, e))
+        kept = after_drop(after_take(acc, e), e).cast(HELD_TYPE)
+        return let(kept, lambda now: judged(now, acc, e))
 
-    zero = F.struct(F.array().cast(held_type).alias("held"), F.array().cast(out_type).alias("out"))
-    hits = F.aggregate(_lock_events(entries), zero, step, lambda acc: acc["out"])
+    start = F.array().cast(HELD_TYPE) if held is None else held
+    zero = F.struct(start.alias("held"), F.array().cast(out_type).alias("out"))
+    hits = F.aggregate(lock_events(entries), zero, step, lambda acc: acc["out"])
     return F.transform(hits, lambda h: F.when(
         h["kind"] == 0, _flow("return-without-unlock", h["line"], h["column"])
     ).otherwise(_flow("sleeping-in-atomic", h["line"])))
 
 
-def rcu_hits(entries: Column) -> Column:
-    """Plain pointer use while an RCU read lock is open; depth never falls below zero."""
-    words = ("rcu_read_lock(", "rcu_read_unlock(", "->")
+def rcu_hits(entries: Column, depth: Column | None = None) -> Column:
+    """Plain pointer use while an RCU read lock is open; depth never falls below zero.
+
+    For a part of a file, ``depth`` is the one before it.
+    """
     state = "struct<depth:int,out:array<int>>"
 
     def step(acc: Column, e: Column) -> Column:
@@ -141,8 +149,9 @@ def rcu_hits(entries: Column) -> Column:
                         F.when(plain, F.concat(acc["out"], F.array(e["line"].cast("int")))).otherwise(acc["out"])
                         .alias("out")).cast(state)
 
-    zero = F.struct(F.lit(0).alias("depth"), F.array().alias("out")).cast(state)
-    marked = F.filter(entries, lambda e: contains_any(e["text"], words))
+    start = F.lit(0) if depth is None else depth
+    zero = F.struct(start.alias("depth"), F.array().alias("out")).cast(state)
+    marked = F.filter(entries, lambda e: contains_any(e["text"], RCU_WORDS))
     return F.transform(F.aggregate(marked, zero, step, lambda acc: acc["out"]),
                        lambda line: _flow("RCU-missing-annotation", line))
 

@@ -51,14 +51,17 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"explode(array({text})) AS text")
 
 
-def dense_lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the dense corpora, in the same layout."""
+def dense_lines(spark: SparkSession, sf_dir: str, name: str, giant: bool = False) -> DataFrame:
+    """One of the dense corpora, in the same layout. With ``giant``, file 0 has every other line of the corpus."""
     size, languages = DENSE[name]
     events = table(spark, sf_dir, "events", "event_id", "props")
     names = "array(" + ", ".join(map(sql_text, languages)) + ")"
-    numbered = events.selectExpr(
-        f"event_id DIV {size} AS file_id", f"CAST(event_id % {size} + 1 AS int) AS line",
-        "CAST(regexp_extract(props, '[0-9]+', 0) AS int) AS k")
+    file_id, line = f"event_id DIV {size}", f"event_id % {size} + 1"
+    if giant:
+        file_id = f"CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id DIV {2 * size} + 1 END"
+        line = f"CASE WHEN event_id % 2 = 0 THEN event_id DIV 2 ELSE event_id DIV 2 % {size} END + 1"
+    numbered = events.selectExpr(f"{file_id} AS file_id", f"CAST({line} AS int) AS line",
+                                 "CAST(regexp_extract(props, '[0-9]+', 0) AS int) AS k")
     named = numbered.selectExpr("*", f"get({names}, CAST(file_id % {len(languages)} AS int)) AS language")
     cases = " ".join(
         f"WHEN {sql_text(x)} THEN get(array({', '.join(map(sql_text, texts))}), k % {len(texts)})"

@@ -64,16 +64,20 @@ CTES["code_lines"] = f"""
                      CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS k FROM events))"""
 
 
-def dense_lines(name: str) -> str:
-    """The dense corpora: line k of a file shows template k modulo their number."""
+def dense_lines(name: str, giant: bool = False) -> str:
+    """The dense corpora: line k of a file shows template k modulo their number. ``giant``: file 0 has half of all lines."""
     size, languages = DENSE[name]
+    file_id, line = f"event_id // {size}", f"event_id % {size} + 1"
+    if giant:
+        file_id = f"CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id // {2 * size} + 1 END"
+        line = f"CASE WHEN event_id % 2 = 0 THEN event_id // 2 ELSE event_id // 2 % {size} END + 1"
     names = list(languages)
     cases = " ".join(f"WHEN {q(x)} THEN ([{', '.join(q(t) for t in languages[x])}])[k % {len(languages[x])} + 1]"
                      for x in names)
     return f"""
   SELECT '{name}/f' || file_id || '.x' AS path, language, file_id, line, CASE language {cases} END AS text
   FROM (SELECT *, ([{", ".join(map(q, names))}])[file_id % {len(names)} + 1] AS language
-        FROM (SELECT event_id // {size} AS file_id, CAST(event_id % {size} + 1 AS INTEGER) AS line,
+        FROM (SELECT {file_id} AS file_id, CAST({line} AS INTEGER) AS line,
                      CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS k FROM events))"""
 
 

@@ -12,7 +12,7 @@ from lineweave.functions import fixed_values as V
 from lineweave.functions.findings_schema import findings_from_hits, no_hits
 from lineweave.functions.severity import external_severity
 from lineweave.operators import (
-    block_rules, c_rules, file_rules, findings as algebra, fixes, line_rules, python_symbols, script_rules, secrets,
+    block_rules, block_scan, c_rules, file_rules, findings as algebra, fixes, line_rules, python_symbols, script_rules, secrets,
 )
 from lineweave.operators.lines import explode_lines, unnest_findings, viewed
 from lineweave.operators.rulepack import RulePack, UserRule
@@ -371,6 +371,20 @@ for _name, _cte, _hits in (
     register(_name, compose(SQL_C_AT + _cte, _cte, lines=D.dense_lines("dense_c")))(c_query(_hits))
 
 
+# --- line tables in blocks, half of all lines in one file --------------------------------
+for _name, _cte, _corpus, _scan in (
+    ("line_locks", "c_lock_findings", "dense_c", block_scan.lock_findings),
+    ("line_rcu", "c_rcu_findings", "dense_c", block_scan.rcu_findings),
+):
+    register(_name, compose(SQL_C_AT + _cte, _cte, lines=D.dense_lines(_corpus, giant=True)))(
+        lambda spark, sf_dir, corpus=_corpus, scan=_scan: scan(dense_lines(spark, sf_dir, corpus, giant=True), "path").selectExpr(*C_AT))
+
+
+@register("line_functions", compose(SQL_AT_LINE + "long_findings", "long_findings", lines=D.dense_lines("spans", giant=True)))
+def line_functions(spark, sf_dir):
+    return block_scan.long_function_findings(dense_lines(spark, sf_dir, "spans", giant=True), "path").select(*AT_LINE)
+
+
 # --- findings algebra and policies --------------------------------------------------------
 _policy_rules = [
     (p.name, r, r in p.prioritize, V.SEVERITY_RANKS[p.severity_threshold], p.is_kernel)
