@@ -56,6 +56,21 @@ def retain_for_policies(findings: DataFrame, policy_rules: DataFrame) -> DataFra
     return joined.filter(keep)
 
 
+def retained_by(policies, rules_of, rule: Column, severity: Column, origin: Column, gates: Column) -> Column:
+    """Names of the policies that report a finding, decided in its row; ``rules_of(policy)`` are those it evaluates.
+
+    ``gates`` are the policies whose gate lets the finding's file through; it holds for language planes only.
+    """
+    def reports(policy) -> Column:
+        local = rule.isin(*rules_of(policy)) & retained(policy, rule, severity)
+        if not policy.language_planes:
+            return is_local(origin) & local
+        outside = F.array_contains(gates, policy.name)
+        return F.when(is_local(origin), local).otherwise(outside & kernel_allowed(rule) if policy.is_kernel else outside)
+
+    return F.array_compact(F.array(*[F.when(reports(p), F.lit(p.name)) for p in policies]))
+
+
 def language_for_policies(findings: DataFrame, gates: DataFrame, policy_planes: DataFrame) -> DataFrame:
     """Language-plane findings of every policy that has language planes, of the files that its gate lets through.
 

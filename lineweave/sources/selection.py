@@ -10,7 +10,8 @@ from ..functions.fixed_values import (
     EXTENSION_LANGUAGES, KERNEL_ROOTS, KERNEL_SUBTREE_INCLUDE, PREVIEW_CHARS, TEXT_EXTENSIONS,
 )
 from ..functions.globs import combine
-from ..functions.text import any_of, byte_prefix
+from ..functions.text import any_of, byte_prefix, let
+from ..functions.words import WordSet
 from ..session import checkpointed
 
 
@@ -109,6 +110,19 @@ def is_suspicious(content: Column, patterns, fast: bool = False) -> Column:
     return any_of([F.contains(lowered, F.lit(p.lower())) for p in patterns])
 
 
+def gates(content: Column, policies, fast: bool = False) -> Column:
+    """Names of the policies whose patterns a text holds, from one pass over the text for all of them."""
+    if fast or not policies:
+        return F.array().cast("array<string>")
+    words = WordSet(p.lower() for policy in policies for p in policy.suspicious_patterns)
+
+    def decided(found: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(
+            words.holds_any(found, [p.lower() for p in policy.suspicious_patterns]), F.lit(policy.name)) for policy in policies]))
+
+    return let(words.found(F.lower(content)), decided)
+
+
 def budget_prefix(files: DataFrame, max_files: int, max_total_bytes: int, path: str = "path", size: str = "size",
                   partitions: int | None = None) -> DataFrame:
     """``path, size, nth, bytes_before, within_budget`` for each file, in path order.

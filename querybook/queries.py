@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineweave.functions import fixed_values as V
-from lineweave.functions.findings_schema import findings_from_hits, no_hits
+from lineweave.functions.findings_schema import findings_from_hits, findings_of, no_hits
 from lineweave.functions.severity import external_severity
 from lineweave.operators import (
     block_rules, block_scan, c_rules, file_rules, findings as algebra, fixes, line_rules, python_symbols, script_rules, secrets,
 )
-from lineweave.operators.lines import explode_lines, unnest_findings, viewed
+from lineweave.operators.lines import explode_lines, unnest, unnest_findings, viewed
 from lineweave.operators.rulepack import RulePack, UserRule
 from lineweave.plans import incremental, report, review_queue as queue
 from lineweave.plans.policies import (
@@ -237,10 +237,9 @@ _patterns = [(p.name, w.lower()) for p in POLICIES for w in dict.fromkeys(p.susp
     SELECT policy, count(DISTINCT CASE WHEN contains(lower(text), pattern) THEN doc_id END) AS suspicious_docs
     FROM documents CROSS JOIN {values(_patterns, "t(policy, pattern)")} GROUP BY policy""")
 def suspicious_gate(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "text")
-    gates = [F.count_if(selection.is_suspicious(F.col("text"), p.suspicious_patterns)).alias(p.name) for p in POLICIES]
-    names = [p.name for p in POLICIES]
-    return docs.agg(*gates).unpivot([], names, "policy", "suspicious_docs")
+    docs = table(spark, sf_dir, "documents", "text").select(selection.gates(F.col("text"), POLICIES).alias("gates"))
+    counts = docs.agg(*[F.count_if(F.array_contains("gates", p.name)).alias(p.name) for p in POLICIES])
+    return counts.unpivot([], [p.name for p in POLICIES], "policy", "suspicious_docs")
 
 
 # --- line rules on code ------------------------------------------------------------------
@@ -406,19 +405,21 @@ _all_retained = f"""{_retained} UNION ALL SELECT policy, path, line, rule, sever
 
 
 def policy_findings(spark, sf_dir) -> DataFrame:
-    """Findings of all policies: local ones by rule and threshold, those of the language planes by gate."""
-    files = code_files(spark, sf_dir)
-    views = files.withColumn("_lines", F.col("lines")).withColumn("_views", viewed(F.col("_lines")))
-    outside = findings_from_hits(views.select("path", language_hits().alias("hits")), "hits", "path")
-    outside = outside.withColumn("severity", external_severity(F.col("severity")))
-    gated = F.array_compact(F.array(*[
-        F.when(selection.is_suspicious(F.col("content"), p.suspicious_patterns), F.lit(p.name))
-        for p in POLICIES if p.language_planes]))
-    gates = files.select("path", F.explode_outer(gated).alias("policy")).filter(F.col("policy").isNotNull())
-    planes = spark.createDataFrame([(p.name, p.is_kernel) for p in POLICIES if p.language_planes], "policy string, kernel boolean")
-    columns = ("policy", "path", "line", "rule", "severity")
-    local = algebra.retain_for_policies(local_findings(spark, sf_dir), policy_rule_table(spark))
-    return local.select(*columns).unionByName(algebra.language_for_policies(outside, gates, planes).select(*columns))
+    """Findings of all policies, decided in one pass over the files: local ones by rule and threshold, others by gate."""
+    files = code_files(spark, sf_dir).withColumn("size", F.octet_length("content").cast("long"))
+    viewed_files = files.withColumn("_views", viewed(F.col("lines"))).withColumn("outside", findings_of(language_hits()))
+    gated = viewed_files.select("path", "language", "size", "content", "outside", selection.gates(
+        F.col("content"), [p for p in POLICIES if p.language_planes]).alias("gates"))
+    every = Policy(name="every", rules=tuple(r.name for r in V.FILE_RULES))
+    reviewed = review_files(gated, every, ReviewOptions(rule_set="all"))
+    outside = F.transform("outside", algebra.external_severity_struct)
+    found = unnest(reviewed.select("path", "gates", F.concat("findings", outside).alias("found")), "found", "f", "path", "gates")
+    file_rule_names = {r.name for r in V.FILE_RULES}
+    policies = algebra.retained_by(
+        POLICIES, lambda p: [r for r in evaluated_rules(p, "scan") if not (p.is_kernel and r in file_rule_names & set(file_rules.NOT_FOR_KERNEL))],
+        F.col("f.rule"), F.col("f.severity"), F.col("f.origin"), F.col("gates"))
+    return unnest(found.withColumn("policies", policies), "policies", "policy", "path", "f").select(
+        "policy", "path", "f.line", "f.rule", "f.severity")
 
 
 @register("retain_policies", compose(
