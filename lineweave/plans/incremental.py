@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.findings_schema import FINDINGS_TYPE, RULES
 from ..functions.fixed_values import PYTHON_SYMBOL_RULES, STORE_VERSION
+from ..operators.rule_table import RowRule
 from ..session import checkpointed
 from .policies import Policy, policy_named
 from .review import ReviewOptions, review_files
@@ -36,10 +37,11 @@ def ruleset_version(policy: Policy | str, rule_set: str = "all", version: int =
                     options: ReviewOptions | None = None) -> str:
     """Entries made under another policy, rule set, options, rule texts or layout are not reused."""
     policy = policy_named(policy) if isinstance(policy, str) else policy
-    packs = [(pack.name, [(r.rule, r.severity, r.category, r.message, r.languages) for r in pack.rules])
+    packs = [(pack.name, [r if isinstance(r, RowRule) else (r.rule, r.severity, r.category, r.message, r.languages) for r in pack.rules])
              for pack in (options.rule_packs if options else ())]
-    rest = replace(options, rule_packs=()) if options else None
-    seen = repr((policy, rule_set, rest, packs, RULES, PYTHON_SYMBOL_RULES))
+    analyzers = [(a.name, a.language, a.version) for a in (options.analyzers if options else ())]
+    rest = replace(options, rule_packs=(), analyzers=()) if options else None
+    seen = repr((policy, rule_set, rest, packs, analyzers, RULES, PYTHON_SYMBOL_RULES))
     return f"{version}:{policy.name}:{rule_set}:{hashlib.sha256(seen.encode()).hexdigest()[:16]}"
 
 

@@ -160,6 +160,13 @@ def unparsed_diagnostics(unparsed: DataFrame) -> DataFrame:
     return unparsed.select(*diagnostic("worker", "runtime", message, F.col("path").cast("string")))
 
 
+def trouble_diagnostics(troubles: DataFrame) -> DataFrame:
+    """A row per file and analyzer that failed on it or went over the limit of findings."""
+    message = F.concat(F.lit("analyzer "), F.col("analyzer"), F.lit(" "), F.col("path").cast("string"), F.lit(": "), F.col("message"))
+    return troubles.select(*diagnostic("worker", "runtime", message, F.col("path").cast("string")))
+
+
 def diagnostics(review) -> DataFrame:
-    """All that the review could not read or parse."""
-    return unreadable_diagnostics(review.unreadable).unionByName(unparsed_diagnostics(review.unparsed))
+    """All that the review could not read, parse or analyze."""
+    found = unreadable_diagnostics(review.unreadable).unionByName(unparsed_diagnostics(review.unparsed))
+    return found.unionByName(trouble_diagnostics(review.troubles)) if review.options.analyzers else found

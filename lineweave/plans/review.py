@@ -20,6 +20,8 @@ from ..operators import (
     block_rules, c_rules, file_rules, findings as algebra, line_rules, python_symbols, script_rules,
 )
 from ..operators.lines import unnest_findings, viewed
+from ..operators.analyzers import Analyzer, analyzed
+from ..operators.rule_table import TableRules
 from ..operators.rulepack import RulePack
 from ..session import checkpointed
 from ..sources import selection
@@ -37,7 +39,8 @@ class ReviewOptions:
     whole_texts: bool = True         # False: only the first bytes, as the policy's preview limit says
     budget: bool = False             # True: hold the corpus to the policy's file and byte limits
     size_limit: bool = False         # True: skip files larger than the policy's limit
-    rule_packs: tuple[RulePack, ...] = ()
+    rule_packs: tuple[RulePack | TableRules, ...] = ()
+    analyzers: tuple[Analyzer, ...] = ()  # of suspicious files, each of its language; not in fast mode
 
 
 def classify(files: DataFrame, policy: Policy, ignore_rules=(), root: Column | None = None) -> DataFrame:
@@ -85,7 +88,7 @@ def language_hits() -> Column:
 
 
 def review_files(files: DataFrame, policy: Policy, options: ReviewOptions = ReviewOptions()) -> DataFrame:
-    """Each file with ``suspicious, findings, content_preview, unparsed`` added.
+    """Each file with ``suspicious, findings, content_preview, unparsed`` added, and ``troubles`` of analyzers where there are any.
 
     ``files`` has ``path, size, content`` (text), and ``language`` or an extension in the
     path.  One projection after another on the same row: no shuffle, no second scan.  Python
@@ -114,6 +117,10 @@ def review_files(files: DataFrame, policy: Policy, options: ReviewOptions = Revi
     for pack in options.rule_packs:
         local = F.concat(local, pack.findings_in_row("_views", F.col("language")))
     found = F.filter(local, lambda f: algebra.retained(policy, f["rule"], f["severity"]))
+    marks = []
+    if options.analyzers and not options.fast:
+        rows = analyzed(rows, options.analyzers, F.col("suspicious"))
+        marks.append("troubles")
     unparsed = F.lit(False)
     if deep:
         rows = rows.withColumn("_symbols", python_symbols.symbols_in_row(
@@ -125,10 +132,13 @@ def review_files(files: DataFrame, policy: Policy, options: ReviewOptions = Revi
         if policy.is_kernel:
             outside = F.filter(outside, lambda f: f["rule"].isin(*KERNEL_RULES))
         found = F.concat(found, outside)
+    if marks:
+        more = F.filter("_analyzed", lambda f: algebra.kernel_allowed(f["rule"])) if policy.is_kernel else F.col("_analyzed")
+        found = F.concat(found, more)
     preview = selection.content_preview(F.col("content"), options.include_content or policy.include_content_preview)
     return rows.withColumn("_found", found).select(
         *typed.columns, "suspicious", F.explode_outer(F.array(algebra.ordered(F.col("_found")))).alias("findings"),
-        preview.alias("content_preview"), unparsed.alias("unparsed"))
+        preview.alias("content_preview"), unparsed.alias("unparsed"), *marks)
 
 
 @dataclass
@@ -156,6 +166,13 @@ class Review:
         """Python files of the language plane that do not parse."""
         return self.entries.filter("unparsed").select("path", "size")
 
+    @property
+    def troubles(self) -> DataFrame:
+        """``path, analyzer, message``: files that an analyzer failed on, or has very many findings for."""
+        if "troubles" not in self.entries.columns:
+            return self.entries.select("path", F.lit("").alias("analyzer"), F.lit("").alias("message")).limit(0)
+        return self.entries.select("path", F.explode("troubles").alias("t")).select("path", "t.*")
+
     def file_entries(self) -> DataFrame:
         """``path, size, findings, content_preview``."""
         return self.entries.select("path", "size", "findings", "content_preview")

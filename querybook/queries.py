@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from lineweave.operators import (
     block_rules, block_scan, c_rules, file_rules, findings as algebra, fixes, line_rules, python_symbols, script_rules, secrets,
 )
 from lineweave.operators.lines import explode_lines, unnest, unnest_findings, viewed
+from lineweave.operators.analyzers import Analyzer
+from lineweave.operators.rule_table import RULE_SCHEMA, TableRules
 from lineweave.operators.rulepack import RulePack, UserRule
 from lineweave.plans import incremental, report, review_queue as queue
 from lineweave.plans.policies import (
@@ -31,6 +35,7 @@ from .code_corpus import binary_code_files, code_files, code_lines, dense_files,
 from .duck_sql import compose, in_list, q
 from .tables import DOC_PATH, DOC_TIME, document_files, table
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # an analyzer of this module runs in the tasks
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -524,6 +529,72 @@ def rule_pack(spark, sf_dir):
     return PACK.findings(code_lines(spark, sf_dir), "path").select("path", "line", "rule", "severity", "message")
 
 
+# Rules kept as rows: one of version 1 is withdrawn in version 2, which brings a new one and changes another.
+RULE_ROWS = [
+    ("no-tabs", 1, False, "low", "style", "Tab in source line", None, "raw", ["\t"], None, None),
+    ("no-shell", 1, False, "high", "security", "Shell started from code", ["javascript", "typescript", "php", "ruby"], "lower",
+     ["exec", "system("], None, None),
+    ("no-tabs", 2, True, "low", "style", "Tab in source line", None, "raw", ["\t"], None, None),
+    ("weak-hash", 2, False, "medium", "security", "Weak hash", None, "lower", ["md5", "sha1"], ["(", " "], ["md5sum"]),
+    ("no-shell", 2, False, "high", "security", "Shell started from code", ["javascript", "php"], "lower", ["exec", "system("], None, ["uid"]),
+]
+_shell = "contains(lower(text), 'exec') OR contains(lower(text), 'system(')"
+
+
+@register("rule_table", compose(f"""
+    SELECT 1 AS version, path, line, 'no-tabs' AS rule, 'low' AS severity, 'Tab in source line' AS message FROM code_lines
+    WHERE contains(text, chr(9))
+    UNION ALL
+    SELECT 1, path, line, 'no-shell', 'high', 'Shell started from code' FROM code_lines
+    WHERE language IN ('javascript', 'typescript', 'php', 'ruby') AND ({_shell})
+    UNION ALL
+    SELECT 2, path, line, 'no-shell', 'high', 'Shell started from code' FROM code_lines
+    WHERE language IN ('javascript', 'php') AND ({_shell}) AND NOT contains(lower(text), 'uid')
+    UNION ALL
+    SELECT 2, path, line, 'weak-hash', 'medium', 'Weak hash' FROM code_lines
+    WHERE regexp_matches(lower(text), 'md5|sha1') AND regexp_matches(text, '[( ]') AND NOT contains(lower(text), 'md5sum')""", "code_lines"))
+def rule_table(spark, sf_dir):
+    """Findings of the rules in force at two versions of a rule table."""
+    rules = spark.createDataFrame(RULE_ROWS, RULE_SCHEMA)
+    found = [TableRules.read(rules, "house", version).findings(code_lines(spark, sf_dir), "path").select(
+        F.lit(version).alias("version"), "path", "line", "rule", "severity", "message") for version in (1, 2)]
+    return found[0].unionByName(found[1])
+
+
+def _long_names(path: str, content: str):
+    """An outside analyzer: names of more than fourteen letters; it fails on files that hold ``eval(expr)``."""
+    import re
+
+    if "eval(expr)" in content:
+        raise ValueError("cannot analyze")
+    for n, text in enumerate(content.split("\n"), 1):
+        for name in re.findall("[A-Za-z]{15,}", text):
+            yield "long-name", "Warning" if n % 2 else "low", "style", f"{name} has {len(name)} letters", n
+
+
+_seen = f"""(SELECT path, content FROM code_files WHERE language IN ('javascript', 'java')
+    AND {D.has("lower(content)", [w.lower() for w in BY_NAME["quick"].suspicious_patterns])})"""
+
+
+@register("analyzer_review", compose(f"""
+    SELECT path, line, CASE WHEN line % 2 = 1 THEN 'info' ELSE 'low' END AS severity, 'long-name' AS rule,
+           name || ' has ' || length(name) || ' letters' AS message, 'finding' AS kind
+    FROM (SELECT path, line, unnest(regexp_extract_all(text, '[A-Za-z]{{15,}}')) AS name FROM code_lines
+          WHERE path IN (SELECT path FROM {_seen} WHERE NOT contains(content, 'eval(expr)')))
+    UNION ALL
+    SELECT path, NULL, 'warning', 'runtime', 'analyzer names ' || path || ': ValueError: cannot analyze', 'diagnostic' FROM {_seen}
+    WHERE contains(content, 'eval(expr)')""", "code_files"))
+def analyzer_review(spark, sf_dir):
+    """Findings of an analyzer inside a review of binary files, and its failures as diagnostics."""
+    analyzers = tuple(Analyzer("names", language, _long_names) for language in ("javascript", "java"))
+    result = review(binary_code_files(spark, sf_dir), policy_named("quick"), ReviewOptions(rule_set="scan", analyzers=analyzers))
+    found = result.findings.filter("origin = 'external'").select(
+        "path", "line", "severity", "rule", "message", F.lit("finding").alias("kind"))
+    said = report.trouble_diagnostics(result.troubles)
+    return found.unionByName(said.select("path", F.lit(None).cast("int").alias("line"), F.col("level").alias("severity"),
+                                         F.col("code").alias("rule"), "message", F.lit("diagnostic").alias("kind")))
+
+
 # --- reviews, entries, report -------------------------------------------------------------
 WHOLE = ReviewOptions(rule_set="all")
 
