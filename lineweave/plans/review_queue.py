@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
-from ..sources.selection import budget_prefix
+from ..operators import findings as algebra
+from ..sources.selection import budget_prefix, running_totals
 from .report import diagnostic
 
 MAX_LINE = 4294967295  # Fixed value: line numbers are unsigned 32-bit
@@ -33,6 +34,45 @@ def review_queue(entries: DataFrame, policy, budget: int | None = None) -> DataF
     return queue.join(places.select("path", F.col("nth").alias("place"), "within_budget"), "path")
 
 
+OUTCOMES = ("done", "failed", "pending")
+
+
+def by_outcome(queue: DataFrame, responses: DataFrame, budget: int, body: str = "body") -> DataFrame:
+    """``path, place, outcome, used_before, attempted`` of queued files: a review that failed leaves the budget as it was.
+
+    ``responses`` has ``path`` and the stored answer, one row for each file that was asked about. A file is
+    ``done`` if its answer decodes (or is empty), ``failed`` if it does not, ``pending`` without one. Along the queue, done and pending
+    files use up the budget; files are attempted while some is left. So the pending ones that are attempted are those to ask about
+    next. The running total of uses is taken per range of paths (see ``running_totals``), never in one task.
+    """
+    text = response_text(F.col(body))
+    failed = (F.coalesce(text, F.lit("")) != "") & F.try_parse_json(text).isNull()
+    answered = responses.select(F.col("path").alias("_path"), F.when(failed, "failed").otherwise("done").alias("_outcome"))
+    marked = queue.select("path").join(answered, F.col("path") == F.col("_path"), "left").select(
+        "path", F.coalesce("_outcome", F.lit("pending")).alias("outcome"))
+    placed = running_totals(marked.withColumn("used", (F.col("outcome") != "failed").cast("long")), "path", "used")
+    return placed.select("path", F.col("nth").alias("place"), "outcome", "used_before", (F.col("used_before") < budget).alias("attempted"))
+
+
+def accepted_responses(outcomes: DataFrame, responses: DataFrame) -> DataFrame:
+    """The answers that count: those of files that were attempted. Others were asked for beyond the budget."""
+    return responses.join(outcomes.filter("attempted").select("path"), "path", "left_semi")
+
+
+def review_findings(responses: DataFrame, policy, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """Findings of stored answers, cleaned, in the shared layout; and diagnostics of answers that do not decode or say too much.
+
+    All findings stay; a file with more than the limit of an outside source is a diagnostic.
+    """
+    raw = decode_responses(responses, "path", body=body)
+    clean = algebra.sanitize_external(raw, "nth", source="review")
+    named = clean.withColumn("source", F.concat(F.lit("ollama:"), F.col("path")))
+    many = algebra.over_limit(clean)
+    message = F.concat(F.lit(f"ai provider {policy.name}: "), F.col("dropped").cast("string"), F.lit(" findings over the limit"))
+    return algebra.as_external(named), decode_diagnostics(responses, policy.name, body).unionByName(
+        many.select(*diagnostic("scan", "runtime", message, F.col("path"))))
+
+
 def response_text(body: Column) -> Column:
     """Message text of a stored chat response, from its first brace on."""
     text = trimmed(F.get_json_object(body, "$.choices[0].message.content"))

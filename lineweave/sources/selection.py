@@ -123,38 +123,45 @@ def gates(content: Column, policies, fast: bool = False) -> Column:
     return let(words.found(F.lower(content)), decided)
 
 
+def running_totals(rows: DataFrame, order: str, *values: str, by: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
+    """``rows`` with ``nth`` and, for each value, ``<value>_before``: running totals in order, starting anew for each ``by``.
+
+    A window over a whole group would run in one task, so the sums are taken per range:
+
+    1. rows (narrow ones, please) are range-partitioned by group and order, and written to a checkpoint, so
+       that the ranges stay the same when a task is run again; a large group spreads over many ranges;
+    2. each range is counted and summed by group;
+    3. running sums inside each range are lifted by what the group had in the ranges before it. Only the
+       group that a range begins with can have begun earlier, so there is a carry a range at most.
+    """
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = checkpointed(rows.repartitionByRange(n, *by, order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("_range", *by).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_sum_{v}") for v in values])
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    carries = totals.select(
+        F.col("_range").alias("_carried"), *[F.col(c).alias(f"_by_{c}") for c in by], F.sum("_n").over(before).alias("_n0"),
+        *[F.sum(f"_sum_{v}").over(before).alias(f"_carry_{v}") for v in values]).filter("_n0 > 0")
+    inside = W.partitionBy("_range", *by).orderBy(order)
+    running = ranged.select("*", F.row_number().over(inside).alias("_nth"), *[
+        F.coalesce(F.sum(v).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"_before_{v}") for v in values])
+    same = F.col("_range") == F.col("_carried")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    placed = running.join(F.broadcast(carries), same, "left")  # a row a range at most
+    return placed.select(*rows.columns, (F.col("_nth") + F.coalesce("_n0", F.lit(0))).alias("nth"), *[
+        (F.col(f"_before_{v}") + F.coalesce(f"_carry_{v}", F.lit(0))).alias(f"{v}_before") for v in values])
+
+
 def budget_prefix(files: DataFrame, max_files: int, max_total_bytes: int, path: str = "path", size: str = "size",
-                  partitions: int | None = None) -> DataFrame:
-    """``path, size, nth, bytes_before, within_budget`` for each file, in path order.
+                  partitions: int | None = None, root: str | None = None) -> DataFrame:
+    """``path, size, nth, bytes_before, within_budget`` for each file, in path order; with ``root``, for each root alone.
 
     The kept files are the longest prefix that stays inside both limits.  Counts and sums only
-    grow along the order, so no file after the first misfit fits again.  A window over the
-    whole corpus would run in one task, so the running sums are taken per range of paths:
-
-    1. names and sizes (no contents) are range-partitioned and written to a checkpoint, so
-       that the ranges stay the same when a task is run again;
-    2. each range is counted and summed; only one row per range meets in a global window;
-    3. running sums inside each range are lifted by the totals of the ranges before it.
+    grow along the order, so no file after the first misfit fits again.
     """
-    spark = files.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = files.select(path, size).repartitionByRange(n, path).withColumn("_range", F.spark_partition_id())
-    ranged = checkpointed(ranged)
-
-    totals = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_bytes"))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_range",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
-        F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_b0"),
-    )
-    inside = W.partitionBy("_range").orderBy(path)
-    running = ranged.select(
-        "*", F.row_number().over(inside).alias("_nth"),
-        F.coalesce(F.sum(size).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    # one row per range: the table is as short as the partition number
-    placed = running.join(F.broadcast(offsets), "_range")
-    nth, bytes_before = F.col("_n0") + F.col("_nth"), F.col("_b0") + F.col("_before")
+    by = (root,) if root else ()
+    placed = running_totals(files.select(*by, path, size), path, size, by=by, partitions=partitions)
+    nth, bytes_before = F.col("nth"), F.col(f"{size}_before")
     fits = (nth <= max_files) & (bytes_before < max_total_bytes) & (bytes_before + F.col(size) <= max_total_bytes)
-    return placed.select(path, size, nth.alias("nth"), bytes_before.alias("bytes_before"),
-                         fits.alias("within_budget"))
+    return placed.select(*by, path, size, nth, bytes_before.alias("bytes_before"), fits.alias("within_budget"))

@@ -24,7 +24,7 @@ from lineweave.plans import incremental, report, review_queue as queue
 from lineweave.plans.policies import (
     BY_NAME, POLICIES, Policy, ReviewBudget, evaluated_rules, policy_named, policy_rule_table, policy_table,
 )
-from lineweave.plans.review import ReviewOptions, language_hits, review, review_files
+from lineweave.plans.review import ReviewOptions, add_findings, language_hits, review, review_files
 from lineweave.session import scratch_dir, stored
 from lineweave.sources import selection
 from lineweave.streaming.ingest import current_entries, rescan, start_reviews
@@ -219,6 +219,23 @@ def budget_prefix(spark, sf_dir):
     return selection.budget_prefix(sized, _quick.max_files, _quick.max_total_bytes)
 
 
+_rooted = """(SELECT CASE WHEN doc_id % 2 = 0 THEN 'mono' ELSE source END AS root, doc_id, strlen(text) AS size FROM documents)"""
+ROOT_FILES, ROOT_BYTES = 40, 60_000
+
+
+@register("budget_by_root", f"""
+    SELECT root, path, size, nth, bytes_before, nth <= {ROOT_FILES} AND bytes_before < {ROOT_BYTES}
+        AND bytes_before + size <= {ROOT_BYTES} AS within_budget
+    FROM (SELECT root, path, size, row_number() OVER w AS nth, CAST(sum(size) OVER w - size AS BIGINT) AS bytes_before
+          FROM (SELECT root, {DOC_PATH} AS path, CAST(size AS BIGINT) AS size FROM {_rooted}) WINDOW w AS (PARTITION BY root ORDER BY path))""")
+def budget_by_root(spark, sf_dir):
+    """A budget for each root; one root has half of all files."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    sized = docs.select(F.when(F.col("doc_id") % 2 == 0, "mono").otherwise(F.col("source")).alias("root"),
+                        F.format_string("doc/%012d", "doc_id").alias("path"), F.octet_length("text").cast("long").alias("size"))
+    return selection.budget_prefix(sized, ROOT_FILES, ROOT_BYTES, root="root")
+
+
 @register("bounded_preview", f"""
     SELECT doc_id, sha256(preview) AS preview_hash, CAST(strlen(preview) AS BIGINT) AS preview_bytes,
            sha256(substr(text, 1, {V.PREVIEW_CHARS})) AS shown_hash
@@ -573,7 +590,7 @@ def _long_names(path: str, content: str):
 
 
 _seen = f"""(SELECT path, content FROM code_files WHERE language IN ('javascript', 'java')
-    AND {D.has("lower(content)", [w.lower() for w in BY_NAME["quick"].suspicious_patterns])})"""
+    AND {D.has("lower(content)", [w.lower() for w in BY_NAME["security"].suspicious_patterns])})"""
 
 
 @register("analyzer_review", compose(f"""
@@ -587,7 +604,7 @@ _seen = f"""(SELECT path, content FROM code_files WHERE language IN ('javascript
 def analyzer_review(spark, sf_dir):
     """Findings of an analyzer inside a review of binary files, and its failures as diagnostics."""
     analyzers = tuple(Analyzer("names", language, _long_names) for language in ("javascript", "java"))
-    result = review(binary_code_files(spark, sf_dir), policy_named("quick"), ReviewOptions(rule_set="scan", analyzers=analyzers))
+    result = review(binary_code_files(spark, sf_dir), policy_named("security"), ReviewOptions(rule_set="scan", analyzers=analyzers))
     found = result.findings.filter("origin = 'external'").select(
         "path", "line", "severity", "rule", "message", F.lit("finding").alias("kind"))
     said = report.trouble_diagnostics(result.troubles)
@@ -932,6 +949,66 @@ def review_diagnostics(spark, sf_dir):
     return queue.decode_diagnostics(responses, "security")
 
 
+OUTCOME_BUDGET = 6
+_outcomes = f"""(
+    SELECT path, place, outcome, CAST(coalesce(sum(CASE WHEN outcome = 'failed' THEN 0 ELSE 1 END)
+             OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used_before
+    FROM (SELECT {DOC_PATH} AS path, row_number() OVER (ORDER BY doc_id) AS place,
+                 CASE WHEN doc_id % 4 = 3 THEN 'pending' WHEN json_valid(content) OR content IS NULL THEN 'done' ELSE 'failed' END AS outcome
+          FROM (SELECT doc_id, text FROM documents) LEFT JOIN ({_decoded}) USING (doc_id)
+          WHERE {D.has("lower(text)", _security_words)}))"""
+
+
+def outcome_queue(spark, sf_dir):
+    """Suspicious documents in order, with stored answers for three in four of them, and what became of each."""
+    files = document_files(spark, sf_dir)
+    gated = files.select("path", "size", "content", selection.is_suspicious(F.col("content"), QUEUED.suspicious_patterns).alias("suspicious"))
+    asked = table(spark, sf_dir, "documents", "doc_id").filter("doc_id % 4 <> 3")
+    responses = asked.select(F.format_string("doc/%012d", "doc_id").alias("path"), F.expr(_bodies(chr(92) * 2 + '"')).alias("body"))
+    return queue.by_outcome(gated.filter("suspicious"), responses, OUTCOME_BUDGET), responses
+
+
+@register("review_outcomes", f"""
+    SELECT path, place, outcome, used_before, used_before < {OUTCOME_BUDGET} AS attempted FROM {_outcomes}""")
+def review_outcomes(spark, sf_dir):
+    return outcome_queue(spark, sf_dir)[0].withColumn("place", F.col("place").cast("long"))
+
+
+_accepted = f"(SELECT path FROM {_outcomes} WHERE used_before < {OUTCOME_BUDGET})"
+
+
+@register("review_merged", f"""
+    SELECT 'finding' AS kind, path, severity, rule, message FROM (
+      SELECT {DOC_PATH} AS path, coalesce({_json_text("severity")}, 'info') AS raw_severity, coalesce({_json_text("rule")}, 'ai-review') AS rule,
+             coalesce({_json_text("message")}, 'No review message') AS message,
+             CASE WHEN lower(trim(raw_severity)) IN ('critical', 'high', 'medium', 'low', 'info') THEN lower(trim(raw_severity)) ELSE 'info' END AS severity
+      FROM (SELECT doc_id, unnest(CAST(json_extract(content, '$.findings') AS JSON[])) AS item
+            FROM (SELECT * FROM ({_decoded}) WHERE json_valid(content) AND doc_id % 4 <> 3)))
+    WHERE path IN {_accepted}
+    UNION ALL
+    SELECT 'diagnostic', {DOC_PATH}, 'warning', 'runtime', 'ai provider security: decode provider findings payload'
+    FROM ({_decoded}) WHERE NOT json_valid(content) AND doc_id % 4 <> 3 AND {DOC_PATH} IN {_accepted}
+    UNION ALL
+    SELECT 'high', NULL, NULL, NULL, CAST(count(*) AS VARCHAR) FROM (
+      SELECT path, {_json_text("severity")} AS severity FROM (
+        SELECT {DOC_PATH} AS path, unnest(CAST(json_extract(content, '$.findings') AS JSON[])) AS item
+        FROM (SELECT * FROM ({_decoded}) WHERE json_valid(content) AND doc_id % 4 <> 3)))
+    WHERE path IN {_accepted} AND severity = 'high'""")
+def review_merged(spark, sf_dir):
+    """Stored answers as findings of the entries, as diagnostics, and in the report's counters (the review's own findings left out)."""
+    outcomes, responses = outcome_queue(spark, sf_dir)
+    outcomes = stored(outcomes, "review-outcomes")
+    found, said = queue.review_findings(queue.accepted_responses(outcomes, responses), QUEUED)
+    result = review(document_files(spark, sf_dir).withColumn("content", F.encode("content", "UTF-8")), replace(QUEUED, rules=(), language_planes=False),
+                    ReviewOptions(rule_set="scan"))
+    entries = stored(add_findings(result.entries, found), "reviewed-entries")
+    none = F.lit(None).cast("string")
+    return (unnest_findings(entries, "findings", "path").select(F.lit("finding").alias("kind"), "path", "severity", "rule", "message")
+            .unionByName(said.select(F.lit("diagnostic").alias("kind"), "path", F.col("level").alias("severity"), F.col("code").alias("rule"), "message"))
+            .unionByName(report.entry_totals(entries).select(F.lit("high").alias("kind"), none.alias("path"), none.alias("severity"), none.alias("rule"),
+                                                             F.col("high").cast("string").alias("message"))))
+
+
 # --- streaming ----------------------------------------------------------------------------------
 _streamed = f"""(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN d.text ELSE r.text END AS text
     FROM documents d JOIN {_rewritten} r USING (doc_id))"""
