@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import REPORT_SCHEMA_VERSION, SEVERITY_RANKS
 from ..functions.severity import normalize_severity
+from ..session import stored
 
 REPORTED = ("severity", "rule", "message", "category", "line", "source")
 
@@ -117,8 +119,24 @@ def json_entries(entries: DataFrame) -> DataFrame:
     return entries.select("path", F.to_json(document).alias("json"))
 
 
+def settled(review):
+    """The same review with its files worked out: one pass over the corpus writes them, and all reports read that table.
+
+    The table has no texts: marks, findings and previews of every discovered file.
+    """
+    if review.reviewed is not None:
+        done = stored(review.reviewed.drop("content"), "reviewed-files")
+        eligible = F.col("is_text") & ~F.col("too_large")
+        return replace(
+            review, reviewed=done, classified=done.select("path", "size", "is_text", "too_large"),
+            entries=done.filter(eligible & F.col("readable")).drop("is_text", "too_large", "readable", "failed"),
+            unreadable=done.filter(eligible & ~F.col("readable")).select("path", "size", "failed"))
+    return replace(review, entries=stored(review.entries.drop("content"), "reviewed-files"))
+
+
 def write_json(review, target: str, root: str = "") -> None:
-    """Files as JSON lines under ``files``, the report row under ``report``, diagnostics under ``diagnostics``."""
+    """Files as JSON lines under ``files``, the report row under ``report``, diagnostics under ``diagnostics``; one review for all."""
+    review = settled(review)
     json_entries(review.entries).select(F.col("json").alias("value")).write.mode("errorifexists").text(
         target + "/files")
     report_row(review, root).write.mode("errorifexists").json(target + "/report")

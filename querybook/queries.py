@@ -26,7 +26,8 @@ from lineweave.plans.policies import (
 )
 from lineweave.plans.review import ReviewOptions, add_findings, language_hits, review, review_files
 from lineweave.session import scratch_dir, stored
-from lineweave.sources import selection
+from lineweave.sources import ignore_table, selection
+from lineweave.sources.versions import CorpusVersions
 from lineweave.streaming.ingest import current_entries, rescan, start_reviews
 from lineweave.streaming.store import ReviewStore
 
@@ -174,6 +175,23 @@ _probe = (f"SELECT doc_id, 'p/' || doc_id || ([{', '.join(q('.' + e if e else ''
           f"[doc_id % 4 + 1] AS path, text FROM documents")
 
 
+IGNORE_ROWS = [("r0", "src/d1/**"), ("r0", "*.py"), ("r1", "**/d2/*.js"), ("r1", "src/d3/f1*.go"), ("r2", "*.{java,rb}"), ("r2", "/src/d0/**"),
+               ("r2", "# nothing"), ("r9", "**")]
+
+
+@register("ignore_by_root", compose("""
+    SELECT DISTINCT 'r' || (file_id % 3) AS root, path, CASE file_id % 3
+        WHEN 0 THEN path LIKE 'src/d1/%' OR path LIKE '%.py'
+        WHEN 1 THEN regexp_matches(path, '(^|/)d2/.*[.]js$') OR path LIKE 'src/d3/f1%.go'
+        ELSE path LIKE '%.java' OR path LIKE '%.rb' OR path LIKE 'src/d0/%' END AS ignored FROM code_lines""", "code_lines"))
+def ignore_by_root(spark, sf_dir):
+    """Files of three roots against a table of ignore rules, each root with its own."""
+    files = code_lines(spark, sf_dir).select(F.format_string("r%d", F.col("file_id") % 3).alias("root"), "path").distinct()
+    rules = ignore_table.compiled(spark.createDataFrame(IGNORE_ROWS, "root string, glob string"))
+    gone = ignore_table.ignored_paths(files, rules).withColumn("ignored", F.lit(True))
+    return files.join(gone, ["root", "path"], "left").select("root", "path", F.coalesce("ignored", F.lit(False)).alias("ignored"))
+
+
 @register("text_classify", f"""
     SELECT path, doc_id % 4 = 0 OR doc_id % 7 = 0 OR doc_id % 3 <> 0 AS is_text FROM ({_probe})""")
 def text_classify(spark, sf_dir):
@@ -768,6 +786,28 @@ def json_report(spark, sf_dir):
         F.coalesce(F.get_json_object("json", "$.findings[0].message"), none).alias("first_message"))
 
 
+@register("written_report", compose(f"""
+    SELECT 'file' AS part, f.path, CAST(strlen(f.content) AS BIGINT) AS size, coalesce(string_agg(
+        e.severity || ' ' || e.rule || ' ' || e.message || ' ' || coalesce(CAST(e.line AS VARCHAR), '-'), '; ' ORDER BY e.place), '') AS listing
+    FROM code_files f LEFT JOIN ({_ordered}) e USING (path) GROUP BY f.path, f.content
+    UNION ALL
+    SELECT 'report', NULL, (SELECT CAST(sum(strlen(content)) AS BIGINT) FROM code_files),
+           'Scanned ' || (SELECT count(*) FROM code_files) || ' files (' || (SELECT count(*) FROM code_files) || ' scanned), '
+           || (SELECT count(*) FROM ({_ordered})) || ' findings'""", "local_findings"))
+def written_report(spark, sf_dir):
+    """A report as written to its sink, from one review, read back: every finding of every file, and the report row."""
+    target = scratch_dir(spark, "report")
+    report.write_json(review(binary_code_files(spark, sf_dir), policy_named("quick"), WHOLE), target)
+    fields = "path string, size bigint, findings array<struct<severity:string,rule:string,message:string,line:int>>"
+    shown = F.transform("findings", lambda f: F.concat_ws(" ", f["severity"], f["rule"], f["message"],
+                                                          F.coalesce(f["line"].cast("string"), F.lit("-"))))
+    documents = spark.read.schema(fields).json(f"{target}/files").select(
+        F.lit("file").alias("part"), "path", "size", F.array_join(shown, "; ").alias("listing"))
+    row = spark.read.json(f"{target}/report").select(
+        F.lit("report").alias("part"), F.lit(None).cast("string").alias("path"), F.col("total_bytes").alias("size"), F.col("summary").alias("listing"))
+    return documents.unionByName(row)
+
+
 @register("markdown_sections", compose(f"""
     SELECT path, '### `' || path || '`' || chr(10) || string_agg('- **' || severity || '** [' ||
       CASE plane WHEN 0 THEN 'local-rules' ELSE 'rule-registry' END || ' / ' || rule ||
@@ -804,6 +844,20 @@ def fix_summary(spark, sf_dir):
     return fixes.fix_summary(fixes.fix_files(files))
 
 
+@register("fix_versions", f"""
+    SELECT path, sha256(coalesce(fixed, content)) AS content_hash, fixed IS NOT NULL AS changed FROM (
+      {compose("SELECT path, content FROM code_files", "code_files")}) LEFT JOIN ({ORACLES["fix_apply"]}) USING (path)""")
+def fix_versions(spark, sf_dir):
+    """A corpus and a version of it with all safe fixes, read back; only files that the fixes change are written."""
+    folder = scratch_dir(spark, "corpus")
+    code_files(spark, sf_dir).select("path", "language", "content").write.parquet(f"{folder}/base")
+    corpus = CorpusVersions(spark, f"{folder}/versions", f"{folder}/base")
+    corpus.fix()
+    before = corpus.read(0).select("path", F.sha2("content", 256).alias("was"))
+    return corpus.read().join(before, "path").select(
+        "path", F.sha2("content", 256).alias("content_hash"), (F.sha2("content", 256) != F.col("was")).alias("changed"))
+
+
 # --- incremental rescans --------------------------------------------------------------------
 VERSION = incremental.ruleset_version("quick")
 

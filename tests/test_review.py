@@ -205,6 +205,29 @@ def test_sinks(spark, files, tmp_path):
     assert spark.read.text(str(tmp_path / "md")).first()["value"] == "### `a.py`"
 
 
+def test_a_written_report_is_one_review(spark, files, tmp_path):
+    """Files, counters and diagnostics come from one pass over the corpus."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    corpus = files(("a.py", "secret = 1\nprint(1)\n"), ("b.py", "def f(:\npassword"), ("c.txt", b"\xff\xfe\xfd"), ("d.bin", b"\x00\xff"),
+                   ("e.rs", "unsafe {}"))
+    result = review(corpus.mapInArrow(counted, corpus.schema), policy_named("security"), ReviewOptions(rule_set="all"))
+    plain = review(corpus, policy_named("security"), ReviewOptions(rule_set="all"))
+    report.write_json(result, str(tmp_path / "json"))
+    assert seen.value == 5
+    written = {r["value"] for r in spark.read.text(str(tmp_path / "json" / "files")).collect()}
+    assert written == {r["json"] for r in report.json_entries(plain.entries).collect()} and len(written) == 3
+    row = spark.read.json(str(tmp_path / "json" / "report")).first()
+    want = report.report_row(plain).first()
+    assert (row["summary"], row["total_bytes"]) == (want["summary"], want["total_bytes"])
+    assert spark.read.json(str(tmp_path / "json" / "diagnostics")).count() == report.diagnostics(plain).count() == 2
+
+
 def test_policies(spark):
     assert len(POLICIES) == 13 and policy_table(spark).count() == 13
     assert BY_NAME["pre-merge"].severity_threshold == "medium" and BY_NAME["quick"].limits.max_files == 500
