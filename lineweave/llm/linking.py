@@ -54,37 +54,23 @@ def _turns(members: DataFrame) -> DataFrame:
         "key", "id", F.row_number().over(order).alias("turn")), "turns")
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified links (``a, b`` and what ``verify`` adds) that join the similar members of the groups.
-
-    ``members`` has ``key, id``. In each group leaders are compared with all members of other classes: one
-    leader in the first round, then four times as many in each round as in all rounds before. Groups with one
-    class are done. In a group that keeps several, members go on to lead until all have led, whatever a round
-    finds, so each pair of a group is either in one class or compared. ``verify`` gets distinct pairs that
-    it has not had before, with ``a < b``.
+def link_to_leaders(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Verified links (``a, b``) of each group's members to its leader; and ``id, cls`` of members that may have more.
+
+    ``members`` has ``key, id``, groups of two or more. The leader is the member whose groups are largest, most likely the
+    text that others were copied from: one row a member, in groups of any size. A member has no more to
+    look for where the links have made each of its groups one class.
     """
-    turns = _turns(members)
-    links, tested, state, first, last = None, None, turns.withColumn("cls", F.col("id")), 0, 1
-    while True:
-        lead = state.filter((F.col("turn") > first) & (F.col("turn") <= last)).select(
-            "key", F.col("id").alias("l"), F.col("turn").alias("lturn"), F.col("cls").alias("lcls"))
-        pairs = (state.filter(F.col("turn") > first + 1).join(lead, "key")
-                 .filter((F.col("turn") > F.col("lturn")) & (F.col("cls") != F.col("lcls")))
-                 .select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = stored(verify(pairs), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labelled = turns.join(stored(components(links), "labels"), "id", "left").select(
-            "key", "id", "turn", F.coalesce("class_id", "id").alias("cls"))
-        split = labelled.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.max("turn").alias("n")).filter(
-            (F.col("lo") != F.col("hi")) & (F.col("n") > last))
-        state = stored(labelled.join(split.select("key"), "key", "left_semi"), "open")
-        if state.isEmpty():
-            return links
-        first, last = last, 4 * last + 1
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    weight = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("w"))
+    leaders = members.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("l"))
+    pairs = stored(members.join(leaders, "key").filter("id <> l").select(
+        F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct(), "leader-pairs")
+    links = stored(verify(pairs).select("a", "b"), "leader-links")
+    labels = stored(components(links), "leader-classes")
+    labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("cls"))
+    split = labelled.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi")
+    return links, stored(labelled.join(split.select("key"), "key", "left_semi").select("id", "cls").distinct(), "open")
 
 
 def link_by_leaders(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -9,11 +9,13 @@ has a dart; the earliest dart of a coordinate is its value. The work is one look
 and a few darts a coordinate, however large the set. Two texts agree in a coordinate with the probability
 of their weighted Jaccard similarity.
 
-Bands of ``ROWS`` coordinates are join keys. Members of a band group are linked by ``link_groups`` and each
-link is verified: weighted Jaccard of the shingles of the whole texts, at least ``SIMILARITY``. Classes are
-the components of the links. Equal texts are one node, so copies cost one row each. The number of links of a
-text is counted over all pairs of its class: the class is dealt by hash into blocks of about ``BLOCK`` characters, and each two blocks
-are compared in one task, so no row is made for a pair.
+Bands of ``ROWS`` coordinates are join keys. Equal texts are one node, so copies cost one row each. In each band group one
+leader is compared with the others (``linking.link_to_leaders``), and each link is verified: Jaccard similarity of the shingles of
+the whole texts, at least ``SIMILARITY``. Members of groups that this leaves in several classes meet in a prefix-filtered
+join (``prefix_pairs``), which is exact at any size of a group: with shingles ordered from rare to frequent, two texts that are
+similar enough share one of the first fifth (and one more) of theirs. So the shingles of a template or a common passage
+are no keys, unless a text has hardly others. Length and place bound what is compared, and texts of one class are not compared
+again. Classes are the components of all links.
 
 Defined results: null counts as empty; texts without words are alike only where equal; a text of fewer than
 five words is one shingle; a row with a null id is compared with nothing, unless its text is equal to that
@@ -32,14 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.llm import wordhash as wh
-from lineweave.llm.linking import components, link_groups
+from lineweave.llm.linking import components, link_to_leaders
 from lineweave.session import stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 8
 MAX_WEIGHT = 1
-BLOCK, TEXT_COST = 1 << 20, 1000  # characters of a block on average, and what a text counts beside its own
 U = np.uint64
 # Rank intervals: short ones first, as large sets need few darts a cell; then unit intervals.
 SHORT = [(0.0, 0.125), (0.125, 0.125), (0.25, 0.25), (0.5, 0.5)]
@@ -154,53 +155,97 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         [one.column("a"), one.column("b"), pa.array([same / (total - same)])], ["a", "b", "similarity"])
 
 
-def _block_links(table: pa.Table) -> pa.Table:
-    """``node, n_links``: links between the two blocks of a class, or inside its one block."""
-    table = table.combine_chunks()
-    sets, weights = [], []
-    for text in range(table.num_rows):
-        hashes, _, _, first = wh.words(*wh.text_buffers(table.column("text").slice(text, 1).combine_chunks()))
-        u, c = np.unique(wh.shingles(hashes, first, SHINGLE)[0], return_counts=True)
-        sets.append(u), weights.append(np.minimum(c, MAX_WEIGHT))
-    nodes, node = np.unique(table.column("node").to_numpy(), return_inverse=True)
-    block = table.column("block").to_numpy()
-    left = np.flatnonzero(block == table.column("i")[0].as_py())
-    right = np.flatnonzero(block == table.column("j")[0].as_py())
-    total = np.array([w.sum() for w in weights])
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
-    at = np.concatenate(([0], np.cumsum([len(u) for u in sets])))
-    codes = np.concatenate([code[at[r]:at[r + 1]] for r in right] or [code[:0]])
-    weight = np.concatenate([weights[r] for r in right] or [total[:0]])
-    owner = np.repeat(np.arange(len(right)), [len(sets[r]) for r in right])
-    have = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
-    linked = np.zeros((len(nodes), len(nodes)), bool)
-    for x in left:
-        own = code[at[x]:at[x + 1]]
-        have[own] = weights[x]
-        same = np.bincount(owner, np.minimum(have[codes], weight), len(right))
-        have[own] = 0
-        union = total[x] + total[right] - same
-        linked[node[x], node[right[(union > 0) & (same >= SIMILARITY * union)]]] = True
-    linked |= linked.T
-    np.fill_diagonal(linked, False)
-    return pa.table({"node": pa.array(nodes), "n_links": pa.array(linked.sum(axis=1).astype(np.int64))})
-
-
-def class_degrees(classes: DataFrame, bodies: DataFrame) -> DataFrame:
-    """``node, n_links``: how many others of its class each node (``node, class_id``) is similar to."""
-    sized = bodies.groupBy("node").agg(F.sum(F.char_length("text") + TEXT_COST).alias("size")).join(classes, "node")
-    blocks = stored(sized.groupBy("class_id").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("n")), "blocks")
-    placed = sized.join(blocks, "class_id").select("node", "class_id", "n", F.pmod(F.xxhash64("node"), "n").cast("int").alias("block"))
-    pairs = (bodies.join(placed, "node").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-             .select("class_id", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "text"))
-    return pairs.groupBy("class_id", "i", "j").applyInArrow(_block_links, "node bigint, n_links bigint").groupBy("node").agg(
-        F.sum("n_links").alias("n_links"))
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS,
-                rows: int = ROWS, count_links: bool = True) -> DataFrame:
-    """Per row: ``id_col, class_id`` (smallest id of the class), ``n_links`` (other texts that its text is similar to;
-    null where not counted), ``kept``."""
+# --- the exact second way ----------------------------------------------------------------------------------------
+
+FREQUENT = 16  # texts that hold a shingle before it may count as frequent
+MOST_FREQUENT = 1 << 18  # shingles whose counts are broadcast, at most; others are rare
+
+
+def _distinct_shingles(column: pa.Array) -> Iterator[np.ndarray]:
+    hashes, _, _, first = wh.words(*wh.text_buffers(column))
+    shingle, start = wh.shingles(hashes, first, SHINGLE)
+    for i in range(len(start) - 1):
+        yield np.unique(shingle[start[i]:start[i + 1]])
+
+
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a part of the rows hold each shingle."""
+    for batch in batches:
+        for part in wh.slices(batch, "text"):
+            token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *_distinct_shingles(part.column("text"))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+
+
+def frequent_shingles(bodies: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, and their counts; ``MOST_FREQUENT`` at most. What is not among them counts as rare."""
+    counted = bodies.select("text").mapInArrow(_shingle_counts, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    often = stored(counted.filter(F.col("n") >= FREQUENT), "frequent-shingles")
+    levels = {r["level"]: r["tokens"] for r in often.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(
+        F.count("*").alias("tokens")).collect()}  # a row for each power of two
+    level, total = 64, 0
+    for k in sorted(levels, reverse=True):
+        total += levels[k]
+        if total > MOST_FREQUENT:
+            break
+        level = k
+    rows = often.filter(F.floor(F.log2("n")) >= level).select("token", "n").toArrow()
+    token = rows.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(token)
+    return token[order], rows.column("n").to_numpy()[order]
+
+
+def least_overlap(n: int) -> int:
+    """Shingles that a set of ``n`` shares at least with any set that is similar enough."""
+    return math.ceil(SIMILARITY * n - 1e-9)
+
+
+def _prefix_rows(frequent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = frequent.value
+        for batch in batches:
+            for part in wh.slices(batch, "text"):
+                tokens, rows = [], []
+                for i, own in enumerate(_distinct_shingles(part.column("text"))):
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                        own = own[np.lexsort((own, np.where(known[at] == own, counts[at], 0)))]
+                    prefix = own[:len(own) - least_overlap(len(own)) + 1] if len(own) else own
+                    tokens.append(prefix.view(np.int64))
+                    rows.append((np.full(len(prefix), i), np.full(len(prefix), len(own)), np.arange(len(prefix))))
+                row, size, place = (np.concatenate(x) for x in zip(*rows, strict=True))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(tokens)), part.column("node").take(take), part.column("cls").take(take),
+                     pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32))], ["token", "node", "cls", "size", "place"])
+    return run
+
+
+def prefix_pairs(open_: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``a, b``: pairs of open nodes (``id, cls``) of different classes that can be similar; none that is similar is missing.
+
+    For each shingle, those that are not in its most frequent class are compared with all, so that a class that holds a
+    shingle many times costs a row for each of its members and each text outside of it.
+    """
+    own = bodies.join(open_.select(F.col("id").alias("node"), "cls"), "node")
+    frequent = open_.sparkSession.sparkContext.broadcast(frequent_shingles(own))
+    rows = own.select("node", "cls", "text").mapInArrow(_prefix_rows(frequent), "token bigint, node bigint, cls bigint, size int, place int")
+    mixed = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("token")
+    rows = stored(rows.join(mixed, "token", "left_semi"), "prefixes")
+    top = (rows.groupBy("token", "cls").agg(F.count("*").alias("n")).groupBy("token").agg(
+        F.max_by("cls", F.struct("n", "cls")).alias("top")))
+    marked = rows.join(top, "token")
+    a = marked.filter("cls <> top").select("token", *[F.col(c).alias(f"a_{c}") for c in ("node", "cls", "size", "place")])
+    b = marked.select("token", "top", *[F.col(c).alias(f"b_{c}") for c in ("node", "cls", "size", "place")])
+    needed = F.ceil((F.col("a_size") + F.col("b_size")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
+    left = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    short, long = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+    return (a.join(b, "token").filter((F.col("a_cls") != F.col("b_cls")) & ((F.col("b_cls") == F.col("top")) | (F.col("a_node") < F.col("b_node")))
+                                      & (short >= long * SIMILARITY - 1e-9) & (left + F.least("a_place", "b_place") >= needed))
+            .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per row: ``id_col, class_id`` (smallest id of the class), ``kept``."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
     signed = base.filter("id is not null").mapInArrow(_signature_rows(bands, rows), "id bigint, sha binary, keys array<bigint>")
@@ -218,22 +263,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return (pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
                 .mapInArrow(_similar, "a bigint, b bigint, similarity double"))
 
-    links = link_groups(members, verify).select("a", "b").distinct()
+    links, open_ = link_to_leaders(members, verify)
+    if not open_.isEmpty():
+        more = verify(stored(prefix_pairs(open_, bodies), "prefix-pairs")).select("a", "b")
+        links = links.unionByName(stored(more, "prefix-links"))
     classes = components(links).withColumnRenamed("id", "node")
-    none = F.lit(0 if count_links else None).cast("bigint")
-    nodes = texts.select("sha", "node").join(classes, "node", "left").withColumn("n_links", none)
-    if count_links:
-        nodes = nodes.drop("n_links").join(class_degrees(classes, bodies), "node", "left")
-    nodes = nodes.select("sha", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", none).alias("n_links"))
+    nodes = texts.select("sha", "node").join(classes, "node", "left").select("sha", F.coalesce("class_id", "node").alias("class_id"))
     out = base.select("id", "sha").join(nodes, "sha", "left")
-    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("n_links", none).alias("n_links"),
+    return out.select(F.col("id").alias(id_col), "class_id",
                       F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"),
                       F.hex("sha").alias("text_sha"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: of each class the document with the smallest id."""
-    groups = near_groups(docs, id_col, text_col, count_links=False)
+    groups = near_groups(docs, id_col, text_col)
     gone = groups.filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha").alias("_sha")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (
         F.upper(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)) == gone["_sha"]), "left_anti")

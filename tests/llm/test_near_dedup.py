@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from lineweave.llm import near_dedup
 from lineweave.llm import wordhash as wh
-from lineweave.llm.linking import components, link_groups
+from lineweave.llm.linking import components, link_to_leaders
 
 
 def shingles(text):
@@ -81,23 +81,56 @@ def test_close_pairs_in_a_large_template_group(spark, docs):
         rows += [(i, " ".join(own)), (i + 1, " ".join(close))]
     got = near_dedup.near_groups(docs(*rows)).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == brute(rows)
-    # whatever earlier rounds find, late members of a group meet
-    members = spark.createDataFrame([(7, i) for i in range(60)], "key bigint, id bigint")
-    late = [(r["a"], r["b"]) for r in link_groups(members, lambda pairs: pairs.filter("a = 20 and b = 31")).collect()]
-    assert late == [(20, 31)]
 
 
-def test_links_are_counted_against_all_pairs(docs, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 6000)  # classes of several blocks
-    alike = [f"s{i}" for i in range(100)]
-    rows = corpus(3) + [(500 + i, " ".join([*alike, f"end{i}"])) for i in range(9)] + [(600, " ".join([*alike, "end0"]))]
-    texts = {}
-    for i, t in rows:
-        texts.setdefault(t, i)
-    sets = {t: shingles(t) for t in texts}
-    want = {t: sum(u != t and len(sets[t] & sets[u]) >= 0.8 * len(sets[t] | sets[u]) for u in texts) for t in texts}
-    assert want[rows[-1][1]] == 8
-    assert {r["doc_id"]: r["n_links"] for r in near_dedup.near_groups(docs(*rows)).collect()} == {i: want[t] for i, t in rows}
+def test_a_template_group_is_compared_in_proportion(docs, monkeypatch):
+    """A thousand letters with one template, less than 0.8 alike, among them close pairs: pairs compared are about as many."""
+    rng = random.Random(11)
+    letter, rows = [f"t{i}" for i in range(200)], []
+    for i in range(1000):
+        own = letter[:120] + [f"own{i}x{k}" for k in range(80)]
+        if i % 100 == 1:
+            own = rows[-1][1].split()
+            own[rng.randrange(200)] = f"edit{i}"
+        rows.append((i, " ".join(own)))
+    compared, real = [], near_dedup.prefix_pairs
+
+    def counted(*args):
+        pairs = real(*args)
+        compared.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "prefix_pairs", counted)
+    # bands of two coordinates put nearly all of them into a few groups
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(docs(*rows), rows=2, bands=60).collect()}
+    assert got == {i: i - (i % 100 == 1) for i in range(1000)}
+    assert compared and compared[0] < 200
+
+
+def test_prefix_pairs_lose_nothing(docs, spark):
+    """All pairs of random sets that are similar enough are among the candidates, whatever the frequencies are."""
+    rng = random.Random(12)
+    bases = [[rng.choice([f"c{k}" for k in range(30)] + [f"r{k}" for k in range(3000)]) for _ in range(rng.choice([5, 20, 80]))] for _ in range(30)]
+    texts = []
+    for n in range(150):
+        own = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            own[rng.randrange(len(own))] = f"z{rng.randrange(50)}"
+        texts.append(" ".join(own))
+    bodies = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    for cls in (lambda i: i, lambda i: i % 3):
+        open_ = spark.createDataFrame([(i, cls(i)) for i in range(150)], "id bigint, cls bigint")
+        got = {(r["a"], r["b"]) for r in near_dedup.prefix_pairs(open_, bodies).collect()}
+        sets = [shingles(t) for t in texts]
+        want = {(i, j) for i in range(150) for j in range(i + 1, 150) if cls(i) != cls(j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+        assert want <= got and want and all(cls(i) != cls(j) and i < j for i, j in got)
+
+
+def test_leaders_link_and_the_rest_stays_open(spark):
+    members = spark.createDataFrame([(1, i) for i in range(6)] + [(2, 0), (2, 9)], "key bigint, id bigint")
+    links, open_ = link_to_leaders(members, lambda pairs: pairs.filter("b < 4 or b = 9"))
+    assert sorted((r["a"], r["b"]) for r in links.collect()) == [(0, 1), (0, 2), (0, 3), (0, 9)]
+    assert sorted((r["id"], r["cls"]) for r in open_.collect()) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 4), (5, 5)]
 
 
 def test_null_ids_keep_one_and_empty_table(docs):
