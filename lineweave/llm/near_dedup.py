@@ -236,11 +236,12 @@ def prefix_pairs(open_: DataFrame, bodies: DataFrame) -> DataFrame:
     marked = rows.join(top, "token")
     a = marked.filter("cls <> top").select("token", *[F.col(c).alias(f"a_{c}") for c in ("node", "cls", "size", "place")])
     b = marked.select("token", "top", *[F.col(c).alias(f"b_{c}") for c in ("node", "cls", "size", "place")])
+    # the first shingle that two texts share has all their common ones behind it, in both; later ones need not pass
     needed = F.ceil((F.col("a_size") + F.col("b_size")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
     left = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
     short, long = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
     return (a.join(b, "token").filter((F.col("a_cls") != F.col("b_cls")) & ((F.col("b_cls") == F.col("top")) | (F.col("a_node") < F.col("b_node")))
-                                      & (short >= long * SIMILARITY - 1e-9) & (left + F.least("a_place", "b_place") >= needed))
+                                      & (short >= long * SIMILARITY - 1e-9) & (left >= needed))
             .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
 
 
