@@ -24,8 +24,8 @@ closes ends with what encloses it.
 
 from __future__ import annotations
 
+import hashlib
 import html
-import os
 import re
 from collections.abc import Iterator
 
@@ -39,14 +39,13 @@ from lineweave.session import stored
 
 SUPPORT, MIN_PAGES, MIN_CLASS = 0.9, 10, 3
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*?)>", re.S)
+NAME_OF_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'|[\"']")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME = re.compile(r"[a-z0-9]+")
 
 # Elements of the HTML standard and usual names in class and id.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "xmp", "noframes", "object"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "noframes", "object"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 CONTAINERS = {"html", "head", "body", "div", "section", "nav", "ul", "ol", "dl", "table", "article", "main", "aside", "footer",
               "header", "form", "figure", "details", "dialog", "fieldset"}
@@ -61,6 +60,9 @@ NOISE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
                "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "commentlist", "disqus",
                "respond", "replies", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "masthead",
                "pagination", "pager", "search", "searchbox", "toolbar", "skip", "hidden"}
+# Parts that a name has beside one of those when it still means the same, as in share-buttons; market-share is no such name.
+PLAIN_PARTS = {"box", "block", "area", "list", "links", "button", "buttons", "container", "wrapper", "bar", "icons", "icon", "form", "section",
+               "posts", "articles", "items", "stories", "inner", "outer", "content", "main", "post", "page", "site", "top", "bottom", "left", "right"}
 OUTSIDE_NAMES = {"header", "topbar"}  # noise outside an article only
 # Articles in these are comments, teasers and the like, not the page's own.
 FOREIGN_TAGS = {"aside", "form", "footer", "dialog"}
@@ -84,87 +86,168 @@ def _noise(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
-    names = set(NAME.findall(attributes.get("class", "") + " " + attributes.get("id", "")))
-    return bool(names & NOISE_NAMES) or not inside and bool(names & OUTSIDE_NAMES)
+    given = (attributes.get("class", "") + " " + attributes.get("id", "")).split()
+    names = [set(NAME.findall(name)) for name in given]
+    if inside:  # part of an article unless the whole name says otherwise
+        return any(parts & NOISE_NAMES and parts <= NOISE_NAMES | PLAIN_PARTS for parts in names)
+    return any(parts & (NOISE_NAMES | OUTSIDE_NAMES) for parts in names)
 
 
-def read_page(source: str) -> list[tuple[str, str, str, bool, bool]]:
-    """Tokens of a page: ``(kind, key, text, noise, main)``; kind is ``tag`` or ``text``.
+def tags_of(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """``(begin, end, slash, name, attributes)`` of comments (no name) and tags, in one pass without going back.
 
-    A text token is one block: all inline text between two block tags. ``key`` tells a token from others.
+    A tag ends at the first ``>`` outside of quotes; a quote that is not closed before the next ``<`` is a character like others.
     """
-    out: list[tuple[str, str, str, bool, bool]] = []
-    path: list[tuple[str, str]] = []
-    noise: tuple[int, str, int] | None = None  # path length, tag and open tags of that name where it began
-    foreign = False
-    mains: list[int] = []
-    words: list[str] = []
     at, size = 0, len(source)
-
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(words)).split()) if words else ""
-        words.clear()
-        if text:
-            place = path[-1][1] if path else ""
-            out.append(("text", f"{place}#{text}", text, noise is not None, bool(mains)))
-
-    while at < size:
-        match = TAG.search(source, at)
-        if not match:
-            words.append(source[at:])
-            break
-        if match.start() > at:
-            words.append(source[at:match.start()])
-        at = match.end()
-        tag = (match[2] or "").lower()
-        if not tag:
+    while (begin := source.find("<", at)) >= 0:
+        if source.startswith("<!--", begin):
+            end = source.find("-->", begin + 4)
+            at = size if end < 0 else end + 3
+            yield begin, at, "", "", ""
+            continue
+        if source.startswith("<![CDATA[", begin):
+            end = source.find("]]>", begin)
+            at = size if end < 0 else end + 3
+            yield begin, at, "", "", ""
             continue
-        if tag in RAW:
-            if not match[1] and not match[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
-                at = end.end() if end else size
-                out.append(("tag", f"{path[-1][1] if path else ''}/{tag}", "", True, False))
+        if source.startswith(("<!", "<?"), begin):
+            end = source.find(">", begin)
+            at = size if end < 0 else end + 1
+            yield begin, at, "", "", ""
             continue
-        if tag == "br":
-            words.append(" ")
+        name = NAME_OF_TAG.match(source, begin + 1)
+        if not name:
+            at = begin + 1
             continue
-        if tag not in BLOCKS and not match[1]:
-            attributes = _attributes(match[3])
-            if tag in VOID or not attributes and tag not in NOISE_TAGS:
+        end = source.find(">", name.end())
+        if end < 0:
+            return  # no tag ends any more
+        scanned = name.end()
+        while True:  # is this ">" inside of quotes?
+            open_quote = next((m for m in QUOTED.finditer(source, scanned, end) if len(m[0]) == 1), None)
+            if open_quote is None:
+                break
+            limit = source.find("<", end)
+            close = source.find(open_quote[0], end, size if limit < 0 else limit)
+            further = source.find(">", close) if close >= 0 else -1
+            if further < 0:
+                break
+            scanned, end = close + 1, further
+        at = end + 1
+        yield begin, at, name[1], name[2].lower(), source[name.end():end]
+
+
+class Page:
+    """Tokens of a page, and the tree of the containers that they stand in.
+
+    ``tokens`` are ``(kind, key, text, noise, main, container)``; kind is ``tag`` or ``text``. A text token is one block: all inline
+    text between two block tags. ``key`` tells a token from others; a container is known in it by a hash of its path. Container 0 is the page;
+    ``parent``, ``tag`` and ``last`` (the last container inside) are lists by container, which are numbered in page order.
+    """
+
+    def __init__(self, source: str):
+        self.tokens: list[tuple[str, str, str, bool, bool, int]] = []
+        self.parent, self.tag, self.last = [-1], [""], [0]
+        self._read(source)
+
+    def _read(self, source: str) -> None:
+        path: list[tuple[str, str, int]] = [("", "", 0)]  # tag, hash, container
+        open_tags: dict[str, int] = {}
+        noise: list | None = None  # path length, tag, open tags of that name, block tags inside an inline one (None: a block)
+        foreign = False
+        mains: list[int] = []
+        words: list[str] = []
+        quiet: list[str] = []  # inline noise of the block that is read
+
+        def flush() -> None:
+            for part, loud in ((words, noise is not None and noise[3] is None), (quiet, True)):
+                text = " ".join(html.unescape("".join(part)).split()) if part else ""
+                part.clear()
+                if text:
+                    self.tokens.append(("text", f"{path[-1][1]}#{text}", text, loud, bool(mains), path[-1][2]))
+
+        def say(text: str) -> None:
+            (words if noise is None or noise[3] is None else quiet).append(text)
+
+        at, skip = 0, 0
+        for begin, end, slash, tag, raw in tags_of(source):
+            if begin < skip:
+                continue
+            if begin > at:
+                say(source[at:begin])
+            at = end
+            if not tag:
+                continue
+            if tag in RAW:
+                if not slash and not raw.endswith("/"):
+                    close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
+                    stop = source.find(">", close.end()) if close else -1
+                    at = skip = stop + 1 if stop >= 0 else len(source)
+                    self.tokens.append(("tag", f"{path[-1][1]}/{tag}", "", True, False, path[-1][2]))
                 continue
-        if tag in BLOCKS:
-            flush()
-        if match[1]:
-            if noise and noise[1] == tag:
-                noise = (noise[0], tag, noise[2] - 1) if noise[2] > 1 else None
-            for i in range(len(path) - 1, -1, -1):
-                if path[i][0] == tag:
-                    del path[i:]
-                    while mains and mains[-1] >= i:
+            if tag == "br":
+                say(" ")
+                continue
+            attributes = None
+            if tag not in BLOCKS and not slash:
+                attributes = _attributes(raw)
+                if tag in VOID or not attributes and tag not in NOISE_TAGS:
+                    continue
+            if tag in BLOCKS:
+                flush()
+            if slash:
+                if noise and noise[1] == tag:
+                    noise[2] -= 1
+                    if not noise[2]:
+                        noise = None
+                elif noise and noise[3] is not None and tag in BLOCKS:
+                    noise[3] -= 1
+                    if noise[3] < 0:  # the block that it stands in ends, and so does inline noise that never closed
+                        noise = None
+                if open_tags.get(tag):
+                    while True:
+                        name, _, container = path.pop()
+                        open_tags[name] -= 1
+                        self.last[container] = len(self.tag) - 1
+                        if name == tag:
+                            break
+                    while mains and mains[-1] >= len(path):
                         mains.pop()
-                    if noise and noise[0] > i:
+                    if noise and noise[0] > len(path):
                         noise = None
-                    break
-            continue
-        attributes = _attributes(match[3])
-        label = tag + "".join(f".{attributes[a]}" for a in ("id", "class") if attributes.get(a))
-        place = f"{path[-1][1] if path else ''}/{label}"
-        loud = _noise(tag, attributes, bool(mains))
-        if tag in ("article", "main") and not loud and noise and not foreign and not mains:
-            noise = None  # a menu or notice that never closed
-        if noise is None and loud:
-            flush()
-            noise, foreign = (len(path), tag, 1), _foreign(tag, attributes)
-        elif noise and noise[1] == tag:
-            noise = (noise[0], tag, noise[2] + 1)
-        if tag in ("article", "main") and noise is None:
-            mains.append(len(path))
-        if tag in BLOCKS:
-            out.append(("tag", place, "", noise is not None, bool(mains)))
-        if tag in CONTAINERS:
-            path.append((tag, place))
-    flush()
-    return out
+                continue
+            attributes = _attributes(raw) if attributes is None else attributes
+            label = tag + "".join(f".{attributes[a]}" for a in ("id", "class") if attributes.get(a))
+            place = hashlib.blake2b(f"{path[-1][1]}/{label}".encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+            loud = _noise(tag, attributes, bool(mains))
+            if tag in ("article", "main") and not loud and noise and not foreign and not mains:
+                noise = None  # a menu or notice that never closed
+            if noise is None and loud:
+                noise, foreign = [len(path), tag, 1, None if tag in BLOCKS else 0], _foreign(tag, attributes)
+            elif noise and noise[1] == tag:
+                noise[2] += 1
+            elif noise and noise[3] is not None and tag in BLOCKS and tag != "hr":
+                noise[3] += 1
+            if tag in ("article", "main") and noise is None:
+                mains.append(len(path))
+            if tag in BLOCKS:
+                self.tokens.append(("tag", place, "", noise is not None, bool(mains), path[-1][2]))
+            if tag in CONTAINERS:
+                self.parent.append(path[-1][2]), self.tag.append(tag), self.last.append(0)
+                path.append((tag, place, len(self.tag) - 1))
+                open_tags[tag] = open_tags.get(tag, 0) + 1
+        if at < len(source):
+            say(source[at:])
+        flush()
+        for _, _, container in path:
+            self.last[container] = len(self.tag) - 1
+
+    def common(self, containers: list[int]) -> int:
+        """The innermost container that holds all of these: in page order, that of the first and the last."""
+        at, last = min(containers), max(containers)
+        while self.last[at] < last:
+            at = self.parent[at]
+        return at
 
 
 def _hashes(keys: list[str]) -> np.ndarray:
@@ -178,7 +261,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in wh.slices(batch, "html"):
             page, tokens, counts, places = [], [], [], []
             for i, source in enumerate(part.column("html").to_pylist()):
-                keys = _hashes([t[1] for t in read_page(source or "")])
+                keys = _hashes([t[1] for t in Page(source or "").tokens])
                 token, first, count = np.unique(keys, return_index=True, return_counts=True)
                 page.append(np.full(len(token), i))
                 tokens.append(token), counts.append(count), places.append((first + 1) / (len(keys) + 1))
@@ -202,7 +285,8 @@ def templates(rows: DataFrame) -> DataFrame:
     vectors = seen.groupBy("host", "token").agg(
         F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("pages"), F.avg("place").alias("place"))
     hosts = counted.groupBy("host").agg(F.count("*").alias("all_pages")).filter(F.col("all_pages") >= MIN_PAGES)
-    frequent = vectors.join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("all_pages"))
+    # tokens on few pages are in no template, whatever the host: most of a page's own go before they meet the hosts
+    frequent = vectors.filter(F.col("pages") >= SUPPORT * MIN_PAGES).join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("all_pages"))
     valid = frequent.groupBy("host", "vector").agg(
         F.count("*").alias("size"), F.collect_list(F.struct("place", "token")).alias("tokens")).filter(F.col("size") >= MIN_CLASS)
     return valid.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens")).select(
@@ -210,12 +294,12 @@ def templates(rows: DataFrame) -> DataFrame:
 
 
 def page_text(source: str, template: list[int] | None) -> str:
-    tokens = read_page(source)
+    page = Page(source)
     order = {int(t): i for i, t in enumerate(template or [])}
-    keys = _hashes([t[1] for t in tokens]).view(np.int64).tolist() if order else [0] * len(tokens)
-    blocks: list[tuple[str, str, bool, int]] = []  # container, text, of the template, slot between template tags
-    last, slot, main = -1, 0, any(t[4] and not t[3] and t[2] for t in tokens)
-    for key, (kind, name, text, noise, inside) in zip(keys, tokens, strict=True):
+    keys = _hashes([t[1] for t in page.tokens]).view(np.int64).tolist() if order else [0] * len(page.tokens)
+    blocks: list[tuple[int, str, bool, int]] = []  # container, text, of the template, slot between template tags
+    last, slot, main = -1, 0, any(t[4] and not t[3] and t[2] for t in page.tokens)
+    for key, (kind, _, text, noise, inside, container) in zip(keys, page.tokens, strict=True):
         place = order.get(key, -1)
         matched = place > last
         if matched:
@@ -223,12 +307,12 @@ def page_text(source: str, template: list[int] | None) -> str:
         if kind == "tag":
             slot += matched
         elif not noise and (inside or not main):
-            blocks.append((name[:-len(text) - 1], text, matched and not inside, slot))
-    own = _own_containers(blocks)
+            blocks.append((container, text, matched and not inside, slot))
+    own = _own_containers(page, blocks)
     return "\n\n".join(text for container, text, shared, _ in blocks if not shared or container in own)
 
 
-def _own_containers(blocks: list[tuple[str, str, bool, int]]) -> set[str]:
+def _own_containers(page: Page, blocks: list[tuple[int, str, bool, int]]) -> set[int]:
     """Containers below the body that hold the page's own text, inside the container of its longest slot."""
     sizes: dict[int, int] = {}
     for _, text, shared, slot in blocks:
@@ -237,10 +321,8 @@ def _own_containers(blocks: list[tuple[str, str, bool, int]]) -> set[str]:
     if not sizes:
         return set()
     longest = max(sizes, key=sizes.get)
-    held = [c.split("/") for c, _, shared, slot in blocks if slot == longest and not shared]
-    common = os.path.commonprefix(held)
-    return {c for c, _, shared, _ in blocks if not shared and c.split("/")[:len(common)] == common
-            and c.rpartition("/")[2].partition(".")[0] not in ("", "html", "body")}
+    common = page.common([c for c, _, shared, slot in blocks if slot == longest and not shared])
+    return {c for c, _, shared, _ in blocks if not shared and common <= c <= page.last[common] and page.tag[c] not in ("", "html", "body")}
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,3 +69,70 @@ def test_short_titles_and_endings_stay(spark):
 def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([page(1), page(1)], "page_id bigint, url string, html string")
     assert he.main_texts(df.limit(0)).count() == 0 and len({r["text"] for r in he.main_texts(df).collect()}) == 1
+
+
+def test_inline_noise_goes_and_leaves_its_block_whole():
+    text = lambda body: he.page_text(f"<article>{body}</article>", None)
+    assert text("<p>Hello <button>Share</button> world</p>") == "Hello world"
+    assert text('<p>Read this <span class="ad">Buy now</span> sentence.</p>') == "Read this sentence."
+    assert text("<p>a <label>L</label><select><option>o</select> b <a class=share href=x>s</a> c</p>") == "a b c"
+    assert text("<p>a <span class=ad>never closed</p><p>b</p>") == "a\n\nb"
+    assert text("<p>a <button><div>x</div><p>y</p></button> b</p><p>c</p>") == "a\n\nb\n\nc"
+    assert text("<p>one</p><menu><li>m<li>n</menu><p>two</p>") == "one\n\ntwo"
+
+
+def test_article_text_stays():
+    text = lambda body: he.page_text(f"<article>{body}</article>", None)
+    assert text("<p>E <math><mi>x</mi></math> and <svg><title>t</title><text>label</text></svg></p>") == "E x and label"
+    assert text("<section class=search-results><p>a</p></section><section id=related-work><p>b</p></section>") == "a\n\nb"
+    assert text("<div class=market-share><p>a</p></div><div class='share-buttons'>s</div><div class=comments>c</div>") == "a"
+    assert he.page_text("<div class=search-results>x</div><p>y", None) == "y"
+
+
+def test_tags_and_quotes():
+    names = lambda source: [t[3] for t in he.tags_of(source) if t[3]]
+    assert names("<p title=\"a > b\">x<img alt='>'>y<a href=it's>z</a>") == ["p", "img", "a", "a"]
+    assert names("<!-- <p> --><![CDATA[<b>]]><!doctype x><?php <i> ?><u>") == ["u"]
+    assert names("a < b <3 </ x> <em") == [] and names("<a b='c <d> e") == ["a"]
+
+
+def test_broken_pages_take_time_and_memory_in_proportion():
+    import time
+    import tracemalloc
+
+    started = time.perf_counter()
+    for source in ("<p>hello</p> a <b " + '"a" ' * 300_000, '<a "' * 250_000, "<a " * 300_000, "<a '\"" * 200_000 + ">", "<!--" * 200_000,
+                   "<script" * 100_000, "<script>" + "</script" * 100_000, "<x y='" * 100_000 + ">" * 1000, "</b>" * 200_000,
+                   "<div>" * 50_000 + "</section>" * 50_000):
+        he.page_text(source, None)
+    assert time.perf_counter() - started < 30
+    tracemalloc.start()
+    text = he.page_text("<div class=row>x" * 100_000, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) == 100_000 * 3 - 2 and peak < 200 << 20
+
+
+def test_templates_by_brute_force(spark):
+    """The template of a host against the definition, worked out token by token."""
+    import random
+
+    rng = random.Random(4)
+    pages = []
+    for i in range(14):
+        parts = ["<div class=top>Site</div>", "<p>Welcome</p>", "".join(f"<p>own {rng.randrange(40)}</p>" for _ in range(rng.randint(0, 4)))]
+        parts += ["<div class=side>Side</div>"] * (i != 3) + ["<p>Now and then</p>"] * (i % 2) + ["<div class=end>Terms</div>"]
+        pages.append("<html><body>" + "".join(parts) + "</body></html>")
+    pages[5] = pages[4]
+    rows = spark.createDataFrame([("h", i, p) for i, p in enumerate(pages)], "host string, page bigint, html string")
+    got = he.templates(rows).collect()
+    distinct = sorted(set(pages), key=pages.index)
+    seen = [[t[1] for t in he.Page(p).tokens] for p in distinct]
+    groups = {}
+    for key in {k for keys in seen for k in keys}:
+        vector = tuple(keys.count(key) for keys in seen)
+        if sum(n > 0 for n in vector) >= 0.9 * len(distinct):
+            groups.setdefault(vector, []).append((sum((keys.index(key) + 1) / (len(keys) + 1) for keys in seen if key in keys) / sum(n > 0 for n in vector), key))
+    want = sorted(x for g in groups.values() if len(g) >= 3 for x in g)
+    assert len(got) == 1 and got[0]["template"] == he._hashes([k for _, k in want]).view("int64").tolist()
+    assert len(want) >= 6
