@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lineweave.llm import wordhash as wh
@@ -283,6 +283,30 @@ def _sentences(model: Model):
     return run
 
 
+def first_by_key(rows: DataFrame, n: int) -> list[Row]:
+    """The ``n`` rows with the smallest keys (64 bits without a sign). The driver gets few more than those.
+
+    The bar is found first, from counts by the leading bits of the keys, 16 bits at a time.
+    """
+    part, wanted, bar = rows, n, None
+    for shift in (48, 32, 16, 0):
+        leading = F.shiftrightunsigned("key", shift)
+        counts = sorted((r["b"], r["count"]) for r in part.groupBy(leading.alias("b")).count().collect())  # 65,536 rows at most
+        total = 0
+        for b, count in counts:
+            total += count
+            if total >= wanted:
+                break
+        else:  # all of them
+            break
+        bar = leading <= b
+        if total <= 2 * n:
+            break
+        wanted, part = wanted - total + count, part.filter(leading == b)
+    found = rows.filter(bar).collect() if bar is not None else rows.collect()
+    return sorted(found, key=lambda r: (r["key"] % 2 ** 64, bytes(r["x"])))[:n]
+
+
 def train(texts: DataFrame) -> Model:
     """``texts``: ``id, text, label`` of the rows that may be learned from."""
     totals = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -293,9 +317,8 @@ def train(texts: DataFrame) -> Model:
     model.clues, model.odds = find_clues(texts, n0, n1)
     if not len(model.clues):
         return model
-    rows = texts.mapInArrow(_sentences(model), "kind bigint, key bigint, x binary, y binary")
-    picked = [rows.filter(F.col("kind") == k).orderBy("key", "x").limit(SENTENCES).collect() for k in (0, 1)]
-    chosen = [r for part in picked for r in part]
+    rows = stored(texts.mapInArrow(_sentences(model), "kind bigint, key bigint, x binary, y binary"), "sentences")
+    chosen = [r for k in (0, 1) for r in first_by_key(rows.filter(F.col("kind") == k), SENTENCES)]
     x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in chosen]).astype(np.float64)
     y = np.concatenate([np.frombuffer(r["y"], np.int8) for r in chosen]).astype(np.int64)
     chain = np.repeat(np.arange(len(chosen)), [len(r["y"]) for r in chosen])
