@@ -9,9 +9,9 @@ is verified word by word, and the places that verified windows cover are counted
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z is lower-cased. Every window of every item takes
 part. Tasks read texts as word hashes, and give the places of prefix words with the words around them (25 at
-most); all joins and counts are Spark's, and compare words, not hashes. Prefix words are sent to all tasks
-only where their windows, which are counted first, are at most ``SMALL_WINDOWS`` (each has at most 13 words);
-beyond that tasks give the places of all words, and the same joins run with a shuffle.
+most); all joins and counts are Spark's, and compare words, not hashes. Hashes of the prefix words are sent to all tasks
+where they are at most ``MOST_WORDS`` (8 bytes each; a larger vocabulary makes tasks give the places of all words).
+Windows and their items are sent to all tasks where they are at most ``SMALL_WINDOWS``, counted with the item each; else the same joins shuffle.
 
 Defined results: null and empty texts have no words and no hits; equal windows of several items count for
 each item; rows that repeat an id with the same text get the same result each; with another text their own.
@@ -32,6 +32,7 @@ from lineweave.session import stored
 
 WINDOW = 13
 SMALL_WINDOWS = 100_000
+MOST_WORDS = 8_000_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NORMAL = np.where(wh.WORD_BYTES == 1, wh.LOWER - 1, 32).astype(np.uint8)
 PLACES = 20_000  # places written at a time
@@ -122,11 +123,11 @@ NAMES = ["_id", "_row", "n_words", "_pos", "_from", "_context"]
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW,
-                  small_windows: int = SMALL_WINDOWS) -> DataFrame:
+                  small_windows: int = SMALL_WINDOWS, most_words: int = MOST_WORDS) -> DataFrame:
     """Per row of ``docs``: ``id_col, n_words, n_hit, n_items, item_ids`` (sorted as strings)."""
     owners = item_windows(items, item_col, item_text_col, size)
     windows = owners.select("_window").distinct().select("_window", F.sha2(F.array_join("_window", " "), 256).alias("_wid"))
-    small = windows.count() <= small_windows
+    small = owners.count() <= small_windows
     sent = F.broadcast if small else (lambda df: df)
 
     context = docs.sparkSession.sparkContext
@@ -135,7 +136,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     id_type = rows.schema["_id"].dataType.simpleString()
     # Rarity over all documents, of the words that can be in a prefix.
     alphabet = stored(windows.select(F.explode("_window").alias("_word")).distinct().mapInArrow(_named, "_word string, _hash bigint"), "alphabet")
-    wanted = context.broadcast(_hashes(alphabet.select("_word"))) if small else None
+    few = alphabet.count() <= most_words
+    wanted = context.broadcast(_hashes(alphabet.select("_word"))) if few else None
     counts = (rows.select("_text").mapInArrow(_word_counts(wanted), "_hash bigint, _n bigint")
               .groupBy("_hash").agg(F.sum("_n").alias("_n")).join(sent(alphabet), "_hash").select("_word", "_n"))
     spots = (windows.select("_wid", "_window", F.posexplode("_window").alias("_offset", "_word"))
@@ -146,7 +148,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                       .filter((F.col("_k") == 1) & F.col("_n").isNotNull()).select("_wid", "_window", "_offset", "_word"),
                       "prefixes")
 
-    wanted = context.broadcast(_hashes(prefixes.select("_word").distinct())) if small else None
+    wanted = context.broadcast(_hashes(prefixes.select("_word").distinct())) if few else None
     seen = stored(rows.mapInArrow(_word_places(wanted, size),
                                   f"_id {id_type}, _row bigint, n_words bigint, _pos int, _from int, _context string"), "word-places")
     places = seen.filter("_pos >= 0").withColumn("_words", F.split("_context", " +")).withColumn(

@@ -56,6 +56,7 @@ def test_against_brute_force(spark):
 def test_large_benchmarks_take_the_shuffled_join(spark):
     docs, items = cases()
     assert run(spark, docs, items, small_windows=0) == brute(docs, items, 13)
+    assert run(spark, docs, items, small_windows=0, most_words=0) == brute(docs, items, 13)
 
 
 def test_drop_and_empty_tables(spark):
