@@ -77,16 +77,23 @@ def _license_sql() -> str:
     return f"""
     WITH known(k, id) AS (VALUES {known}), rules(sentence_ids, license, kind) AS (VALUES {rules}),
     pieces AS ({pieces}),
-    seq AS (SELECT doc_id, reading, string_agg(coalesce(id, 0) || '@' || n, ' ' ORDER BY n) AS seq FROM (
-        SELECT p.*, k.id FROM pieces p LEFT JOIN known k ON k = lower(trim(regexp_replace(s, '{license_scan.OTHER}', ' ', 'g'))))
-      GROUP BY 1, 2),
+    normal AS (SELECT *, lower(trim(regexp_replace(s, '{license_scan.OTHER}', ' ', 'g'))) AS plain,
+                      length(regexp_replace(s, '{license_scan.OTHER}', '', 'g')) AS letters FROM pieces),
+    numbered AS (SELECT p.*, coalesce(k.id, 0) AS id, CAST(coalesce(sum(letters) OVER (PARTITION BY doc_id, reading ORDER BY n
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS since
+                 FROM normal p LEFT JOIN known k ON k = regexp_replace(plain, {text(license_scan.HOLDERS[0])}, {text(license_scan.HOLDERS[1])})),
+    seq AS (SELECT doc_id, reading, string_agg(id || '@' || n, ' ' ORDER BY n) AS seq FROM numbered GROUP BY 1, 2),
     hits AS (SELECT doc_id, reading, unnest(regexp_extract_all(seq, '{license_scan.rule_pattern()}')) AS m FROM seq),
-    named AS (SELECT *, replace(regexp_replace(m, ' 0@[0-9]+|@[0-9]+', '', 'g'), ' ', ',') AS sentence_ids FROM hits)
-    SELECT doc_id, license, kind, reading, CAST(regexp_extract(m, '@([0-9]+)', 1) AS INT) AS first_sentence,
-           CAST(regexp_extract(m, '@([0-9]+)$', 1) AS INT) AS last_sentence, sentence_ids
-    FROM named n JOIN rules USING (sentence_ids)
-    WHERE reading = 'line' OR NOT EXISTS (SELECT 1 FROM named o WHERE o.reading = 'line' AND o.doc_id = n.doc_id
-                                          AND o.sentence_ids = n.sentence_ids)"""
+    named AS (SELECT *, replace(regexp_replace(m, ' 0@[0-9]+|@[0-9]+', '', 'g'), ' ', ',') AS sentence_ids,
+                     CAST(regexp_extract(m, '@([0-9]+)', 1) AS INT) AS first_sentence,
+                     CAST(regexp_extract(m, '@([0-9]+)$', 1) AS INT) AS last_sentence FROM hits),
+    placed AS (SELECT h.*, a.since AS low, b.since + b.letters AS high FROM named h
+               JOIN numbered a ON a.doc_id = h.doc_id AND a.reading = h.reading AND a.n = h.first_sentence
+               JOIN numbered b ON b.doc_id = h.doc_id AND b.reading = h.reading AND b.n = h.last_sentence)
+    SELECT doc_id, license, kind, reading, first_sentence, last_sentence, sentence_ids
+    FROM placed n JOIN rules USING (sentence_ids)
+    WHERE reading = 'line' OR NOT EXISTS (SELECT 1 FROM placed o WHERE o.reading = 'line' AND o.doc_id = n.doc_id
+                                          AND o.sentence_ids = n.sentence_ids AND o.low < n.high AND n.low < o.high)"""
 
 
 @registered("op4_license_scan", _license_sql())
