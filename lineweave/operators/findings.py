@@ -129,8 +129,8 @@ def merge(*planes: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), planes)
 
 
-def dedup(findings: DataFrame, *keys: str) -> DataFrame:
-    """One finding per (file, rule, line, message).
+def dedup(findings: DataFrame, *keys: str, copies: str | None = None) -> DataFrame:
+    """One finding per (file, rule, line, message); ``copies`` names a column with the number of findings it stands for.
 
     Written as an aggregation, so equal findings collapse inside each task first; which of
     the equals survives does not depend on the partitioning.
@@ -138,8 +138,9 @@ def dedup(findings: DataFrame, *keys: str) -> DataFrame:
     by = [*keys, "rule", "line", "message"]
     rest = [c for c in findings.columns if c not in by]
     first = F.min(F.struct("emitted", *[c for c in rest if c != "emitted"])).alias("_first")
-    return findings.groupBy(*by).agg(first).select(*[
-        F.col(c) if c in by else F.col(f"_first.{c}").alias(c) for c in findings.columns])
+    counted = [F.count(F.lit(1)).alias(copies)] if copies else []
+    return findings.groupBy(*by).agg(first, *counted).select(*[
+        F.col(c) if c in by else F.col(f"_first.{c}").alias(c) for c in findings.columns], *([copies] if copies else []))
 
 
 def sort_key(finding: Column) -> Column:

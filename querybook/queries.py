@@ -535,14 +535,14 @@ def sanitize(spark, sf_dir):
 
 
 @register("dedup_findings", compose(
-    "SELECT path, line, rule, message, min(col) AS col, 2 AS planes FROM c_style_findings "
+    "SELECT path, line, rule, message, min(col) AS col, count(*) * CASE WHEN line % 2 = 0 THEN 2 ELSE 1 END AS planes FROM c_style_findings "
     "GROUP BY path, line, rule, message", "c_style_findings"))
 def dedup_findings(spark, sf_dir):
-    # the same findings from two planes, merged and reduced to one of each
+    """Findings of two planes, of which the second has looked at even lines only, merged and reduced to one of each."""
     lines = code_lines(spark, sf_dir).filter("language = 'c'")
-    found = c_rules.style_findings(lines, "path")
-    once = algebra.dedup(algebra.merge(found, found), "path")
-    return once.select("path", "line", "rule", "message", F.col("column").alias("col"), F.lit(2).alias("planes"))
+    found, again = (c_rules.style_findings(seen, "path") for seen in (lines, lines.filter("line % 2 = 0")))
+    once = algebra.dedup(algebra.merge(found, again), "path", copies="planes")
+    return once.select("path", "line", "rule", "message", F.col("column").alias("col"), "planes")
 
 
 PACK = RulePack("house", [
