@@ -339,7 +339,9 @@ def repeated_runs(docs: DataFrame, text_col: str = "text", length: int = LENGTH)
         if found:
             todo = (found[-1].filter(F.col("state") != SPAN).groupBy("k1", "k2")
                     .agg(F.collect_set(F.struct("item", "state")).alias("items")))
-            given = texts.join(todo, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))).select("_text", "_k1", "_k2", "items")
+            # equal texts have witnesses only, and one of them is enough; a group of copies is one row a task
+            given = texts.dropDuplicates(["_k1", "_k2"]).join(
+                todo, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))).select("_text", "_k1", "_k2", "items")
         merged = (given.mapInArrow(entries(length, size), ROW).repartition("s").sortWithinPartitions("s", "t")
                   .mapInArrow(merge_scan(step == len(sizes) - 1), FOUND))
         found.append(stored(merged, f"suffix-runs-{size}"))
