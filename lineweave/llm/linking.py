@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineweave.session import stored
@@ -37,23 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("class_id"))).distinct())
 
 
-def _turns(members: DataFrame) -> DataFrame:
-    """``key, id, turn``: members of groups of two or more, with their turn to lead.
-
-    First leads the member whose groups are largest, as that is most likely the text that others were
-    copied from; the rest lead in a hash order that differs from group to group, so that a member meets
-    other leaders in each of its groups.
-    """
-    grouped = members.select("key", "id").distinct()
-    sizes = grouped.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = stored(grouped.join(sizes, "key"), "members")
-    weight = sized.groupBy("id").agg(F.sum("n").alias("w"))
-    best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("w"), "id")) == 1
-    order = Window.partitionBy("key").orderBy(F.desc("best"), F.xxhash64("key", "id"), "id")
-    return stored(sized.join(weight, "id").withColumn("best", best).select(
-        "key", "id", F.row_number().over(order).alias("turn")), "turns")
-
-
 def link_to_leaders(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Verified links (``a, b``) of each group's members to its leader; and ``id, cls`` of members that may have more.
 
@@ -76,16 +59,23 @@ def link_to_leaders(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
 def link_by_leaders(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Verified links (``a, b`` and what ``verify`` adds) between leaders and members of each group.
 
-    As ``link_groups``, but each group stands for itself: a member that a leader of its group is linked to is
-    covered and leads no more; a member that is not covered leads in its turn, and is compared with all others of
-    the group, whatever the leaders before it met. Used where links are not transitive, as texts may share one
-    passage and not another.
+    Each group stands for itself: a member that a leader of its group is linked to is covered and leads no more; a member that is
+    not covered leads in its turn, and is compared with all others of the group, whatever the leaders before it met.
+    Used where links are not transitive, as texts may share one passage and not another. In each round the open member whose groups
+    are largest leads (most likely the text that others were copied from), and twice as many others as in the round before, picked by
+    hash. Groups are counted and picked from by aggregates alone, so that none is sorted in one task.
     """
-    turns = open_ = _turns(members)
-    links, tested, first, last = None, None, 0, 1
+    grouped = members.select("key", "id").distinct()
+    sizes = grouped.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    sized = stored(grouped.join(sizes, "key"), "members")
+    weight = sized.groupBy("id").agg(F.sum("n").alias("w"))
+    open_ = stored(sized.join(weight, "id").select("key", "id", "w"), "open")
+    links, tested, more = None, None, 0
     while True:
-        lead = open_.filter((F.col("turn") > first) & (F.col("turn") <= last)).select("key", F.col("id").alias("l"))
-        met = stored(turns.join(lead, "key").filter("id <> l").select(
+        best = open_.groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("best"), F.count("*").alias("n"))
+        lead = stored(open_.join(best, "key").filter((F.col("id") == F.col("best")) | (F.expr("pmod(xxhash64(key, id), n)") < more))
+                      .select("key", F.col("id").alias("l")), "leaders")
+        met = stored(sized.select("key", "id").join(lead, "key").filter("id <> l").select(
             "key", "id", F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")), "met")
         pairs = met.select("a", "b").distinct()
         if tested is not None:
@@ -94,10 +84,10 @@ def link_by_leaders(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
         found = stored(verify(pairs), "links")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        covered = met.join(links.select("a", "b").distinct(), ["a", "b"]).select("key", "id").distinct()
-        covered = stored(covered, "covered")
+        covered = met.join(links.select("a", "b").distinct(), ["a", "b"]).select("key", "id")
         # leaders are done; so are members that one is linked to
-        open_ = stored(open_.filter(F.col("turn") > last).join(covered, ["key", "id"], "left_anti"), "open")
+        done = lead.select("key", F.col("l").alias("id")).unionByName(covered).distinct()
+        open_ = stored(open_.join(done, ["key", "id"], "left_anti"), "open")
         if open_.isEmpty():
             return links
-        first, last = last, 2 * last + 1
+        more = 2 * more + 1

@@ -7,13 +7,16 @@ min-hash. Such a compact window (l, c, r) stands for all of them; only windows t
 
 1. Windows of ``FUNCTIONS`` hash functions give keys; keys of one text alone are dropped.
 2. In each text, windows of two functions are joined where a passage of the least length lies in both
-   (an interval join): all its passages share two signatures. The two hashes are the key of a group of texts,
-   so that passages with at least two of ``FUNCTIONS`` equal min-hashes meet: all exact repeats, and 97 of
-   100 at a similarity of 0.8, more above.
-3. In a group, leaders are compared with the others (``linking.link_by_leaders``): no pairs among the
+   (an interval join): passages with two signatures that other texts have, too. So a passage is looked at where at least two of
+   ``FUNCTIONS`` min-hashes are shared: all exact repeats, and 97 of 100 at a similarity of 0.8, more above.
+   Joined windows that overlap are one range.
+3. The texts that hold a token in such ranges are counted. With tokens ordered from rare to frequent, the rarest token that two
+   similar passages share is among the first fifth (and one more) of both. These prefix tokens (``RUNGS``) are the keys of
+   groups, so that a frequent phrase that texts share without a passage around it is no key.
+4. In a group, leaders are compared with the others (``linking.link_by_leaders``): no pairs among the
    members that a leader covers. Each pair is verified over both whole texts: passages with a
    Jaccard similarity of their shingles of at least ``SIMILARITY``, both of ``MIN_WORDS`` words or more.
-4. Verified passages of one text that overlap are one region; regions that links join are a class.
+5. Verified passages of one text that overlap are one region; regions that links join are a class.
 
 Equal texts are one node; each of them gets its rows. A text of enough words that several ids hold has a row
 of kind ``text`` as well, whose class are its copies.
@@ -89,12 +92,12 @@ def compact_windows(hashes: np.ndarray, least: int = LEAST) -> np.ndarray:
     return found[found[:, 2] - found[:, 0] + 1 >= least]
 
 
-def joined_keys(windows: list[tuple[np.ndarray, np.ndarray]], least: int = LEAST) -> np.ndarray:
-    """Keys of two functions' windows with a common passage; ``windows``: (l, c, r) and hash, sorted by c, a function."""
-    keys = []
+def joined_windows(windows: list[np.ndarray], least: int = LEAST) -> np.ndarray:
+    """Ranges (begin, end) where windows of two functions have a common passage; ``windows``: (l, c, r) by c, a function."""
+    found = [np.zeros((0, 2), np.int64)]
     for a in range(len(windows)):
         for b in range(a + 1, len(windows)):
-            (wa, ha), (wb, hb) = windows[a], windows[b]
+            wa, wb = windows[a], windows[b]
             low = np.searchsorted(wb[:, 1], wa[:, 0])
             n = np.searchsorted(wb[:, 1], wa[:, 2], "right") - low
             i = np.repeat(np.arange(len(wa)), n)
@@ -102,8 +105,58 @@ def joined_keys(windows: list[tuple[np.ndarray, np.ndarray]], least: int = LEAST
             left, right = np.maximum(wa[i, 0], wb[j, 0]), np.minimum(wa[i, 2], wb[j, 2])
             both = ((left <= np.minimum(wa[i, 1], wb[j, 1])) & (right >= np.maximum(wa[i, 1], wb[j, 1]))
                     & (right - left + 1 >= least))
-            keys.append(wh.mix(ha[i[both]] * U(3) + wh.mix(hb[j[both]])))
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+            found.append(np.stack((left[both], right[both] + 1), 1))
+    return np.concatenate(found)
+
+
+def merged(ranges: np.ndarray) -> np.ndarray:
+    """The union of ranges (begin, end) as ranges that do not overlap, in order."""
+    if not len(ranges):
+        return ranges
+    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(ranges[:, 1])
+    first = np.flatnonzero(np.concatenate(([True], ranges[1:, 0] >= reach[:-1])))
+    return np.stack((ranges[first, 0], reach[np.concatenate((first[1:], [len(ranges)])) - 1]), 1)
+
+
+def prefix_rungs(least: int, similarity: float) -> list[tuple[int, int]]:
+    """Lengths and, for each, how many of the rarest tokens of a passage up to the next length are prefix tokens.
+
+    The rarest token that two similar passages share has at most ``1 - similarity`` of either's tokens before it. In a part of the
+    passage around that token no more are before it, so that parts of a few lengths do for passages of ``least`` to twice as many.
+    """
+    rungs, low = [], least
+    while low < 2 * least:
+        high = min(2 * least, low + max(1, low // 6))
+        rungs.append((low, int((1 - similarity) * (high - 1) + 1e-9) + 1))
+        low = high
+    return rungs
+
+
+RUNGS = prefix_rungs(LEAST, SIMILARITY)
+
+
+def prefix_places(rank: np.ndarray, repeat: np.ndarray, cuts: np.ndarray, rungs: list[tuple[int, int]] = RUNGS) -> np.ndarray:
+    """Is a token one of the first of some part of its range? ``rank``: 0 for tokens of one text, else greater for more frequent tokens.
+
+    A token that stood a little before (``repeat``) counts as frequent for others, as a passage counts it once.
+    """
+    out = np.zeros(len(rank), bool)
+    order = np.where(repeat, np.iinfo(np.uint64).max, rank)
+    alone = np.concatenate(([0], np.cumsum(order == 0)))
+    owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    for size, first in rungs:
+        if len(rank) < size:
+            break
+        starts = np.flatnonzero((owner[:len(rank) - size + 1] == owner[size - 1:]) & (alone[size:] - alone[:-size] < first))
+        bar = np.zeros(len(rank) - size + 1, np.uint64)
+        views = np.lib.stride_tricks.sliding_window_view(order, size)
+        for at in range(0, len(starts), 16384):
+            some = starts[at:at + 16384]
+            bar[some] = np.partition(views[some], first - 1, axis=1)[:, first - 1]
+        edge = np.zeros(size - 1, np.uint64)
+        out |= rank <= _sliding(np.concatenate((edge, bar, edge)), size, np.maximum)
+    return out & (rank > 0)
 
 
 def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,23 +187,61 @@ def _window_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["id", "sha", "n_words", "keys"])
 
 
-def _cell_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of two functions in texts, of windows whose hashes other texts have, too."""
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of joined windows whose hashes other texts have, too: range after range, and where each begins."""
     for batch in batches:
         for part in wh.slices(batch, "text"):
             shingle, start, _ = _read(part.column("text"))
-            cells = []
+            hashes = [token_hashes(shingle, f) for f in range(FUNCTIONS)]
+            tokens, cuts = [], []
             for i, shared in enumerate(part.column("shared")):
-                known = np.sort(np.array(shared.as_py(), np.int64).view(np.uint64))
+                known = np.sort(shared.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 windows = []
                 for f in range(FUNCTIONS):
-                    h = token_hashes(shingle[start[i]:start[i + 1]], f)
+                    h = hashes[f][start[i]:start[i + 1]]
                     w = compact_windows(h)
-                    w = w[np.isin(h[w[:, 1]], known)]
-                    w = w[np.argsort(w[:, 1])]
-                    windows.append((w, h[w[:, 1]]))
-                cells.append(joined_keys(windows).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("node"), _lists(cells)], ["node", "cells"])
+                    own = h[w[:, 1]]
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    w = w[known[at] == own]
+                    windows.append(w[np.argsort(w[:, 1])])
+                ranges = merged(joined_windows(windows))
+                tokens.append(np.concatenate([np.zeros(0, np.uint64), *(shingle[start[i] + x:start[i] + y] for x, y in ranges)]).view(np.int64))
+                cuts.append(np.cumsum(np.concatenate(([0], ranges[:, 1] - ranges[:, 0]))).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("node"), _lists(tokens), _lists(cuts)], ["node", "tokens", "cuts"])
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the lists and where each list begins."""
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[at[0]:at[-1]], at - at[0]
+
+
+def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, id``: prefix tokens of texts, from ``node, tokens, cuts`` and the counts of the tokens that several texts hold."""
+    far = RUNGS[-1][0] + LEAST
+    for batch in batches:
+        sizes = np.diff(_flat(batch.column("tokens"))[1])
+        bounds = np.flatnonzero(np.diff(np.cumsum(sizes) // 500_000, prepend=-1)) if len(sizes) else []
+        for x, y in zip(bounds, [*bounds[1:], batch.num_rows], strict=True):
+            part = batch.slice(int(x), int(y - x))
+            token, start = _flat(part.column("tokens"))
+            cut, cut_start = _flat(part.column("cuts"))
+            held, n = (column.to_numpy(zero_copy_only=False) for column in part.column("held").flatten().flatten())
+            known, first = np.unique(held, return_index=True)
+            at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+            many = np.minimum(n[first][at], 2 ** 19).astype(np.uint64)
+            rank = np.where(known[at] == token, (many << U(44)) | (token.view(np.uint64) >> U(20)), U(0))
+            node = np.repeat(np.arange(len(start) - 1), np.diff(start))
+            # every list of cuts begins with 0 and ends with the length of its text's tokens
+            cuts = np.unique(np.concatenate((cut + np.repeat(start[:-1], np.diff(cut_start)), start)))
+            order = np.lexsort((token, node))
+            near = (token[order][1:] == token[order][:-1]) & (node[order][1:] == node[order][:-1]) & (np.diff(order) < far)
+            repeat = np.zeros(len(token), bool)
+            repeat[order[1:][near]] = True
+            place = np.flatnonzero(prefix_places(rank, repeat, cuts))
+            ids = part.column("node").to_numpy(zero_copy_only=False)[node[place]]
+            for low in range(0, len(place), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(token[place[low:low + 100_000]]), pa.array(ids[low:low + 100_000])], ["key", "id"])
 
 
 def _stretches(mask: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -204,13 +295,13 @@ def similar_passages(a: np.ndarray, b: np.ndarray, least: int = LEAST, similarit
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in wh.slices(batch, "text_b"):
+        for part in (half for whole in wh.slices(batch, "text_b") for half in wh.slices(whole, "text_a")):
             rows = []
             a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+            sa, starta, _ = _read(part.column("text_a"))
             sb, startb, _ = _read(part.column("text_b"))
             for i in range(part.num_rows):
-                sa = _read(part.column("text_a").slice(i, 1))[0]
-                for x, y, u, v, share in similar_passages(sa, sb[startb[i]:startb[i + 1]]):
+                for x, y, u, v, share in similar_passages(sa[starta[i]:starta[i + 1]], sb[startb[i]:startb[i + 1]]):
                     rows.append((a[i], b[i], x, y + SHINGLE - 1, u, v + SHINGLE - 1, share))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays(
@@ -238,15 +329,19 @@ def passage_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "id", F.col("node")).withColumn("node", F.when(F.col("nth") == 1, F.col("id")).otherwise(-F.abs(F.xxhash64("sha"))))
     bodies = stored(base.dropDuplicates(["id", "sha"]).join(numbered.select("id", "sha", "node", "shared"), ["id", "sha"])
                     .select("id", "sha", "node", "shared", "text"), "bodies")
-    cells = (bodies.select("node", "shared", "text").mapInArrow(_cell_keys, "node bigint, cells array<bigint>")
-             .select(F.explode("cells").alias("key"), F.col("node").alias("id")))
+    ranges = stored(bodies.select("node", "shared", "text").mapInArrow(
+        _ranges, "node bigint, tokens array<bigint>, cuts array<bigint>").filter("size(tokens) > 0"), "ranges")
+    places = ranges.select("node", F.explode(F.array_distinct("tokens")).alias("token"))
+    several = places.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = places.join(several, "token").groupBy("node").agg(F.collect_list(F.struct("token", "n")).alias("held"))
+    members = ranges.join(counts, "node").mapInArrow(_prefix_keys, "key bigint, id bigint")
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         b = bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_passages, LINK)
 
-    links = link_by_leaders(cells, verify)
+    links = link_by_leaders(members, verify)
     return links, base.select("id", "sha").distinct(), texts.drop("keys").join(bodies.select("sha", F.col("node").alias("body")), "sha", "left")
 
 

@@ -101,5 +101,87 @@ def test_late_members_of_a_group_meet(spark):
     assert [(r["a"], r["b"]) for r in links.collect()] == [(20, 31)]
 
 
+def test_ranges_merge_to_their_union():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        ranges = np.sort(rng.integers(0, 60, (rng.integers(0, 8), 2)), axis=1) + [0, 1]
+        got = sd.merged(ranges)
+        covered = {x for b, e in ranges for x in range(b, e)}
+        assert [x for b, e in got for x in range(b, e)] == sorted(covered)
+
+
+def test_prefix_places_hold_the_rarest_common_token_of_all_similar_passages():
+    rng = np.random.default_rng(9)
+    least, similarity = 8, 0.8
+    rungs = sd.prefix_rungs(least, similarity)
+    found = 0
+    for _ in range(60):
+        # common tokens are the even ones, the rarer the smaller; a text repeats some; others hold uncommon tokens of any rank
+        tokens = np.where(rng.random(40) < 0.85, 2 * rng.integers(1, 60, 40), 2 * rng.integers(0, 60, 40) + 1).astype(np.uint64)
+        rank = np.where((tokens % 2 == 1) & (tokens % 3 == 0), 0, tokens).astype(np.uint64)
+        cuts = np.array([0, 25, 40])
+        repeat = np.array([t in tokens[max(0, i - 3 * least):i].tolist() for i, t in enumerate(tokens)])
+        places = sd.prefix_places(rank, repeat, cuts, rungs)
+        keys = {int(t) for t in tokens[places]}
+        assert 0 not in rank[places]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            for b in range(low, high):
+                for e in range(b + least, min(high, b + 2 * least - 1) + 1):
+                    own = set(tokens[b:e].tolist())
+                    common = {t for t in own if t % 2 == 0}
+                    if len(common) >= similarity * len(own):
+                        found += 1
+                        assert min(common) in keys
+    assert found > 1000
+
+
+def sample_passages(rng, n):
+    """Two texts with one passage each, edited in the second; similarity of the passages by definition."""
+    pairs = []
+    while len(pairs) < n:
+        passage = words(rng, rng.randint(60, 160))
+        edited = list(passage)
+        for _ in range(rng.randint(1, 4)):
+            edited[rng.randrange(len(edited))] = f"edit{rng.randrange(10 ** 6)}"
+        one, two = ({tuple(x[i:i + 5]) for i in range(len(x) - 4)} for x in (passage, edited))
+        if len(one & two) / len(one | two) >= 0.8:
+            pairs.append((words(rng, 80) + passage + words(rng, 50), words(rng, 30) + edited + words(rng, 90)))
+    return pairs
+
+
+def test_recall_of_edited_passages(docs):
+    rng = random.Random(11)
+    pairs = sample_passages(rng, 120)
+    rows = [(2 * i + side, " ".join(text)) for i, pair in enumerate(pairs) for side, text in enumerate(pair)]
+    links = sd.passage_links(docs(*rows))[0].select("a", "b").distinct().collect()
+    assert all(r["a"] // 2 == r["b"] // 2 for r in links)
+    assert len(links) >= 0.95 * len(pairs)
+
+
+def test_a_phrase_of_all_texts_pairs_none_and_a_passage_of_all_pairs_each_once(docs, monkeypatch):
+    rng = random.Random(12)
+    phrase, passage, near = words(rng, 30), words(rng, 70), words(rng, 60)
+    rows = []
+    for i in range(1200):
+        body = words(rng, 60) + phrase + words(rng, 40)
+        if i % 2:
+            body += passage
+        if i in (4, 800):
+            body += words(rng, 9) + near
+        rows.append((i, " ".join(body)))
+    compared = []
+
+    def counted(members, verify):
+        def count(pairs):
+            compared.append(pairs.count())
+            return verify(pairs)
+        return link_by_leaders(members, count)
+
+    monkeypatch.setattr(sd, "link_by_leaders", counted)
+    got = sd.repeated_passages(docs(*rows)).collect()
+    assert {r["doc_id"] for r in got} == {i for i in range(1200) if i % 2} | {4, 800}
+    assert sum(compared) < 3 * len(rows)
+
+
 def test_empty_table(docs):
     assert sd.repeated_passages(docs((1, "a")).limit(0)).count() == 0
