@@ -119,8 +119,8 @@ def merged(ranges: np.ndarray) -> np.ndarray:
     return np.stack((ranges[first, 0], reach[np.concatenate((first[1:], [len(ranges)])) - 1]), 1)
 
 
-def prefix_rungs(least: int, similarity: float) -> list[tuple[int, int]]:
-    """Lengths and, for each, how many of the rarest tokens of a passage up to the next length are prefix tokens.
+def prefix_rungs(least: int) -> list[tuple[int, int]]:
+    """Lengths of parts, and the greatest length of the passages that each stands for.
 
     The rarest token that two similar passages share has at most ``1 - similarity`` of either's tokens before it. In a part of the
     passage around that token no more are before it, so that parts of a few lengths do for passages of ``least`` to twice as many.
@@ -128,32 +128,42 @@ def prefix_rungs(least: int, similarity: float) -> list[tuple[int, int]]:
     rungs, low = [], least
     while low < 2 * least:
         high = min(2 * least, low + max(1, low // 6))
-        rungs.append((low, int((1 - similarity) * (high - 1) + 1e-9) + 1))
+        rungs.append((low, high - 1))
         low = high
     return rungs
 
 
-RUNGS = prefix_rungs(LEAST, SIMILARITY)
+RUNGS = prefix_rungs(LEAST)
 
 
-def prefix_places(rank: np.ndarray, repeat: np.ndarray, cuts: np.ndarray, rungs: list[tuple[int, int]] = RUNGS) -> np.ndarray:
+def prefix_places(rank: np.ndarray, before: np.ndarray, cuts: np.ndarray, rungs: list[tuple[int, int]] = RUNGS,
+                  similarity: float = SIMILARITY) -> np.ndarray:
     """Is a token one of the first of some part of its range? ``rank``: 0 for tokens of one text, else greater for more frequent tokens.
 
-    A token that stood a little before (``repeat``) counts as frequent for others, as a passage counts it once.
+    ``before`` is the place where the token stood before, or -1. Passages are sets: a token that stood within reach counts as
+    frequent for others, and a part of few distinct tokens has few first ones.
     """
     out = np.zeros(len(rank), bool)
-    order = np.where(repeat, np.iinfo(np.uint64).max, rank)
+    place = np.arange(len(rank))
+    order = np.where((before >= 0) & (place - before < rungs[-1][1]), np.iinfo(np.uint64).max, rank)
     alone = np.concatenate(([0], np.cumsum(order == 0)))
     owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    for size, first in rungs:
-        if len(rank) < size:
+    for size, reach in rungs:
+        n = len(rank) - size + 1
+        if n < 1:
             break
-        starts = np.flatnonzero((owner[:len(rank) - size + 1] == owner[size - 1:]) & (alone[size:] - alone[:-size] < first))
-        bar = np.zeros(len(rank) - size + 1, np.uint64)
+        # a token is new in the parts that begin behind the place where it stood before
+        distinct = np.cumsum(np.bincount(np.maximum(before + 1, place - size + 1).clip(0), minlength=len(rank) + 1)
+                             - np.bincount(place + 1, minlength=len(rank) + 1))[:n]
+        first = ((1 - similarity) * (distinct + reach - size) + 1e-9).astype(np.int64) + 1
+        starts = np.flatnonzero((owner[:n] == owner[size - 1:]) & (alone[size:] - alone[:-size] < first))
+        bar = np.zeros(n, np.uint64)
         views = np.lib.stride_tricks.sliding_window_view(order, size)
         for at in range(0, len(starts), 16384):
             some = starts[at:at + 16384]
-            bar[some] = np.partition(views[some], first - 1, axis=1)[:, first - 1]
+            most = int(first[some].max())
+            low = np.sort(np.partition(views[some], most - 1, axis=1)[:, :most], axis=1)
+            bar[some] = low[np.arange(len(some)), first[some] - 1]
         edge = np.zeros(size - 1, np.uint64)
         out |= rank <= _sliding(np.concatenate((edge, bar, edge)), size, np.maximum)
     return out & (rank > 0)
@@ -180,9 +190,12 @@ def _window_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = window_minima(h, start)
                 keys.append(h[at]), text.append(np.searchsorted(start, at, "right") - 1)
             key, owner = np.concatenate(keys), np.concatenate(text)
-            order = np.argsort(owner, kind="stable")
-            cut = np.searchsorted(owner[order], np.arange(part.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(key[order].view(np.int64)))
+            order = np.lexsort((key, owner))
+            key, owner = key[order], owner[order]
+            once = np.ones(len(key), bool)  # a hash that stands at several places of a text counts once
+            once[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            cut = np.searchsorted(owner[once], np.arange(part.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(key[once].view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("sha"), pa.array(n_words), lists],
                                              ["id", "sha", "n_words", "keys"])
 
@@ -218,7 +231,6 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``key, id``: prefix tokens of texts, from ``node, tokens, cuts`` and the counts of the tokens that several texts hold."""
-    far = RUNGS[-1][0] + LEAST
     for batch in batches:
         sizes = np.diff(_flat(batch.column("tokens"))[1])
         bounds = np.flatnonzero(np.diff(np.cumsum(sizes) // 500_000, prepend=-1)) if len(sizes) else []
@@ -235,10 +247,10 @@ def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # every list of cuts begins with 0 and ends with the length of its text's tokens
             cuts = np.unique(np.concatenate((cut + np.repeat(start[:-1], np.diff(cut_start)), start)))
             order = np.lexsort((token, node))
-            near = (token[order][1:] == token[order][:-1]) & (node[order][1:] == node[order][:-1]) & (np.diff(order) < far)
-            repeat = np.zeros(len(token), bool)
-            repeat[order[1:][near]] = True
-            place = np.flatnonzero(prefix_places(rank, repeat, cuts))
+            same = (token[order][1:] == token[order][:-1]) & (node[order][1:] == node[order][:-1])
+            before = np.full(len(token), -1)
+            before[order[1:][same]] = order[:-1][same]
+            place = np.flatnonzero(prefix_places(rank, before, cuts))
             ids = part.column("node").to_numpy(zero_copy_only=False)[node[place]]
             for low in range(0, len(place), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(token[place[low:low + 100_000]]), pa.array(ids[low:low + 100_000])], ["key", "id"])
@@ -313,27 +325,25 @@ LINK = "a bigint, b bigint, a_begin bigint, a_end bigint, b_begin bigint, b_end
 
 
 def passage_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links between passages of class representatives; the rows ``id, sha``; the texts ``sha, node, n_ids, n_words``."""
+    """Links between passages of texts (``node``, a number a text); the rows ``id, sha``; the texts ``sha, node, first, last, n_words``."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text")).filter(
         "id is not null")
     keyed = base.mapInArrow(_window_keys, "id bigint, sha binary, n_words bigint, keys array<bigint>")
     texts = stored(keyed.groupBy("sha").agg(
-        F.min("id").alias("node"), F.max("id").alias("last"), F.any_value("n_words").alias("n_words"), F.any_value("keys").alias("keys")), "texts")
-    held = texts.select("sha", "node", F.explode("keys").alias("key"))
-    shared = held.groupBy("key").agg(F.min("sha").alias("low"), F.max("sha").alias("high")).filter("low <> high").select("key")
-    known = (held.join(shared, "key", "left_semi").groupBy("sha", "node").agg(F.collect_set("key").alias("shared"))
-             .filter(F.size("shared") > 1))
-    # a node is one text; an id with several texts gets one number a text
-    numbered = known.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("sha"))).withColumn(
-        "id", F.col("node")).withColumn("node", F.when(F.col("nth") == 1, F.col("id")).otherwise(-F.abs(F.xxhash64("sha"))))
-    bodies = stored(base.dropDuplicates(["id", "sha"]).join(numbered.select("id", "sha", "node", "shared"), ["id", "sha"])
-                    .select("id", "sha", "node", "shared", "text"), "bodies")
-    ranges = stored(bodies.select("node", "shared", "text").mapInArrow(
+        F.min("id").alias("first"), F.max("id").alias("last"), F.any_value("n_words").alias("n_words"), F.any_value("keys").alias("keys"))
+                   .withColumn("node", F.xxhash64("sha")), "texts")
+    held = texts.select("node", F.explode("keys").alias("key"))
+    shared = held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    known = held.join(shared, "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("shared")).filter(F.size("shared") > 1)
+    several = texts.select(F.col("first").alias("id"), "sha", "node").join(known, "node")
+    bodies = stored(base.join(several, ["id", "sha"]).dropDuplicates(["id", "sha"])
+                    .select("node", "shared", "text"), "bodies")
+    ranges = stored(bodies.mapInArrow(
         _ranges, "node bigint, tokens array<bigint>, cuts array<bigint>").filter("size(tokens) > 0"), "ranges")
     places = ranges.select("node", F.explode(F.array_distinct("tokens")).alias("token"))
-    several = places.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    counts = places.join(several, "token").groupBy("node").agg(F.collect_list(F.struct("token", "n")).alias("held"))
+    common = places.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = places.join(common, "token").groupBy("node").agg(F.collect_list(F.struct("token", "n")).alias("held"))
     members = ranges.join(counts, "node").mapInArrow(_prefix_keys, "key bigint, id bigint")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -342,7 +352,7 @@ def passage_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_passages, LINK)
 
     links = link_by_leaders(members, verify)
-    return links, base.select("id", "sha").distinct(), texts.drop("keys").join(bodies.select("sha", F.col("node").alias("body")), "sha", "left")
+    return links, base.select("id", "sha").distinct(), texts.drop("keys")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -351,24 +361,24 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     (the best to another text)."""
     links, rows, texts = passage_links(docs, id_col, text_col)
     links = stored(links, "passage-links")
-    sides = links.select(F.col("a").alias("body"), F.col("a_begin").alias("begin"), F.col("a_end").alias("end"), "similarity").unionByName(
-        links.select(F.col("b").alias("body"), F.col("b_begin").alias("begin"), F.col("b_end").alias("end"), "similarity"))
-    along = Window.partitionBy("body").orderBy("begin", F.desc("end"))
-    spans = (sides.groupBy("body", "begin", "end").agg(F.max("similarity").alias("similarity"))
+    sides = links.select(F.col("a").alias("node"), F.col("a_begin").alias("begin"), F.col("a_end").alias("end"), "similarity").unionByName(
+        links.select(F.col("b").alias("node"), F.col("b_begin").alias("begin"), F.col("b_end").alias("end"), "similarity"))
+    along = Window.partitionBy("node").orderBy("begin", F.desc("end"))
+    spans = (sides.groupBy("node", "begin", "end").agg(F.max("similarity").alias("similarity"))
              .withColumn("reach", F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)))
              .withColumn("new", (F.col("reach").isNull() | (F.least("reach", "end") - F.col("begin") < MERGE_OVERLAP)).cast("int"))
              .withColumn("region", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0))))
-    spans = stored(spans.withColumn("place", F.xxhash64("body", "region")), "passage-spans")
-    a = spans.select(F.col("body").alias("a"), F.col("begin").alias("a_begin"), F.col("end").alias("a_end"), F.col("place").alias("x"))
-    b = spans.select(F.col("body").alias("b"), F.col("begin").alias("b_begin"), F.col("end").alias("b_end"), F.col("place").alias("y"))
+    spans = stored(spans.withColumn("place", F.xxhash64("node", "region")), "passage-spans")
+    a = spans.select(F.col("node").alias("a"), F.col("begin").alias("a_begin"), F.col("end").alias("a_end"), F.col("place").alias("x"))
+    b = spans.select(F.col("node").alias("b"), F.col("begin").alias("b_begin"), F.col("end").alias("b_end"), F.col("place").alias("y"))
     edges = links.join(a, ["a", "a_begin", "a_end"]).join(b, ["b", "b_begin", "b_end"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
     classes = components(edges)
-    regions = (spans.groupBy("body", "place").agg(F.min("begin").alias("start_word"), F.max("end").alias("end_word"),
+    regions = (spans.groupBy("node", "place").agg(F.min("begin").alias("start_word"), F.max("end").alias("end_word"),
                                                    F.max("similarity").alias("similarity"))
-               .join(classes, F.col("place") == F.col("id")).select("body", "start_word", "end_word", "similarity", "class_id"))
-    passages = regions.join(texts.select("body", "sha"), "body").select("sha", F.lit("passage").alias("kind"), "start_word", "end_word",
+               .join(classes, F.col("place") == F.col("id")).select("node", "start_word", "end_word", "similarity", "class_id"))
+    passages = regions.join(texts.select("node", "sha"), "node").select("sha", F.lit("passage").alias("kind"), "start_word", "end_word",
                                                                          "similarity", "class_id")
-    whole = texts.filter((F.col("last") > F.col("node")) & (F.col("n_words") >= MIN_WORDS)).select(
+    whole = texts.filter((F.col("last") > F.col("first")) & (F.col("n_words") >= MIN_WORDS)).select(
         "sha", F.lit("text").alias("kind"), F.lit(0).cast("bigint").alias("start_word"), F.col("n_words").alias("end_word"),
         F.lit(1.0).alias("similarity"), F.xxhash64(F.lit("text"), "sha").alias("class_id"))
     out = stored(rows.join(passages.unionByName(whole), "sha").select(

@@ -113,15 +113,17 @@ def test_ranges_merge_to_their_union():
 def test_prefix_places_hold_the_rarest_common_token_of_all_similar_passages():
     rng = np.random.default_rng(9)
     least, similarity = 8, 0.8
-    rungs = sd.prefix_rungs(least, similarity)
+    rungs = sd.prefix_rungs(least)
     found = 0
     for _ in range(60):
         # common tokens are the even ones, the rarer the smaller; a text repeats some; others hold uncommon tokens of any rank
         tokens = np.where(rng.random(40) < 0.85, 2 * rng.integers(1, 60, 40), 2 * rng.integers(0, 60, 40) + 1).astype(np.uint64)
         rank = np.where((tokens % 2 == 1) & (tokens % 3 == 0), 0, tokens).astype(np.uint64)
         cuts = np.array([0, 25, 40])
-        repeat = np.array([t in tokens[max(0, i - 3 * least):i].tolist() for i, t in enumerate(tokens)])
-        places = sd.prefix_places(rank, repeat, cuts, rungs)
+        if found % 2:
+            tokens[:18], rank[:18] = tokens[0], rank[0]
+        before = np.array([max([j for j in range(i) if tokens[j] == t], default=-1) for i, t in enumerate(tokens)])
+        places = sd.prefix_places(rank, before, cuts, rungs, similarity)
         keys = {int(t) for t in tokens[places]}
         assert 0 not in rank[places]
         for low, high in zip(cuts, cuts[1:], strict=False):
@@ -153,8 +155,10 @@ def test_recall_of_edited_passages(docs):
     rng = random.Random(11)
     pairs = sample_passages(rng, 120)
     rows = [(2 * i + side, " ".join(text)) for i, pair in enumerate(pairs) for side, text in enumerate(pair)]
-    links = sd.passage_links(docs(*rows))[0].select("a", "b").distinct().collect()
-    assert all(r["a"] // 2 == r["b"] // 2 for r in links)
+    found, _, texts = sd.passage_links(docs(*rows))
+    ids = {r["node"]: r["first"] for r in texts.collect()}
+    links = found.select("a", "b").distinct().collect()
+    assert all(ids[r["a"]] // 2 == ids[r["b"]] // 2 for r in links)
     assert len(links) >= 0.95 * len(pairs)
 
 
