@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from lineweave.session import stored
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored_alone(df: DataFrame, name: str) -> DataFrame:
+    """As ``stored``, and the shuffle files of the job go when the table is written, not when the driver collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
+
+
 def _is_star_forest(edges: DataFrame) -> bool:
     """Does every ``u`` point to one ``v`` that points nowhere?"""
     n = edges.agg(F.count("*").alias("edges"), F.count_distinct("u").alias("nodes")).first()
@@ -67,27 +81,27 @@ def link_by_leaders(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
     """
     grouped = members.select("key", "id").distinct()
     sizes = grouped.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = stored(grouped.join(sizes, "key"), "members")
+    sized = stored_alone(grouped.join(sizes, "key"), "members")
     weight = sized.groupBy("id").agg(F.sum("n").alias("w"))
-    open_ = stored(sized.join(weight, "id").select("key", "id", "w"), "open")
+    open_ = stored_alone(sized.join(weight, "id").select("key", "id", "w"), "open")
     links, tested, more = None, None, 0
     while True:
         best = open_.groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("best"), F.count("*").alias("n"))
-        lead = stored(open_.join(best, "key").filter((F.col("id") == F.col("best")) | (F.expr("pmod(xxhash64(key, id), n)") < more))
+        lead = stored_alone(open_.join(best, "key").filter((F.col("id") == F.col("best")) | (F.expr("pmod(xxhash64(key, id), n)") < more))
                       .select("key", F.col("id").alias("l")), "leaders")
-        met = stored(sized.select("key", "id").join(lead, "key").filter("id <> l").select(
+        met = stored_alone(sized.select("key", "id").join(lead, "key").filter("id <> l").select(
             "key", "id", F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")), "met")
         pairs = met.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = stored(verify(pairs), "links")
+        pairs = stored_alone(pairs, "pairs")
+        found = stored_alone(verify(pairs), "links")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         covered = met.join(links.select("a", "b").distinct(), ["a", "b"]).select("key", "id")
         # leaders are done; so are members that one is linked to
         done = lead.select("key", F.col("l").alias("id")).unionByName(covered).distinct()
-        open_ = stored(open_.join(done, ["key", "id"], "left_anti"), "open")
+        open_ = stored_alone(open_.join(done, ["key", "id"], "left_anti"), "open")
         if open_.isEmpty():
             return links
         more = 2 * more + 1

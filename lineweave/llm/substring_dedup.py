@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineweave.llm import wordhash as wh
-from lineweave.llm.linking import components, link_by_leaders
-from lineweave.session import stored
+from lineweave.llm.linking import components, link_by_leaders, stored_alone as stored
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 FUNCTIONS = 4
 MERGE_OVERLAP = 25  # words that two passages of a text must share to be one region
 LEAST = MIN_WORDS - SHINGLE + 1
+COUNT_BITS = 8  # of a token that give way to its count, as the eighth of a logarithm
 U = np.uint64
 
 
@@ -72,23 +72,26 @@ def window_minima(hashes: np.ndarray, start: np.ndarray, least: int = LEAST) ->
     return np.flatnonzero(high == hashes)
 
 
-def compact_windows(hashes: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Rows (l, c, r), inclusive, of one text, by one pass over the minima: the Cartesian tree's wide nodes.
+def compact_windows(hashes: np.ndarray, start: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Rows (l, c, r), inclusive, of all texts, by c: one pass over the minima gives the Cartesian trees' wide nodes.
 
     Of equal hashes the first counts as the least. Whatever bounds a minimum's range is a minimum itself,
     as its own range is wider.
     """
-    places = window_minima(hashes, np.array([0, len(hashes)]), least).tolist()
-    out, stack = [], []
-    for c in places:
-        while stack and hashes[stack[-1][1]] > hashes[c]:
-            l, top = stack.pop()
-            out.append((l, top, c - 1))
-        stack.append((stack[-1][1] + 1 if stack else 0, c))
-    while stack:
-        l, top = stack.pop()
-        out.append((l, top, len(hashes) - 1))
-    found = np.array(out, np.int64).reshape(-1, 3)
+    places = window_minima(hashes, start, least)
+    text = np.searchsorted(start, places, "right") - 1
+    begin, end = start[text].tolist(), (start[text + 1] - 1).tolist()
+    left, right, stack = list(begin), list(end), []
+    values, at = hashes[places].tolist(), places.tolist()
+    for i, value in enumerate(values):
+        if stack and begin[stack[-1]] != begin[i]:
+            stack.clear()
+        while stack and values[stack[-1]] > value:
+            right[stack.pop()] = at[i] - 1
+        if stack:
+            left[i] = at[stack[-1]] + 1
+        stack.append(i)
+    found = np.stack((np.array(left, np.int64), places, np.array(right, np.int64)), 1)
     return found[found[:, 2] - found[:, 0] + 1 >= least]
 
 
@@ -175,9 +178,10 @@ def _read(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return shingle, start, np.diff(first)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    at = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the lists and where each list begins."""
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[at[0]:at[-1]], at - at[0]
 
 
 def _window_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,32 +209,29 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in wh.slices(batch, "text"):
             shingle, start, _ = _read(part.column("text"))
-            hashes = [token_hashes(shingle, f) for f in range(FUNCTIONS)]
-            tokens, cuts = [], []
-            for i, shared in enumerate(part.column("shared")):
-                known = np.sort(shared.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                windows = []
-                for f in range(FUNCTIONS):
-                    h = hashes[f][start[i]:start[i + 1]]
-                    w = compact_windows(h)
-                    own = h[w[:, 1]]
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    w = w[known[at] == own]
-                    windows.append(w[np.argsort(w[:, 1])])
-                ranges = merged(joined_windows(windows))
-                tokens.append(np.concatenate([np.zeros(0, np.uint64), *(shingle[start[i] + x:start[i] + y] for x, y in ranges)]).view(np.int64))
-                cuts.append(np.cumsum(np.concatenate(([0], ranges[:, 1] - ranges[:, 0]))).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("node"), _lists(tokens), _lists(cuts)], ["node", "tokens", "cuts"])
-
-
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the lists and where each list begins."""
-    at = column.offsets.to_numpy().astype(np.int64)
-    return column.values.to_numpy(zero_copy_only=False)[at[0]:at[-1]], at - at[0]
+            known = np.unique(_flat(part.column("shared"))[0]).view(np.uint64)
+            windows = []
+            for f in range(FUNCTIONS):
+                h = token_hashes(shingle, f)
+                w = compact_windows(h, start)
+                windows.append(w[np.isin(h[w[:, 1]], known)])
+            ranges = merged(joined_windows(windows))
+            n = ranges[:, 1] - ranges[:, 0]
+            ends = np.cumsum(n)
+            place = np.arange(n.sum()) + np.repeat(ranges[:, 0] - ends + n, n)
+            first = np.searchsorted(ranges[:, 0], start)  # of each text
+            at = np.concatenate(([0], ends))[first]
+            # each text's cuts: 0 and the ends of its ranges
+            text = np.repeat(np.arange(part.num_rows), np.diff(first))
+            cuts = np.insert(ends - at[text], first[:-1], 0)
+            tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(shingle[place].view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array((first + np.arange(len(first))).astype(np.int32)), pa.array(cuts))
+            yield pa.RecordBatch.from_arrays([part.column("node"), tokens, lists], ["node", "tokens", "cuts"])
 
 
 def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``key, id``: prefix tokens of texts, from ``node, tokens, cuts`` and the counts of the tokens that several texts hold."""
+    """``key, id``: prefix tokens of texts, from ``node, tokens, cuts`` and, as ``held``, the tokens that several texts hold:
+    above their lowest ``COUNT_BITS`` bits the token's, in these the logarithm of the number of texts."""
     for batch in batches:
         sizes = np.diff(_flat(batch.column("tokens"))[1])
         bounds = np.flatnonzero(np.diff(np.cumsum(sizes) // 500_000, prepend=-1)) if len(sizes) else []
@@ -238,11 +239,11 @@ def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(int(x), int(y - x))
             token, start = _flat(part.column("tokens"))
             cut, cut_start = _flat(part.column("cuts"))
-            held, n = (column.to_numpy(zero_copy_only=False) for column in part.column("held").flatten().flatten())
-            known, first = np.unique(held, return_index=True)
-            at = np.minimum(np.searchsorted(known, token), len(known) - 1)
-            many = np.minimum(n[first][at], 2 ** 19).astype(np.uint64)
-            rank = np.where(known[at] == token, (many << U(44)) | (token.view(np.uint64) >> U(20)), U(0))
+            held = np.unique(_flat(part.column("held"))[0].view(np.uint64))
+            known, count = held >> U(COUNT_BITS), held & U(2 ** COUNT_BITS - 1)
+            short = token.view(np.uint64) >> U(COUNT_BITS)
+            at = np.minimum(np.searchsorted(known, short), len(known) - 1)
+            rank = np.where(known[at] == short, (count[at] << U(64 - COUNT_BITS)) | short, U(0))
             node = np.repeat(np.arange(len(start) - 1), np.diff(start))
             # every list of cuts begins with 0 and ends with the length of its text's tokens
             cuts = np.unique(np.concatenate((cut + np.repeat(start[:-1], np.diff(cut_start)), start)))
@@ -342,8 +343,11 @@ def passage_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranges = stored(bodies.mapInArrow(
         _ranges, "node bigint, tokens array<bigint>, cuts array<bigint>").filter("size(tokens) > 0"), "ranges")
     places = ranges.select("node", F.explode(F.array_distinct("tokens")).alias("token"))
-    common = places.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    counts = places.join(common, "token").groupBy("node").agg(F.collect_list(F.struct("token", "n")).alias("held"))
+    common = places.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select(
+        "token", F.least(F.lit(2 ** COUNT_BITS - 1), F.floor(8 * F.log2("n"))).cast("bigint").alias("level"))
+    mark = F.col("token").bitwiseAND(F.lit(-2 ** COUNT_BITS)).bitwiseOR(F.col("level"))
+    counts = stored(places.join(common, "token").select("node", mark.alias("mark")).groupBy("node").agg(F.collect_list("mark").alias("held")),
+                    "counts")
     members = ranges.join(counts, "node").mapInArrow(_prefix_keys, "key bigint, id bigint")
 
     def verify(pairs: DataFrame) -> DataFrame:

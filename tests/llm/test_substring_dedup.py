@@ -20,7 +20,11 @@ def test_compact_windows_are_those_of_the_definition():
                 high += 1
             if high - low + 1 >= least:
                 want.add((low, c, high))
-        assert {tuple(map(int, w)) for w in sd.compact_windows(h, least)} == want
+        assert {tuple(map(int, w)) for w in sd.compact_windows(h, np.array([0, n]), least)} == want
+        two = np.concatenate((h, h[:n // 2]))
+        both = sd.compact_windows(two, np.array([0, n, n, len(two)]), least).tolist()
+        second = sd.compact_windows(h[:n // 2], np.array([0, n // 2]), least) + n
+        assert sorted(map(tuple, both)) == sorted([*want, *map(tuple, second.tolist())])
 
 
 def words(rng, n):
