@@ -73,16 +73,16 @@ def window_minima(hashes: np.ndarray, start: np.ndarray, least: int = LEAST) ->
 
 
 def compact_windows(hashes: np.ndarray, start: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Rows (l, c, r), inclusive, of all texts, by c: one pass over the minima gives the Cartesian trees' wide nodes.
+    """Rows (l, c, r), inclusive, of all texts, by c, and the row of the first window of equal hash that this one lies in, or its own.
 
-    Of equal hashes the first counts as the least. Whatever bounds a minimum's range is a minimum itself,
-    as its own range is wider.
+    One pass over the minima gives the Cartesian trees' wide nodes. Of equal hashes the first counts as the least.
+    Whatever bounds a minimum's range is a minimum itself, as its own range is wider.
     """
     places = window_minima(hashes, start, least)
     text = np.searchsorted(start, places, "right") - 1
     begin, end = start[text].tolist(), (start[text + 1] - 1).tolist()
     left, right, stack = list(begin), list(end), []
-    values, at = hashes[places].tolist(), places.tolist()
+    values, at, head = hashes[places].tolist(), places.tolist(), list(range(len(places)))
     for i, value in enumerate(values):
         if stack and begin[stack[-1]] != begin[i]:
             stack.clear()
@@ -90,25 +90,39 @@ def compact_windows(hashes: np.ndarray, start: np.ndarray, least: int = LEAST) -
             right[stack.pop()] = at[i] - 1
         if stack:
             left[i] = at[stack[-1]] + 1
+            if values[stack[-1]] == value:
+                head[i] = head[stack[-1]]
         stack.append(i)
-    found = np.stack((np.array(left, np.int64), places, np.array(right, np.int64)), 1)
+    found = np.stack((np.array(left, np.int64), places, np.array(right, np.int64), np.array(head, np.int64)), 1)
     return found[found[:, 2] - found[:, 0] + 1 >= least]
 
 
+def chains(windows: np.ndarray) -> np.ndarray:
+    """Rows (l, first c, last c, r): windows of equal hash that lie in each other, as in texts that repeat themselves, are one."""
+    head, first = np.unique(windows[:, 3], return_index=True)  # a first window is the widest, so it is there
+    last = np.zeros(len(head), np.int64)
+    np.maximum.at(last, np.searchsorted(head, windows[:, 3]), windows[:, 1])
+    return np.stack((windows[first, 0], windows[first, 1], last, windows[first, 2]), 1)
+
+
 def joined_windows(windows: list[np.ndarray], least: int = LEAST) -> np.ndarray:
-    """Ranges (begin, end) where windows of two functions have a common passage; ``windows``: (l, c, r) by c, a function."""
+    """Ranges (begin, end) where windows of two functions have a common passage; ``windows``: chains by first c, a function.
+
+    A passage with places of two chains lies in both. The first place of one chain is then in the range of the other.
+    """
     found = [np.zeros((0, 2), np.int64)]
     for a in range(len(windows)):
         for b in range(a + 1, len(windows)):
-            wa, wb = windows[a], windows[b]
-            low = np.searchsorted(wb[:, 1], wa[:, 0])
-            n = np.searchsorted(wb[:, 1], wa[:, 2], "right") - low
-            i = np.repeat(np.arange(len(wa)), n)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            left, right = np.maximum(wa[i, 0], wb[j, 0]), np.minimum(wa[i, 2], wb[j, 2])
-            both = ((left <= np.minimum(wa[i, 1], wb[j, 1])) & (right >= np.maximum(wa[i, 1], wb[j, 1]))
-                    & (right - left + 1 >= least))
-            found.append(np.stack((left[both], right[both] + 1), 1))
+            # the second way round finds more only for chains of several places
+            for wa, wb in ((windows[a], windows[b]), (windows[b][windows[b][:, 2] > windows[b][:, 1]], windows[a])):
+                low = np.searchsorted(wb[:, 1], wa[:, 0])
+                n = np.searchsorted(wb[:, 1], wa[:, 3], "right") - low
+                i = np.repeat(np.arange(len(wa)), n)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                left, right = np.maximum(wa[i, 0], wb[j, 0]), np.minimum(wa[i, 3], wb[j, 3])
+                both = ((left <= np.minimum(wa[i, 2], wb[j, 2])) & (right >= np.maximum(wa[i, 1], wb[j, 1]))
+                        & (right - left + 1 >= least))
+                found.append(np.stack((left[both], right[both] + 1), 1))
     return np.concatenate(found)
 
 
@@ -214,7 +228,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for f in range(FUNCTIONS):
                 h = token_hashes(shingle, f)
                 w = compact_windows(h, start)
-                windows.append(w[np.isin(h[w[:, 1]], known)])
+                windows.append(chains(w[np.isin(h[w[:, 1]], known)]))
             ranges = merged(joined_windows(windows))
             n = ranges[:, 1] - ranges[:, 0]
             ends = np.cumsum(n)

@@ -20,10 +20,10 @@ def test_compact_windows_are_those_of_the_definition():
                 high += 1
             if high - low + 1 >= least:
                 want.add((low, c, high))
-        assert {tuple(map(int, w)) for w in sd.compact_windows(h, np.array([0, n]), least)} == want
+        assert {tuple(map(int, w)) for w in sd.compact_windows(h, np.array([0, n]), least)[:, :3]} == want
         two = np.concatenate((h, h[:n // 2]))
-        both = sd.compact_windows(two, np.array([0, n, n, len(two)]), least).tolist()
-        second = sd.compact_windows(h[:n // 2], np.array([0, n // 2]), least) + n
+        both = sd.compact_windows(two, np.array([0, n, n, len(two)]), least)[:, :3].tolist()
+        second = sd.compact_windows(h[:n // 2], np.array([0, n // 2]), least)[:, :3] + n
         assert sorted(map(tuple, both)) == sorted([*want, *map(tuple, second.tolist())])
 
 
@@ -114,6 +114,23 @@ def test_ranges_merge_to_their_union():
         assert [x for b, e in got for x in range(b, e)] == sorted(covered)
 
 
+def test_joined_windows_hold_all_passages_of_two_shared_minima():
+    rng = np.random.default_rng(10)
+    for least, n, kinds in ((3, 30, 5), (6, 60, 40), (4, 40, 2)):
+        for _ in range(20):
+            hs = [rng.integers(1, kinds + 1, n).astype(np.uint64) for _ in range(3)]
+            known = np.unique(rng.integers(1, kinds + 1, max(1, kinds // 2))).astype(np.uint64)
+            windows = []
+            for h in hs:
+                w = sd.compact_windows(h, np.array([0, n]), least)
+                windows.append(sd.chains(w[np.isin(h[w[:, 1]], known)]))
+            got = sd.merged(sd.joined_windows(windows, least))
+            for b in range(n):
+                for e in range(b + least, n + 1):
+                    if sum(h[b:e].min() in known for h in hs) > 1:
+                        assert any(x <= b and e <= y for x, y in got)
+
+
 def test_prefix_places_hold_the_rarest_common_token_of_all_similar_passages():
     rng = np.random.default_rng(9)
     least, similarity = 8, 0.8
