@@ -529,7 +529,7 @@ def sanitize(spark, sf_dir):
         F.concat(F.lit("rule-"), F.repeat(F.lit("x"), (F.col("event_id") % 300).cast("int"))).alias("rule"),
         severity.alias("severity"), F.lit(None).cast("string").alias("category"), F.lit(1).alias("line"),
         F.concat(F.lit("a"), F.repeat(F.lit("é"), (F.col("event_id") % 2500).cast("int"))).alias("message"))
-    clean = algebra.sanitize_external(raw, "event_id")
+    clean = algebra.sanitize_external(raw, "event_id", spread=True)
     return clean.select("path", F.col("nth").cast("long").alias("nth"), "rule", "severity",
                         F.sha2("message", 256).alias("message_hash"), "source", "kept")
 
