@@ -28,7 +28,7 @@ from lineweave.plans.review import ReviewOptions, add_findings, language_hits, r
 from lineweave.session import scratch_dir, stored
 from lineweave.sources import ignore_table, selection
 from lineweave.sources.versions import CorpusVersions
-from lineweave.streaming.ingest import current_entries, rescan, start_reviews
+from lineweave.streaming.ingest import FILES_SCHEMA, current_entries, rescan, start_reviews
 from lineweave.streaming.store import ReviewStore
 
 from . import duck_sql as D
@@ -1095,17 +1095,22 @@ _arrived = f"(SELECT doc_id, CASE WHEN d.doc_id % {ARRIVALS} < 10 THEN r.text EL
         {D.worded(D.file_rule_rows(_arrived, "doc_id", "text"), V.FILE_RULES)})
       WHERE rule IN {in_list(BY_NAME["quick"].rules)} GROUP BY path) f USING (doc_id)""")
 def stream_compaction(spark, sf_dir):
-    """Documents arrive in twenty files, the first ten edited once more with the last ten; one batch a file, compacted on the way."""
+    """Documents arrive in twenty parts, the first ten edited once more with the last ten; one batch a part, compacted on the way.
+
+    A part is as many files as its tasks write. The table is dealt out into parts in one pass.
+    """
     target = scratch_dir(spark, "stream-compaction")
     files = document_files(spark, sf_dir).select("path", "size", "modified", "content")
     slot = F.substring_index("path", "/", -1).cast("long") % ARRIVALS
+    files.withColumn("slot", slot).write.partitionBy("slot").parquet(f"{target}/dealt")
+    dealt = spark.read.schema(f"{FILES_SCHEMA}, slot bigint").parquet(f"{target}/dealt")
     for n in range(ARRIVALS):
-        arrival = files.filter(slot == n)
+        arrival = dealt.filter(F.col("slot") == n).drop("slot")
         if n >= 10:
-            arrival = arrival.unionByName(edited(files).filter(slot == n - 10))
-        arrival.coalesce(1).write.mode("append").parquet(f"{target}/in")
-    start_reviews(spark, f"{target}/in", target, f"{target}/checkpoint", policy_named("quick"),
-                  ReviewOptions(rule_set="scan"), max_files_per_batch=1).awaitTermination()
+            arrival = arrival.unionByName(edited(dealt.filter(F.col("slot") == n - 10).drop("slot")))
+        arrival.write.mode("append").parquet(f"{target}/in")
+        start_reviews(spark, f"{target}/in", target, f"{target}/checkpoint", policy_named("quick"),
+                      ReviewOptions(rule_set="scan")).awaitTermination()
     return current_entries(spark, target).select(
         "path", "content_hash", F.array_join(F.array_sort(F.transform("findings", lambda f: f["rule"])), ",").alias("rules"))
 

@@ -11,6 +11,7 @@ from lineweave.streaming.ingest import (
     FILES_SCHEMA, current_entries, current_findings, rescan, review_batch, start_reviews, with_texts,
 )
 from lineweave.streaming.store import FANOUT, ReviewStore
+from querybook import queries
 
 OPTIONS = ReviewOptions(rule_set="scan")
 DAY = datetime.datetime(2024, 1, 1)
@@ -123,6 +124,27 @@ def test_reads_do_not_grow_with_batches(spark, tmp_path):
     assert sorted(map(str, ReviewStore(spark, store.path).current().collect())) == sorted(map(str, store.current().collect()))
 
 
+def test_arrivals_are_written_by_many_tasks_and_reviewed_in_one_batch_each(spark, tmp_path, monkeypatch):
+    (spark.range(400).selectExpr("id AS doc_id", "concat('secret ', id) AS text", "'s' AS source")
+     .repartition(6).write.parquet(str(tmp_path / "documents.parquet")))
+    arrived, batches = [], []
+
+    def counted(session, source, target, *args, **options):
+        files = session.read.parquet(source).groupBy(F.input_file_name()).count().collect()
+        arrived.append([r["count"] for r in files])
+        query = start_reviews(session, source, target, *args, **options)
+        query.awaitTermination()
+        batches.append(len(ReviewStore(session, f"{target}/store").segments))
+        return query
+
+    monkeypatch.setattr(queries, "ARRIVALS", 2)
+    monkeypatch.setattr(queries, "start_reviews", counted)
+    got = queries.stream_compaction(spark, str(tmp_path)).collect()
+    assert {r["path"] for r in got} == {f"doc/{i:012d}" for i in range(400)} and {r["rules"] for r in got} == {"possible-secret"}
+    assert [sum(rows) for rows in arrived] == [200, 400] and batches == [1, 2]
+    assert all(len(rows) > 4 and max(rows) < 100 for rows in arrived)
+
+
 def later(texts, modified, changed, when=DAY + datetime.timedelta(days=1)):
     """A later scan: times of the changed paths move on."""
     return [(p, len(t), when if p in changed else modified, t) for p, t in texts.items()]
