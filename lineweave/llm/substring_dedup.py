@@ -10,7 +10,9 @@ min-hash. Such a compact window (l, c, r) stands for all of them; only windows t
    (an interval join): passages with two signatures that other texts have, too. So a passage is looked at where at least two of
    ``FUNCTIONS`` min-hashes are shared: all exact repeats, and 97 of 100 at a similarity of 0.8, more above.
    Joined windows that overlap are one range.
-3. The texts that hold a token in such ranges are counted. With tokens ordered from rare to frequent, the rarest token that two
+   Of the tokens in ranges three of eight, the same in all texts, are counted first. Parts where more of these are in no other text than a
+   similar passage may lack go no further; what is not counted yet is taken as shared, so that no part is lost that has a prefix token.
+3. The texts that hold a token in such parts are counted. With tokens ordered from rare to frequent, the rarest token that two
    similar passages share is among the first fifth (and one more) of both. These prefix tokens (``RUNGS``) are the keys of
    groups, so that a frequent phrase that texts share without a passage around it is no key.
 4. In a group, leaders are compared with the others (``linking.link_by_leaders``): no pairs among the
@@ -41,6 +43,7 @@ SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 FUNCTIONS = 4
 MERGE_OVERLAP = 25  # words that two passages of a text must share to be one region
 LEAST = MIN_WORDS - SHINGLE + 1
+SAMPLED = 3 * 2 ** 61  # tokens whose mixed hash is below are counted first: three of eight
 COUNT_BITS = 8  # of a token that give way to its count, as the eighth of a logarithm
 U = np.uint64
 
@@ -153,6 +156,29 @@ def prefix_rungs(least: int) -> list[tuple[int, int]]:
 RUNGS = prefix_rungs(LEAST)
 
 
+def stood_before(token: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The place where each token stood before in its text, or -1."""
+    order = np.lexsort((token, node))
+    same = (token[order][1:] == token[order][:-1]) & (node[order][1:] == node[order][:-1])
+    before = np.full(len(token), -1)
+    before[order[1:][same]] = order[:-1][same]
+    return before
+
+
+def again(before: np.ndarray, rungs: list[tuple[int, int]]) -> np.ndarray:
+    """Tokens that stood within reach before."""
+    return (before >= 0) & (np.arange(len(before)) - before < rungs[-1][1])
+
+
+def allowed(before: np.ndarray, place: np.ndarray, size: int, reach: int, similarity: float) -> np.ndarray:
+    """For each part of ``size`` tokens: one more than the tokens of a passage of ``reach`` around it that a similar one may lack."""
+    # a token is new in the parts that begin behind the place where it stood before
+    n = len(place)
+    distinct = np.cumsum(np.bincount(np.maximum(before + 1, place - size + 1).clip(0), minlength=n + 1)
+                         - np.bincount(place + 1, minlength=n + 1))[:n - size + 1]
+    return ((1 - similarity) * (distinct + reach - size) + 1e-9).astype(np.int64) + 1
+
+
 def prefix_places(rank: np.ndarray, before: np.ndarray, cuts: np.ndarray, rungs: list[tuple[int, int]] = RUNGS,
                   similarity: float = SIMILARITY) -> np.ndarray:
     """Is a token one of the first of some part of its range? ``rank``: 0 for tokens of one text, else greater for more frequent tokens.
@@ -162,27 +188,27 @@ def prefix_places(rank: np.ndarray, before: np.ndarray, cuts: np.ndarray, rungs:
     """
     out = np.zeros(len(rank), bool)
     place = np.arange(len(rank))
-    order = np.where((before >= 0) & (place - before < rungs[-1][1]), np.iinfo(np.uint64).max, rank)
-    alone = np.concatenate(([0], np.cumsum(order == 0)))
+    late = again(before, rungs)
+    alone = np.concatenate(([0], np.cumsum((rank == 0) & ~late)))
+    values, nth = np.unique(rank, return_inverse=True)
+    nth = nth.astype(np.int32)  # numbers of half the size are parted several times as fast
+    order = np.where(late, np.int32(len(values)), nth)
     owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
     for size, reach in rungs:
         n = len(rank) - size + 1
         if n < 1:
             break
-        # a token is new in the parts that begin behind the place where it stood before
-        distinct = np.cumsum(np.bincount(np.maximum(before + 1, place - size + 1).clip(0), minlength=len(rank) + 1)
-                             - np.bincount(place + 1, minlength=len(rank) + 1))[:n]
-        first = ((1 - similarity) * (distinct + reach - size) + 1e-9).astype(np.int64) + 1
+        first = allowed(before, place, size, reach, similarity)
         starts = np.flatnonzero((owner[:n] == owner[size - 1:]) & (alone[size:] - alone[:-size] < first))
-        bar = np.zeros(n, np.uint64)
+        bar = np.full(n, -1, np.int32)
         views = np.lib.stride_tricks.sliding_window_view(order, size)
-        for at in range(0, len(starts), 16384):
-            some = starts[at:at + 16384]
-            most = int(first[some].max())
-            low = np.sort(np.partition(views[some], most - 1, axis=1)[:, :most], axis=1)
-            bar[some] = low[np.arange(len(some)), first[some] - 1]
-        edge = np.zeros(size - 1, np.uint64)
-        out |= rank <= _sliding(np.concatenate((edge, bar, edge)), size, np.maximum)
+        for many in np.unique(first[starts]).tolist():
+            alike = starts[first[starts] == many]
+            for at in range(0, len(alike), 4096):
+                some = alike[at:at + 4096]
+                bar[some] = np.partition(views[some], many - 1, axis=1)[:, many - 1]
+        edge = np.full(size - 1, -1, np.int32)
+        out |= nth <= _sliding(np.concatenate((edge, bar, edge)), size, np.maximum)
     return out & (rank > 0)
 
 
@@ -218,8 +244,47 @@ def _window_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["id", "sha", "n_words", "keys"])
 
 
+def sampled(token: np.ndarray) -> np.ndarray:
+    """Is a token one of those that are counted first? The same in all texts."""
+    return wh.mix(token) < U(SAMPLED)
+
+
+def dense_parts(before: np.ndarray, alone: np.ndarray, cuts: np.ndarray, rungs: list[tuple[int, int]],
+                similarity: float = SIMILARITY) -> np.ndarray:
+    """Places in parts that a passage similar to one of another text may hold: of the part's tokens no more are ``alone`` than it may lack.
+
+    ``alone`` may mark some of the tokens of one text only; marks that are missing keep more places. Parts and ``before`` as in
+    ``prefix_places``, where such a part has no first tokens if it is not kept here.
+    """
+    n_all = len(alone)
+    out = np.zeros(n_all, bool)
+    place = np.arange(n_all)
+    marks = np.concatenate(([0], np.cumsum(alone & ~again(before, rungs))))
+    owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    for size, reach in rungs:
+        n = n_all - size + 1
+        if n < 1:
+            break
+        some = allowed(before, place, size, reach, similarity)
+        good = (owner[:n] == owner[size - 1:]) & (marks[size:] - marks[:-size] < some)
+        edge = np.bincount(np.flatnonzero(good), minlength=n_all + 1) - np.bincount(np.flatnonzero(good) + size, minlength=n_all + 1)
+        out |= np.cumsum(edge)[:n_all] > 0
+    return out
+
+
+def _placed(ranges: np.ndarray) -> np.ndarray:
+    """The places in ranges (begin, end), range after range."""
+    n = ranges[:, 1] - ranges[:, 0]
+    return np.arange(n.sum()) + np.repeat(ranges[:, 0] - np.cumsum(n) + n, n)
+
+
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of joined windows whose hashes other texts have, too: range after range, and where each begins."""
+    """Joined windows whose hashes other texts have, too: ``bounds``, where each begins and ends; ``sample``: those tokens in them
+    that are counted first, each once a text."""
     for batch in batches:
         for part in wh.slices(batch, "text"):
             shingle, start, _ = _read(part.column("text"))
@@ -230,17 +295,47 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 w = compact_windows(h, start)
                 windows.append(chains(w[np.isin(h[w[:, 1]], known)]))
             ranges = merged(joined_windows(windows))
-            n = ranges[:, 1] - ranges[:, 0]
-            ends = np.cumsum(n)
-            place = np.arange(n.sum()) + np.repeat(ranges[:, 0] - ends + n, n)
-            first = np.searchsorted(ranges[:, 0], start)  # of each text
+            text = np.searchsorted(start, ranges[:, 0], "right") - 1
+            place = _placed(ranges)
+            place = place[sampled(shingle[place])]
+            owner, token = np.searchsorted(start, place, "right") - 1, shingle[place]
+            order = np.lexsort((token, owner))
+            owner, token = owner[order], token[order]
+            once = np.ones(len(token), bool)
+            once[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+            count = np.arange(part.num_rows + 1)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("node"), _lists((ranges - start[text][:, None]).ravel(), 2 * np.searchsorted(text, count)),
+                 _lists(token[once].view(np.int64), np.searchsorted(owner[once], count))], ["node", "bounds", "sample"])
+
+
+def _dense_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of the dense parts of ranges, and where each part ends: from ``node, text, bounds`` and, as ``held``, the sampled tokens
+    that other texts hold."""
+    for batch in batches:
+        for part in wh.slices(batch, "text"):
+            shingle, start, _ = _read(part.column("text"))
+            bound, bound_start = _flat(part.column("bounds"))
+            text = np.repeat(np.arange(part.num_rows), np.diff(bound_start))
+            ranges = (bound + start[text]).reshape(-1, 2)
+            place = _placed(ranges)
+            token = shingle[place]
+            node = np.searchsorted(start, place, "right") - 1
+            cuts = np.concatenate(([0], np.cumsum(ranges[:, 1] - ranges[:, 0])))
+            known = np.unique(_flat(part.column("held"))[0].view(np.uint64))
+            alone = sampled(token)
+            alone[alone] = ~np.isin(token[alone], known)
+            dense = dense_parts(stood_before(token, node), alone, cuts, RUNGS)
+            # runs of dense places, broken where a range ends
+            begin, end, _ = wh.runs(dense, cuts)
+            owner = node[begin]
+            first = np.searchsorted(owner, np.arange(part.num_rows + 1))
+            ends = np.cumsum(end - begin)
             at = np.concatenate(([0], ends))[first]
-            # each text's cuts: 0 and the ends of its ranges
-            text = np.repeat(np.arange(part.num_rows), np.diff(first))
-            cuts = np.insert(ends - at[text], first[:-1], 0)
-            tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(shingle[place].view(np.int64)))
-            lists = pa.ListArray.from_arrays(pa.array((first + np.arange(len(first))).astype(np.int32)), pa.array(cuts))
-            yield pa.RecordBatch.from_arrays([part.column("node"), tokens, lists], ["node", "tokens", "cuts"])
+            lists = np.insert(ends - at[owner], first[:-1], 0)  # each text's cuts: 0 and the ends of its parts
+            yield pa.RecordBatch.from_arrays(
+                [part.column("node"), _lists(token[dense].view(np.int64), at), _lists(lists, first + np.arange(len(first)))],
+                ["node", "tokens", "cuts"])
 
 
 def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,11 +356,7 @@ def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = np.repeat(np.arange(len(start) - 1), np.diff(start))
             # every list of cuts begins with 0 and ends with the length of its text's tokens
             cuts = np.unique(np.concatenate((cut + np.repeat(start[:-1], np.diff(cut_start)), start)))
-            order = np.lexsort((token, node))
-            same = (token[order][1:] == token[order][:-1]) & (node[order][1:] == node[order][:-1])
-            before = np.full(len(token), -1)
-            before[order[1:][same]] = order[:-1][same]
-            place = np.flatnonzero(prefix_places(rank, before, cuts))
+            place = np.flatnonzero(prefix_places(rank, stood_before(token, node), cuts))
             ids = part.column("node").to_numpy(zero_copy_only=False)[node[place]]
             for low in range(0, len(place), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(token[place[low:low + 100_000]]), pa.array(ids[low:low + 100_000])], ["key", "id"])
@@ -336,6 +427,17 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["a", "b", "a_begin", "a_end", "b_begin", "b_end", "similarity"])
 
 
+def held_by_several(rows: DataFrame, value: str) -> DataFrame:
+    """The rows ``node, value`` whose value another node has, too. The rows are dealt once, for the count and for the join."""
+    dealt = rows.repartition(value)
+    several = dealt.groupBy(value).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select(value)
+    return dealt.join(several.hint("shuffle_hash"), value, "left_semi")
+
+
+def lists_of(rows: DataFrame, value: str, name: str) -> DataFrame:
+    return rows.groupBy("node").agg(F.collect_list(value).alias(name))
+
+
 LINK = "a bigint, b bigint, a_begin bigint, a_end bigint, b_begin bigint, b_end bigint, similarity double"
 
 
@@ -348,14 +450,18 @@ def passage_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = stored(keyed.groupBy("sha").agg(
         F.min("id").alias("first"), F.max("id").alias("last"), F.any_value("n_words").alias("n_words"), F.any_value("keys").alias("keys"))
                    .withColumn("node", F.xxhash64("sha")), "texts")
-    held = texts.select("node", F.explode("keys").alias("key"))
-    shared = held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    known = held.join(shared, "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("shared")).filter(F.size("shared") > 1)
+    known = stored(lists_of(held_by_several(texts.select("node", F.explode("keys").alias("key")), "key"), "key", "shared")
+                   .filter(F.size("shared") > 1), "shared-keys")
     several = texts.select(F.col("first").alias("id"), "sha", "node").join(known, "node")
     bodies = stored(base.join(several, ["id", "sha"]).dropDuplicates(["id", "sha"])
                     .select("node", "shared", "text"), "bodies")
-    ranges = stored(bodies.mapInArrow(
-        _ranges, "node bigint, tokens array<bigint>, cuts array<bigint>").filter("size(tokens) > 0"), "ranges")
+    windows = stored(bodies.mapInArrow(
+        _ranges, "node bigint, bounds array<bigint>, sample array<bigint>").filter("size(bounds) > 0"), "windows")
+    sample = stored(lists_of(held_by_several(windows.select("node", F.explode("sample").alias("token")), "token"), "token", "held"),
+                    "sampled-tokens")
+    marked = windows.select("node", "bounds").join(sample, "node", "left").withColumn("held", F.coalesce("held", F.array().cast("array<bigint>")))
+    ranges = stored(bodies.select("node", "text").join(marked, "node").mapInArrow(
+        _dense_tokens, "node bigint, tokens array<bigint>, cuts array<bigint>").filter("size(tokens) > 0"), "ranges")
     places = ranges.select("node", F.explode(F.array_distinct("tokens")).alias("token"))
     common = places.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select(
         "token", F.least(F.lit(2 ** COUNT_BITS - 1), F.floor(8 * F.log2("n"))).cast("bigint").alias("level"))

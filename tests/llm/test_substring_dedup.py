@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lineweave.llm import substring_dedup as sd
+from lineweave.llm import linking, substring_dedup as sd
 from lineweave.llm.linking import link_by_leaders
 
 
@@ -208,5 +208,84 @@ def test_a_phrase_of_all_texts_pairs_none_and_a_passage_of_all_pairs_each_once(d
     assert sum(compared) < 3 * len(rows)
 
 
+def test_dense_parts_keep_all_prefix_places_whatever_is_marked():
+    rng = np.random.default_rng(13)
+    rungs = sd.prefix_rungs(8)
+    for kinds in (3, 20, 400):
+        for _ in range(30):
+            n = int(rng.integers(0, 200))
+            token = rng.integers(1, kinds + 1, n).astype(np.uint64)
+            before = sd.stood_before(token, np.zeros(n, int))
+            rank = np.where(token % 5 == 0, 0, token).astype(np.uint64)
+            cuts = np.unique([0, n // 3, n])
+            dense = sd.dense_parts(before, rank == 0, cuts, rungs)
+            some = sd.dense_parts(before, (rank == 0) & (rng.random(n) < 0.4), cuts, rungs)
+            assert not (sd.prefix_places(rank, before, cuts, rungs) & ~dense).any() and not (dense & ~some).any()
+    fresh = np.full(100, -1)
+    assert not sd.dense_parts(fresh, np.ones(100, bool), np.array([0, 100]), rungs).any()
+    assert sd.dense_parts(np.arange(100) - 1, np.ones(100, bool), np.array([0, 100]), rungs)[1:].all()  # one token, again and again
+
+
+def test_tokens_around_a_common_phrase_go_no_further(docs, monkeypatch):
+    rng = random.Random(14)
+    phrase, passage = words(rng, 14), words(rng, 60)
+    rows = [(i, " ".join(words(rng, 80) + phrase + words(rng, 80) + (passage if i in (3, 90) else []))) for i in range(200)]
+    sizes = {}
+
+    def counted(df, name, store=sd.stored):
+        out = store(df, name)
+        if name == "windows":
+            sizes[name] = sum(sum(r[0][1::2]) - sum(r[0][::2]) for r in out.select("bounds").collect())
+        if name == "ranges":
+            sizes[name] = sum(len(r[0]) for r in out.select("tokens").collect())
+        return out
+
+    monkeypatch.setattr(sd, "stored", counted)
+    got = sd.repeated_passages(docs(*rows)).collect()
+    assert {r["doc_id"] for r in got} == {3, 90}
+    assert 0 < sizes["ranges"] < sizes["windows"] / 2, sizes
+
+
+def test_a_passage_without_a_sampled_token_is_found(docs):
+    rng = random.Random(15)
+    found = {}
+    for word in range(12):  # one shingle in each of these passages; some are sampled, some are not
+        found[bool(sd.sampled(sd._read(sd.pa.array([f"r{word} " * 5]))[0])[0])] = f"r{word} "
+    for word in found.values():
+        rows = [(i, " ".join(words(rng, 70)) + " " + word * 120 + " ".join(words(rng, 20 + i))) for i in range(2)]
+        assert {r["doc_id"] for r in sd.repeated_passages(docs(*rows)).collect()} == {0, 1}
+    assert set(found) == {False, True}
+
+
+def test_groups_of_the_same_members_are_one(spark, monkeypatch):
+    sizes = {}
+
+    def counted(df, name, store=linking.stored_alone):
+        out = store(df, name)
+        sizes[name] = out.count() + sizes.get(name, 0)
+        return out
+
+    monkeypatch.setattr(linking, "stored_alone", counted)
+    members = spark.range(400).selectExpr("id as key", "explode(array(1L, 2L, 3L, 4L, 5L)) as id").union(
+        spark.createDataFrame([(1000, 1), (1000, 2), (1001, 9)], "key bigint, id bigint"))
+    links = link_by_leaders(members, lambda pairs: pairs.filter("a < 3"))
+    assert sizes["members"] == 7 and sizes["met"] < 30
+    assert {(1, 2), (1, 3), (1, 4), (1, 5)} <= {(r["a"], r["b"]) for r in links.collect()}
+
+
+def test_a_few_open_members_all_lead_at_once(spark):
+    rows = [(1, i) for i in range(100)] + [(2, i) for i in range(200, 207)]
+    calls = []
+
+    def verify(pairs):
+        calls.append({(r["a"], r["b"]) for r in pairs.collect()})
+        return pairs.filter("a = 0 or b = 0 or a = 203 and b = 205")
+
+    members = spark.createDataFrame([*rows, *[(3 + i, x) for i in range(99) for x in (0, i + 1)]], "key bigint, id bigint")
+    links = {(r["a"], r["b"]) for r in link_by_leaders(members, verify).collect()}
+    assert len(calls) == 2 and {(a, b) for a in range(200, 207) for b in range(a + 1, 207)} <= calls[0] | calls[1]
+    assert links == {(0, i) for i in range(1, 100)} | {(203, 205)}
+
+
 def test_empty_table(docs):
     assert sd.repeated_passages(docs((1, "a")).limit(0)).count() == 0
